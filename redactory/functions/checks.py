@@ -1,78 +1,66 @@
-"""Validators for matched text.  Every one is a pure column expression."""
+"""Validators for matched text, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from .expr import cases, fold, let
 
-from .expr import let
 
+def digits_of(text: str) -> str:
+    return f"regexp_replace({text}, '[^0-9]', '')"
 
-def digits_of(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
 
-
-def _digit(s: Column, i) -> Column:
-    return F.substring(s, i, F.lit(1) if isinstance(i, Column) else 1).cast("int")
-
-
-def luhn(text: Column) -> Column:
+def luhn(text: str) -> str:
     """Mod-10 check over 13 to 19 digits; separators are ignored."""
 
-    def body(d: Column) -> Column:
-        n = F.length(d)
+    def body(d: str) -> str:
+        def add(acc: str, i: str) -> str:
+            def weigh(v: str) -> str:
+                return cases((f"(length({d}) - {i}) % 2 = 0", v), (f"{v} > 4", f"{v} * 2 - 9"), other=f"{v} * 2")
 
-        def add(acc: Column, i: Column) -> Column:
-            v = _digit(d, i)
-            doubled = F.when(v > 4, v * 2 - 9).otherwise(v * 2)
-            return acc + F.when((n - i) % 2 == 1, doubled).otherwise(v)
+            return f"{acc} + " + let(f"cast(substring({d}, {i}, 1) as int)", weigh)
 
-        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
-        return F.when(n.between(13, 19), total % 10 == 0).otherwise(F.lit(False))
+        total = fold(f"sequence(1, length({d}))", "0", add)
+        return cases((f"length({d}) BETWEEN 13 AND 19", f"{total} % 10 = 0"), other="false")
 
     return let(digits_of(text), body)
 
 
-def iban(text: Column) -> Column:
+def iban(text: str) -> str:
     """Mod-97 check; letters count as 10 to 35."""
-    turned = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
 
-    def body(t: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            code = F.ascii(F.substring(t, i, F.lit(1)))
-            return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise(
-                (acc * 100 + code - 55) % 97)
+    def body(t: str) -> str:
+        def add(acc: str, i: str) -> str:
+            return let(f"ascii(substring({t}, {i}, 1))", lambda c: cases(
+                (f"{c} < 58", f"({acc} * 10 + {c} - 48) % 97"), other=f"({acc} * 100 + {c} - 55) % 97"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), add) == 1
+        return fold(f"sequence(1, length({t}))", "0", add) + " = 1"
 
-    return let(turned, body)
+    return let(f"concat(substring({text}, 5), substring({text}, 1, 4))", body)
 
 
-def octets(text: Column) -> Column:
+def octets(text: str) -> str:
     """Every dotted part is at most 255."""
-    return F.forall(F.split(text, r"\."), lambda p: p.cast("int") <= 255)
+    return f"forall(split({text}, '[.]'), p -> cast(p as int) <= 255)"
 
 
-def ssn(text: Column) -> Column:
+def ssn(text: str) -> str:
     """No group is all zeros."""
-    d = digits_of(text)
-    return ((F.substring(d, 1, 3) != "000") & (F.substring(d, 4, 2) != "00")
-            & (F.substring(d, 6, 4) != "0000"))
+    return let(digits_of(text), lambda d: (
+        f"(substring({d}, 1, 3) <> '000' AND substring({d}, 4, 2) <> '00' "
+        f"AND substring({d}, 6, 4) <> '0000')"))
 
 
-def dea(text: Column) -> Column:
+def dea(text: str) -> str:
     """Check digit of a two-letter, seven-digit registration number."""
-    def body(t: Column) -> Column:
-        odd = _digit(t, 3) + _digit(t, 5) + _digit(t, 7)
-        even = _digit(t, 4) + _digit(t, 6) + _digit(t, 8)
-        return (odd + even * 2) % 10 == _digit(t, 9)
-
-    return let(text, body)
+    digit = lambda i: f"cast(substring({text}, {i}, 1) as int)"
+    odd = " + ".join(digit(i) for i in (3, 5, 7))
+    even = " + ".join(digit(i) for i in (4, 6, 8))
+    return f"({odd} + ({even}) * 2) % 10 = {digit(9)}"
 
 
-def date(text: Column) -> Column:
+def date(text: str) -> str:
     """ISO dates must exist in the calendar; slash dates pass."""
-    return F.when(text.contains("/"), F.lit(True)).otherwise(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull())
+    return f"(contains({text}, '/') OR try_cast({text} as date) IS NOT NULL)"
 
 
 VALIDATORS = {"luhn": luhn, "iban": iban, "octets": octets, "ssn": ssn, "dea": dea, "date": date}

@@ -1,96 +1,99 @@
-"""Text expressions: offsets, word edges, normalisation, escaping."""
+"""Text expressions as SQL text: offsets, word edges, normalisation, escaping."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from .expr import let, empty_array
+from .expr import any_of, blocked_fold, empty, let, quoted, raw, record
 
 WORD = r"[\p{L}\p{N}]+"
-_HITS = "array<struct<start:int,`end`:int,text:string>>"
-
-
-def found(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of a pattern without look-around, as text."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+# A match, with the text between it and the match before.
+HIT_DDL = "struct<start:int,`end`:int,text:string,gap:string>"
+HITS_DDL = f"array<{HIT_DDL}>"
 
 
-def offsets(text: Column, hits: Column, pattern: str) -> Column:
+def offsets(text: str, hits: str, pattern: str) -> str:
     """Matches with 0-based start and exclusive end, in code points.
 
     The gaps between matches come from splitting on the same pattern, so the
     offsets are running sums of gap and match lengths.
     """
 
-    def body(gaps: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.element_at(gaps, i))
-            hit = F.element_at(hits, i)
-            end = start + F.length(hit)
-            row = F.struct(start.alias("start"), end.alias("end"), hit.alias("text"))
-            return F.struct(end.alias("pos"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    def body(pairs: str) -> str:
+        def step(pos: str, pair: str) -> tuple[str, str]:
+            start = f"{pos} + length({pair}.gap)"
+            end = f"{start} + length({pair}.hit)"
+            return end, "array(" + record(start=start, end=end, text=f"{pair}.hit", gap=f"{pair}.gap") + ")"
 
-        zero = F.struct(F.lit(0).alias("pos"), empty_array(_HITS).alias("rows"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(hits)), zero, step, lambda a: a["rows"])
+        return blocked_fold(pairs, "0", step, HIT_DDL)
 
-    return let(F.split(text, pattern, -1), body)
+    gaps = f"split({text}, {raw(pattern)}, -1)"
+    pairs = let(gaps, lambda g: (
+        f"zip_with(slice({g}, 1, size({hits})), {hits}, (g, h) -> named_struct('gap', g, 'hit', h))"))
+    return let(pairs, body)
 
 
-def located(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """``found`` and ``offsets`` together; offsets are worked out only for rows with a match."""
-    matches = found(text, pattern)
-    if guard is not None:
-        matches = F.when(guard, matches).otherwise(empty_array("array<string>"))
-    none = empty_array(_HITS)
-    return let(matches, lambda h: F.when(F.size(h) > 0, offsets(text, h, pattern)).otherwise(none))
+def located(text: str, pattern: str, guard: str | None = None) -> str:
+    """Non-overlapping matches with offsets; offsets are worked out only for rows with a match."""
+    matches = f"regexp_extract_all({text}, {raw(pattern)}, 0)"
+    if guard:
+        matches = f"IF({guard}, {matches}, {empty('array<string>')})"
+    return let(matches, lambda h: f"IF(size({h}) > 0, {offsets(text, h, pattern)}, {empty(HITS_DDL)})")
 
 
-def edges_clear(text: Column, hit: Column) -> Column:
+def edges_clear(text: str, hit: str) -> str:
     """No letter, digit or underscore touches the outer edge of an alphanumeric match."""
-    before = F.substring(text, hit["start"], F.lit(1))
-    after = F.substring(text, hit["end"] + 1, F.lit(1))
-    first_is_word = F.substring(hit["text"], 1, 1).rlike("[A-Za-z0-9]")
-    last_is_word = F.right(hit["text"], F.lit(1)).rlike("[A-Za-z0-9]")
-    joined_left = (hit["start"] > 0) & first_is_word & before.rlike("[A-Za-z0-9_]")
-    joined_right = last_is_word & after.rlike("[A-Za-z0-9_]")
-    return ~joined_left & ~joined_right
+    joined_left = (f"({hit}.start > 0 AND rlike(substring({hit}.text, 1, 1), '[A-Za-z0-9]') "
+                   f"AND rlike(substring({text}, {hit}.start, 1), '[A-Za-z0-9_]'))")
+    joined_right = (f"(rlike(right({hit}.text, 1), '[A-Za-z0-9]') "
+                    f"AND rlike(substring({text}, {hit}.`end` + 1, 1), '[A-Za-z0-9_]'))")
+    return f"NOT {joined_left} AND NOT {joined_right}"
+
+
+def word_nearby(text: str, start: str, words, n_words: int, n_chars: int) -> str:
+    """One of the words is among the last few before a position."""
+    listed = ", ".join(quoted(w) for w in words)
 
+    def body(first: str) -> str:
+        window = f"lower(substring({text}, {first}, {start} - {first} + 1))"
+        cut = f"filter(split({window}, {raw('[^' + WORD[1:-2] + ']+')}), w -> w <> '')"
+        last = let(cut, lambda c: f"slice({c}, greatest(1, size({c}) - {n_words - 1}), {n_words})")
+        return any_of(last, lambda w: f"{w} IN ({listed})")
 
-def words_before(text: Column, start: Column, n_words: int, n_chars: int) -> Column:
-    """The last few lower-cased words that end before a position."""
-    first = F.greatest(F.lit(1), start - n_chars + 1)
-    window = F.lower(F.substring(text, first, start - first + 1))
-    words = F.filter(F.split(window, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return let(words, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - n_words + 1), F.lit(n_words)))
+    return let(f"greatest(1, {start} - {n_chars - 1})", body)
 
 
-def count_words(text: Column) -> Column:
+def count_words(text: str) -> str:
     """White-space separated words; blank text has none."""
-    return F.regexp_count(text, F.lit(r"[^ \t\r\n\f]+"))
+    return f"regexp_count({text}, {raw('[^ ' + WHITE + ']+')})"
 
 
-def place_token(text: Column) -> Column:
+WHITE = r"\t\r\n\f"
+
+
+def place_token(text: str) -> str:
     """Lower case, everything but a-z and 0-9 folded to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    return f"trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' '))"
 
 
-def escape_markup(text: Column) -> Column:
+def escape_markup(text: str) -> str:
     """The five characters that matter in HTML, ampersand first."""
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(raw), F.lit(safe))
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = f"replace({text}, {quoted(plain)}, {quoted(safe)})"
     return text
 
 
-def entity_label(entity_type: Column) -> Column:
+def entity_label(entity_type: str) -> str:
     """EMAIL_ADDRESS -> Email Address."""
-    return F.initcap(F.replace(entity_type, F.lit("_"), F.lit(" ")))
+    return f"initcap(replace({entity_type}, '_', ' '))"
+
+
+PLACEHOLDER = "<([A-Z_]+)>"
 
 
-def placeholders(text: Column) -> Column:
+def placeholders(text: str) -> str:
     """Entity names of the <NAME> placeholders in rewritten text."""
-    return F.regexp_extract_all(text, F.lit("<([A-Z_]+)>"), F.lit(1))
+    return f"regexp_extract_all({text}, '{PLACEHOLDER}', 1)"
 
 
-def tag_placeholders(text: Column) -> Column:
+def tag_placeholders(text: str) -> str:
     """<NAME> -> `NAME`."""
-    return F.regexp_replace(text, "<([A-Z_]+)>", "`$1`")
+    return f"regexp_replace({text}, '{PLACEHOLDER}', '`$1`')"

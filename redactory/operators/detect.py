@@ -10,178 +10,168 @@ from .. import fixed_values as fv
 from .. import registry as reg
 from ..functions import text as tx
 from ..functions.checks import VALIDATORS
-from ..functions.expr import empty_array, is_blank, let
+from ..functions.expr import empty, in_list, is_blank, keep, let, quoted, raw, record, sorted_by, transform
+from ..plans.sizing import small_side
 from ..policy import Policy
 from ..schema import SPAN_DDL, SPANS_DDL
 from .resolve import by_position, merge_spans
 
+NONE = empty(SPANS_DDL)
+
 # More literal terms than this go through the dictionary join instead.
 MAX_INLINE_TERMS = 20
 
 
-def rationale(recogniser: Column, pattern_name: Column, raw_score: Column, score: Column,
-              extra: Column) -> Column:
+def rationale(recogniser: str, pattern_name: str, raw_score: str, score: str, extra: str) -> str:
     """recogniser; pattern=...; raw_score=0.00 when it changed; free text."""
-    blank_to_null = lambda c: F.when(c != "", c)
-    return F.concat_ws(
-        "; ",
-        blank_to_null(recogniser),
-        F.when(pattern_name != "", F.concat(F.lit("pattern="), pattern_name)),
-        F.when(raw_score != score, F.concat(F.lit("raw_score="), F.format_string("%.2f", raw_score))),
-        blank_to_null(extra))
+    return (
+        "concat_ws('; ', "
+        f"nullif({recogniser}, ''), "
+        f"concat('pattern=', nullif({pattern_name}, '')), "
+        f"IF({raw_score} <> {score}, concat('raw_score=', format_string('%.2f', {raw_score})), NULL), "
+        f"nullif({extra}, ''))")
 
 
-def make_span(entity: Column, hit: Column, score: Column, recogniser: Column, why: Column) -> Column:
-    return F.struct(
-        entity.alias("entity_type"), hit["start"].cast("int").alias("start"),
-        hit["end"].cast("int").alias("end"), F.round(score, 3).alias("score"),
-        hit["text"].alias("text"), recogniser.alias("recognizer"), why.alias("rationale"),
-    ).cast(SPAN_DDL)
+def make_span(entity: str, hit: str, score: str, recogniser: str, why: str) -> str:
+    fields = record(entity_type=entity, start=f"{hit}.start", end=f"{hit}.`end`",
+                    score=f"round({score}, 3)", text=f"{hit}.text", recognizer=recogniser, rationale=why)
+    return f"cast({fields} as {SPAN_DDL})"
 
 
-def guard_expr(text: Column, guard: tuple[str, str]) -> Column:
+def guard_sql(text: str, guard: tuple[str, str]) -> str:
     kind, value = guard
-    return text.contains(value) if kind == "contains" else text.rlike(value)
+    return f"contains({text}, {quoted(value)})" if kind == "contains" else f"rlike({text}, {raw(value)})"
 
 
-def recogniser_spans(text: Column, r: reg.Recogniser, policy: Policy) -> Column:
+def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
     """Spans of one recogniser, validated and scored."""
 
-    def to_span(hit: Column) -> Column:
-        base = F.lit(float(r.score))
+    def to_span(hit: str) -> str:
+        base = f"{float(r.score)}D"
         if r.validator in reg.SCORE_LIFTING_VALIDATORS:
-            score = F.lit(1.0)
+            score = "1.0D"
         elif r.context:
-            near = F.exists(tx.words_before(text, hit["start"], reg.CONTEXT_WORDS, reg.CONTEXT_CHARS),
-                            lambda w: w.isin(list(r.context)))
-            score = F.when(near, F.lit(min(1.0, round(r.score + reg.CONTEXT_BOOST, 3)))).otherwise(base)
+            near = tx.word_nearby(text, f"{hit}.start", r.context, reg.CONTEXT_WORDS, reg.CONTEXT_CHARS)
+            score = f"IF({near}, {min(1.0, round(r.score + reg.CONTEXT_BOOST, 3))}D, {base})"
         else:
             score = base
 
-        def finish(s: Column) -> Column:
-            if policy.explain:
-                extra = F.lit(f"validator={r.validator}" if r.validator else "")
-                why = rationale(F.lit(r.name), F.lit(r.pattern_name), base, s, extra)
-                return make_span(F.lit(r.entity), hit, s, F.lit(r.name), why)
-            return make_span(F.lit(r.entity), hit, s, F.lit(""), F.lit(""))
+        def finish(s: str) -> str:
+            if not policy.explain:
+                return make_span(f"'{r.entity}'", hit, s, "''", "''")
+            extra = f"'validator={r.validator}'" if r.validator else "''"
+            why = rationale(f"'{r.name}'", f"'{r.pattern_name}'", base, s, extra)
+            return make_span(f"'{r.entity}'", hit, s, f"'{r.name}'", why)
 
         return let(score, finish)
 
-    def usable(hit: Column) -> Column:
+    def usable(hit: str) -> str:
         ok = tx.edges_clear(text, hit)
-        if r.validator:
-            ok = ok & VALIDATORS[r.validator](hit["text"])
-        return ok
-
-    hits = tx.located(text, r.pattern, guard_expr(text, r.guard))
-    none = empty_array(SPANS_DDL)
+        return f"{ok} AND {VALIDATORS[r.validator](hit + '.text')}" if r.validator else ok
 
-    def build(h: Column) -> Column:
-        spans = F.transform(F.filter(h, usable), to_span)
-        if reg.best_possible_score(r) < 1.0 or r.score < policy.threshold:
-            spans = F.filter(spans, lambda s: s["score"] >= policy.threshold)
-        return F.when(F.size(h) > 0, spans).otherwise(none)
+    def build(hits: str) -> str:
+        spans = transform(keep(hits, usable), to_span)
+        if r.validator not in reg.SCORE_LIFTING_VALIDATORS and r.score < policy.threshold:
+            spans = keep(spans, lambda s: f"{s}.score >= {float(policy.threshold)}D")
+        return f"IF(size({hits}) > 0, {spans}, {NONE})"
 
-    return let(hits, build)
+    return let(tx.located(text, r.pattern, guard_sql(text, r.guard)), build)
 
 
-def deny_spans(text: Column, terms: tuple[str, ...], explain: bool = True) -> Column:
+def deny_spans(text: str, terms: tuple[str, ...], explain: bool = True) -> str:
     """Whole-word, case-insensitive literal hits of each term, score 1.0.
 
     One pattern per term: a single alternation would lose overlapping terms.
     """
     if len(terms) > MAX_INLINE_TERMS:
         raise ValueError(f"more than {MAX_INLINE_TERMS} terms: use operators.dictionary")
-    return _literal_spans(text, [(t, fv.DENY_ENTITY) for t in terms], 1.0,
-                          "DenyListRecogniser" if explain else "")
-
+    name = quoted("DenyListRecogniser" if explain else "")
 
-def _literal_spans(text: Column, pairs: list[tuple[str, str]], score: float, name: str) -> Column:
-    none = empty_array(SPANS_DDL)
-    if not pairs:
-        return none
+    def of_term(term: str) -> str:
+        literal = re.sub(r"([^\w ])", r"\\\1", term)
+        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){literal}(?![\p{{L}}\p{{N}}_])"
+        hits = tx.located(text, pattern, f"contains(lower({text}), {quoted(term.lower())})")
+        return transform(hits, lambda h: make_span(f"'{fv.DENY_ENTITY}'", h, "1.0D", name, name))
 
-    def spans_for(entity: str, hits: Column) -> Column:
-        return F.transform(hits, lambda h: make_span(F.lit(entity), h, F.lit(score), F.lit(name), F.lit(name)))
-
-    parts = []
-    for term, entity in pairs:
-        body = re.sub(r"([^A-Za-z0-9 ])", r"\\\1", term) if term.isascii() else "\\Q" + term + "\\E"
-        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){body}(?![\p{{L}}\p{{N}}_])"
-        hits = tx.located(text, pattern, F.lower(text).contains(term.lower()))
-        parts.append(spans_for(entity, hits))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    parts = [of_term(t) for t in terms]
+    return f"concat({', '.join(parts)})" if parts else NONE
 
 
-def first_literal_spans(text: Column, pairs: list[tuple[str, str]], score: float = 0.99) -> Column:
+def first_literal_spans(text: str, pairs: list[tuple[str, str]], score: float = 0.99) -> str:
     """One hit per listed literal: the first, or for a repeated literal the next
     one after its previous hit, falling back to the first.  Sorted by start."""
-    low = F.lower(text)
-    parts, seen = [], {}
+    name = "'LiteralListRecogniser'"
+    parts, previous = [], {}
     for term, entity in pairs:
-        key = term.lower()
-        at = F.locate(key, low, 1)
-        if key in seen:
-            previous_end = seen[key]
-            later = F.call_function("locate", F.lit(key), low, previous_end + 1)
-            at = F.when(later > 0, later).otherwise(at)
-        seen[key] = at - 1 + len(term)
-        hit = F.struct((at - 1).alias("start"), (at - 1 + len(term)).alias("end"),
-                       F.substring(text, at, F.lit(len(term))).alias("text"))
-        parts.append(F.when(at > 0, make_span(F.lit(entity), hit, F.lit(score),
-                                              F.lit("LiteralListRecogniser"), F.lit(""))))
-    spans = F.filter(F.array(*parts), lambda s: s.isNotNull())
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), i.alias("b"), s.alias("span")))
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
-
-
-def drop_allowed(spans: Column, allow: tuple[str, ...]) -> Column:
+        key = quoted(term.lower())
+        at = f"locate({key}, lower({text}))"
+        if key in previous:
+            later = f"locate({key}, lower({text}), {previous[key]} + {len(term)})"
+            at = f"coalesce(nullif({later}, 0), {at})"
+        previous[key] = at
+        hit = let(at, lambda p, n=len(term): record(
+            start=f"{p} - 1", end=f"{p} - 1 + {n}", text=f"substring({text}, {p}, {n})"))
+        parts.append(let(hit, lambda h, e=entity: (
+            f"IF({h}.start >= 0, {make_span(quoted(e), h, f'{score}D', name, quoted(''))}, NULL)")))
+    found = keep(f"array({', '.join(parts)})", lambda s: f"{s} IS NOT NULL")
+    return sorted_by(found, a=lambda s, i: f"{s}.start", b=lambda s, i: i)
+
+
+def drop_allowed(spans: str, allow: tuple[str, ...]) -> str:
     """Drop spans whose trimmed, lower-cased text is listed."""
     if not allow:
         return spans
-    listed = [t.lower() for t in allow]
-    return F.filter(spans, lambda s: ~F.lower(F.trim(s["text"])).isin(listed))
+    return keep(spans, lambda s: "NOT " + in_list(f"lower(trim({s}.text))", [t.lower() for t in allow]))
 
 
-def spans_of(text: Column, policy: Policy | None = None, extra: Column | None = None) -> Column:
+def spans_sql(text: str, policy: Policy, extra: str | None = None) -> str:
     """All spans of a text: recognisers, then ``extra`` spans (for example from a
     dictionary), allow-list, and last the deny-list, which no other rule limits."""
-    policy = policy or Policy()
-    none = empty_array(SPANS_DDL)
     chosen = reg.select(policy.entities, policy.threshold)
-    free = [recogniser_spans(text, r, policy) for r in chosen if not r.needs_digits]
+    parts = [recogniser_spans(text, r, policy) for r in chosen if not r.needs_digits]
     numeric = [recogniser_spans(text, r, policy) for r in chosen if r.needs_digits]
     if numeric:
-        free.append(F.when(text.rlike(reg.DIGIT_PAIR), F.concat(*numeric)).otherwise(none))
-    found = F.concat(*free) if free else none
+        parts.append(f"IF(rlike({text}, {raw(reg.DIGIT_PAIR)}), concat({', '.join(numeric)}), {NONE})")
+    found = f"concat({', '.join(parts)})" if parts else NONE
     if extra is not None:
-        scored = F.filter(F.coalesce(extra, none), lambda s: s["score"] >= policy.threshold)
-        if policy.entities:
-            scored = F.filter(scored, lambda s: s["entity_type"].isin(list(policy.entities)))
-        found = merge_spans(found, scored)
+        ok = lambda s: f"{s}.score >= {float(policy.threshold)}D" + (
+            " AND " + in_list(f"{s}.entity_type", policy.entities) if policy.entities else "")
+        found = merge_spans(found, keep(f"coalesce({extra}, {NONE})", ok))
     found = drop_allowed(found, policy.allow)
     if policy.deny:
         found = merge_spans(found, deny_spans(text, policy.deny, policy.explain))
-    ordered = let(found, lambda s: F.when(F.size(s) < 2, s).otherwise(by_position(s)))
-    return F.when(is_blank(text), none).otherwise(ordered)
+    ordered = let(found, lambda s: f"IF(size({s}) < 2, {s}, {by_position(s)})")
+    return f"IF({is_blank(text)}, {NONE}, {ordered})"
+
+
+def spans_of(text: str, policy: Policy | None = None, extra: str | None = None) -> Column:
+    """``spans_sql`` as a Column; ``text`` and ``extra`` are column names or SQL expressions."""
+    return F.expr(spans_sql(text, policy or Policy(), extra))
 
 
 def detect(df: DataFrame, text_col: str, policy: Policy | None = None, spans_col: str = "spans",
-           extra: Column | None = None) -> DataFrame:
+           extra: str | None = None) -> DataFrame:
     """Add the span array of a text column."""
-    return df.withColumn(spans_col, spans_of(F.col(text_col), policy, extra))
+    return df.withColumn(spans_col, spans_of(f"`{text_col}`", policy, extra))
 
 
 def detections(df: DataFrame, key: str | list[str], spans_col: str = "spans") -> DataFrame:
-    """Span arrays as rows, one per span; rows without spans vanish before the generator."""
+    """Span arrays as rows, one per span."""
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.where(F.size(spans_col) > 0)
-            .select(*keys, F.inline(F.col(spans_col))))
+    return df.select(*keys, F.inline(F.col(spans_col)))
 
 
 def filter_allowed_rows(rows: DataFrame, allow: DataFrame, term_col: str = "term") -> DataFrame:
     """Row form of the allow-list for long lists: left-anti join on the text."""
-    from ..plans.sizing import small_side
     terms = allow.select(F.lower(F.trim(F.col(term_col))).alias("_term")).where("_term <> ''").distinct()
     keyed = rows.withColumn("_term", F.lower(F.trim(F.col("text"))))
     return keyed.join(small_side(terms), "_term", "left_anti").drop("_term")
+
+
+def norm_term_rows(terms: DataFrame, order_col: str, term_col: str = "term") -> DataFrame:
+    """Row form of term-list normalisation: trim, drop blanks, keep the first spelling."""
+    clean = terms.select(F.col(order_col).alias("pos"), F.trim(F.col(term_col)).alias("term")).where("term <> ''")
+    return (clean.groupBy(F.lower("term").alias("term_key"))
+            .agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos")))
+
+

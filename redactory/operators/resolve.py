@@ -1,37 +1,35 @@
-"""Merging and overlap resolution of span arrays."""
+"""Merging and overlap resolution of span arrays, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expr import empty_array, let
-from ..schema import SPANS_DDL
+from ..functions.expr import any_of, blocked_fold, cases, empty, fold, keep, let, record, sorted_by
+from ..schema import SPAN_DDL, SPANS_DDL
 
+NONE = empty(SPANS_DDL)
 
-def span_overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-
-def by_position(spans: Column) -> Column:
+def by_position(spans: str) -> str:
     """Order by start, end, type."""
-    keyed = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("c"), s.alias("span")))
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    return sorted_by(spans, a=lambda s, i: f"{s}.start", b=lambda s, i: f"{s}.`end`",
+                     c=lambda s, i: f"{s}.entity_type")
 
 
-def merge_spans(first: Column, second: Column) -> Column:
+def merge_spans(first: str, second: str) -> str:
     """Union on (type, start, end); the first list wins."""
 
-    def same(a: Column, b: Column) -> Column:
-        return ((a["entity_type"] == b["entity_type"]) & (a["start"] == b["start"])
-                & (a["end"] == b["end"]))
+    def same(a: str, b: str) -> str:
+        return (f"{a}.entity_type = {b}.entity_type AND {a}.start = {b}.start AND {a}.`end` = {b}.`end`")
+
+    def body(p: str) -> str:
+        fresh = keep(f"{p}.b", lambda s: "NOT " + any_of(f"{p}.a", lambda k: same(k, s)))
+        return f"IF(size({p}.b) = 0, {p}.a, concat({p}.a, {fresh}))"
 
-    return let(F.struct(first.alias("a"), second.alias("b")), lambda p: F.when(
-        F.size(p["b"]) == 0, p["a"]).otherwise(F.concat(p["a"], F.filter(
-            p["b"], lambda s: ~F.exists(p["a"], lambda k: same(k, s))))))
+    return let(record(a=first, b=second), body)
 
 
-def keep_best(spans: Column) -> Column:
+def keep_best(spans: str) -> str:
     """Spans to rewrite: greedy by score, then length, then start, then type.
 
     Spans are first cut into runs that overlap each other, because a span can
@@ -39,55 +37,47 @@ def keep_best(spans: Column) -> Column:
     spans and quadratic only inside a run.
     """
 
-    def ranked(run: Column) -> Column:
-        keyed = F.transform(run, lambda s: F.struct(
-            (-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"),
-            s["start"].alias("c"), s["entity_type"].alias("d"), s.alias("span")))
-        return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    def winners(run: str) -> str:
+        ranked = sorted_by(run, a=lambda s, i: f"-{s}.score", b=lambda s, i: f"{s}.start - {s}.`end`",
+                           c=lambda s, i: f"{s}.start", d=lambda s, i: f"{s}.entity_type")
 
-    def winners(run: Column) -> Column:
-        def take(kept: Column, s: Column) -> Column:
-            return F.when(F.exists(kept, lambda k: span_overlap(k, s)), kept).otherwise(
-                F.concat(kept, F.array(s)))
+        def take(kept: str, s: str) -> str:
+            clash = any_of(kept, lambda k: f"{k}.start < {s}.`end` AND {s}.start < {k}.`end`")
+            return f"IF({clash}, {kept}, concat({kept}, array({s})))"
 
-        return F.when(F.size(run) < 2, run).otherwise(
-            F.aggregate(ranked(run), empty_array(SPANS_DDL), take))
+        return f"IF(size({run}) < 2, {run}, {fold(ranked, NONE, take)})"
 
-    def step(acc: Column, s: Column) -> Column:
-        joins = s["start"] < acc["reach"]
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], winners(acc["run"]))).alias("done"),
-            F.when(joins, F.concat(acc["run"], F.array(s))).otherwise(F.array(s)).alias("run"),
-            F.greatest(acc["reach"], s["end"]).alias("reach"))
+    def step(state: str, s: str) -> tuple[str, str]:
+        joins = f"{s}.start < {state}.reach"
+        run = f"IF({joins}, concat({state}.run, array({s})), array({s}))"
+        return (record(run=run, reach=f"greatest({state}.reach, {s}.`end`)"),
+                f"IF({joins}, {NONE}, {winners(state + '.run')})")
 
-    none = empty_array(SPANS_DDL)
-    zero = F.struct(none.alias("done"), none.alias("run"), F.lit(0).alias("reach"))
-    folded = F.aggregate(by_position(spans), zero, step,
-                         lambda a: F.concat(a["done"], winners(a["run"])))
-    return F.when(F.size(spans) < 2, spans).otherwise(by_position(folded))
+    zero = record(run=NONE, reach="0")
+    folded = let(by_position(spans), lambda o: blocked_fold(
+        o, zero, step, SPAN_DDL, finish=lambda state: winners(f"{state}.run")))
+    return f"IF(size({spans}) < 2, {spans}, {by_position(folded)})"
 
 
-def keep_for_display(spans: Column) -> Column:
+def keep_for_display(spans: str) -> str:
     """Spans to show: left to right, a later span replaces the one it overlaps
     only when its score is higher."""
+    ordered = sorted_by(spans, a=lambda s, i: f"{s}.start", b=lambda s, i: f"-{s}.score",
+                        c=lambda s, i: f"{s}.`end`", d=lambda s, i: f"{s}.entity_type")
 
-    keyed = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("a"), (-s["score"]).alias("b"), s["end"].alias("c"),
-        s["entity_type"].alias("d"), s.alias("span")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["span"])
-
-    def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (F.when(F.size(kept) == 0, F.array(s))
-                .when(s["start"] >= last["end"], F.concat(kept, F.array(s)))
-                .when(s["score"] > last["score"],
-                      F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s)))
-                .otherwise(kept))
+    # Only the newest shown span can still change, so it is the state of the fold.
+    def step(last: str, s: str) -> tuple[str, str]:
+        empty_yet = f"size({last}) = 0"
+        clear = f"{s}.start >= {last}[0].`end`"
+        better = f"{s}.score > {last}[0].score"
+        new = cases((empty_yet, f"array({s})"), (f"{clear} OR {better}", f"array({s})"), other=last)
+        out = cases((empty_yet, NONE), (clear, last), other=NONE)
+        return new, out
 
-    return F.aggregate(ordered, empty_array(SPANS_DDL), step)
+    return let(ordered, lambda o: blocked_fold(o, NONE, step, SPAN_DDL, finish=lambda last: last))
 
 
-def merge_rows(first, second, keys: list[str]):
+def merge_rows(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Row form of ``merge_spans``: dedupe two detection tables, the first wins.
 
     An aggregate with partial combine, so a hot key costs one row per task.

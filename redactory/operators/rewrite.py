@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from ..functions.expr import let
+from ..functions.expr import cases, fold, in_list, let, quoted, record, sorted_by, transform
 from ..policy import Policy
 from .resolve import keep_best, keep_for_display
 from .synth import fake_value
 
 
-def rebuild(text: Column, spans: Column, replacement, plain=lambda c: c) -> Column:
-    """Text with each span replaced; spans must be disjoint and sorted.
+def rebuild(text: str, spans: str, replacement: Callable[[str], str],
+            plain: Callable[[str], str] = lambda c: c) -> str:
+    """Text with each span replaced; spans must be disjoint, sorted and not empty.
 
     Pieces are built by index (gap, replacement, gap, ...) and joined once.
     """
-    def piece(s: Column, i: Column) -> Column:
-        past = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        gap = F.substring(text, past + 1, s["start"] - past)
-        return F.concat(plain(gap), replacement(s))
+    def piece(s: str, i: str) -> str:
+        past = f"IF({i} = 0, 0, get({spans}, {i} - 1).`end`)"
+        gap = let(past, lambda p: f"substring({text}, {p} + 1, {s}.start - {p})")
+        return f"concat({plain(gap)}, {replacement(s)})"
 
-    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), plain(tail))
+    tail = f"substring({text}, element_at({spans}, -1).`end` + 1)"
+    return f"concat(array_join({transform(spans, piece, 's', 'i')}, ''), {plain(tail)})"
 
 
-def replacement_for(operator: str, policy: Policy, span: Column) -> Column:
-    covered = span["text"]
+def replacement_for(operator: str, policy: Policy, span: str) -> str:
+    covered = f"{span}.text"
     if operator == "replace":
-        return F.concat(F.lit("<"), span["entity_type"], F.lit(">"))
+        return f"concat('<', {span}.entity_type, '>')"
     if operator == "redact":
-        return F.lit("")
+        return "''"
     if operator == "mask":
-        n = F.length(covered)
-        return F.concat(F.repeat(F.lit("*"), F.least(F.lit(fv.MASK_CHARS), n)),
-                        F.substring(covered, F.lit(fv.MASK_CHARS + 1), n))
+        return (f"concat(repeat('*', least({fv.MASK_CHARS}, length({covered}))), "
+                f"substring({covered}, {fv.MASK_CHARS + 1}))")
     if operator == "hash":
-        return F.sha2(F.concat(F.lit(policy.salt), covered), 256)
+        return f"sha2(concat({quoted(policy.salt)}, {covered}), 256)"
     if operator == "synthesize":
-        return fake_value(span["entity_type"], covered, policy.seed)
+        return fake_value(f"{span}.entity_type", covered, policy.seed)
     raise ValueError(f"unknown operator: {operator}")
 
 
-def span_replacement(policy: Policy, span: Column) -> Column:
+def span_replacement(policy: Policy, span: str) -> str:
     """One CASE over the entity types whose operator differs from the default."""
     default = replacement_for(policy.operator, policy, span)
     by_operator: dict[str, list[str]] = {}
@@ -52,27 +54,22 @@ def span_replacement(policy: Policy, span: Column) -> Column:
             by_operator.setdefault(operator, []).append(entity)
     if not by_operator:
         return default
-    chosen = None
-    for operator, entities in by_operator.items():
-        hit = span["entity_type"].isin(entities)
-        value = replacement_for(operator, policy, span)
-        chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
-    return chosen.otherwise(default)
+    return cases(*((in_list(f"{span}.entity_type", entities), replacement_for(operator, policy, span))
+                   for operator, entities in by_operator.items()), other=default)
 
 
-def rewrite_text(text: Column, kept: Column, policy: Policy) -> Column:
+def rewrite_sql(text: str, kept: str, policy: Policy) -> str:
     """Apply the policy's operators to resolved spans; untouched text passes through."""
-    return F.when(F.size(kept) > 0, rebuild(text, kept, lambda s: span_replacement(policy, s))
-                  ).otherwise(text)
+    return f"IF(size({kept}) > 0, {rebuild(text, kept, lambda s: span_replacement(policy, s))}, {text})"
 
 
 def rewrite(df: DataFrame, text_col: str, spans_col: str, policy: Policy,
             out_col: str = "anonymized_text") -> DataFrame:
-    return df.withColumn(out_col, let(
-        keep_best(F.col(spans_col)), lambda k: rewrite_text(F.col(text_col), k, policy)))
+    kept = let(keep_best(f"`{spans_col}`"), lambda k: rewrite_sql(f"`{text_col}`", k, policy))
+    return df.withColumn(out_col, F.expr(kept))
 
 
-def rewrite_given_spans(text: Column, spans: Column, operator: str) -> Column:
+def rewrite_given_spans(text: str, spans: str, operator: str) -> str:
     """Rewrite from caller-supplied spans: right to left, each against the text as
     it stands, so a span that no longer fits is skipped.  Used for literal lists.
 
@@ -80,51 +77,50 @@ def rewrite_given_spans(text: Column, spans: Column, operator: str) -> Column:
     """
     if operator not in ("replace", "redact", "mask", "hash"):
         raise ValueError(f"unknown operator: {operator}")
-    keyed = F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("a"), i.alias("b"), s.alias("span")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["span"])
+    ordered = sorted_by(spans, a=lambda s, i: f"-{s}.start", b=lambda s, i: i)
 
-    def stand_in(s: Column) -> Column:
+    def stand_in(s: str) -> str:
         if operator == "redact":
-            return F.lit("")
+            return "''"
         if operator == "mask":
-            return F.repeat(F.lit("*"), F.greatest(F.lit(4), F.least(F.lit(20), s["end"] - s["start"])))
-        suffix = "_HASH>" if operator == "hash" else ">"
-        return F.concat(F.lit("<"), s["entity_type"], F.lit(suffix))
+            return f"repeat('*', greatest(4, least(20, {s}.`end` - {s}.start)))"
+        return f"concat('<', {s}.entity_type, '{'_HASH>' if operator == 'hash' else '>'}')"
 
-    def step(out: Column, s: Column) -> Column:
-        fits = (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(out))
-        return F.when(fits, F.concat(
-            F.substring(out, F.lit(1), s["start"]), stand_in(s),
-            F.substring(out, s["end"] + 1, F.length(out)))).otherwise(out)
+    def step(out: str, s: str) -> str:
+        fits = f"{s}.start >= 0 AND {s}.`end` > {s}.start AND {s}.`end` <= length({out})"
+        new = f"concat(substring({out}, 1, {s}.start), {stand_in(s)}, substring({out}, {s}.`end` + 1))"
+        return f"IF({fits}, {new}, {out})"
 
-    return F.aggregate(ordered, text, step)
+    return fold(ordered, text, step)
 
 
-def annotate_text(text: Column, spans: Column) -> Column:
-    """Text for reviewers: plain parts escaped, spans as `text` *(Label - 85%)*."""
+def annotate_sql(text: str, spans: str) -> str:
+    """Text for reviewers: plain parts escaped, spans as `text` *(Label · 85%)*."""
 
-    def mark(s: Column) -> Column:
-        pct = F.format_string("%.0f%%", F.bround(s["score"] * 100, 0))
-        return F.concat(F.lit("`"), tx.escape_markup(s["text"]), F.lit("` *("),
-                        tx.entity_label(s["entity_type"]), F.lit(" · "), pct, F.lit(")*"))
+    def mark(s: str) -> str:
+        return (f"concat('`', {tx.escape_markup(s + '.text')}, '` *(', {tx.entity_label(s + '.entity_type')}, "
+                f"' · ', format_string('%.0f%%', bround({s}.score * 100, 0)), ')*')")
 
     shown = let(keep_for_display(spans), lambda k: rebuild(text, k, mark, tx.escape_markup))
-    return F.when(F.size(spans) > 0, shown).otherwise(F.lit("*No PII detected.*"))
+    return f"IF(size({spans}) > 0, {shown}, '*No PII detected.*')"
 
 
-def counts_map(spans: Column) -> Column:
+def counts_sql(spans: str) -> str:
     """map<entity type, count>, types in first-seen order."""
-    types = F.array_distinct(F.transform(spans, lambda s: s["entity_type"]))
-    return F.map_from_entries(F.transform(types, lambda t: F.struct(
-        t.alias("key"),
-        F.size(F.filter(spans, lambda s: s["entity_type"] == t)).cast("bigint").alias("value"))))
+    types = f"array_distinct({transform(spans, lambda s: s + '.entity_type')})"
+    entry = lambda t: record(
+        key=t, value=f"cast(size(filter({spans}, c -> c.entity_type = {t})) as bigint)")
+    return f"map_from_entries({transform(types, entry)})"
 
 
-def summary_text(counts: Column) -> Column:
+def summary_sql(counts: str) -> str:
     """n× TYPE, ... in map order."""
-    entries = F.transform(F.map_entries(counts), lambda e: F.concat(
-        e["value"].cast("string"), F.lit("× "), e["key"]))
-    return F.when(F.size(counts) == 0, F.lit("No PII detected")).otherwise(F.array_join(entries, ", "))
+    parts = transform(f"map_entries({counts})", lambda e: f"concat(cast({e}.value as string), '× ', {e}.key)")
+    return f"IF(size({counts}) = 0, 'No PII detected', array_join({parts}, ', '))"
+
+
+def annotate(df: DataFrame, text_col: str, spans_col: str = "spans", out_col: str = "annotated") -> DataFrame:
+    return df.withColumn(out_col, F.expr(annotate_sql(f"`{text_col}`", f"`{spans_col}`")))
 
 
 def result_record(df: DataFrame, text_col: str, policy: Policy, spans_col: str = "spans") -> DataFrame:
@@ -132,11 +128,11 @@ def result_record(df: DataFrame, text_col: str, policy: Policy, spans_col: str =
 
     ``detected_counts`` counts every span, ``rewritten_counts`` only those kept.
     """
-    kept = df.withColumn("kept", keep_best(F.col(spans_col)))
-    counted = kept.withColumn("detected_counts", counts_map(F.col(spans_col)))
-    return (counted
-            .withColumn("rewritten_counts", counts_map(F.col("kept")))
-            .withColumn("total_found", F.size(spans_col))
-            .withColumn("entity_summary", summary_text(F.col("detected_counts")))
-            .withColumn("anonymized_text", rewrite_text(F.col(text_col), F.col("kept"), policy))
-            .withColumn("operator_used", F.lit(policy.operator)))
+    return (df.withColumn("kept", F.expr(keep_best(f"`{spans_col}`")))
+            .withColumn("detected_counts", F.expr(counts_sql(f"`{spans_col}`")))
+            .withColumns({
+                "rewritten_counts": F.expr(counts_sql("kept")),
+                "total_found": F.size(spans_col),
+                "entity_summary": F.expr(summary_sql("detected_counts")),
+                "anonymized_text": F.expr(rewrite_sql(f"`{text_col}`", "kept", policy)),
+                "operator_used": F.lit(policy.operator)}))

@@ -61,7 +61,7 @@ REGISTRY: tuple[Recogniser, ...] = (
                ("rlike", r"[0-9]{8}"), 0.05, None, ("account", "bank", "acct")),
     Recogniser("IP_ADDRESS", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
                ("rlike", r"[0-9]\.[0-9]{1,3}\.[0-9]"), 0.6, "octets", ("ip",)),
-    Recogniser("URL", r"https?://[^ \t\r\n\"'<>]+",
+    Recogniser("URL", r"https?://[^ \t\r\n\x22\x27<>]+",
                ("contains", "://"), 0.6, needs_digits=False),
     Recogniser("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
                ("rlike", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), 0.5, "iban", ("iban",)),
