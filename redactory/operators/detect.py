@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions.checks import VALIDATORS
 from ..functions.expr import empty, in_list, is_blank, keep, let, quoted, raw, record, sorted_by, transform
 from ..plans.sizing import small_side
+from ..plans.unnest import inline_rows
 from ..policy import Policy
 from ..schema import SPAN_DDL, SPANS_DDL
 from .resolve import by_position, merge_spans
@@ -158,7 +159,7 @@ def detect(df: DataFrame, text_col: str, policy: Policy | None = None, spans_col
 def detections(df: DataFrame, key: str | list[str], spans_col: str = "spans") -> DataFrame:
     """Span arrays as rows, one per span."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.select(*keys, F.inline(F.col(spans_col)))
+    return inline_rows(df, keys, F.col(spans_col), "start")
 
 
 def filter_allowed_rows(rows: DataFrame, allow: DataFrame, term_col: str = "term") -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.expr import let, raw, record, transform
 from ..plans.salting import lookup_join
 from ..plans.spread import spread
+from ..plans.unnest import inline_rows
 from ..schema import SPAN_DDL
 
 
@@ -68,8 +69,8 @@ def gazetteer(df: DataFrame, key: str | list[str], text_col: str, dictionary: Da
     terms = term_grams(dictionary)
     longest = terms.agg(F.max("n")).first()[0] or 1
     tokens = tx.located(f"`{text_col}`", tx.WORD)
-    grams = (spread(df.select(*keys, text_col))
-             .select(*keys, F.inline(F.expr(let(tokens, lambda t: _grams_sql(t, longest))))))
+    grams = inline_rows(spread(df.select(*keys, text_col)), keys,
+                        F.expr(let(tokens, lambda t: _grams_sql(t, longest))), "gram")
     hits = lookup_join(grams, terms.select("gram", "types"), "gram", [*keys, "start"])
     return (hits.withColumn("entity_type", F.explode("types"))
             .select(*keys, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text",

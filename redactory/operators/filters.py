@@ -10,6 +10,7 @@ from .. import fixed_values as fv
 from ..functions.columns import require
 from ..functions.when import as_moment, in_window, ntz
 from ..plans.sizing import small_side
+from ..plans.unnest import explode_rows
 
 
 def all_or(value: str | None) -> bool:
@@ -105,7 +106,7 @@ def sessions_with_entities(sessions: DataFrame, types: list[str]) -> DataFrame:
 
 def sessions_with_listed_entities(sessions: DataFrame, types: DataFrame, key: str = "id") -> DataFrame:
     """The same for a long type table: the keys that qualify, then a left-semi join."""
-    keys = (sessions.select(key, F.explode(F.map_keys("entity_counts")).alias("entity_type"))
+    keys = (explode_rows(sessions, [key], F.map_keys("entity_counts"), "entity_type")
             .join(small_side(types.select("entity_type").distinct()), "entity_type", "left_semi")
             .select(key).distinct())
     return sessions.join(keys, key, "left_semi")

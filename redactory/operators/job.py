@@ -8,6 +8,7 @@ from .. import fixed_values as fv
 from ..functions.columns import by_rules, safe_ratio
 from ..functions.expr import let
 from ..plans.spread import spread
+from ..plans.unnest import explode_rows, inline_rows
 from ..policy import Policy
 from .detect import spans_sql
 from .profile import string_columns
@@ -51,8 +52,8 @@ def cell_spans(df: DataFrame, columns: list[str], policy: Policy) -> DataFrame:
     fast = policy.but(explain=False)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.expr(
         f"transform({spans_sql(f'`{c}`', fast)}, s -> s.entity_type)").alias("types")) for c in columns])
-    return (spread(df.select(*columns)).select(F.inline(cells))
-            .select("column", F.explode("types").alias("entity_type")))
+    listed = inline_rows(spread(df.select(*columns)), [], cells, "column")
+    return explode_rows(listed, ["column"], "types", "entity_type")
 
 
 def column_totals(df: DataFrame, columns: list[str], policy: Policy) -> DataFrame:

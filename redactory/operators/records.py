@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions.columns import ordinal, positive
 from ..functions.when import as_moment, ntz
+from ..plans.unnest import explode_map, inline_rows
 from ..plans.windows import previous_values
 from .filters import cards_with_status, domain_counts
 from .job import priority_severity
@@ -123,7 +124,7 @@ def audit_from_feed(feed: DataFrame, kind: str = "card") -> DataFrame:
     else:
         raise ValueError(f"unknown record kind: {kind}")
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return ch.select("seq", "ts", "id", F.inline(found)).select(
+    return inline_rows(ch, ["seq", "ts", "id"], found, "action").select(
         "seq", F.col("ts").alias("timestamp"), F.lit("system").alias("actor"), "action",
         F.lit(kind).alias("resource_type"), F.col("id").alias("resource_id"), "details", "severity")
 
@@ -166,7 +167,7 @@ def sessions_per_card(sessions: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def entity_breakdown(sessions: DataFrame) -> DataFrame:
-    return (sessions.select(F.explode("entity_counts").alias("entity_type", "c"))
+    return (explode_map(sessions, [], "entity_counts", "entity_type", "c")
             .groupBy("entity_type").agg(F.sum("c").alias("n")))
 
 
