@@ -103,7 +103,8 @@ def _(spark, d):
     return profile.choose_columns(profile.sampled_profile(table(spark, d, "documents"), "doc_id"))
 
 
-@query("text_columns_fallback", """SELECT 0 AS "position", 'c_name' AS "column" UNION ALL SELECT 1, 'c_mktsegment'""")
+@query("text_columns_fallback", "WITH p AS (" + _profile_sql("customer", PROFILE_TABLES["customer"])
+       + """) SELECT "position", "column" FROM p WHERE CASE WHEN (SELECT bool_or(chosen) FROM p) THEN chosen ELSE "position" < 8 END""")
 def _(spark, d):
     return profile.choose_columns(profile.profile_columns(table(spark, d, "customer")))
 

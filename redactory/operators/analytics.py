@@ -252,16 +252,13 @@ def confidence_distribution(evidence: DataFrame) -> DataFrame:
     counts = evidence.groupBy("entity_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
     q = counts.groupBy("entity_type").agg(
         F.sum("n").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"),
-        F.expr("percentile(confidence, array(0.25, 0.5, 0.75), n)").alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    fences = q.select("entity_type", "n", "low", "high", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                      F.col("q")[2].alias("q3"), (F.col("q")[0] - iqr * 1.5).alias("_lo"),
-                      (F.col("q")[2] + iqr * 1.5).alias("_hi"))
-    inside = counts.join(fences.select("entity_type", "_lo", "_hi"), "entity_type").where(
-        F.col("confidence").between(F.col("_lo"), F.col("_hi")))
-    whiskers = inside.groupBy("entity_type").agg(
-        F.min("confidence").alias("whisker_low"), F.max("confidence").alias("whisker_high"))
-    return fences.drop("_lo", "_hi").join(whiskers, "entity_type")
+        F.expr("percentile(confidence, array(0.25, 0.5, 0.75), n)").alias("q"),
+        F.collect_list("confidence").alias("seen"))
+    box = q.select("entity_type", "n", "low", "high", "seen", F.col("q")[0].alias("q1"),
+                   F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    inside = F.expr("filter(seen, c -> c BETWEEN q1 - 1.5D * (q3 - q1) AND q3 + 1.5D * (q3 - q1))")
+    return box.select("entity_type", "n", "low", "high", "q1", "median", "q3",
+                      F.array_min(inside).alias("whisker_low"), F.array_max(inside).alias("whisker_high"))
 
 
 def confidence_histogram(evidence: DataFrame, bins: int = 10) -> DataFrame:

@@ -126,7 +126,7 @@ def count_by(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
 
 
 def group_by(df: DataFrame, key: Column, member: str, name: str = "key", chunk_rows: int = 10_000) -> DataFrame:
-    """Members per key as arrays of bounded size.
+    """Members per key as arrays of bounded size; ``member`` is a unique id.
 
     A key with many rows comes back as several rows (key, part, members), so no
     task ever holds a whole hot group.  Members are spread over the parts by hash
@@ -135,9 +135,9 @@ def group_by(df: DataFrame, key: Column, member: str, name: str = "key", chunk_r
     sized = df.select(key.alias(name), F.col(member).alias("_m"))
     counts = sized.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
     parts = counts.select(name, F.ceil(F.col("_n") / F.lit(chunk_rows)).cast("int").alias("_parts"))
-    hot = parts.where("_parts > 1")
-    joined = sized.join(small_side(hot), sized[name].eqNullSafe(hot[name]), "left").select(
-        sized[name], "_m", F.coalesce("_parts", F.lit(1)).alias("n_parts"))
+    hot = parts.where("_parts > 1").withColumnRenamed(name, "_k")
+    joined = sized.join(small_side(hot), F.col(name).eqNullSafe(F.col("_k")), "left").select(
+        name, "_m", F.coalesce("_parts", F.lit(1)).alias("n_parts"))
     part = F.pmod(F.xxhash64("_m"), F.col("n_parts")).cast("int")
     return (joined.groupBy(name, part.alias("part"), "n_parts")
             .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("_m")).alias("members")))

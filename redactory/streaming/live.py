@@ -45,17 +45,15 @@ def live_progress(stream: DataFrame) -> DataFrame:
 
 
 def watch_due_appointments(appointments: DataFrame, cards: Callable[[], DataFrame],
-                           write: Callable[[str, DataFrame, int], None], due_col: str = "scheduled_for",
-                           lateness: str = "1 day") -> Callable[[str], StreamingQuery]:
+                           write: Callable[[str, DataFrame, int], None]) -> Callable[[str], StreamingQuery]:
     """Stream of due appointments that fires each one once.
 
-    ``appointments`` is a stream of appointment rows that have come due; repeats of
-    an id are dropped within the watermark, and every batch joins the current
-    cards.  ``write(name, rows, batch_id)`` must be idempotent per batch id.
+    ``appointments`` is a stream of appointment rows that have come due.  An id is
+    remembered for good (a watermark would lose appointments that arrive late), and
+    every batch joins the current cards.  ``write(name, rows, batch_id)`` must be idempotent per batch id.
     Returns a function that starts the query with a checkpoint location.
     """
-    once = (appointments.where(F.col("status") == "scheduled")
-            .withWatermark(due_col, lateness).dropDuplicatesWithinWatermark(["id"]))
+    once = appointments.where(F.col("status") == "scheduled").dropDuplicates(["id"])
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         for name, rows in fire(batch, cards()).items():
