@@ -14,11 +14,6 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _guard(t: str, guard: tuple[str, str]) -> str:
-    kind, value = guard
-    return f"contains({t}, {lit(value)})" if kind == "contains" else f"regexp_matches({t}, {lit(value)})"
-
-
 def validator(kind: str | None, x: str) -> str:
     d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
     if kind is None:
@@ -79,10 +74,7 @@ def spans_ctes(table: str, key: str, text: str, policy: Policy, where: str = "tr
     unions = []
     for n, r in enumerate(reg.select(policy.entities, policy.threshold)):
         p = f"m{n}"
-        guard = _guard("t", r.guard)
-        if r.needs_digits:
-            guard += f" AND regexp_matches(t, {lit(reg.DIGIT_PAIR)})"
-        parts.append(match_ctes(p, "src", r.pattern, guard))
+        parts.append(match_ctes(p, "src", r.pattern, f"contains(t, {lit(r.guard)})" if r.guard else "true"))
         extra = f"'validator={r.validator}'" if r.validator else "NULL"
         unions.append(
             f"SELECT k, t, '{r.entity}' AS entity_type, s, e, round(sc, 3) AS score, x, '{r.name}' AS recognizer, "

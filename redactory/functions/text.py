@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from .expr import any_of, blocked_fold, empty, let, quoted, raw, record
+from .expr import blocked_fold, empty, fold, let, quoted, raw, record
 
 WORD = r"[\p{L}\p{N}]+"
-# A match, with the text between it and the match before.
-HIT_DDL = "struct<start:int,`end`:int,text:string,gap:string>"
+HIT_DDL = "struct<start:int,`end`:int,text:string>"
 HITS_DDL = f"array<{HIT_DDL}>"
+# A match, with the text between it and the match before.
+TOKEN_DDL = "struct<start:int,`end`:int,text:string,gap:string>"
 
+# Up to this many matches are found again by their text; more are placed by one
+# more pass of the pattern.
+FEW = 16
 
-def offsets(text: str, hits: str, pattern: str) -> str:
+
+def offsets(text: str, hits: str, pattern: str, with_gap: bool = False) -> str:
     """Matches with 0-based start and exclusive end, in code points.
 
     The gaps between matches come from splitting on the same pattern, so the
@@ -21,9 +26,10 @@ def offsets(text: str, hits: str, pattern: str) -> str:
         def step(pos: str, pair: str) -> tuple[str, str]:
             start = f"{pos} + length({pair}.gap)"
             end = f"{start} + length({pair}.hit)"
-            return end, "array(" + record(start=start, end=end, text=f"{pair}.hit", gap=f"{pair}.gap") + ")"
+            extra = {"gap": f"{pair}.gap"} if with_gap else {}
+            return end, "array(" + record(start=start, end=end, text=f"{pair}.hit", **extra) + ")"
 
-        return blocked_fold(pairs, "0", step, HIT_DDL)
+        return blocked_fold(pairs, "0", step, TOKEN_DDL if with_gap else HIT_DDL)
 
     gaps = f"split({text}, {raw(pattern)}, -1)"
     pairs = let(gaps, lambda g: (
@@ -31,34 +37,58 @@ def offsets(text: str, hits: str, pattern: str) -> str:
     return let(pairs, body)
 
 
-def located(text: str, pattern: str, guard: str | None = None) -> str:
+def refound(text: str, hits: str) -> str:
+    """The same offsets for a few matches of a pattern without look-around.
+
+    Matches come in order, and the next place where a match's text occurs is the
+    match itself: an earlier occurrence would have been matched instead.
+    """
+
+    def step(acc: str, hit: str) -> str:
+        def place(start: str) -> str:
+            row = record(start=start, end=f"{start} + length({hit})", text=hit)
+            return record(pos=f"{start} + length({hit})", rows=f"concat({acc}.rows, array({row}))")
+
+        return let(f"locate({hit}, {text}, {acc}.pos + 1) - 1", place)
+
+    return fold(hits, record(pos="0", rows=empty(HITS_DDL)), step, lambda a: f"{a}.rows")
+
+
+def located(text: str, pattern: str, guard: str | None = None, lookaround: bool = False) -> str:
     """Non-overlapping matches with offsets; offsets are worked out only for rows with a match."""
     matches = f"regexp_extract_all({text}, {raw(pattern)}, 0)"
     if guard:
         matches = f"IF({guard}, {matches}, {empty('array<string>')})"
-    return let(matches, lambda h: f"IF(size({h}) > 0, {offsets(text, h, pattern)}, {empty(HITS_DDL)})")
+
+    def place(h: str) -> str:
+        by_split = offsets(text, h, pattern)
+        by_text = by_split if lookaround else f"IF(size({h}) <= {FEW}, {refound(text, h)}, {by_split})"
+        return f"IF(size({h}) > 0, {by_text}, {empty(HITS_DDL)})"
+
+    return let(matches, place)
+
+
+def tokens(text: str) -> str:
+    """Words with offsets and the gap before each."""
+    matches = f"regexp_extract_all({text}, {raw(WORD)}, 0)"
+    return let(matches, lambda h: (
+        f"IF(size({h}) > 0, {offsets(text, h, WORD, with_gap=True)}, {empty(f'array<{TOKEN_DDL}>')})"))
 
 
 def edges_clear(text: str, hit: str) -> str:
     """No letter, digit or underscore touches the outer edge of an alphanumeric match."""
-    joined_left = (f"({hit}.start > 0 AND rlike(substring({hit}.text, 1, 1), '[A-Za-z0-9]') "
-                   f"AND rlike(substring({text}, {hit}.start, 1), '[A-Za-z0-9_]'))")
-    joined_right = (f"(rlike(right({hit}.text, 1), '[A-Za-z0-9]') "
-                    f"AND rlike(substring({text}, {hit}.`end` + 1, 1), '[A-Za-z0-9_]'))")
+    joined_left = f"({hit}.start > 0 AND rlike(substring({text}, {hit}.start, 2), '^[A-Za-z0-9_][A-Za-z0-9]'))"
+    joined_right = f"rlike(substring({text}, {hit}.`end`, 2), '^[A-Za-z0-9][A-Za-z0-9_]')"
     return f"NOT {joined_left} AND NOT {joined_right}"
 
 
 def word_nearby(text: str, start: str, words, n_words: int, n_chars: int) -> str:
     """One of the words is among the last few before a position."""
-    listed = ", ".join(quoted(w) for w in words)
-
-    def body(first: str) -> str:
-        window = f"lower(substring({text}, {first}, {start} - {first} + 1))"
-        cut = f"filter(split({window}, {raw('[^' + WORD[1:-2] + ']+')}), w -> w <> '')"
-        last = let(cut, lambda c: f"slice({c}, greatest(1, size({c}) - {n_words - 1}), {n_words})")
-        return any_of(last, lambda w: f"{w} IN ({listed})")
-
-    return let(f"greatest(1, {start} - {n_chars - 1})", body)
+    inside, outside = WORD[:-1], "[^" + WORD[1:-2] + "]"
+    pattern = (f"(?:^|{outside})(?:{'|'.join(words)})"
+               f"(?:{outside}+{inside}+){{0,{n_words - 1}}}{outside}*$")
+    window = f"substring({text}, greatest(1, {start} - {n_chars - 1}), least({start}, {n_chars}))"
+    return f"rlike(lower({window}), {raw(pattern)})"
 
 
 def count_words(text: str) -> str:

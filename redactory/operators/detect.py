@@ -14,7 +14,7 @@ from ..functions.expr import empty, in_list, is_blank, keep, let, quoted, raw, r
 from ..plans.sizing import small_side
 from ..plans.unnest import inline_rows
 from ..policy import Policy
-from ..schema import SPAN_DDL, SPANS_DDL
+from ..schema import SPANS_DDL
 from .resolve import by_position, merge_spans
 
 NONE = empty(SPANS_DDL)
@@ -34,19 +34,15 @@ def rationale(recogniser: str, pattern_name: str, raw_score: str, score: str, ex
 
 
 def make_span(entity: str, hit: str, score: str, recogniser: str, why: str) -> str:
-    fields = record(entity_type=entity, start=f"{hit}.start", end=f"{hit}.`end`",
-                    score=f"round({score}, 3)", text=f"{hit}.text", recognizer=recogniser, rationale=why)
-    return f"cast({fields} as {SPAN_DDL})"
-
-
-def guard_sql(text: str, guard: tuple[str, str]) -> str:
-    kind, value = guard
-    return f"contains({text}, {quoted(value)})" if kind == "contains" else f"rlike({text}, {raw(value)})"
+    return record(entity_type=entity, start=f"{hit}.start", end=f"{hit}.`end`",
+                  score=f"round({score}, 3)", text=f"{hit}.text", recognizer=recogniser, rationale=why)
 
 
 def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
     """Spans of one recogniser, validated and scored."""
 
+    guard = f"contains({text}, {quoted(r.guard)})" if r.guard else None
+
     def to_span(hit: str) -> str:
         base = f"{float(r.score)}D"
         if r.validator in reg.SCORE_LIFTING_VALIDATORS:
@@ -64,7 +60,7 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
             why = rationale(f"'{r.name}'", f"'{r.pattern_name}'", base, s, extra)
             return make_span(f"'{r.entity}'", hit, s, f"'{r.name}'", why)
 
-        return let(score, finish)
+        return let(score, finish) if policy.explain and score.startswith("IF") else finish(score)
 
     def usable(hit: str) -> str:
         ok = tx.edges_clear(text, hit)
@@ -76,7 +72,7 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
             spans = keep(spans, lambda s: f"{s}.score >= {float(policy.threshold)}D")
         return f"IF(size({hits}) > 0, {spans}, {NONE})"
 
-    return let(tx.located(text, r.pattern, guard_sql(text, r.guard)), build)
+    return let(tx.located(text, r.pattern, guard), build)
 
 
 def deny_spans(text: str, terms: tuple[str, ...], explain: bool = True) -> str:
@@ -91,7 +87,7 @@ def deny_spans(text: str, terms: tuple[str, ...], explain: bool = True) -> str:
     def of_term(term: str) -> str:
         literal = re.sub(r"([^\w ])", r"\\\1", term)
         pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){literal}(?![\p{{L}}\p{{N}}_])"
-        hits = tx.located(text, pattern, f"contains(lower({text}), {quoted(term.lower())})")
+        hits = tx.located(text, pattern, f"contains(lower({text}), {quoted(term.lower())})", lookaround=True)
         return transform(hits, lambda h: make_span(f"'{fv.DENY_ENTITY}'", h, "1.0D", name, name))
 
     parts = [of_term(t) for t in terms]

@@ -68,7 +68,7 @@ def gazetteer(df: DataFrame, key: str | list[str], text_col: str, dictionary: Da
     keys = [key] if isinstance(key, str) else list(key)
     terms = term_grams(dictionary)
     longest = terms.agg(F.max("n")).first()[0] or 1
-    tokens = tx.located(f"`{text_col}`", tx.WORD)
+    tokens = tx.tokens(f"`{text_col}`")
     grams = inline_rows(spread(df.select(*keys, text_col)), keys,
                         F.expr(let(tokens, lambda t: _grams_sql(t, longest))), "gram")
     hits = lookup_join(grams, terms.select("gram", "types"), "gram", [*keys, "start"])

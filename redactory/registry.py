@@ -1,9 +1,9 @@
 """Recogniser registry: one row of data per pattern.
 
-``guard`` is a cheap test that must hold before the pattern is run.  A guard
-is ``("contains", literal)`` or ``("rlike", pattern)``.  Patterns use ASCII
-classes and no look-around, so Java, Python and RE2 read them alike; word edges
-are tested on the neighbouring characters after the offsets are known.
+``guard`` is a literal that every match contains; texts without it skip the
+pattern.  Patterns use ASCII classes and no look-around or anchors, so Java,
+Python and RE2 read them alike and a match can be found again by its text; word
+edges are tested on the neighbouring characters after the offsets are known.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 class Recogniser:
     entity: str
     pattern: str
-    guard: tuple[str, str]
+    guard: str | None
     score: float
     validator: str | None = None
     context: tuple[str, ...] = ()
@@ -44,31 +44,31 @@ CONTEXT_CHARS = 100
 
 REGISTRY: tuple[Recogniser, ...] = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-               ("contains", "@"), 1.0, needs_digits=False),
+               "@", 1.0, needs_digits=False),
     Recogniser("PHONE_NUMBER", r"(?:\+1[ -])?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}",
-               ("rlike", r"[0-9]{3}[-. ][0-9]{4}"), 0.4, None, ("phone", "call", "tel")),
+               None, 0.4, None, ("phone", "call", "tel")),
     Recogniser("CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}",
-               ("rlike", r"[0-9](?:[ -]?[0-9]){12}"), 0.3, "luhn", ("card", "visa")),
+               None, 0.3, "luhn", ("card", "visa")),
     Recogniser("US_SSN", r"[0-9]{3}[-. ][0-9]{2}[-. ][0-9]{4}",
-               ("rlike", r"[0-9]{2}[-. ][0-9]{4}"), 0.5, "ssn", ("ssn", "social")),
+               None, 0.5, "ssn", ("ssn", "social")),
     Recogniser("US_ITIN", r"9[0-9]{2}[- ](?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])[- ][0-9]{4}",
-               ("rlike", r"[0-9]{2}[-. ][0-9]{4}"), 0.3, None, ("itin", "tax")),
+               None, 0.3, None, ("itin", "tax")),
     Recogniser("US_PASSPORT", r"[A-Z]?[0-9]{8,9}",
-               ("rlike", r"[0-9]{8}"), 0.1, None, ("passport",)),
+               None, 0.1, None, ("passport",)),
     Recogniser("US_DRIVER_LICENSE", r"[A-Z][0-9]{7,8}",
-               ("rlike", r"[A-Z][0-9]{7}"), 0.3, None, ("license", "driver")),
+               None, 0.3, None, ("license", "driver")),
     Recogniser("US_BANK_NUMBER", r"[0-9]{8,17}",
-               ("rlike", r"[0-9]{8}"), 0.05, None, ("account", "bank", "acct")),
+               None, 0.05, None, ("account", "bank", "acct")),
     Recogniser("IP_ADDRESS", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
-               ("rlike", r"[0-9]\.[0-9]{1,3}\.[0-9]"), 0.6, "octets", ("ip",)),
+               None, 0.6, "octets", ("ip",)),
     Recogniser("URL", r"https?://[^ \t\r\n\x22\x27<>]+",
-               ("contains", "://"), 0.6, needs_digits=False),
+               "://", 0.6, needs_digits=False),
     Recogniser("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-               ("rlike", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), 0.5, "iban", ("iban",)),
+               None, 0.5, "iban", ("iban",)),
     Recogniser("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
-               ("rlike", r"[0-9][-/][0-9]"), 0.6, "date", ("dob", "date")),
+               None, 0.6, "date", ("dob", "date")),
     Recogniser("MEDICAL_LICENSE", r"[A-Z]{2}[0-9]{7}",
-               ("rlike", r"[A-Z]{2}[0-9]{7}"), 0.4, "dea", ("dea",)),
+               None, 0.4, "dea", ("dea",)),
 )
 
 # Entities found through dictionaries only (see operators.dictionary).
