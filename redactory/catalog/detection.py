@@ -189,12 +189,22 @@ hits AS (SELECT g.k, src.t, ty AS entity_type, s, CAST(e AS INTEGER) AS e, 0.85:
        + " SELECT src.k AS order_id, coalesce(new_text, t) AS anonymized_text FROM src LEFT JOIN rewritten r ON r.k = src.k")
 def _(spark, d):
     notes = planted(spark, d).select("order_id", "note")
-    hits = dic.gazetteer(notes, "order_id", "note", name_dictionary(spark, d))
     only = Policy(entities=("PERSON", "LOCATION"), explain=False)
-    found = detect(dic.attach_spans(notes, hits, "order_id"), "note", only, extra="dictionary_spans")
+    spotted = dic.with_dictionary_spans(notes, "order_id", "note", name_dictionary(spark, d))
+    found = detect(spotted, "note", only, extra="dictionary_spans")
     return rewrite(found, "note", "spans", only).select("order_id", "anonymized_text")
 
 
+@query("dictionary_hits_large", lambda: f"WITH {PLANTED_SQL}, src AS (SELECT order_id AS k, note AS t FROM planted), "
+       + _tokens_sql("src") + f", {GAZETTEER_TERMS}"
+       + ' SELECT k AS order_id, ty AS entity_type, s AS "start", CAST(e AS INTEGER) AS "end", x AS "text" FROM grams JOIN dict USING (gram)')
+def _(spark, d):
+    """The plan for dictionaries beyond the broadcast bound: here the bound is zero."""
+    hits = dic.gazetteer(planted(spark, d).select("order_id", "note"), "order_id", "note", name_dictionary(spark, d),
+                         max_rows=0)
+    return hits.select("order_id", "entity_type", "start", "end", "text")
+
+
 @query("deny_terms_joined", lambda: f"WITH {PLANTED_SQL}, src AS (SELECT order_id AS k, note AS t FROM planted), "
        + _tokens_sql("src") + ", dict AS (SELECT DISTINCT lower(replace(c_name, '#', ' ')) AS gram FROM customer WHERE c_acctbal < 0)"
        + ' SELECT k AS order_id, s AS "start", CAST(e AS INTEGER) AS "end", x AS "text" FROM grams JOIN dict USING (gram)')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.expr import is_blank
 from ..operators import job, profile
+from ..plans.spread import spread
 from ..policy import Policy
 from ..sources import tables as src
 from . import duck
@@ -76,7 +77,7 @@ PROFILE_TABLES = {"documents": ["text", "lang", "source"], "conversations": ["ro
 
 
 def _profile_sql(t: str, columns: list[str], source=lambda t, c: f"(SELECT {c} AS v FROM {t})") -> str:
-    screen = duck.lit("(?i)" + fv.QUICK_SCREEN)
+    screen = duck.lit(f"{fv.QUICK_SCREEN_MAIL}|{fv.QUICK_SCREEN_DIGITS}")
     parts = [f"""SELECT {i} AS "position", '{c}' AS "column", count(v) AS n, sum(len(regexp_extract_all(v, '[^ \\t\\r\\n\\f]+'))) AS w,
  count(*) FILTER (WHERE regexp_matches(v, {screen})) AS h FROM {source(t, c)} q""" for i, c in enumerate(columns)]
     return f"""SELECT "position", "column", n AS non_null, round(w / n::DOUBLE, 6) AS mean_words, h AS screen_hits,
@@ -109,9 +110,10 @@ def _(spark, d):
     return profile.choose_columns(profile.profile_columns(table(spark, d, "customer")))
 
 
-@query("quick_screen", f"""SELECT doc_id, regexp_matches(text, {duck.lit('(?i)' + fv.QUICK_SCREEN)}) AS flagged FROM documents""")
+@query("quick_screen", f"""SELECT doc_id, regexp_matches(text, {duck.lit(fv.QUICK_SCREEN_MAIL + '|' + fv.QUICK_SCREEN_DIGITS)}) AS flagged FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", profile.pii_screen("text").alias("flagged"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", profile.pii_screen("text").alias("flagged"))
 
 
 # --- jobs ------------------------------------------------------------------
@@ -121,7 +123,6 @@ def _(spark, d):
        + """ SELECT d.doc_id, sha256(coalesce(new_text, text)) AS text_hash, lang, source, n_chars
  FROM documents d LEFT JOIN rewritten r ON r.k = d.doc_id""")
 def deidentify_documents(spark, d):
-    from ..plans.spread import spread
     out = job.deidentify(spread(table(spark, d, "documents")), ["text"], FAST)
     return out.select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars")
 

@@ -61,11 +61,13 @@ ERROR_WORDS = ["rejected", "failed", "error"]
 # --- fixed values: quick screen for personal data --------------------------
 # e-mail, social security number, phone, card; word edges are spelled out as
 # classes so that every regex dialect reads them alike.
-QUICK_SCREEN = (
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    r"|(?:^|[^\p{L}\p{N}_])[0-9]{3}[-. \t\r\n][0-9]{2}[-. \t\r\n][0-9]{4}(?:$|[^\p{L}\p{N}_])"
-    r"|(?:^|[^\p{L}\p{N}_])[0-9]{3}[-. \t\r\n][0-9]{3}[-. \t\r\n][0-9]{4}(?:$|[^\p{L}\p{N}_])"
-    r"|(?:^|[^\p{L}\p{N}_])(?:[0-9][ -]?){12,15}[0-9](?:$|[^\p{L}\p{N}_])"
+QUICK_SCREEN_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+QUICK_SCREEN_DIGITS = (
+    r"(?:^|[^\p{L}\p{N}_])(?:"
+    r"[0-9]{3}[-. \t\r\n][0-9]{2}[-. \t\r\n][0-9]{4}"
+    r"|[0-9]{3}[-. \t\r\n][0-9]{3}[-. \t\r\n][0-9]{4}"
+    r"|(?:[0-9][ -]?){12,15}[0-9]"
+    r")(?:$|[^\p{L}\p{N}_])"
 )
 TEXT_COLUMN_SAMPLE = 100
 TEXT_COLUMN_MIN_WORDS = 1.5

@@ -1,86 +1,170 @@
-"""Dictionary detection: token n-grams joined to a term table."""
+"""Dictionary detection: token n-grams of a text looked up in a term table.
+
+A dictionary that is measured small travels to the tasks once, as a broadcast
+variable, and texts are matched where they are: no shuffle, no join back.  A
+larger one is joined to the n-grams by a salted shuffle.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from .. import registry as reg
-from ..functions import text as tx
-from ..functions.expr import let, raw, record, transform
-from ..plans.salting import lookup_join
+from ..functions.expr import quoted, record, transform
+from ..plans.salting import salted_join
+from ..plans.sizing import measured_small
 from ..plans.spread import spread
 from ..plans.unnest import inline_rows
 from ..schema import SPAN_DDL
 
+# N-gram rows handed to Spark at a time, so that long texts do not pile up in Python.
+CHUNK_ROWS = 50_000
+
+TOKEN = re.compile(r"[^\W_]+")
 
-def fold_label(column: str = "entity_type"):
-    """PER -> PERSON, ORG -> ORGANIZATION, LOC and GPE -> LOCATION."""
-    table = F.create_map(*[F.lit(v) for pair in fv.LABEL_FOLD.items() for v in pair])
-    return F.coalesce(F.element_at(table, F.upper(F.col(column))), F.upper(F.col(column)))
 
+def tokens_of(text: str) -> list[tuple[str, int, int]]:
+    """Lower-cased words with their offsets."""
+    return [(m.group().lower(), m.start(), m.end()) for m in TOKEN.finditer(text)]
 
-def term_grams(dictionary: DataFrame, term_col: str = "term", type_col: str = "entity_type") -> DataFrame:
-    """Dictionary rows keyed by their normalised token n-gram, one row per (gram, type)."""
-    words = f"regexp_extract_all(lower(`{term_col}`), {raw(tx.WORD)}, 0)"
-    return (dictionary
-            .select(F.expr(f"array_join({words}, ' ')").alias("gram"),
-                    F.expr(f"size({words})").alias("n"), fold_label(type_col).alias("entity_type"))
-            .where("n > 0").groupBy("gram").agg(F.max("n").alias("n"), F.collect_set("entity_type").alias("types")))
 
+def normal_gram(term: str) -> str:
+    return " ".join(t for t, _, _ in tokens_of(term))
 
-def _grams_sql(tokens: str, max_n: int) -> str:
-    """All 1..max_n token windows as struct<start, end, gram, text>."""
 
-    def windows(n: int) -> str:
-        def one(i: str) -> str:
-            part = f"slice({tokens}, {i}, {n})"
+def fold_label(column: str = "entity_type") -> Column:
+    """PER -> PERSON, ORG -> ORGANIZATION, LOC and GPE -> LOCATION."""
+    table = F.create_map(*[F.lit(v) for pair in fv.LABEL_FOLD.items() for v in pair])
+    return F.coalesce(F.element_at(table, F.upper(F.col(column))), F.upper(F.col(column)))
 
-            def body(p: str) -> str:
-                # Covered text: the first token, then each later token behind its gap.
-                covered = (f"concat({p}[0].text, array_join(transform(slice({p}, 2, {n}), "
-                           f"t -> concat(t.gap, t.text)), ''))") if n > 1 else f"{p}[0].text"
-                gram = (f"lower(array_join(transform({p}, t -> t.text), ' '))"
-                        if n > 1 else f"lower({p}[0].text)")
-                return record(start=f"{p}[0].start", end=f"{p}[{n - 1}].`end`", gram=gram, text=covered)
 
-            return let(part, body)
+def term_grams(dictionary: DataFrame) -> DataFrame:
+    """Dictionary rows (term, entity_type) as (gram, n, types), one row per gram."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            grams = b["term"].map(normal_gram)
+            yield pd.DataFrame({"gram": grams, "n": grams.str.count(" ") + 1, "entity_type": b["entity_type"]})
+
+    typed = dictionary.where(F.col("term").isNotNull()).select("term", fold_label().alias("entity_type"))
+    return (typed.mapInPandas(run, "gram string, n int, entity_type string").where("gram <> ''")
+            .groupBy("gram").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("entity_type")).alias("types")))
+
+
+def _matcher(terms: DataFrame):
+    """A function text column -> flat array of (start, end, type number), and the type names."""
+    rows = terms.collect()  # measured small before
+    names = sorted({t for r in rows for t in r["types"]})
+    lookup = {r["gram"]: [names.index(t) for t in r["types"]] for r in rows}
+    by_first: dict[str, int] = {}
+    for gram in lookup:
+        first, n = gram.split(" ", 1)[0], gram.count(" ") + 1
+        by_first[first] = max(n, by_first.get(first, 0))
+    shared = terms.sparkSession.sparkContext.broadcast((lookup, by_first))
+
+    @F.pandas_udf("array<int>")
+    def match(texts: pd.Series) -> pd.Series:
+        grams, longest = shared.value
+
+        def one(text):
+            if not text:
+                return []
+            words, out = tokens_of(text), []
+            for i, (word, start, end) in enumerate(words):
+                most = longest.get(word)
+                if not most:
+                    continue
+                gram = word
+                for j in range(i, min(i + most, len(words))):
+                    if j > i:
+                        gram = gram + " " + words[j][0]
+                    for kind in grams.get(gram, ()):
+                        out += (start, words[j][2], kind)
+            return out
+
+        return texts.map(one, na_action="ignore")
+
+    return match, names
+
+
+def _in_row_spans(df: DataFrame, text_col: str, terms: DataFrame, score: float, name: str, out_col: str) -> DataFrame:
+    match, names = _matcher(terms)
+    listed = "array(" + ", ".join(quoted(n) for n in names) + ")" if names else "array('')"
+    span = lambda i: record(
+        entity_type=f"{listed}[_m[3 * {i} + 2]]", start=f"_m[3 * {i}]", end=f"_m[3 * {i} + 1]", score=f"{float(score)}D",
+        text=f"substring(`{text_col}`, _m[3 * {i}] + 1, _m[3 * {i} + 1] - _m[3 * {i}])",
+        recognizer=quoted(name), rationale=quoted(name))
+    spans = f"IF(size(_m) > 0, {transform('sequence(0, size(_m) div 3 - 1)', span, 'i')}, cast(array() as array<{SPAN_DDL}>))"
+    return df.withColumn("_m", match(F.col(text_col))).withColumn(out_col, F.expr(spans)).drop("_m")
+
+
+def _joined_rows(df: DataFrame, keys: list[str], text_col: str, terms: DataFrame, score: float, name: str) -> DataFrame:
+    """Hit rows by a salted shuffle of every n-gram against the dictionary."""
+    most = terms.agg(F.max("n")).first()[0] or 1
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*keys, "gram", "start", "end", "text"]
+    out = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", gram string, start int, `end` int, text string"
 
-        every = transform(f"sequence(1, size({tokens}) - {n - 1})", one, "i")
-        none = "cast(array() as array<struct<start:int,`end`:int,gram:string,text:string>>)"
-        return f"IF(size({tokens}) >= {n}, {every}, {none})"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for row in b.itertuples(index=False, name=None):
+                head, text = row[:-1], row[-1]
+                words = tokens_of(text)
+                for i in range(len(words)):
+                    gram = words[i][0]
+                    for j in range(i, min(i + most, len(words))):
+                        if j > i:
+                            gram = gram + " " + words[j][0]
+                        rows.append((*head, gram, words[i][1], words[j][2], text[words[i][1]:words[j][2]]))
+                    if len(rows) >= CHUNK_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
 
-    parts = [windows(n) for n in range(1, max_n + 1)]
-    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    grams = df.select(*keys, text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, out)
+    hits = salted_join(grams, terms.select("gram", "types"), "gram", [*keys, "start"])
+    return hits.withColumn("entity_type", F.explode("types")).select(
+        *keys, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text",
+        F.lit(name).alias("recognizer"), F.lit(name).alias("rationale"))
 
 
 def gazetteer(df: DataFrame, key: str | list[str], text_col: str, dictionary: DataFrame,
-              score: float = reg.DICTIONARY_SCORE, name: str = "DictionaryRecogniser") -> DataFrame:
-    """One row per dictionary hit: key columns and the span columns.
+              score: float = reg.DICTIONARY_SCORE, name: str = "DictionaryRecogniser", **bounds) -> DataFrame:
+    """One row per dictionary hit: key columns and the span columns."""
+    keys = [key] if isinstance(key, str) else list(key)
+    terms = term_grams(dictionary)
+    texts = spread(df.select(*keys, text_col))
+    if measured_small(terms, **bounds):
+        found = _in_row_spans(texts, text_col, terms, score, name, "_spans")
+        return inline_rows(found, keys, F.col("_spans"), "start")
+    return _joined_rows(texts, keys, text_col, terms, score, name)
+
 
-    Each text is turned into token n-grams in its own task, and only grams that
-    are in the dictionary survive the join.  The dictionary is broadcast when it
-    is measured small; a larger one is joined by a salted shuffle.
+def with_dictionary_spans(df: DataFrame, key: str | list[str], text_col: str, dictionary: DataFrame,
+                          score: float = reg.DICTIONARY_SCORE, name: str = "DictionaryRecogniser",
+                          out_col: str = "dictionary_spans", **bounds) -> DataFrame:
+    """The same hits as an array next to their text.
+
+    In place for a small dictionary; for a large one the hits are joined back on
+    the key, which must be unique.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     terms = term_grams(dictionary)
-    longest = terms.agg(F.max("n")).first()[0] or 1
-    tokens = tx.tokens(f"`{text_col}`")
-    grams = inline_rows(spread(df.select(*keys, text_col)), keys,
-                        F.expr(let(tokens, lambda t: _grams_sql(t, longest))), "gram")
-    hits = lookup_join(grams, terms.select("gram", "types"), "gram", [*keys, "start"])
-    return (hits.withColumn("entity_type", F.explode("types"))
-            .select(*keys, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text",
-                    F.lit(name).alias("recognizer"), F.lit(name).alias("rationale")))
+    if measured_small(terms, **bounds):
+        return _in_row_spans(df, text_col, terms, score, name, out_col)
+    keys = [key] if isinstance(key, str) else list(key)
+    return attach_spans(df, _joined_rows(df, keys, text_col, terms, score, name), keys, out_col)
 
 
-def deny_terms(df: DataFrame, key: str | list[str], text_col: str, terms: DataFrame) -> DataFrame:
+def deny_terms(df: DataFrame, key: str | list[str], text_col: str, terms: DataFrame, **bounds) -> DataFrame:
     """Deny-list hits for long term tables (column ``term``), as rows."""
     typed = terms.select("term", F.lit(fv.DENY_ENTITY).alias("entity_type"))
-    return gazetteer(df, key, text_col, typed, score=1.0, name="DenyListRecogniser")
+    return gazetteer(df, key, text_col, typed, score=1.0, name="DenyListRecogniser", **bounds)
 
 
 def spans_by_key(rows: DataFrame, key: str | list[str], out_col: str = "dictionary_spans") -> DataFrame:
@@ -93,7 +177,7 @@ def spans_by_key(rows: DataFrame, key: str | list[str], out_col: str = "dictiona
 
 def attach_spans(df: DataFrame, rows: DataFrame, key: str | list[str],
                  out_col: str = "dictionary_spans") -> DataFrame:
-    """Put dictionary hits next to their text; ``key`` must be unique in ``df``."""
+    """Put hit rows next to their text; ``key`` must be unique in ``df``."""
     keys = [key] if isinstance(key, str) else list(key)
     return df.join(spans_by_key(rows, keys, out_col), keys, "left")
 
@@ -117,5 +201,3 @@ def model_spans(df: DataFrame, key: str, text_col: str,
 
     texts = df.select(key, text_col).where(F.col(text_col).isNotNull())
     return texts.mapInPandas(run, out).withColumn("entity_type", fold_label())
-
-

@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..plans.spread import spread
+from ..registry import DIGIT_PAIR
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -16,8 +18,15 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def pii_screen(c: str | Column) -> Column:
-    """Quick test for e-mail, social security number, phone or card."""
-    return F.coalesce(F.rlike(F.col(c) if isinstance(c, str) else c, F.lit("(?i)" + fv.QUICK_SCREEN)), F.lit(False))
+    """Quick test for e-mail, social security number, phone or card.
+
+    Each half of the pattern runs only behind a cheap test that its hits pass.
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    # For a yes or no the shortest local part and top level decide.
+    mail = col.contains("@") & F.rlike(col, F.lit(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}"))
+    digits = F.rlike(col, F.lit(DIGIT_PAIR)) & F.rlike(col, F.lit(fv.QUICK_SCREEN_DIGITS))
+    return F.coalesce(mail | digits, F.lit(False))
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -33,7 +42,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
         aggs += [F.count(F.col(c)).alias(f"n{i}"),
                  F.sum(F.expr(tx.count_words(f"`{c}`"))).alias(f"w{i}"),
                  F.count_if(pii_screen(c)).alias(f"h{i}")]
-    one = df.select(*columns).agg(*aggs)
+    one = spread(df.select(*columns)).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                               F.col(f"n{i}").alias("non_null"), F.col(f"w{i}").alias("words"),
                               F.col(f"h{i}").alias("screen_hits")) for i, c in enumerate(columns)])
