@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reviews
+from ..plans.shared import work_dir
 from ..policy import Policy
 from ..streaming import live, run
 from . import duck
@@ -46,7 +47,7 @@ def _(spark, d):
 UNION ALL SELECT 'appointment_changes', id FROM due""")
 def _(spark, d):
     """Due appointments as a stream in which every appointment arrives twice."""
-    base = run.work_dir(spark, "reviews")
+    base = work_dir(spark, "reviews")
     orders = run.stream_of(spark, d, "orders")
     twice = orders.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
     appts = twice.select(*[F.expr(e) for e in (

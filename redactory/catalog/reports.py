@@ -61,8 +61,8 @@ def _(spark, d):
  CASE WHEN details LIKE 'Moved %' THEN 'done' WHEN details LIKE 'moved in%' THEN 'done' WHEN details LIKE 'Done to%' THEN 'review'
       WHEN details LIKE 'backlog%' THEN 'in_progress' WHEN details LIKE 'Set from%' THEN 'done' END AS to_status FROM moves""")
 def _(spark, d):
-    m = move_audit(spark, d).withColumn("m", an.parse_move(F.col("details")))
-    return m.select("resource_id", "details", F.col("m.from").alias("from_status"), F.col("m.to").alias("to_status"))
+    m = move_audit(spark, d).select("resource_id", "details", an.parse_move("details").alias("m"))
+    return m.select("resource_id", "details", "m.from_status", "m.to_status")
 
 
 @query("burndown", CARDS + ", " + MOVES_SQL + f""",

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.columns import percent, positive, safe_ratio
+from ..functions.expr import let, raw, record
 from ..functions.when import as_moment, in_window, ntz
+from ..plans.shared import written
+from ..plans.unnest import inline_rows
 from ..plans.windows import running_clamped_sum
 from .filters import count_by_priority, count_by_severity, domain_counts
 from .records import entity_breakdown, global_stats
@@ -55,22 +58,29 @@ def board_summary(cards: DataFrame) -> DataFrame:
 
 _STAGE = r"(backlog|in[_ ]progress|review|done)"
 _EDGE_L, _EDGE_R = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
+_ARROW = rf"{_EDGE_L}{_STAGE} *(?:→|->|to) *{_STAGE}{_EDGE_R}"
 
 
-def parse_move(details: Column) -> Column:
-    """struct<from, to> out of free text: "a → b", "a -> b" or "a to b" first,
-    else the first and the last stage word; null when fewer than two are named."""
-    low = F.lower(details)
-    clean = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
-    arrow = rf"{_EDGE_L}{_STAGE} *(?:→|->|to) *{_STAGE}{_EDGE_R}"
-    left, right = F.regexp_extract(low, arrow, 1), F.regexp_extract(low, arrow, 2)
-    # Edges are doubled so that neighbouring words do not share one.
-    spaced = F.regexp_replace(low, "([^a-z0-9_])", "$1$1")
-    words = F.regexp_extract_all(
-        F.regexp_replace(spaced, "in  progress", "in_progress"), F.lit(rf"{_EDGE_L}{_STAGE}{_EDGE_R}"), F.lit(1))
-    return (F.when(left != "", F.struct(clean(left).alias("from"), clean(right).alias("to")))
-            .when(F.size(words) >= 2, F.struct(clean(F.get(words, F.lit(0))).alias("from"),
-                                               clean(F.element_at(words, -1)).alias("to"))))
+def parse_move(details: str) -> Column:
+    """struct<from_status, to_status> out of free text: "a → b", "a -> b" or "a to b"
+    first, else the first and the last stage word; null when fewer than two are named.
+
+    ``details`` is a column name or SQL expression.
+    """
+    pair = lambda a, b: record(from_status=f"replace({a}, ' ', '_')", to_status=f"replace({b}, ' ', '_')")
+
+    def by_words(low: str) -> str:
+        # Edges are doubled so that neighbouring words do not share one.
+        spaced = f"replace(regexp_replace({low}, '([^a-z0-9_])', '$1$1'), 'in  progress', 'in_progress')"
+        words = f"regexp_extract_all({spaced}, {raw(_EDGE_L + _STAGE + _EDGE_R)}, 1)"
+        return let(words, lambda w: f"IF(size({w}) >= 2, {pair(f'{w}[0]', f'element_at({w}, -1)')}, NULL)")
+
+    def body(low: str) -> str:
+        hit = f"regexp_extract({low}, {raw(_ARROW)}, 0)"
+        ends = lambda h: pair(f"regexp_extract({h}, {raw(_ARROW)}, 1)", f"regexp_extract({h}, {raw(_ARROW)}, 2)")
+        return let(hit, lambda h: f"IF({h} <> '', {ends(h)}, {by_words(low)})")
+
+    return F.expr(let(f"lower({details})", body))
 
 
 def burndown(cards: DataFrame, audit: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -85,22 +95,23 @@ def burndown(cards: DataFrame, audit: DataFrame, as_of: datetime | str) -> DataF
     known = cards.where(F.col("created_at").isNotNull() & (F.coalesce("id", F.lit("")) != "")).select(
         F.col("id").alias("card_id"), "status", F.date_trunc("second", "created_at").cast("timestamp_ntz").alias("c_at"),
         F.coalesce("done_at", "updated_at", "created_at").alias("d_at"))
-    moves = (audit.where(F.col("action") == "pipeline.move")
-             .select(F.col("resource_id").alias("card_id"), F.col("timestamp").alias("at"),
-                     parse_move(F.col("details")).alias("m"))
-             .where(F.col("at").isNotNull() & (F.col("m.from") != F.col("m.to"))
-                    & ((F.col("m.from") == "done") | (F.col("m.to") == "done"))))
+    logs = audit.where(F.col("action") == "pipeline.move").select(
+        F.col("resource_id").alias("card_id"), F.col("timestamp").alias("at"), "details")
+    moves = (inline_rows(logs, ["card_id", "at"], F.array(parse_move("details")), "from_status")
+             .where(F.col("at").isNotNull() & (F.col("from_status") != F.col("to_status"))
+                    & ((F.col("from_status") == "done") | (F.col("to_status") == "done"))))
     # Each move knows its card's creation; the card side has one row per key.
     logged = moves.join(known.select("card_id", "c_at"), "card_id").select(
         "card_id", F.greatest("at", "c_at").alias("ts"),
-        F.when(F.col("m.to") == "done", F.lit(-1)).otherwise(F.lit(1)).alias("delta"))
+        F.when(F.col("to_status") == "done", F.lit(-1)).otherwise(F.lit(1)).alias("delta"))
     created = known.select(F.col("c_at").alias("ts"), F.lit(1).alias("delta"))
     moved_cards = logged.select("card_id").distinct()
     fallback = (known.where(F.col("status") == "done").join(moved_cards, "card_id", "left_anti")
                 .select(F.greatest("d_at", "c_at").alias("ts"), F.lit(-1).alias("delta")))
     events = created.unionByName(logged.select("ts", "delta")).unionByName(fallback)
     second = F.date_trunc("second", "ts").cast("timestamp_ntz")
-    netted = events.groupBy(second.alias("ts")).agg(F.sum("delta").alias("delta"))
+    # One row per second with an event.  Several steps need it, so it is written once.
+    netted = written(events.groupBy(second.alias("ts")).agg(F.sum("delta").alias("delta")), "burndown")
     line = running_clamped_sum(netted, "ts", "delta", "remaining")
 
     # One aggregate over the netted points and one over the cards give the frame

@@ -22,13 +22,11 @@ def previous_values(df: DataFrame, key: str, seq: str, values: list[str],
     cut = df.withColumn("_b", F.floor(F.col(seq) / F.lit(bucket)).cast("bigint"))
     inside = W.partitionBy(key, "_b").orderBy(seq)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    from_end = W.partitionBy(key, "_b").orderBy(F.col(seq).desc())
-    to_end = from_end.rowsBetween(W.currentRow, W.unboundedFollowing)
     local = cut.select("*", *[F.last(v, ignorenulls=True).over(before).alias(f"_in_{v}") for v in values])
 
-    ends = (cut.select(key, "_b", F.row_number().over(from_end).alias("_rn"),
-                       *[F.first(v, ignorenulls=True).over(to_end).alias(v) for v in values])
-            .where("_rn = 1"))
+    ends = cut.groupBy(key, "_b").agg(*[
+        F.max(F.when(F.col(v).isNotNull(), F.struct(seq, v))).alias(f"_end_{v}") for v in values]).select(
+        key, "_b", *[F.col(f"_end_{v}.{v}").alias(v) for v in values])
     earlier = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
         key, "_b", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in values])

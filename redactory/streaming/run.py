@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/redactory-{name}-{uuid.uuid4().hex[:12]}"
+from ..plans.shared import work_dir
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
