@@ -25,7 +25,8 @@ def file_manifest(spark: SparkSession, path: str, allowed_root: str, max_bytes:
     """One row per file: size, SHA-256, accepted, reason.
 
     Size and extension are judged from the listing; contents are only read for
-    files within the size limit, so an oversized file is never loaded.
+    files within the size limit, so an oversized file is never loaded.  Spark's
+    file scan passes over files of length zero, so those have no row.
     """
     if not inside_root(path, allowed_root):
         raise PathNotAllowed("path is outside the allowed root")
@@ -36,8 +37,7 @@ def file_manifest(spark: SparkSession, path: str, allowed_root: str, max_bytes:
     both = meta.join(body, "path", "left")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     binary = F.col("head").isin(fv.ZIP_HEADER, fv.OLE_HEADER)
-    reason = (F.when(F.col("length") == 0, F.lit("empty"))
-              .when(F.col("length") > max_bytes, F.lit("too large"))
+    reason = (F.when(F.col("length") > max_bytes, F.lit("too large"))
               .when(~ext.isin("csv", "xlsx", "xls"), F.lit("unsupported type"))
               .when((ext == "csv") & binary, F.lit("content is not text"))
               .when((ext == "xlsx") & (F.col("head") != fv.ZIP_HEADER), F.lit("content is not a workbook"))
