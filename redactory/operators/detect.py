@@ -72,7 +72,7 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
             spans = keep(spans, lambda s: f"{s}.score >= {float(policy.threshold)}D")
         return f"IF(size({hits}) > 0, {spans}, {NONE})"
 
-    return let(tx.located(text, r.pattern, guard), build)
+    return let(tx.located(text, r.jvm_pattern or r.pattern, guard), build)
 
 
 def deny_spans(text: str, terms: tuple[str, ...], explain: bool = True) -> str:

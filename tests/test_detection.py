@@ -89,6 +89,9 @@ def test_offsets_against_brute_force(spark):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     texts.append(" 10.0.0.7" * 700)  # many matches: more than one block
     texts.append("10.0.0.7 " * 17)
+    texts += ["a@b.com.x@y.org", "a@b.com@c.org", "x.@a.bc-d@e.fg", ".a@b.co..c@d.eu%x@y.zz", "a@b.c@d.ef"]
+    bits = ["a", "@", ".", "bc", "%", "-", " ", "x.yz"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(3, 30))) for _ in range(600)]
     plain = [r for r in reg.REGISTRY if r.validator is None or r.entity == "IP_ADDRESS"]
     got = spans(spark, texts, Policy(threshold=0.0))
     for text, rows in zip(texts, got):
