@@ -82,7 +82,8 @@ def burndown(spark, d):
     return an.burndown(cards(spark, d), move_audit(spark, d), AS_OF_ORDERS)
 
 
-@query("table_signature")
+@query("table_signature", CARDS + """ SELECT count(*) AS "rows", CAST(sum(CAST('0x' || substr(md5(concat_ws('|', id, status, CAST(created_at AS VARCHAR),
+ CAST(updated_at AS VARCHAR), coalesce(CAST(done_at AS VARCHAR), '<null>'))), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM cards""")
 def _(spark, d):
     return an.table_signature(cards(spark, d), ["id", "status", "created_at", "updated_at", "done_at"])
 
@@ -272,6 +273,13 @@ def _(spark, d):
     return geo.resolve_city(planted(spark, d).select("order_id", "place"), "place", geo.cities(spark), geo.aliases(spark))
 
 
+@query("resolve_city_large", _GEO + " SELECT pl.order_id, pl.v AS place, res.city FROM pl LEFT JOIN res USING (order_id)")
+def _(spark, d):
+    """The plan for place tables beyond the bound: here the bound is zero."""
+    return geo.resolve_city(planted(spark, d).select("order_id", "place"), "place", geo.cities(spark), geo.aliases(spark),
+                            max_rows=0)
+
+
 def _geo_parts(spark, d):
     p = planted(spark, d)
     places = geo.cities(spark)

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.expr import quoted
+from ..plans.salting import lookup_join, salted_join
+from ..plans.sizing import measured_small
 from .dictionary import gazetteer
 
 
@@ -27,13 +29,20 @@ def text_mentions(texts: DataFrame, key: str, text_col: str, places: DataFrame)
     return hits.select(key, F.col("text").alias("city"))
 
 
+# Place tables up to this size become part of the expression.
+MAX_INLINE_PLACES = 2_000
+
+
 def resolve_city(df: DataFrame, value_col: str, places: DataFrame, alias_table: DataFrame,
-                 out_col: str = "city") -> DataFrame:
+                 out_col: str = "city", max_rows: int = MAX_INLINE_PLACES) -> DataFrame:
     """City of a place text: exact name, alias, first word, contained name in table order.
 
-    The place table is part of the expression (it is a fixed, small dimension), so
-    rows are resolved where they are; null means no city.
+    With a small place table rows are resolved where they are.  With a larger one
+    the distinct texts are resolved by joins and the answers joined back.  Null
+    means no city.
     """
+    if not (measured_small(places, max_rows) and measured_small(alias_table, max_rows)):
+        return _resolve_by_joins(df, value_col, places, alias_table, out_col)
     names = [r["city"] for r in places.orderBy("pos").collect()]  # the dimension, not the facts
     pairs = [(r["alias"], r["city"]) for r in alias_table.collect()]
     listed = "array(" + ", ".join(quoted(n) for n in names) + ")"
@@ -50,6 +59,23 @@ def resolve_city(df: DataFrame, value_col: str, places: DataFrame, alias_table:
             .withColumn(out_col, F.expr(rule)).drop(token))
 
 
+def _resolve_by_joins(df: DataFrame, value_col: str, places: DataFrame, alias_table: DataFrame, out_col: str) -> DataFrame:
+    values = df.select(F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    tokens = values.withColumn("_t", F.expr(tx.place_token("_v"))).where("_t <> ''")
+    named = places.select(F.col("city").alias("_t"), "city", "pos")
+    other = alias_table.select(F.col("alias").alias("_t"), "city", F.lit(0).alias("pos"))
+    first = tokens.select("_v", F.split("_t", " ")[0].alias("_t"))
+    terms = places.select(F.col("city").alias("term"), F.lit("LOCATION").alias("entity_type"))
+    inside = gazetteer(tokens, "_v", "_t", terms).select("_v", F.col("text").alias("_t"))
+    found = None
+    for rule, (texts, table) in enumerate([(tokens, named), (tokens, other), (first, named), (inside, named)]):
+        hits = lookup_join(texts.select("_v", "_t"), table, "_t", "_v").select(
+            "_v", "city", F.struct(F.lit(rule).alias("rule"), F.col("pos").cast("int").alias("pos")).alias("rank"))
+        found = hits if found is None else found.unionByName(hits)
+    answers = found.groupBy("_v").agg(F.min_by("city", "rank").alias(out_col)).withColumnRenamed("_v", value_col)
+    return salted_join(df, answers, value_col, df.columns, "left").select(*df.columns, out_col)
+
+
 def entity_mentions(detections: DataFrame, places: DataFrame, alias_table: DataFrame) -> DataFrame:
     """Location entities with their city, null when it cannot be mapped; blank texts are left out."""
     located = detections.where(F.upper("entity_type").isin(fv.LOCATION_ENTITIES) & (F.trim("text") != ""))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread rows over the cores when the scan gives too few partitions.
+    """Spread rows over the cores when the scan has fewer splits than there are cores.
 
-    A large table has many more file splits than cores and is returned as it is,
-    so at scale this adds no shuffle.  A small file with one row group would
+    A large table has more splits than cores and is returned as it is, so at scale
+    this adds no shuffle.  A small file with one row group would
     otherwise keep all regex work in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
-    return df.repartition(cores * per_core) if splits < cores * per_core else df
+    return df.repartition(cores * per_core) if splits < cores else df
