@@ -42,6 +42,9 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
     """Spans of one recogniser, validated and scored."""
 
     guard = f"contains({text}, {quoted(r.guard)})" if r.guard else None
+    if r.score < policy.threshold and r.validator not in reg.SCORE_LIFTING_VALIDATORS:
+        # Too weak alone: without one of its context words in the text no span can survive.
+        guard = f"rlike(lower({text}), {raw('|'.join(r.context))})"
 
     def to_span(hit: str) -> str:
         base = f"{float(r.score)}D"
