@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, packing
 from .common import documents
 
 
@@ -13,12 +13,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), content="ids_crc32")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
 
 def queries() -> dict:
-    return {"op8_bpe": op8_bpe}
+    return {"op7_packing": op7_packing, "op8_bpe": op8_bpe}
 
 
 def statements() -> dict:
