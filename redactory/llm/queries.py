@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
+from . import bpe, line_dedup, packing, sql
 from .common import documents
 
 
@@ -13,6 +13,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), content="ids_crc32")
 
@@ -22,8 +27,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_packing": op7_packing, "op8_bpe": op8_bpe}
+    return {"op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
 
 
 def statements() -> dict:
-    return {}
+    return {"op5_line_dedup": sql.LINE_DEDUP}
