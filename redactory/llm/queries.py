@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, packing, sql
+from . import bpe, line_dedup, packing, sql, url_filter
 from .common import documents
 
 
@@ -13,6 +13,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+             ("com/de/", "block"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    judged = url_filter.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -27,8 +38,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
+    return {"op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
 
 
 def statements() -> dict:
-    return {"op5_line_dedup": sql.LINE_DEDUP}
+    return {"op2_url_filter": sql.URL_FILTER, "op5_line_dedup": sql.LINE_DEDUP}

@@ -18,3 +18,49 @@ SELECT k.doc_id, count(*) AS n_lines,
 FROM k LEFT JOIN r ON k.key = r.key
 GROUP BY k.doc_id
 """
+
+_SECOND_LEVEL = """('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'com.br', 'com.cn', 'co.in', 'co.za', 'com.mx', 'com.tr', 'co.kr', 'com.sg', 'com.ar')"""
+_LAST = "array_to_string(list_slice(string_split(host, '.'), -{n}, NULL), '.')"
+_TWO, _THREE = _LAST.format(n=2), _LAST.format(n=3)
+_STRENGTH = """
+  SELECT CASE WHEN sum(n * up * (1 - up) * (n - 1)) > 0 AND sum((good - n * up) ** 2 - n * up * (1 - up)) > 0
+         THEN least(1e6, greatest(1.0, sum(n * up * (1 - up) * (n - 1)) / sum((good - n * up) ** 2 - n * up * (1 - up)) - 1))
+         ELSE 1e6 END FROM {level}"""
+
+URL_FILTER = rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+placed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+once AS (SELECT page_id, min(host) AS host FROM placed WHERE page_id IS NOT NULL GROUP BY page_id),
+outcome AS (
+  SELECT host, NULL::BIGINT AS good FROM placed
+  UNION ALL SELECT host, quality::BIGINT FROM once JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL),
+h AS (
+  SELECT host, CASE WHEN {_TWO} IN {_SECOND_LEVEL} THEN {_THREE} ELSE {_TWO} END AS domain,
+         CASE WHEN {_TWO} IN {_SECOND_LEVEL} THEN {_TWO} ELSE {_LAST.format(n=1)} END AS suffix,
+         count(good) AS n, coalesce(sum(good), 0) AS good
+  FROM outcome GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) FROM h) AS up FROM h GROUP BY suffix),
+s1 AS (SELECT suffix, (good + ({_STRENGTH.format(level="s0")}) * up) / (n + ({_STRENGTH.format(level="s0")})) AS up FROM s0),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(up) AS up FROM h JOIN s1 USING (suffix) GROUP BY domain, suffix),
+d1 AS (SELECT domain, suffix, (good + ({_STRENGTH.format(level="d0")}) * up) / (n + ({_STRENGTH.format(level="d0")})) AS up FROM d0),
+h0 AS (SELECT host, n, good, up FROM h JOIN d1 USING (domain, suffix)),
+hs AS (SELECT ({_STRENGTH.format(level="h0")}) AS s),
+h1 AS (SELECT host, n, s, (good + s * up) / (n + s) AS rate FROM h0, hs),
+r AS (SELECT *, least(1.0, rate + 1.645 * sqrt(rate * (1 - rate) / (n + s + 1))) AS high FROM h1),
+judged AS (
+  SELECT page_id, host, path, rate, high,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM placed JOIN r USING (host))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN high < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       round(rate, 6) AS rate
+FROM judged
+"""
