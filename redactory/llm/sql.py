@@ -20,7 +20,8 @@ GROUP BY k.doc_id
 """
 
 _SECOND_LEVEL = """('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'com.br', 'com.cn', 'co.in', 'co.za', 'com.mx', 'com.tr', 'co.kr', 'com.sg', 'com.ar')"""
-_LAST = "array_to_string(list_slice(string_split(host, '.'), -{n}, NULL), '.')"
+_LAST = """array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - {n} + 1),
+                                   len(string_split(host, '.'))), '.')"""
 _TWO, _THREE = _LAST.format(n=2), _LAST.format(n=3)
 _STRENGTH = """
   SELECT CASE WHEN sum(n * up * (1 - up) * (n - 1)) > 0 AND sum((good - n * up) ** 2 - n * up * (1 - up)) > 0
