@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, packing, sql, url_filter
+from . import bpe, fingerprints, line_dedup, packing, sql, url_filter
 from .common import documents
 
 
@@ -13,6 +13,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_and_compare(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
+
+
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
              ("com/de/", "block"))
 
@@ -38,7 +44,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
+    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
 
 
 def statements() -> dict:
