@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, line_dedup, packing, sql, url_filter
+from . import bpe, fingerprints, line_dedup, packing, phrase_dedup, sql, url_filter
 from .common import documents
 
 
@@ -43,8 +43,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return phrase_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe}
+    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe,
+            "op9_substring_dedup": op9_substring_dedup}
 
 
 def statements() -> dict:
