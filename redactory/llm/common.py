@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import written
@@ -14,6 +15,8 @@ NOT_WORD = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text that a Python step works on at once.
 SLICE_BYTES = 6 << 20
+# Odd multipliers of rolling hashes.
+ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,44 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+class WordTable:
+    """The words of some texts, side by side: runs free of ASCII white space.
+
+    ``data`` is all texts' bytes and ``inside`` marks those of words; word i starts at ``starts[i]``, has
+    ``lengths[i]`` bytes, the small number ``ids[i]`` and the 64-bit hash ``hashes[i]``, and belongs to text
+    ``doc_of[i]``.  Text d has the words ``word_ends[d]`` up to ``word_ends[d + 1]``.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n \
+            else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]] if n \
+            else np.zeros(0, dtype=np.uint8)
+        if lower:
+            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        self.data, self.doc_ends, self.n_docs = data, ends - ends[0], n
+        self.inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        begins = self.inside.copy()
+        begins[1:] &= ~self.inside[:-1]
+        first = self.doc_ends[:-1][self.doc_ends[:-1] < len(data)]
+        begins[first] = self.inside[first]
+        self.starts = np.nonzero(begins)[0]
+        before = offsets_of(self.inside)
+        self.lengths = np.diff(np.append(before[self.starts], before[-1]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [
+            None, pa.py_buffer(offsets_of(self.lengths)), pa.py_buffer(data[self.inside])]).dictionary_encode()
+        self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.n_distinct = len(words.dictionary)
+        known = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), dtype=np.uint64,
+                            count=self.n_distinct)
+        self.hashes = known[self.ids]
+        self.word_ends = np.searchsorted(self.starts, self.doc_ends)
+        self.n_words = np.diff(self.word_ends)
+        self.doc_of = np.repeat(np.arange(n), self.n_words)
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table ``(a long, b long)``: rows ``(id, root)``.
 

@@ -19,59 +19,29 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, offsets_of, shuffle_partitions
+from .common import ODD_1, ODD_2, WordTable, mix, offsets_of, shuffle_partitions
 
 WINDOW, PHRASE = 13, 5
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
-ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Words of a chunk are characters of the automaton's strings: planes without surrogates.
 FIRST_CHAR, CHARS = 0x10000, 0x100000
-SEPARATOR = "\0"
 
 
-class Chunk:
-    """Words of a chunk's documents, and everything that follows from them alone."""
+class Chunk(WordTable):
+    """A chunk's documents, and everything that follows from them alone."""
 
     def __init__(self, table: pa.Table, window: int, phrase: int):
+        super().__init__(table.column("text").combine_chunks())
         self.window, self.phrase = window, phrase
-        self.doc_ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-        texts = table.column("text").cast(pa.large_string()).combine_chunks().fill_null("")
-        self.n_docs = len(texts)
-        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + self.n_docs + 1]
-        self.doc_ends = ends - ends[0]
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
-        self.data = data
-        self.inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-        begins = self.inside.copy()
-        begins[1:] &= ~self.inside[:-1]
-        first = self.doc_ends[:-1][self.doc_ends[:-1] < len(data)]
-        begins[first] = self.inside[first]
-        self.starts = np.nonzero(begins)[0]
-        per_word = np.diff(np.append(np.cumsum(self.inside)[self.starts] - 1 if len(self.starts) else [],
-                                     int(self.inside.sum()))).astype(np.int64)
-        self.lengths = per_word
-        n = len(self.starts)
-        words = pa.Array.from_buffers(pa.large_binary(), n, [
-            None, pa.py_buffer(offsets_of(per_word)), pa.py_buffer(data[self.inside])]).dictionary_encode()
-        self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.n_distinct = len(words.dictionary)
-        known = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), dtype=np.uint64,
-                            count=self.n_distinct)
-        self.hashes = known[self.ids] if n else np.zeros(0, dtype=np.uint64)
-        self.word_ends = np.searchsorted(self.starts, self.doc_ends)  # words before each document's end
-        self.n_words = np.diff(self.word_ends)
-        self.doc_of = np.repeat(np.arange(self.n_docs), self.n_words)
-        has_id = np.asarray(table.column("doc_id").is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-        self.has_id = has_id
-        self.doc_ids = np.where(has_id, np.nan_to_num(self.doc_ids.astype(np.float64)), 0).astype(np.int64) \
-            if not has_id.all() else self.doc_ids.astype(np.int64)
-        left = self.word_ends[1:][self.doc_of] - np.arange(n) if n else np.zeros(0, dtype=np.int64)
-        self.at = np.nonzero((left >= window) & has_id[self.doc_of])[0] if n else np.zeros(0, dtype=np.int64)
+        ids = table.column("doc_id").cast(pa.int64())
+        self.has_id = np.array(ids.is_valid().to_numpy(), dtype=bool)
+        self.doc_ids = ids.fill_null(0).to_numpy()
+        left = self.word_ends[1:][self.doc_of] - np.arange(len(self.starts))
+        self.at = np.nonzero((left >= window) & self.has_id[self.doc_of])[0]
         self.phrases = self._rolled(phrase, ODD_1)
-        self.keys = self._key_phrases()
+        self.keys = self._lowest(self.phrases)
 
     def _rolled(self, size: int, odd: np.uint64) -> np.ndarray:
         """Hash of every run of ``size`` words, document borders ignored."""
@@ -93,9 +63,6 @@ class Chunk:
             width *= 2
         return np.minimum(m[self.at], m[self.at + span - width])
 
-    def _key_phrases(self) -> np.ndarray:
-        return self._lowest(self.phrases)
-
     def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of the windows that start at these words."""
         a, b = np.zeros(len(which), dtype=np.uint64), np.zeros(len(which), dtype=np.uint64)
