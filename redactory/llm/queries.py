@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, line_dedup, packing, phrase_dedup, sql, url_filter
+from . import bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, url_filter
 from .common import documents
 
 
@@ -49,9 +49,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe,
-            "op9_substring_dedup": op9_substring_dedup}
+            "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def statements() -> dict:
