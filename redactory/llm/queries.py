@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, url_filter
+from . import ann, bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, url_filter
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.expr("vec_id % 20 = 0"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), content="ids_crc32")
 
@@ -54,7 +58,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op7_packing": op7_packing, "op8_bpe": op8_bpe,
+    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op6_ann": op6_ann,
+            "op7_packing": op7_packing, "op8_bpe": op8_bpe,
             "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
