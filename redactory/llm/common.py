@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -70,14 +72,15 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """The words of some texts, side by side: runs free of ASCII white space.
+    """The words of some texts, side by side: runs free of ASCII white space, or without ``signs`` runs of
+    ASCII letters, digits and bytes beyond ASCII.
 
     ``data`` is all texts' bytes and ``inside`` marks those of words; word i starts at ``starts[i]``, has
     ``lengths[i]`` bytes, the small number ``ids[i]`` and the 64-bit hash ``hashes[i]``, and belongs to text
     ``doc_of[i]``.  Text d has the words ``word_ends[d]`` up to ``word_ends[d + 1]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, signs: bool = True):
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n \
@@ -87,7 +90,10 @@ class WordTable:
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         self.data, self.doc_ends, self.n_docs = data, ends - ends[0], n
-        self.inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        if signs:
+            self.inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        else:
+            self.inside = (data >= 128) | ((data >= 48) & (data <= 57)) | (((data | 32) >= 97) & ((data | 32) <= 122))
         begins = self.inside.copy()
         begins[1:] &= ~self.inside[:-1]
         first = self.doc_ends[:-1][self.doc_ends[:-1] < len(data)]
@@ -98,14 +104,18 @@ class WordTable:
         words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [
             None, pa.py_buffer(offsets_of(self.lengths)), pa.py_buffer(data[self.inside])]).dictionary_encode()
         self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.distinct = words.dictionary
         self.n_distinct = len(words.dictionary)
-        known = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), dtype=np.uint64,
-                            count=self.n_distinct)
-        self.hashes = known[self.ids]
         self.word_ends = np.searchsorted(self.starts, self.doc_ends)
         self.n_words = np.diff(self.word_ends)
         self.doc_of = np.repeat(np.arange(n), self.n_words)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        known = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct.to_pylist()), dtype=np.uint64,
+                            count=self.n_distinct)
+        return known[self.ids]
+
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table ``(a long, b long)``: rows ``(id, root)``.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, url_filter
+from . import ann, bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, toxicity, url_filter
 from .common import documents
 
 
@@ -30,6 +30,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -58,7 +65,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op5_line_dedup": op5_line_dedup, "op6_ann": op6_ann,
+    return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity,
+            "op5_line_dedup": op5_line_dedup, "op6_ann": op6_ann,
             "op7_packing": op7_packing, "op8_bpe": op8_bpe,
             "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
