@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, fingerprints, jaccard_join, line_dedup, packing, phrase_dedup, sql, toxicity, url_filter
+from . import ann, bpe, fingerprints, jaccard_join, license_scan, line_dedup, packing, phrase_dedup, sql, toxicity, url_filter
 from .common import documents
 
 
@@ -37,6 +37,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"), "n_templates", "containment")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -66,6 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity,
+            "op4_license_scan": op4_license_scan,
             "op5_line_dedup": op5_line_dedup, "op6_ann": op6_ann,
             "op7_packing": op7_packing, "op8_bpe": op8_bpe,
             "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
