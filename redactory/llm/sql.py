@@ -65,3 +65,41 @@ SELECT page_id, host, path, rule,
        round(rate, 6) AS rate
 FROM judged
 """
+
+SUBSTRING_DEDUP = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos
+  FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM p JOIN f USING (win) WHERE first < doc_id)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w WHERE len(ws) > 0),
+kept AS (
+  SELECT words.doc_id, count(gone.pos) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+reach AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(other), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.doc_id = w.doc_id
+GROUP BY w.doc_id, n.n
+"""
