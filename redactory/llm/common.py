@@ -117,6 +117,14 @@ class WordTable:
         return known[self.ids]
 
 
+def by_shard(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of entries by shard, and the shards with their borders."""
+    shard = (keys % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shards, first = np.unique(shard[order], return_index=True)
+    return order, shards, np.append(first, len(order))
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table ``(a long, b long)``: rows ``(id, root)``.
 

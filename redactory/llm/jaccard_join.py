@@ -1,9 +1,9 @@
 """N-gram Jaccard join by T-occurrence search, and the components of its links.
 
-1. One pass over the texts gives every document's shingle set (as a 128-bit set hash) and *part
-   signatures*: the shingles are dealt by hash to slightly more parts than two linked sets can differ in, so
-   linked sets share at least one whole part.  Sets meet by signature: each slice of documents sends a
-   signature once with its smallest doc_id, shards tie slices together.
+1. Documents are dealt to chunks.  Every chunk sends its shingles to shards, which answer with the lengths of
+   their inverted lists.  A set of n shingles that links must share all but (1 - 0.9) n of them, so a set with too few
+   shared shingles is out.  One that stays meets others by its *rarest* shared shingles: as many as must include one of
+   any partner's.  Sets of many shingles use a fixed part of all shingles instead of all, by hash.
 2. Connected components of these meetings are *blocks*; no link leaves a block.  Equal sets are one class, and
    only one document a class goes on.
 3. In a block, inverted lists of shingles are searched by DivideSkip: a set of size n needs T = 0.9 n
@@ -19,16 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.shared import written
-from .common import ODD_1, ODD_2, WordTable, components, mix, offsets_of, ranges, shuffle_partitions, text_slices
+from .common import ODD_1, ODD_2, WordTable, by_shard, components, mix, offsets_of, ranges, shuffle_partitions
 
 SHINGLE = 3
 PERCENT = 90
-SHARD_BYTES = 32 << 20          # of text behind one shard of signatures
+CHUNK_BYTES = 8 << 20           # of text in one chunk
+SHARD_BYTES = 32 << 20          # of text behind one shard of shingles
 TASK_BYTES, TASK_SETS = 8 << 20, 1000  # of text and sets searched in one task
-WEAK = 3                        # parts with fewer shingles tell little
+MANY = 400                      # from this size on, a set is represented by part of its shingles
 MERGE_COST = 0.01               # DivideSkip's weight of a merge against a probe
 
 
@@ -73,50 +75,78 @@ class ShingleSets:
         return out[0], out[1]
 
 
-def size_bounds(percent: int, most: int) -> np.ndarray:
-    """First sizes of levels such that linked sets are at most one level apart."""
-    bounds = [1]
-    while bounds[-1] <= most or len(bounds) < 3:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    bounds.append(bounds[-1] * 100 // percent + 1)
-    bounds.append(bounds[-1] * 100 // percent + 1)
-    return np.array(bounds, dtype=np.int64)
+def part_of_all(percent: int) -> float:
+    """Share of all shingles that stands for large sets.
+
+    A linked set misses at most (100 - percent) % of its shingles, here all of them inside the part at worst.  From
+    ``MANY`` shingles on, the part holds more than that by over six standard deviations: 1 in 10^10 sets does
+    not, and keeps no guarantee then.
+    """
+    return min(1.0, 2.5 * (100 - percent) / 100)
 
 
-def part_signatures(sets: ShingleSets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and their set's number.
+class Universe:
+    """Those sets and shingles of a chunk that meet under one rule: all of small sets, or a part of large ones.
 
-    Sets of levels t and t + 1 meet under tag t, so each set has two tags.  Two linked sets there differ in at
-    most k shingles; with k + 1 + spare parts, 1 + spare parts are equal.  A set with at most
-    ``spare`` weak parts leaves those out: one of the equal parts is not weak.  A set with more keeps all.
+    The two rules overlap, so that any two linked sets share one.
     """
-    bounds = size_bounds(percent, int(sets.sizes.max(initial=1)))
-    level = np.searchsorted(bounds, sets.sizes, side="right") - 1
-    out, owner = [], []
-    for down in (0, 1):
-        tag = level - down
-        ok = (sets.sizes > 0) & (tag >= 0)
-        largest = bounds[np.where(ok, tag, 0) + 2] - 1
-        k = 2 * largest * (100 - percent) // (100 + percent)
-        ok &= k > 0  # else only equal sets are linked
-        spare = 2 + k // 8
-        parts = np.where(ok, k + 1 + spare, 0)
-        first = offsets_of(parts)
-        use = ok[sets.doc_of]
-        h, doc = sets.hashes[use], sets.doc_of[use]
-        part = first[doc] + (mix(h ^ ODD_1) % np.maximum(parts[doc], 1).astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(first[-1]), dtype=np.uint64)
-        np.add.at(total, part, mix(h * ODD_2))
-        count = np.bincount(part, minlength=int(first[-1]))
-        who = np.repeat(np.arange(len(sets)), parts)
-        index = np.arange(int(first[-1])) - first[who]
-        weak = count < WEAK
-        many = np.bincount(who, weights=weak, minlength=len(sets)) > spare
-        keep = ~weak | many[who]
-        name = mix((tag[who] * 1_000_003 + index).astype(np.uint64))
-        out.append(mix(total * ODD_1 + name + count.astype(np.uint64))[keep])
-        owner.append(who[keep])
-    return np.concatenate(out), np.concatenate(owner)
+
+    def __init__(self, sets: ShingleSets, percent: int, large: bool, has_id: np.ndarray):
+        n = sets.sizes
+        takes = (n >= MANY if large else n * percent < 100 * MANY) & (n > 0) & has_id
+        mask = takes[sets.doc_of]
+        if large:
+            mask &= sets.hashes < np.uint64(min(part_of_all(percent) * 2.0**64, 2.0**64 - 2.0**12))
+        self.hashes, self.doc_of = sets.hashes[mask], sets.doc_of[mask]
+        held = np.bincount(self.doc_of, minlength=len(sets))
+        self.need = held - n * (100 - percent) // 100  # shared shingles of a linked set
+        self.name = np.uint64(2 if large else 1)
+
+    def prefixes(self, length: np.ndarray, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and their sets: the rarest shared shingles of each set that can have a link.
+
+        ``length`` is the list length of each shingle here, as a code; 0 is a shingle of one document only.
+        """
+        shared = length > 0
+        h, doc, code = self.hashes[shared], self.doc_of[shared], length[shared]
+        order = np.lexsort((h, code, doc))
+        h, doc = h[order], doc[order]
+        count = np.bincount(doc, minlength=n_sets)
+        place = np.arange(len(doc)) - offsets_of(count)[doc]
+        keep = place < (count - np.maximum(self.need, 1) + 1)[doc]
+        return mix(h[keep] + self.name), doc[keep]
+
+
+def universes(sets: ShingleSets, percent: int, has_id: np.ndarray) -> list[Universe]:
+    return [Universe(sets, percent, False, has_id), Universe(sets, percent, True, has_id)]
+
+
+LISTS = "shard long, chunk long, keys binary, counts binary"
+LENGTHS = "chunk long, shard long, codes binary"
+
+
+def chunk_entries(parts: list[Universe]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a chunk, and how many of its documents hold each."""
+    hashes = np.concatenate([p.hashes for p in parts])
+    docs = np.concatenate([p.doc_of for p in parts])
+    order = np.lexsort((docs, hashes))
+    hashes, docs = hashes[order], docs[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1]))[:len(hashes)]
+    return np.unique(hashes[new], return_counts=True)
+
+
+def _lengths(requests: pa.Table) -> pa.Table:
+    """One shard: each chunk's shingles with a code of their list length, 0 for a single document."""
+    blobs = requests.column("keys").to_pylist()
+    sizes = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+    keys = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+    counts = np.frombuffer(b"".join(requests.column("counts").to_pylist()), dtype=np.uint32)
+    _, group = np.unique(keys, return_inverse=True)
+    total = np.bincount(group, weights=counts)
+    codes = np.minimum(255, np.round(6 * np.log2(np.maximum(total, 1)))).astype(np.uint8)[group]
+    at = offsets_of(sizes)
+    return pa.table({"chunk": requests.column("chunk"), "shard": requests.column("shard"),
+                     "codes": pa.array([codes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
 
 SURVEYED = ("kind int, doc_id long, n_shingles long, n_bytes long, set_a long, set_b long, a long, b long, "
@@ -137,45 +167,66 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def survey(docs: DataFrame, n_shards: int, size: int, percent: int) -> DataFrame:
-    """One pass: kind 0 a document's set, kind 1 a meeting within a slice, kind 2 a slice's signatures for a shard."""
-
-    def work(batches):
-        for part in text_slices(batches):
-            sets = ShingleSets(part.column("text"), size)
-            texts = part.column("text")
-            n_bytes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1])
-            a, b = sets.set_hashes()
-            yield _table(kind=0, doc_id=part.column("doc_id"), n_shingles=sets.sizes, n_bytes=n_bytes, set_a=a, set_b=b)
-            has_id = np.array(part.column("doc_id").is_valid(), dtype=bool)
-            ids = part.column("doc_id").fill_null(0).to_numpy()
-            signatures, owner = part_signatures(sets, percent)
-            known = has_id[owner]
-            signatures, who = signatures[known], ids[owner[known]]
-            if not len(signatures):
-                continue
-            order = np.lexsort((who, signatures))
-            signatures, who = signatures[order], who[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = signatures[1:] != signatures[:-1]
-            low = who[new]
-            met = low[np.cumsum(new) - 1]
-            pairs = np.unique(np.stack([who[who != met], met[who != met]], axis=1), axis=0)
-            yield _table(kind=1, a=pairs[:, 0], b=pairs[:, 1])
-            keys = signatures[new]
-            shard = (keys % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shards, first = np.unique(shard[order], return_index=True)
-            cuts = list(zip(first, np.append(first[1:], len(order))))
-            keys, low = keys[order], low[order]
-            yield _table(kind=2, shard=shards, keys=[keys[x:y].tobytes() for x, y in cuts],
-                         low=[low[x:y].tobytes() for x, y in cuts])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, SURVEYED)
+def survey(docs: DataFrame, n_chunks: int, n_shards: int, size: int, percent: int) -> DataFrame:
+    """Kind 0 a document's set, kind 1 a meeting within a chunk, kind 2 a chunk's tokens for a shard."""
+    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n_chunks)))
+
+    def opened(table: pa.Table):
+        sets = ShingleSets(table.column("text").combine_chunks(), size)
+        ids = table.column("doc_id")
+        has_id = np.array(ids.is_valid().to_numpy(), dtype=bool)
+        return sets, has_id, ids.fill_null(0).to_numpy(), universes(sets, percent, has_id)
+
+    def ask(table: pa.Table) -> pa.Table:
+        *_, parts = opened(table)
+        keys, counts = chunk_entries(parts)
+        order, shards, at = by_shard(keys, n_shards)
+        keys, counts = keys[order], counts[order].astype(np.uint32)
+        cuts = list(zip(at[:-1], at[1:]))
+        return pa.table({"shard": pa.array(shards, pa.int64()),
+                         "chunk": pa.array(np.full(len(shards), table.column("_chunk")[0].as_py()), pa.int64()),
+                         "keys": pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                         "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary())})
+
+    def meet(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_batches([_table(kind=0, doc_id=pa.array([], pa.int64()))])
+        sets, has_id, ids, parts = opened(table)
+        keys, _ = chunk_entries(parts)
+        order, shards, at = by_shard(keys, n_shards)
+        codes = np.zeros(len(keys), dtype=np.uint8)
+        got = dict(zip(answers.column("shard").to_pylist(), answers.column("codes").to_pylist()))
+        for s, x, y in zip(shards.tolist(), at[:-1], at[1:]):
+            codes[order[x:y]] = np.frombuffer(got[s], dtype=np.uint8)
+        found = [p.prefixes(codes[np.searchsorted(keys, p.hashes)], len(sets)) for p in parts]
+        tokens, who = np.concatenate([f[0] for f in found]), ids[np.concatenate([f[1] for f in found])]
+        a, b = sets.set_hashes()
+        texts = table.column("text").combine_chunks()
+        n_bytes = np.nan_to_num(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        out = [_table(kind=0, doc_id=table.column("doc_id").combine_chunks(), n_shingles=sets.sizes, n_bytes=n_bytes,
+                      set_a=a, set_b=b)]
+        order = np.lexsort((who, tokens))
+        tokens, who = tokens[order], who[order]
+        new = np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)]
+        low = who[new]
+        met = low[np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([who[who != met], met[who != met]], axis=1), axis=0)
+        out.append(_table(kind=1, a=pairs[:, 0], b=pairs[:, 1]))
+        keys = tokens[new]
+        order, shards, at = by_shard(keys, n_shards)
+        keys, low = keys[order], low[order]
+        cuts = list(zip(at[:-1], at[1:]))
+        out.append(_table(kind=2, shard=shards, keys=[keys[x:y].tobytes() for x, y in cuts],
+                          low=[low[x:y].tobytes() for x, y in cuts]))
+        return pa.Table.from_batches(out)
+
+    chunks = dealt.groupBy("_chunk")
+    lengths = chunks.applyInArrow(ask, LISTS).groupBy("shard").applyInArrow(_lengths, LENGTHS)
+    return chunks.cogroup(lengths.groupBy("chunk")).applyInArrow(meet, SURVEYED)
 
 
 def _meetings(requests: pa.Table) -> pa.Table:
-    """One shard: slices whose smallest documents share a signature."""
+    """One shard: the smallest documents of chunks that share a token."""
     keys = np.frombuffer(b"".join(requests.column("keys").to_pylist()), dtype=np.uint64)
     low = np.frombuffer(b"".join(requests.column("low").to_pylist()), dtype=np.int64)
     order = np.lexsort((low, keys))
@@ -273,7 +324,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(shuffle_partitions(spark), -(-total // SHARD_BYTES))
-    found = written(survey(docs, n_shards, shingle, percent), "survey")
+    n_chunks = max(shuffle_partitions(spark), -(-total // CHUNK_BYTES))
+    found = written(survey(docs, n_chunks, n_shards, shingle, percent), "survey")
     sets = found.where("kind = 0").select("doc_id", "n_shingles", "n_bytes", "set_a", "set_b")
 
     # Equal sets are one class with its smallest document.

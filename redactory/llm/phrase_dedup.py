@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ODD_1, ODD_2, WordTable, mix, offsets_of, shuffle_partitions
+from .common import ODD_1, ODD_2, WordTable, by_shard, mix, offsets_of, shuffle_partitions
 
 WINDOW, PHRASE = 13, 5
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
@@ -141,20 +141,12 @@ def _grouped(keys: np.ndarray, docs: np.ndarray, more: np.ndarray | None = None)
     return (keys[first], low, low != high) if more is None else (keys[first], more[first], low, low != high)
 
 
-def _by_shard(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order of entries by shard, and the shards with their borders."""
-    shard = (keys % np.uint64(n_shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    shards, first = np.unique(shard[order], return_index=True)
-    return order, shards, np.append(first, len(order))
-
-
 REQUEST = "shard long, chunk long, keys binary, more binary, low binary, several binary"
 ANSWER = "chunk long, step int, shard long, bits binary"
 
 
 def _requests(chunk: int, n_shards: int, keys, more, low, several) -> pa.Table:
-    order, shards, at = _by_shard(keys, n_shards)
+    order, shards, at = by_shard(keys, n_shards)
     keys, low, several = keys[order], low[order], several[order]
     more = None if more is None else more[order]
     cuts = list(zip(at[:-1], at[1:]))
@@ -198,7 +190,7 @@ def _answers(step: int, requests: pa.Table, decide) -> pa.Table:
 
 def _flags(answers: pa.Table, step: int, keys: np.ndarray, n_shards: int) -> np.ndarray:
     """The shards' bits in the order of ``keys``."""
-    order, shards, at = _by_shard(keys, n_shards)
+    order, shards, at = by_shard(keys, n_shards)
     got = {s: b for t, s, b in zip(answers.column("step").to_pylist(), answers.column("shard").to_pylist(),
                                    answers.column("bits").to_pylist()) if t == step}
     out = np.zeros(len(keys), dtype=bool)
