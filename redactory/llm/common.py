@@ -29,6 +29,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores until it differs from all columns' names."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def text_slices(batches, column: str = "text"):
     """Arrow batches cut into slices of about SLICE_BYTES of text, with null text made empty.
 

@@ -72,8 +72,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     empty tables need no rule.  A column named ``fingerprint`` is replaced.
     """
     own = [c for c in docs.columns if c != "fingerprint"]
-    done = with_digits(docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", "_digits")
-    return done.select(*own, packed("_digits").alias("fingerprint"))
+    rows = docs.select(F.struct(*own).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    done = with_digits(rows, "text", "digits")
+    return done.select(*[F.col("own")[c].alias(c) for c in own], packed("digits").alias("fingerprint"))
 
 
 def id_bounds(docs: DataFrame, parts: int) -> list[int]:

@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     lost = (held.join(repeated, ["a", "b"]).where("doc_id <> last")
             .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_lost"))
             .withColumnRenamed("doc_id", "_id"))
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    joined = docs.select(F.struct(*own).alias("_own"), "text", F.col("doc_id").cast("long").alias("_doc")).join(
+        lost, F.col("_doc") == F.col("_id"), "left")
     lines = lines_of("text")
     stays = F.filter(lines, lambda x: ~(
         (F.char_length(x) >= min_chars) & (F.char_length(line_key(x)) >= min_chars)
@@ -61,5 +62,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     return (joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", kept)
             .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
             .withColumn("text", F.array_join("_kept", "\n"))
-            .select(*own, "n_lines", "n_dropped"))
+            .select(*[F.col("text") if c == "text" else F.col("_own")[c].alias(c) for c in own], "n_lines", "n_dropped"))
 

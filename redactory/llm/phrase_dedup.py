@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ODD_1, ODD_2, WordTable, by_shard, mix, offsets_of, shuffle_partitions
+from .common import ODD_1, ODD_2, WordTable, by_shard, mix, offsets_of, shuffle_partitions, unused
 
 WINDOW, PHRASE = 13, 5
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
@@ -216,14 +216,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(shuffle_partitions(spark), -(-size // chunk_bytes))
     n_shards = max(shuffle_partitions(spark), -(-size // shard_bytes))
-    dealt = docs.select(*own).withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)),
-                                                          F.lit(n_chunks)))
+    at = unused("chunk", own)
+    dealt = docs.select(*own).withColumn(at, F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)),
+                                                      F.lit(n_chunks)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name in own)
 
     def ask_phrases(table: pa.Table) -> pa.Table:
         c = Chunk(table, window, phrase)
         keys, low, several = c.key_entries()
-        return _requests(table.column("_chunk")[0].as_py(), n_shards, keys, None, low, several)
+        return _requests(table.column(at)[0].as_py(), n_shards, keys, None, low, several)
 
     def confirm_phrases(requests: pa.Table) -> pa.Table:
         return _answers(1, requests, lambda low, least, most, many: many | (least != most))
@@ -239,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             return _requests(0, n_shards, *[np.zeros(0, dtype=t) for t in (np.uint64, np.uint32, np.int64, bool)])
         _, a, b, ids = candidates(Chunk(table, window, phrase), answers)
         keys, more, low, several = _grouped(a, ids, b)
-        return _requests(table.column("_chunk")[0].as_py(), n_shards, keys, more, low, several)
+        return _requests(table.column(at)[0].as_py(), n_shards, keys, more, low, several)
 
     def earlier_windows(requests: pa.Table) -> pa.Table:
         return _answers(2, requests, lambda low, least, most, many: least < low)
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                          pa.array(removed, pa.int64()), text.cast(pa.string())],
                         names=[*own, "n_words", "n_removed", "kept"])
 
-    chunks = dealt.groupBy("_chunk")
+    chunks = dealt.groupBy(at)
     confirmed = chunks.applyInArrow(ask_phrases, REQUEST).groupBy("shard").applyInArrow(confirm_phrases, ANSWER)
     windows = chunks.cogroup(confirmed.groupBy("chunk")).applyInArrow(ask_windows, REQUEST)
     earlier = windows.groupBy("shard").applyInArrow(earlier_windows, ANSWER)
