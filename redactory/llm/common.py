@@ -119,9 +119,27 @@ class WordTable:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        known = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct.to_pylist()), dtype=np.uint64,
-                            count=self.n_distinct)
-        return known[self.ids]
+        return byte_hashes(self.distinct)[self.ids]
+
+
+def byte_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of large_binary words; short ones all at once, byte by byte."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    size = np.diff(ends)
+    acc = mix(size.astype(np.uint64) + ODD_2)
+    left = np.nonzero(size <= 32)[0]
+    for k in range(32):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        h = (acc[left] ^ data[ends[left] + k]) * ODD_1
+        acc[left] = h ^ (h >> np.uint64(29))
+    long_ = np.nonzero(size > 32)[0]
+    acc[long_] = np.fromiter((xxhash.xxh64_intdigest(words[i].as_py()) for i in long_.tolist()), dtype=np.uint64,
+                             count=len(long_))
+    return mix(acc)
 
 
 def by_shard(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

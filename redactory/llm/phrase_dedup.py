@@ -25,8 +25,9 @@ from .common import ODD_1, ODD_2, WordTable, by_shard, mix, offsets_of, shuffle_
 
 WINDOW, PHRASE = 13, 5
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
-# Words of a chunk are characters of the automaton's strings: planes without surrogates.
-FIRST_CHAR, CHARS = 0x10000, 0x100000
+# A word of a chunk is a few characters of the automaton's strings, each digit of its number from an alphabet of its
+# own: nodes have few children, and a match can only begin where a word does.
+DIGITS = 64
 
 
 class Chunk(WordTable):
@@ -87,19 +88,20 @@ class Chunk(WordTable):
         place = np.minimum(np.searchsorted(confirmed, self.phrases), len(confirmed) - 1)
         hit = np.nonzero((confirmed[place] == self.phrases) & inside)[0]
         _, one = np.unique(self.phrases[hit], return_index=True)
-        # One character a word; with more distinct words than characters, two.
-        per_word = 1 if self.n_distinct < CHARS - 1 else 2
-        symbols = self.ids[:, None] if per_word == 1 else np.stack([self.ids >> 16, self.ids & 0xFFFF], axis=1)
-        text = (symbols.ravel().astype(np.uint32) + np.uint32(FIRST_CHAR)).tobytes().decode("utf-32-le")
+        per_word = 1
+        while DIGITS**per_word < self.n_distinct:
+            per_word += 1
+        symbols = np.stack([self.ids // DIGITS**k % DIGITS + DIGITS * k for k in range(per_word)], axis=1)
+        text = (symbols.ravel() + 1).astype("<u4").tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for i in hit[one].tolist():
             automaton.add_word(text[i * per_word:(i + self.phrase) * per_word])
         automaton.make_automaton()
         found = np.zeros(len(self.phrases), dtype=bool)
-        for a, b in zip((self.word_ends[:-1] * per_word).tolist(), (self.word_ends[1:] * per_word).tolist()):
-            ends = np.fromiter((end for end, _ in automaton.iter(text, a, b)), dtype=np.int64)
-            ends = ends[(ends + 1) % per_word == 0]
-            found[(ends + 1) // per_word - self.phrase] = True
+        for first, last in zip(self.word_ends[:-1].tolist(), self.word_ends[1:].tolist()):
+            one_text = text[first * per_word:last * per_word]
+            ends = np.fromiter((end for end, _ in automaton.iter(one_text)), dtype=np.int64)
+            found[first + (ends + 1) // per_word - self.phrase] = True
         lowest = self._lowest(np.where(found, self.phrases, np.uint64(2**64 - 1)))
         return lowest == self.keys
 

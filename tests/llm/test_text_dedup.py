@@ -32,15 +32,15 @@ def test_passages_shorter_and_in_small_chunks(spark, corpus):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == plain.without_passages(corpus, 6)
 
 
-def test_automaton_with_more_words_than_characters(spark, corpus, monkeypatch):
+def test_automaton_whatever_the_digits(spark, corpus, monkeypatch):
     import pyarrow as pa
     table = pa.table({"doc_id": pa.array([d for d, _ in corpus], pa.int64()), "text": pa.array([t for _, t in corpus])})
     found = []
-    for chars in (phrase_dedup.CHARS, 3):
-        monkeypatch.setattr(phrase_dedup, "CHARS", chars)
+    for digits in (phrase_dedup.DIGITS, 2, 5000):
+        monkeypatch.setattr(phrase_dedup, "DIGITS", digits)
         chunk = phrase_dedup.Chunk(table, 13, 5)
         found.append(chunk.located(chunk.key_entries()[0][::2]))
-    assert found[0].any() and not found[0].all() and (found[0] == found[1]).all()
+    assert found[0].any() and not found[0].all() and (found[0] == found[1]).all() and (found[0] == found[2]).all()
 
 
 def rows_of(df):
