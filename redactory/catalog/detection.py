@@ -17,7 +17,7 @@ from ..operators.synth import synthesize_placeholders
 from ..plans.unnest import rows_with_any
 from ..policy import Policy
 from . import duck
-from .base import query
+from .base import STATEMENTS, query
 from .derived import document_spans, documents, table
 from .planted import PLANTED_SQL, planted
 
@@ -195,6 +195,16 @@ def _(spark, d):
     return rewrite(found, "note", "spans", only).select("order_id", "anonymized_text")
 
 
+@query("dictionary_redaction_large", lambda: STATEMENTS["dictionary_redaction"])
+def _(spark, d):
+    """The plan for large dictionaries, with keys that many texts share."""
+    notes = planted(spark, d).selectExpr("order_id", "order_id % 50 AS k", "note")
+    only = Policy(entities=("PERSON", "LOCATION"), explain=False)
+    spotted = dic.with_dictionary_spans(notes, "k", "note", name_dictionary(spark, d), max_rows=0)
+    found = detect(spotted, "note", only, extra="dictionary_spans")
+    return rewrite(found, "note", "spans", only).select("order_id", "anonymized_text")
+
+
 @query("dictionary_hits_large", lambda: f"WITH {PLANTED_SQL}, src AS (SELECT order_id AS k, note AS t FROM planted), "
        + _tokens_sql("src") + f", {GAZETTEER_TERMS}"
        + ' SELECT k AS order_id, ty AS entity_type, s AS "start", CAST(e AS INTEGER) AS "end", x AS "text" FROM grams JOIN dict USING (gram)')

@@ -27,7 +27,7 @@ def _(spark, d):
     e = table(spark, d, "events")
     # Every event gives an object document (with an _id to drop) and a bare value.
     docs = e.select("event_id", F.explode(F.array(
-        F.concat(F.lit('{"_id":"'), "event_id", F.lit('",'), F.substring("props", 2, 1000000)), F.col("event_type"))).alias("doc"))
+        F.concat(F.lit('{"_id":"'), "event_id", F.lit('",'), F.expr("substring(props, 2)")), F.col("event_type"))).alias("doc"))
     return src.rows_from_json(docs, "doc", "_id string, k bigint", keep=["event_id"])
 
 
@@ -216,7 +216,7 @@ def _(spark, d):
 
 _LATEST = """latest AS (SELECT job_id, arg_max(status, seq) AS st FROM job_events GROUP BY job_id),
 prog AS (SELECT 'job-' || user_id AS job_id, arg_max(event_type, event_id) AS p, arg_max('run ' || event_type, event_id) AS m,
- arg_max(value, event_id) AS pct FROM events WHERE user_id % 3 <> 0 GROUP BY 1)"""
+ arg_max(value, event_id) AS pct FROM events GROUP BY 1)"""
 
 
 @query("reconcile_status", "WITH " + JOB_EVENTS_SQL + ", " + _LATEST + """,
@@ -226,7 +226,7 @@ r AS (SELECT job_id, pct, CASE WHEN s = 'done' THEN (CASE WHEN p = 'error' OR co
  WHEN s = 'failed' THEN 'error' WHEN s IN ('submitted', 'pending', 'running') THEN 'running' ELSE p END AS status FROM j)
 SELECT job_id, status, CASE WHEN status = 'done' THEN 100.0 ELSE coalesce(pct, 0) END::DOUBLE AS pct FROM r""")
 def _(spark, d):
-    e = table(spark, d, "events").where("user_id % 3 <> 0").selectExpr(
+    e = table(spark, d, "events").selectExpr(
         "concat('job-', user_id) AS job_id", "event_id", "event_type", "value")
     progress = e.groupBy("job_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("p")).select(
         "job_id", F.col("p.event_type").alias("status"), F.concat(F.lit("run "), "p.event_type").alias("message"),
@@ -258,13 +258,13 @@ def _(spark, d):
 
 @query("error_feed", "WITH " + JOB_STATS_SQL + ", " + AUDIT_SQL + """
 SELECT job_id, finished_at AS "at", 'processor' AS source, n_failed || ' chunks failed' AS details, 'warning' AS severity FROM job_stats WHERE n_failed > 0
-UNION ALL SELECT resource_id, "timestamp", 'audit', substr(details, 1, 140), severity FROM audit WHERE resource_type = 'job'""")
+UNION ALL SELECT resource_id, "timestamp", 'audit', details, severity FROM audit WHERE resource_type = 'job'""")
 def _(spark, d):
     return job.error_feed(job_stats(spark, d), audit(spark, d))
 
 
 _DONE = "WITH " + JOB_STATS_SQL + ", " + CARDS_SQL + """,
-hit AS (SELECT c.id AS card_id, c.job_id, c.priority, file_name, "operator", duration_s, substr(sha256(c.job_id || '|' || c.id), 1, 8) AS session_id
+hit AS (SELECT c.id AS card_id, c.job_id, c.priority, file_name, "operator", duration_s, sha256(c.job_id || '|' || c.id) AS session_id
  FROM cards c JOIN job_stats j ON j.job_id = c.job_id AND j.status = 'done' WHERE c.status = 'in_progress')"""
 
 
@@ -276,9 +276,12 @@ def _(spark, d):
 
 
 @query("completed_job_sessions", _DONE + """ SELECT session_id AS id, 'File job ' || substr(job_id, 1, 8) || ' — ' || file_name AS title, "operator",
- 'file' AS source_type, file_name, card_id AS pipeline_card_id, duration_s * 1000.0 AS processing_ms FROM hit""")
+ 'file' AS source_type, file_name, card_id AS pipeline_card_id, duration_s * 1000.0 AS processing_ms,
+ (SELECT string_agg(t.status || '=' || t.e, ',' ORDER BY t.status) FROM job_types t WHERE t.job_id = hit.job_id) AS entity_counts FROM hit""")
 def _(spark, d):
-    return job.complete_jobs(job_stats(spark, d), cards(spark, d))[1].drop("entity_counts")
+    sessions = job.complete_jobs(job_stats(spark, d), cards(spark, d))[1]
+    return sessions.withColumn("entity_counts", F.expr(
+        "array_join(transform(map_entries(entity_counts), e -> concat(e.key, '=', string(e.value))), ',')"))
 
 
 @query("scenario_status", "WITH " + JOB_EVENTS_SQL + """,

@@ -280,10 +280,10 @@ def _(spark, d):
 
 
 @query("group_by_key", """WITH n AS (SELECT event_type AS "key", count(*) AS c FROM events GROUP BY 1)
-SELECT "key", c AS members, CAST(ceil(c / 1000.0) AS INTEGER) AS n_parts FROM n""")
+SELECT n."key", CAST(ceil(c / 1000.0) AS INTEGER) AS n_parts, event_id AS member FROM n JOIN events ON event_type = n."key" """)
 def _(spark, d):
     parts = flt.group_by(table(spark, d, "events"), F.col("event_type"), "event_id", chunk_rows=1000)
-    return parts.groupBy("key", "n_parts").agg(F.sum(F.size("members")).alias("members")).select("key", "members", "n_parts")
+    return parts.select("key", "n_parts", F.explode("members").alias("member"))
 
 
 @query("count_by_key", """SELECT o_orderpriority || '/' || o_orderstatus AS "key", count(*) AS n FROM orders GROUP BY 1""")

@@ -93,7 +93,7 @@ def _(spark, d):
     return an.appointment_cards(appointments(spark, d), cards(spark, d)).select("id", "scheduled_for", "card_title")
 
 
-@query("card_history", CARDS + ", " + AUDIT_SQL + """ SELECT resource_id AS card_id, id AS audit_id, "timestamp", action, actor, substr(details, 1, 80) AS details
+@query("card_history", CARDS + ", " + AUDIT_SQL + """ SELECT resource_id AS card_id, id AS audit_id, "timestamp", action, actor, details
  FROM audit WHERE resource_type = 'card' AND resource_id IN (SELECT id FROM cards)""")
 def _(spark, d):
     return an.card_history(audit(spark, d), cards(spark, d))

@@ -36,6 +36,11 @@ def by_rules(value: Column, rules, default: Column) -> Column:
     return out.otherwise(default)
 
 
+def shortened(text: Column, width: int | None) -> Column:
+    """The first ``width`` characters; all of them without a width."""
+    return text if width is None else F.substring(text, 1, width)
+
+
 def require(value: str, domain: list[str], what: str) -> str:
     if value not in domain:
         raise ValueError(f"invalid {what}: {value!r}")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # --- fixed values: named windows -------------------------------------------
 WINDOW_DAYS = {"24h": 1, "7d": 7, "30d": 30, "week": 7, "month": 30}
+NO_LIMIT = "all"
 
 
 def as_moment(as_of: datetime | str) -> datetime:
@@ -15,13 +16,16 @@ def as_moment(as_of: datetime | str) -> datetime:
 
 
 def cutoff(window: str, as_of: datetime | str) -> datetime | None:
-    """Start of a named window; None for no limit.  "today" starts at midnight."""
+    """Start of a named window; None for "all".  "today" starts at midnight; other names raise."""
     now = as_moment(as_of)
     name = window.lower()
     if name == "today":
         return now.replace(hour=0, minute=0, second=0, microsecond=0)
-    days = WINDOW_DAYS.get(name)
-    return now - timedelta(days=days) if days else None
+    if name == NO_LIMIT:
+        return None
+    if name not in WINDOW_DAYS:
+        raise ValueError(f"unknown window: {window!r}")
+    return now - timedelta(days=WINDOW_DAYS[name])
 
 
 def ntz(moment: datetime) -> Column:

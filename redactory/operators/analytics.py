@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
-from ..functions.columns import percent, positive, safe_ratio
+from ..functions.columns import percent, positive, safe_ratio, shortened
 from ..functions.expr import let, raw, record
 from ..functions.when import as_moment, in_window, ntz
 from ..plans.shared import written
@@ -56,9 +56,10 @@ def board_summary(cards: DataFrame) -> DataFrame:
         F.count_if(urgent).alias("high_priority_backlog"), F.max("updated_at").alias("latest_update"))
 
 
-_STAGE = r"(backlog|in[_ ]progress|review|done)"
+_STAGE = "(" + "|".join(s.replace("_", "[_ ]") for s in fv.CARD_STATUSES) + ")"
 _EDGE_L, _EDGE_R = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
-_ARROW = rf"{_EDGE_L}{_STAGE} *(?:→|->|to) *{_STAGE}{_EDGE_R}"
+# Arrows may touch the stages; the word needs white space on both sides.
+_ARROW = rf"{_EDGE_L}{_STAGE}(?:\s*(?:→|->)\s*|\s+to\s+){_STAGE}{_EDGE_R}"
 
 
 def parse_move(details: str) -> Column:
@@ -149,11 +150,11 @@ def appointment_cards(appts: DataFrame, cards: DataFrame) -> DataFrame:
         "card_title", F.coalesce("card_title", F.lit("—")))
 
 
-def card_history(audit: DataFrame, cards: DataFrame) -> DataFrame:
-    """Audit rows of every card."""
+def card_history(audit: DataFrame, cards: DataFrame, width: int | None = None) -> DataFrame:
+    """Audit rows of every card; ``width`` cuts the details for display."""
     rows = audit.where(F.col("resource_type") == "card").select(
         F.col("resource_id").alias("card_id"), F.col("id").alias("audit_id"), "timestamp", "action", "actor",
-        F.substring(F.coalesce("details", F.lit("")), 1, 80).alias("details"))
+        shortened(F.coalesce("details", F.lit("")), width).alias("details"))
     return rows.join(cards.select(F.col("id").alias("card_id")), "card_id", "left_semi")
 
 
@@ -178,8 +179,7 @@ def top_entities(sessions: DataFrame, n: int = 8) -> DataFrame:
 
 def pareto(sessions: DataFrame, top_n: int = 10) -> DataFrame:
     """Top types with share and cumulative share of all detections."""
-    n = min(25, max(3, top_n))
-    return _shares(entity_breakdown(sessions), n).select(
+    return _shares(entity_breakdown(sessions), positive(top_n)).select(
         "position", "entity_type", "n", "share_pct", "cumulative_pct")
 
 

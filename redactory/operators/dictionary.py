@@ -151,14 +151,21 @@ def with_dictionary_spans(df: DataFrame, key: str | list[str], text_col: str, di
                           out_col: str = "dictionary_spans", **bounds) -> DataFrame:
     """The same hits as an array next to their text.
 
-    In place for a small dictionary; for a large one the hits are joined back on
-    the key, which must be unique.
+    In place for a small dictionary; for a large one each distinct text is searched
+    once and its hits are joined back on the text's digest, so keys may repeat or be
+    null.  ``key`` only spreads the rows of a frequent text over tasks.  A null text
+    has no spans.
     """
     terms = term_grams(dictionary)
     if measured_small(terms, **bounds):
         return _in_row_spans(df, text_col, terms, score, name, out_col)
     keys = [key] if isinstance(key, str) else list(key)
-    return attach_spans(df, _joined_rows(df, keys, text_col, terms, score, name), keys, out_col)
+    digested = df.withColumn("_digest", F.sha2(text_col, 256))
+    texts = digested.where(F.col(text_col).isNotNull()).select("_digest", text_col).dropDuplicates(["_digest"])
+    spans = spans_by_key(_joined_rows(texts, ["_digest"], text_col, terms, score, name), "_digest", out_col)
+    none = F.expr(f"cast(array() as array<{SPAN_DDL}>)")
+    return salted_join(digested, spans, "_digest", keys, "left").select(
+        *[c for c in df.columns if c != out_col], F.coalesce(out_col, none).alias(out_col))
 
 
 def deny_terms(df: DataFrame, key: str | list[str], text_col: str, terms: DataFrame, **bounds) -> DataFrame:

@@ -8,7 +8,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.expr import quoted
 from ..plans.salting import lookup_join, salted_join
-from ..plans.sizing import measured_small
+from ..plans.sizing import measured_small, small_side
 from .dictionary import gazetteer
 
 
@@ -41,6 +41,9 @@ def resolve_city(df: DataFrame, value_col: str, places: DataFrame, alias_table:
     the distinct texts are resolved by joins and the answers joined back.  Null
     means no city.
     """
+    # A repeated alias or place counts once, whichever way rows are resolved.
+    alias_table = alias_table.groupBy("alias").agg(F.min("city").alias("city"))
+    places = places.groupBy("city").agg(F.min("pos").alias("pos"))
     if not (measured_small(places, max_rows) and measured_small(alias_table, max_rows)):
         return _resolve_by_joins(df, value_col, places, alias_table, out_col)
     names = [r["city"] for r in places.orderBy("pos").collect()]  # the dimension, not the facts
@@ -73,7 +76,8 @@ def _resolve_by_joins(df: DataFrame, value_col: str, places: DataFrame, alias_ta
             "_v", "city", F.struct(F.lit(rule).alias("rule"), F.col("pos").cast("int").alias("pos")).alias("rank"))
         found = hits if found is None else found.unionByName(hits)
     answers = found.groupBy("_v").agg(F.min_by("city", "rank").alias(out_col)).withColumnRenamed("_v", value_col)
-    return salted_join(df, answers, value_col, df.columns, "left").select(*df.columns, out_col)
+    spread = df.withColumn("_spread", F.xxhash64(value_col, F.to_json(F.struct(*df.columns))))  # any column type
+    return salted_join(spread, answers, value_col, "_spread", "left").select(*df.columns, out_col)
 
 
 def entity_mentions(detections: DataFrame, places: DataFrame, alias_table: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def geo_counts(text_hits: DataFrame, entity_hits: DataFrame) -> DataFrame:
 
 def map_rows(counts: DataFrame, places: DataFrame) -> DataFrame:
     """Mapped cities with coordinates."""
-    return counts.where(F.col("city").isNotNull()).join(F.broadcast(places.drop("pos")), "city").select(
+    return counts.where(F.col("city").isNotNull()).join(small_side(places.drop("pos")), "city").select(
         "city", "lat", "lon", "mentions")
 
 

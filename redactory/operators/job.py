@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .. import fixed_values as fv
-from ..functions.columns import by_rules, safe_ratio
+from ..functions.columns import by_rules, safe_ratio, shortened
 from ..functions.expr import let
 from ..plans.spread import spread
 from ..plans.unnest import explode_rows, inline_rows
@@ -212,15 +212,15 @@ def status_label(value: Column) -> Column:
         by_rules(low, fv.STATUS_LABEL_RULES, F.lit(fv.STATUS_LABEL_DEFAULT)))
 
 
-def error_feed(job_errors: DataFrame, audit: DataFrame) -> DataFrame:
-    """Job errors and the audit rows of jobs, details cut to 140 characters."""
+def error_feed(job_errors: DataFrame, audit: DataFrame, width: int | None = None) -> DataFrame:
+    """Job errors and the audit rows of jobs; ``width`` cuts the details for display."""
     own = job_errors.select(
         "job_id", F.col("finished_at").alias("at"), F.explode("errors").alias("details")).select(
-        "job_id", "at", F.lit("processor").alias("source"), F.substring("details", 1, 140).alias("details"),
+        "job_id", "at", F.lit("processor").alias("source"), shortened(F.col("details"), width).alias("details"),
         F.lit("warning").alias("severity"))
     logged = audit.where(F.col("resource_type") == "job").select(
         F.col("resource_id").alias("job_id"), F.col("timestamp").alias("at"), F.lit("audit").alias("source"),
-        F.substring(F.coalesce("details", F.lit("")), 1, 140).alias("details"), "severity")
+        shortened(F.coalesce("details", F.lit("")), width).alias("details"), "severity")
     return own.unionByName(logged)
 
 
@@ -232,7 +232,7 @@ def complete_jobs(jobs: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFra
     hit = waiting.join(done.select("job_id", "file_name", "entity_counts", "operator", "duration_s"), "job_id")
     severity = priority_severity(F.col("priority"))
     short = F.substring("job_id", 1, 8)
-    session_id = F.substring(F.sha2(F.concat_ws("|", "job_id", "card_id"), 256), 1, 8)
+    session_id = F.sha2(F.concat_ws("|", "job_id", "card_id"), 256)
     moves = hit.select(
         "card_id", F.lit("review").alias("status"), session_id.alias("session_id"), severity.alias("severity"),
         F.concat(F.lit("Auto-moved to review after job "), short, F.lit(" completed")).alias("details"))

@@ -19,10 +19,23 @@ from .filters import cards_with_status, domain_counts
 from .job import priority_severity
 
 
+def _with_fields(feed: DataFrame) -> DataFrame:
+    return feed.withColumn("fields", F.from_json("payload", "map<string,string>"))
+
+
+def _is_unreadable() -> Column:
+    return F.col("fields").isNull() & F.coalesce(F.col("op") != "delete", F.lit(True))
+
+
+def unreadable_changes(feed: DataFrame) -> DataFrame:
+    """Feed rows other than deletes whose payload is no JSON object: for quarantine, they change nothing."""
+    return _with_fields(feed).where(_is_unreadable()).drop("fields")
+
+
 def read_feed(feed: DataFrame) -> DataFrame:
-    """Feed rows with the payload as a map, so that absent and null stay apart."""
-    return feed.withColumn("fields", F.coalesce(
-        F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    """Readable feed rows with the payload as a map, so that absent and null stay apart."""
+    return _with_fields(feed).where(~_is_unreadable()).withColumn(
+        "fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
 
 
 def current_state(feed: DataFrame, fields: list[str]) -> DataFrame:

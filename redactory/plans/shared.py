@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a session in one local process without that setting falls back to a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/redactory-{name}-{uuid.uuid4().hex[:12]}"
