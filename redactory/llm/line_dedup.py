@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.shared import written
+from ..plans.unnest import explode_rows
 from .common import LOWER, UPPER
 
 MIN_CHARS = 20
@@ -44,11 +46,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     # partial aggregates take a frequent line down to one row a task.
     hashes = F.array_distinct(F.transform(
         F.filter(F.transform(lines_of("text"), line_key), lambda k: F.char_length(k) >= min_chars), line_hash))
-    held = (docs.where("doc_id IS NOT NULL")
-            .select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(hashes).alias("h"))
-            .select("doc_id", "h.a", "h.b"))
-    repeated = (held.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-                .where(F.col("n") >= min_documents).select("a", "b", "last"))
+    # Both tables are written: the join below then shuffles both sides itself, and Spark may split a frequent key.
+    rows = explode_rows(docs.where("doc_id IS NOT NULL"), [F.col("doc_id").cast("long").alias("doc_id")], hashes, "h")
+    held = written(rows.select("doc_id", "h.a", "h.b"), "lines")
+    repeated = written(held.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+                       .where(F.col("n") >= min_documents).select("a", "b", "last"), "repeated-lines")
     lost = (held.join(repeated, ["a", "b"]).where("doc_id <> last")
             .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_lost"))
             .withColumnRenamed("doc_id", "_id"))
