@@ -25,6 +25,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.shared import written
+from ..plans.unnest import explode_rows
 from .common import offsets_of, ranges, text_slices
 
 # The pre-tokenisation pattern of byte-level BPE files: a fixed value.
@@ -393,14 +395,23 @@ def compile_lexicon(words: list[str], vocabulary: Vocabulary) -> Lexicon:
 
 
 def frequent_units(docs: DataFrame, n: int) -> list[str]:
-    """The n most frequent units over all documents, ties by the unit; n bounds what reaches the driver.
+    """About the n most frequent units over all documents, never more than n.
 
-    Counted as Spark counts words.  A text's first unit has no space before it and is counted
-    with one: that can only cost time, as unseen units are merged exactly.
+    Counted as Spark counts words.  The cut is a count: all units seen more often than some power of 2^(1/8), the
+    lowest that leaves at most n of them, so no task sends more than that part of the n.  A text's first unit has no
+    space before it and is counted with one: that can only cost time, as unseen units are merged exactly.
     """
-    words = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", " ")).alias("w"))
-    counts = words.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [" " + r["w"] for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(n).collect()]
+    words = explode_rows(docs, [], F.split("text", " "), "w")
+    step = F.floor(8 * F.log2("n")).cast("int")
+    counts = written(words.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "w", step.alias("step")), "unit-counts")
+    lowest, total = None, 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some hundred rows
+        total += row["count"]
+        if total > n:
+            break
+        lowest = row["step"]
+    return [] if lowest is None else [" " + r["w"] for r in counts.where(F.col("step") >= lowest).select("w").collect()]
 
 
 def share_file(spark: SparkSession, blob: bytes, kind: str) -> str:
