@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.expr import is_blank
 from ..operators import job, profile
+from ..plans.shared import work_dir
 from ..plans.spread import spread
 from ..policy import Policy
 from ..sources import tables as src
@@ -21,16 +22,40 @@ FAST = POLICY.but(explain=False)
 
 # --- sources ---------------------------------------------------------------
 
-@query("rows_from_json", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS "value"
-FROM events UNION ALL SELECT event_id, NULL, event_type FROM events""")
+@query("rows_from_json", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS "value", CAST(NULL AS VARCHAR) AS corrupt
+FROM events UNION ALL SELECT event_id, NULL, event_type, NULL FROM events UNION ALL SELECT event_id, NULL, NULL, '{' || event_type FROM events""")
 def _(spark, d):
     e = table(spark, d, "events")
-    # Every event gives an object document (with an _id to drop) and a bare value.
+    # Every event gives an object document (with an _id to drop), a bare value and a broken object.
     docs = e.select("event_id", F.explode(F.array(
-        F.concat(F.lit('{"_id":"'), "event_id", F.lit('",'), F.expr("substring(props, 2)")), F.col("event_type"))).alias("doc"))
+        F.concat(F.lit('{"_id":"'), "event_id", F.lit('",'), F.expr("substring(props, 2)")), F.col("event_type"),
+        F.concat(F.lit("{"), "event_type"))).alias("doc"))
     return src.rows_from_json(docs, "doc", "_id string, k bigint", keep=["event_id"])
 
 
+@query("csv_scan_split", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(spark, d):
+    """Written as CSV and read with a schema, in splits."""
+    path = work_dir(spark, "customer-csv")
+    src.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return src.read_table(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("csv_round_trip", "SELECT doc_id, text, lang, source FROM documents")
+def _(spark, d):
+    """Texts with line breaks survive quoting."""
+    path = work_dir(spark, "documents-csv")
+    src.write_csv(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path)
+    return src.read_table(spark, path, schema="doc_id bigint, text string, lang string, source string", multiline=True)
+
+
+@query("json_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
+def _(spark, d):
+    path = work_dir(spark, "conversations-json")
+    src.write_json(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), path)
+    return src.read_table(spark, path, "json", schema="conv_id bigint, turn bigint, role string, text string")
+
+
 @query("to_json_rows", """SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","event_type":'
  || CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || ',"score":'
  || CASE WHEN event_type = 'error' THEN 'null' ELSE CAST(CAST(user_id AS DOUBLE) AS VARCHAR) END || '}' AS document FROM events""")

@@ -26,7 +26,8 @@ def file_manifest(spark: SparkSession, path: str, allowed_root: str, max_bytes:
 
     Size and extension are judged from the listing; contents are only read for
     files within the size limit, so an oversized file is never loaded.  Spark's
-    file scan passes over files of length zero, so those have no row.
+    file scan passes over files of length zero; they are taken from its listing
+    and rejected as empty.
     """
     if not inside_root(path, allowed_root):
         raise PathNotAllowed("path is outside the allowed root")
@@ -42,5 +43,12 @@ def file_manifest(spark: SparkSession, path: str, allowed_root: str, max_bytes:
               .when((ext == "csv") & binary, F.lit("content is not text"))
               .when((ext == "xlsx") & (F.col("head") != fv.ZIP_HEADER), F.lit("content is not a workbook"))
               .when((ext == "xls") & (F.col("head") != fv.OLE_HEADER), F.lit("content is not a workbook")))
-    return both.select("path", "length", ext.alias("extension"), "sha256", reason.isNull().alias("accepted"),
+    full = both.select("path", "length", ext.alias("extension"), "sha256", reason.isNull().alias("accepted"),
                        F.coalesce(reason, F.lit("ok")).alias("reason"))
+    plain = lambda c: F.regexp_replace(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "name string").withColumn("path", plain(F.col("name")))
+    seen = meta.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    empty = names.join(seen, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), ext.alias("extension"), F.sha2(F.lit(b""), 256).alias("sha256"),
+        F.lit(False).alias("accepted"), F.lit("empty").alias("reason"))
+    return full.unionByName(empty)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (ArrayType, DoubleType, FloatType, MapType, StringType, StructField, StructType,
+                               TimestampNTZType, TimestampType)
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str = "csv", schema: StructType | str | None = None,
-               encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+               encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """A CSV, JSON, Parquet or ORC table.
 
     CSV has a header; without a schema its columns are strings, which is what
-    redaction works on and needs no second pass over the files.  Quoted line
-    breaks need ``multiline``; files without them split freely when it is off.
+    redaction works on and needs no second pass over the files.  Large files are
+    split over tasks.  Values with line breaks inside quotes need ``multiline``,
+    which reads each file in one task.
     """
     reader = spark.read
     if schema is not None:
@@ -45,12 +47,17 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def rows_from_json(df: DataFrame, json_col: str, schema: StructType | str, keep: list[str] | None = None) -> DataFrame:
     """JSON documents as rows: keys become columns, ``_id`` is dropped, a document
-    that is a bare value ends up in ``value``."""
-    parsed = df.select(*(keep or []), F.col(json_col).alias("_raw"), F.from_json(json_col, schema).alias("_doc"))
-    fields = [c for c in parsed.select("_doc.*").columns if c != "_id"]
+    that is a bare value ends up in ``value``, an object that cannot be read in ``corrupt``."""
+    known = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    bad = "_corrupt_document"
+    read = F.from_json(json_col, StructType([*known.fields, StructField(bad, StringType())]),
+                       {"columnNameOfCorruptRecord": bad})
+    parsed = df.select(*(keep or []), F.col(json_col).alias("_raw"), read.alias("_doc"))
+    fields = [c for c in known.fieldNames() if c != "_id"]
     is_object = F.col("_raw").rlike(r"^[ \t\r\n]*\{")
     return parsed.select(*(keep or []), *[F.col(f"_doc.`{c}`").alias(c) for c in fields],
-                         F.when(~is_object, F.col("_raw")).alias("value"))
+                         F.when(~is_object, F.col("_raw")).alias("value"),
+                         F.when(is_object, F.col(f"_doc.{bad}")).alias("corrupt"))
 
 
 def to_json_rows(df: DataFrame, out_col: str = "document") -> DataFrame:

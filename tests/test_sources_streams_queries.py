@@ -18,9 +18,15 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.sql("""SELECT * FROM VALUES (1, 'two
 lines, "quoted"', array('a', 'b')), (2, NULL, NULL) AS t(id, note, tags)""")
     tables.write_csv(df, str(tmp_path / "csv"))
-    back = sorted(tuple(r) for r in tables.read_table(spark, str(tmp_path / "csv")).collect())
+    back = sorted(tuple(r) for r in tables.read_table(spark, str(tmp_path / "csv"), multiline=True).collect())
     assert back == [("1", 'two\nlines, "quoted"', '["a","b"]'), ("2", None, None)]
-    assert tables.row_count(tables.read_table(spark, str(tmp_path / "csv"))).first()["rows"] == 2
+    assert tables.row_count(tables.read_table(spark, str(tmp_path / "csv"), multiline=True)).first()["rows"] == 2
+    (tmp_path / "large.csv").write_text("a\n" + "x" * 50 + "\n" + ("y" * 50 + "\n") * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    large = tables.read_table(spark, str(tmp_path / "large.csv"))
+    splits, rows = large.rdd.getNumPartitions(), large.count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert splits > 4 and rows == 200_001
     tables.write_json(df, str(tmp_path / "json"))
     assert tables.read_table(spark, str(tmp_path / "json"), "json").count() == 2
     (tmp_path / "latin.csv").write_bytes("name\ncafé\n".encode("latin-1"))
@@ -36,18 +42,20 @@ def test_manifest(spark, tmp_path):
     (root / "fake.csv").write_bytes(b"PK\x03\x04rest")
     (root / "note.txt").write_text("x")
     (root / "big.csv").write_text("x" * 100)
+    (root / "no rows+at all.csv").write_text("")
     got = {os.path.basename(r["path"]): (r["accepted"], r["reason"]) for r in
            manifest.file_manifest(spark, str(root), str(tmp_path), max_bytes=50).collect()}
-    assert got == {"good.csv": (True, "ok"), "fake.csv": (False, "content is not text"), "note.txt": (False, "unsupported type"), "big.csv": (False, "too large")}
+    assert got == {"good.csv": (True, "ok"), "fake.csv": (False, "content is not text"), "note.txt": (False, "unsupported type"), "big.csv": (False, "too large"),
+                   "no rows+at all.csv": (False, "empty")}
     for outside in ("/data/../etc", "/data2/x"):
         with pytest.raises(manifest.PathNotAllowed):
             manifest.file_manifest(spark, outside, "/data")
 
 
 def test_documents_from_json(spark):
-    df = spark.createDataFrame([('{"_id":"abc","text":"Seattle office"}',), ('7',)], "doc string")
+    df = spark.createDataFrame([('{"_id":"abc","text":"Seattle office"}',), ('7',), ('{bad',)], "doc string")
     rows = [tuple(r) for r in tables.rows_from_json(df, "doc", "_id string, text string").collect()]
-    assert rows == [("Seattle office", None), (None, "7")]
+    assert rows == [("Seattle office", None, None), (None, "7", None), (None, None, "{bad")]
 
 
 def test_stream_equals_batch(spark):
