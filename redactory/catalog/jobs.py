@@ -152,11 +152,13 @@ def deidentify_documents(spark, d):
     return out.select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars")
 
 
-@query("deidentify_pages", lambda: duck.spans_ctes("pages", "page_id", "url", FAST) + duck.kept_ctes()
-       + duck.rewritten_ctes(duck.replacement("replace"))
-       + " SELECT p.page_id, coalesce(new_text, url) AS url FROM pages p LEFT JOIN rewritten r ON r.k = p.page_id")
+@query("deidentify_pages", lambda: duck.spans_ctes(
+    "(SELECT page_id, url AS v, 'url' AS c FROM pages UNION ALL SELECT page_id, html, 'html' FROM pages)", "(page_id, c)", "v", FAST)
+    + duck.kept_ctes() + duck.rewritten_ctes(duck.replacement("replace"))
+    + """ SELECT p.page_id, coalesce(u.new_text, url) AS url, coalesce(h.new_text, html) AS html FROM pages p
+LEFT JOIN rewritten u ON u.k = (p.page_id, 'url') LEFT JOIN rewritten h ON h.k = (p.page_id, 'html')""")
 def _(spark, d):
-    return job.deidentify(table(spark, d, "pages").select("page_id", "url", "html"), ["url", "html"], FAST).select("page_id", "url")
+    return job.deidentify(table(spark, d, "pages").select("page_id", "url", "html"), ["url", "html"], FAST)
 
 
 @query("deidentify_conversations", lambda: duck.spans_ctes("conversations", "conv_id * 100000 + turn", "text", FAST) + duck.kept_ctes()

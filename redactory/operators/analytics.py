@@ -10,6 +10,7 @@ from .. import fixed_values as fv
 from ..functions.columns import percent, positive, safe_ratio, shortened
 from ..functions.expr import let, raw, record
 from ..functions.when import as_moment, in_window, ntz
+from ..plans.salting import lookup_join
 from ..plans.shared import written
 from ..plans.unnest import inline_rows
 from ..plans.windows import running_clamped_sum
@@ -146,8 +147,8 @@ def table_signature(df: DataFrame, columns: list[str]) -> DataFrame:
 def appointment_cards(appts: DataFrame, cards: DataFrame) -> DataFrame:
     """Appointments with the title of their card, "—" when there is none."""
     titles = cards.select(F.col("id").alias("pipeline_card_id"), F.col("title").alias("card_title"))
-    return appts.join(titles, "pipeline_card_id", "left").withColumn(
-        "card_title", F.coalesce("card_title", F.lit("—")))
+    found = lookup_join(appts, titles, "pipeline_card_id", "id", "left")
+    return found.select(*appts.columns, F.coalesce("card_title", F.lit("—")).alias("card_title"))
 
 
 def card_history(audit: DataFrame, cards: DataFrame, width: int | None = None) -> DataFrame:
@@ -155,14 +156,15 @@ def card_history(audit: DataFrame, cards: DataFrame, width: int | None = None) -
     rows = audit.where(F.col("resource_type") == "card").select(
         F.col("resource_id").alias("card_id"), F.col("id").alias("audit_id"), "timestamp", "action", "actor",
         shortened(F.coalesce("details", F.lit("")), width).alias("details"))
-    return rows.join(cards.select(F.col("id").alias("card_id")), "card_id", "left_semi")
+    return lookup_join(rows, cards.select(F.col("id").alias("card_id")), "card_id", "audit_id", "left_semi").select(*rows.columns)
 
 
 def card_sessions(sessions: DataFrame, cards: DataFrame) -> DataFrame:
     """(card, session) links from either side, each once."""
     from_session = sessions.where(F.col("pipeline_card_id").isNotNull()).select(
         F.col("pipeline_card_id").alias("card_id"), F.col("id").alias("session_id"))
-    from_session = from_session.join(cards.select(F.col("id").alias("card_id")), "card_id", "left_semi")
+    from_session = lookup_join(from_session, cards.select(F.col("id").alias("card_id")), "card_id", "session_id",
+                               "left_semi").select("card_id", "session_id")
     from_card = cards.where(F.coalesce("session_id", F.lit("")) != "").select(
         F.col("id").alias("card_id"), "session_id").join(
         sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi").select("card_id", "session_id")

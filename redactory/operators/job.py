@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from .. import fixed_values as fv
 from ..functions.columns import by_rules, safe_ratio, shortened
 from ..functions.expr import let
+from ..plans.salting import lookup_join
 from ..plans.spread import spread
 from ..plans.unnest import explode_rows, inline_rows
 from ..policy import Policy
@@ -229,7 +230,7 @@ def complete_jobs(jobs: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFra
     done = jobs.where(F.col("status") == "done")
     waiting = cards.where(F.col("status") == "in_progress").select(
         F.col("id").alias("card_id"), "job_id", "priority")
-    hit = waiting.join(done.select("job_id", "file_name", "entity_counts", "operator", "duration_s"), "job_id")
+    hit = lookup_join(waiting, done.select("job_id", "file_name", "entity_counts", "operator", "duration_s"), "job_id", "card_id")
     severity = priority_severity(F.col("priority"))
     short = F.substring("job_id", 1, 8)
     session_id = F.sha2(F.concat_ws("|", "job_id", "card_id"), 256)
@@ -257,6 +258,7 @@ def scenario_status(scenarios: DataFrame, jobs: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(v) for pair in fv.JOB_STATUS_NAMES.items() for v in pair])
     latest = jobs.groupBy("scenario_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("_s"))
     shown = F.coalesce(F.element_at(names, F.upper("_s")), F.lower("_s"), F.lit("submitted"))
-    return (scenarios.join(latest, "scenario_id", "left")
+    # A blank scenario has no job; such rows are spread over tasks by their other columns.
+    return (lookup_join(scenarios, latest, "scenario_id", scenarios.columns, "left")
             .withColumn("job_status", F.when(F.coalesce("scenario_id", F.lit("")) == "", F.lit("—"))
                         .otherwise(shown)).drop("_s"))

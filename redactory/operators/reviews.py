@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.when import as_moment, ntz
+from ..plans.salting import lookup_join
 
 
 def due_appointments(appts: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -19,7 +20,7 @@ def fire(due: DataFrame, cards: DataFrame) -> dict[str, DataFrame]:
     linked = due.where(F.col("pipeline_card_id").isNotNull()).select(
         F.col("id").alias("appt_id"), F.col("title").alias("appt_title"), F.col("pipeline_card_id").alias("card_id"))
     waiting = cards.where(F.col("status") == "in_progress").select(F.col("id").alias("card_id"))
-    advanced = linked.join(waiting, "card_id")
+    advanced = lookup_join(linked, waiting, "card_id", "appt_id")
     # Several appointments may name one card; the card moves once.
     moves = advanced.groupBy("card_id").agg(F.min_by("appt_title", "appt_id").alias("appt_title"))
     card_rows = moves.select(

@@ -31,7 +31,8 @@ def previous_values(df: DataFrame, key: str, seq: str, values: list[str],
     carried = ends.select(
         key, "_b", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in values])
 
-    joined = local.join(carried, [key, "_b"], "left")
+    carried = carried.withColumnsRenamed({key: "_key", "_b": "_bucket"})
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket")), "left")
     return joined.select(*df.columns, *[
         F.coalesce(f"_in_{v}", f"_carry_{v}").alias(f"prev_{v}") for v in values])
 
