@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.salting import salted_join
 from ..plans.shared import written
 from .common import ODD_1, ODD_2, WordTable, by_shard, components, mix, offsets_of, ranges, shuffle_partitions
 
@@ -210,7 +211,7 @@ def survey(docs: DataFrame, n_chunks: int, n_shards: int, size: int, percent: in
         new = np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)]
         low = who[new]
         met = low[np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([who[who != met], met[who != met]], axis=1), axis=0)
+        pairs = spanning(who[who != met], met[who != met])
         out.append(_table(kind=1, a=pairs[:, 0], b=pairs[:, 1]))
         keys = tokens[new]
         order, shards, at = by_shard(keys, n_shards)
@@ -225,6 +226,28 @@ def survey(docs: DataFrame, n_chunks: int, n_shards: int, size: int, percent: in
     return chunks.cogroup(lengths.groupBy("chunk")).applyInArrow(meet, SURVEYED)
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs that join the same documents as the pairs (a, b), at most one a document.
+
+    Documents that share many tokens meet once and not once a token.
+    """
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(ids))
+    x, y = ends[:len(a)], ends[len(a):]
+    while len(x):  # smaller roots spread along the pairs, then along the roots
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        np.minimum.at(root, before, root)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    joined = np.nonzero(root != np.arange(len(ids)))[0]
+    return np.stack([ids[joined], ids[root[joined]]], axis=1) if len(ids) else np.zeros((0, 2), dtype=np.int64)
+
+
 def _meetings(requests: pa.Table) -> pa.Table:
     """One shard: the smallest documents of chunks that share a token."""
     keys = np.frombuffer(b"".join(requests.column("keys").to_pylist()), dtype=np.uint64)
@@ -235,7 +258,7 @@ def _meetings(requests: pa.Table) -> pa.Table:
     new[1:] = keys[1:] != keys[:-1]
     least = low[new][np.cumsum(new) - 1] if len(keys) else low
     other = low != least
-    pairs = np.unique(np.stack([low[other], least[other]], axis=1), axis=0)
+    pairs = spanning(low[other], least[other])
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
@@ -397,10 +420,11 @@ def _large_blocks(texts: DataFrame, shingle: int, percent: int, task_bytes: int,
     sizes = rest.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / task_bytes),
                                                 F.ceil(F.count(F.lit(1)) / task_sets)).cast("long").alias("askers"))
     all_askers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1))
-    asking = rest.join(sizes, "root").select(
+    # Salted: after a plain join on the block, Spark would keep a whole block in one task.
+    asking = salted_join(rest, sizes, "root", "doc_id").select(
         "root", "doc_id", "text", F.lit(True).alias("asks"),
         F.pmod(F.xxhash64("doc_id", F.lit("asks")), F.col("askers")).alias("_asker"), every.alias("_part"))
-    asked = texts.join(sizes, "root").select("root", "doc_id", "text", F.lit(False).alias("asks"), "_part",
+    asked = salted_join(texts, sizes, "root", "doc_id").select("root", "doc_id", "text", F.lit(False).alias("asks"), "_part",
                                              all_askers.alias("_asker"))
 
     def search_part(table: pa.Table) -> pa.Table:
