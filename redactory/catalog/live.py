@@ -43,10 +43,12 @@ def _(spark, d):
     return _fired(spark, d, "audit")
 
 
-@query("live_due_reviews", FIRE + """ SELECT 'card_changes' AS kind, c.id FROM due JOIN cards c ON c.id = due.pipeline_card_id WHERE c.status = 'in_progress' GROUP BY c.id
-UNION ALL SELECT 'appointment_changes', id FROM due""")
+@query("live_due_reviews", FIRE + """, moved AS (SELECT c.id, arg_min(due.title, due.id) AS title FROM due JOIN cards c ON c.id = due.pipeline_card_id WHERE c.status = 'in_progress' GROUP BY c.id)
+SELECT 'card_changes' AS kind, id, 'review' AS outcome FROM moved UNION ALL SELECT 'appointment_changes', id, 'completed' FROM due
+UNION ALL SELECT 'audit', id, 'pipeline.advance card Auto-advanced to Review via appointment ''' || title || '''' FROM moved
+UNION ALL SELECT 'audit', id, 'appointment.due appointment Appointment ''' || title || ''' came due — actions executed' FROM due""")
 def _(spark, d):
-    """Due appointments as a stream in which every appointment arrives twice."""
+    """Appointments as a stream in which every version arrives twice; those not yet due wait for their time."""
     base = work_dir(spark, "reviews")
     orders = run.stream_of(spark, d, "orders")
     twice = orders.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -54,16 +56,17 @@ def _(spark, d):
         "concat('a', o_orderkey) AS id", "concat('Review ', o_orderkey) AS title",
         "IF(o_orderkey % 11 = 0, NULL, o_orderdate + make_dt_interval(30)) AS scheduled_for",
         "IF(o_orderkey % 5 = 0, NULL, cast(o_orderkey + o_orderkey % 3 as string)) AS pipeline_card_id",
-        "element_at(array('scheduled', 'completed', 'cancelled'), cast(o_custkey % 3 + 1 as int)) AS status")])
-    due = reviews.due_appointments(appts, AS_OF_ORDERS)
+        "element_at(array('scheduled', 'completed', 'cancelled'), cast(o_custkey % 3 + 1 as int)) AS status",
+        "o_orderkey AS seq", f"timestamp'{AS_OF_ORDERS}' + make_dt_interval(0, 0, 10, 0.001) AS ts")])
 
     def write(name, rows, batch_id):
-        if name != "audit":
-            rows.select(F.lit(name).alias("kind"), "id").write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+        outcome = F.concat_ws(" ", "action", "resource_type", "details") if name == "audit" else F.col("status")
+        rows.select(F.lit(name).alias("kind"), F.col("resource_id" if name == "audit" else "id").alias("id"),
+                    outcome.alias("outcome")).write.mode("overwrite").parquet(f"{base}/out/{name}/batch={batch_id}")
 
-    live.watch_due_appointments(due, lambda: cards(spark, d), write)(f"{base}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{base}/card_changes").unionByName(spark.read.parquet(f"{base}/appointment_changes"))
-    return out.select("kind", "id")
+    live.watch_due_appointments(appts, lambda: cards(spark, d), write)(f"{base}/checkpoint").awaitTermination()
+    out = [spark.read.parquet(f"{base}/out/{name}") for name in ("card_changes", "appointment_changes", "audit")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("kind", "id", "outcome")
 
 
 @query("live_redaction", lambda: duck.spans_ctes("conversations", "conv_id * 100000 + turn", "text", FAST) + duck.kept_ctes()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.detect import detect, detections
 from ..operators.job import PROGRESS_FIELDS, deidentify
@@ -44,23 +46,66 @@ def live_progress(stream: DataFrame) -> DataFrame:
             .select("job_id", "p.*"))
 
 
+_REVIEW = "id string, title string, pipeline_card_id string"
+_REVIEW_STATE = "seq long, title string, card string, due long, status string"
+
+
+def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remember_days: int = 7) -> DataFrame:
+    """Appointments at the moment they come due: ``(id, title, pipeline_card_id)``.
+
+    ``appointments`` is a stream of versions ``(id, title, pipeline_card_id, scheduled_for, status, seq, ts)``.  The
+    newest version by ``seq`` counts; ``ts`` drives the clock, which trails it by ``lateness``.  Each id keeps one
+    version and a timer, so an appointment that arrives early fires later, one that arrives late fires at once, and
+    one that was cancelled or moved does not fire at its old time.  After firing or cancelling, an id is remembered
+    for ``remember_days`` beyond its time against repeated rows, and then forgotten.  Without a time it never fires.
+    """
+    remember = remember_days * 86_400_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            if held[4] != "scheduled":
+                state.remove()
+                return
+        else:
+            text = lambda v: None if pd.isna(v) else str(v)
+            for batch in batches:
+                row = batch.loc[batch["seq"].idxmax()]
+                if held is None or row["seq"] > held[0]:
+                    due = -1 if pd.isna(row["due"]) else int(row["due"])
+                    held = (int(row["seq"]), text(row["title"]), text(row["pipeline_card_id"]), due, text(row["status"]))
+        seq, title, card, due, status = held
+        fires = status == "scheduled" and 0 <= due <= now
+        if fires:
+            status = "fired"
+        state.update((seq, title, card, due, status))
+        state.setTimeoutTimestamp(due if status == "scheduled" and due > now else max(due, now) + remember)
+        if fires:
+            yield pd.DataFrame({"id": [key[0]], "title": [title], "pipeline_card_id": [card]})
+
+    timed = appointments.where("id IS NOT NULL").withWatermark("ts", lateness).selectExpr(
+        "id", "title", "pipeline_card_id", "unix_millis(cast(scheduled_for as timestamp)) AS due", "status", "seq", "ts")
+    return timed.groupBy("id").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append", "EventTimeTimeout")
+
+
 def watch_due_appointments(appointments: DataFrame, cards: Callable[[], DataFrame],
                            write: Callable[[str, DataFrame, int], None]) -> Callable[[str], StreamingQuery]:
-    """Stream of due appointments that fires each one once.
+    """What follows from appointments as they come due (see ``fire_when_due``).
 
-    ``appointments`` is a stream of appointment rows that have come due.  An id is
-    remembered for good (a watermark would lose appointments that arrive late), and
-    every batch joins the current cards.  ``write(name, rows, batch_id)`` must be idempotent per batch id.
+    Every batch joins the current cards.  ``write(name, rows, batch_id)`` must be idempotent per batch id.
     Returns a function that starts the query with a checkpoint location.
     """
-    once = appointments.where(F.col("status") == "scheduled").dropDuplicates(["id"])
+    due = fire_when_due(appointments)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        for name, rows in fire(batch, cards()).items():
+        kept = batch.persist()  # three outputs of one batch
+        for name, rows in fire(kept, cards()).items():
             write(name, rows, batch_id)
+        kept.unpersist()
 
     def start(checkpoint: str) -> StreamingQuery:
-        return (once.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+        return (due.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
     return start

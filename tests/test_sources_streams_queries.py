@@ -91,3 +91,30 @@ def test_query_equals_sql(spark, name):
     else:
         verdict = compare(df, duck(SF), sql)
         assert verdict.startswith("ok") and "types" not in verdict, verdict
+
+
+def test_reviews_fire_once_at_their_time(spark, tmp_path):
+    """Early, late, repeated, moved and cancelled appointments over several batches."""
+    schema = "id string, title string, pipeline_card_id string, scheduled_for timestamp_ntz, status string, seq long, ts timestamp"
+    row = lambda i, due, status, seq, ts, card="c": (i, f"t-{i}", card, due and f"2024-01-01 {due}:00", status, seq, f"2024-01-01 {ts}:00")
+    batches = [
+        [row("early", "12:00", "scheduled", 1, "10:00"), row("early", "12:00", "scheduled", 1, "10:00"),
+         row("cancelled", "12:00", "scheduled", 1, "10:00"), row("moved", "12:00", "scheduled", 1, "10:00"),
+         row("later", "18:00", "scheduled", 1, "10:00"), row("never", None, "scheduled", 1, "10:00")],
+        [row("cancelled", "12:00", "cancelled", 2, "11:00"), row("moved", "14:00", "scheduled", 2, "11:00")],
+        [row("early", "12:00", "scheduled", 1, "13:00"), row("late", "09:00", "scheduled", 1, "13:00", None)],
+        [row("tick", None, "completed", 1, "15:00")],
+    ]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([tuple(r) for r in rows], "id string, title string, pipeline_card_id string, due string, status string, seq long, at string")
+        df = df.selectExpr("id", "title", "pipeline_card_id", "cast(due as timestamp_ntz) AS scheduled_for", "status", "seq", "cast(at as timestamp) AS ts")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        fired = live.fire_when_due(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        # One run a batch from one checkpoint: state and timers live on between runs.
+        query = (fired.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        seen = sorted(r.id for r in spark.read.schema("id string, title string, pipeline_card_id string").parquet(str(tmp_path / "out")).collect())
+        assert seen == [[], [], ["early", "late"], ["early", "late", "moved"]][k], k
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
