@@ -240,9 +240,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable, sample: int = SA
 
 
 def score_texts(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of each whole text; null counts as empty, all columns are passed on.
+    """``docs`` with ``score`` (0 to 1) of each whole text; a null text counts as empty and comes back so.
 
-    A column named ``score`` is replaced.  An empty table gives no rows.
+    All columns are passed on.  A column named ``score`` is replaced.  An empty table gives no rows.
     """
     own = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(network)  # bounded by VOCABULARY and TRIGRAMS
@@ -262,9 +262,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score``, by a network fitted to the labelled rows that are not held out.
-
-    Null texts stay null in ``text`` only if they were; they score as empty ones.
-    """
+    """``docs`` with ``score`` (see ``score_texts``), by a network fitted to the labelled rows that are not held out."""
     texts, y = training_sample(docs, labels.select("doc_id", "toxic"), ~held_out())
     return score_texts(docs, train(texts, y))
