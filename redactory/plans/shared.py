@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
@@ -19,7 +22,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/redactory-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/redactory-{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Delete all folders that this process has made so far; frames read from them end here.  Gives their number."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -61,3 +61,14 @@ def test_details_are_cut_only_on_request(spark):
     cards = spark.createDataFrame([("c",)], "id string")
     assert len(analytics.card_history(audit, cards).first().details) == 500
     assert len(analytics.card_history(audit, cards, width=80).first().details) == 80
+
+
+def test_written_tables_are_deleted_on_request(spark):
+    import os
+
+    from redactory.plans import shared
+    shared.forget_written(spark)
+    df = shared.written(spark.range(3), "t")
+    folder = shared._made[-1]
+    assert df.count() == 3 and os.path.isdir(folder)
+    assert shared.forget_written(spark) == 1 and not os.path.exists(folder)
