@@ -78,5 +78,6 @@ def queries() -> dict:
 
 
 def statements() -> dict:
-    return {"op2_url_filter": sql.URL_FILTER, "op5_line_dedup": sql.LINE_DEDUP,
+    return {"op2_url_filter": sql.URL_FILTER, "op4_license_scan": sql.license_scan(license_scan.TEMPLATES),
+            "op5_line_dedup": sql.LINE_DEDUP,
             "op9_substring_dedup": sql.SUBSTRING_DEDUP, "op10_jaccard_join": sql.JACCARD_JOIN}

@@ -103,3 +103,30 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(other), w.doc_id)
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.doc_id = w.doc_id
 GROUP BY w.doc_id, n.n
 """
+
+
+def license_scan(templates, size: int = 5, containment: float = 0.8) -> str:
+    """Exact containment of every template around every shingle it shares with a document."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
+    shingles = f"array_to_string(ws[i:i + {size - 1}], ' ')"
+    return rf"""
+WITH t(template, license, text) AS (VALUES {rows}),
+tw AS (SELECT template, license, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM t),
+ts AS (
+  SELECT DISTINCT template, license, {shingles} AS shingle
+  FROM (SELECT template, license, ws, unnest(range(1, len(ws) - {size - 2})) AS i FROM tw)),
+tk AS (SELECT template, count(*) AS k FROM ts GROUP BY template),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
+ds AS (
+  SELECT doc_id, i, {shingles} AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {size - 2})) AS i FROM dw WHERE len(ws) >= {size})),
+hits AS (SELECT doc_id, template, license, i, shingle, k FROM ds JOIN ts USING (shingle) JOIN tk USING (template)),
+around AS (
+  SELECT a.doc_id, a.template, a.license, a.i, count(DISTINCT b.shingle) / any_value(a.k)::DOUBLE AS share
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.template = b.template AND b.i BETWEEN a.i - a.k AND a.i + a.k
+  GROUP BY a.doc_id, a.template, a.license, a.i)
+SELECT documents.doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses,
+       CAST(count(DISTINCT template) AS INTEGER) AS n_templates, max(share) AS containment
+FROM documents LEFT JOIN around ON documents.doc_id = around.doc_id AND share >= {containment}
+GROUP BY documents.doc_id
+"""
