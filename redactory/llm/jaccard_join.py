@@ -28,7 +28,7 @@ from .common import ODD_1, ODD_2, WordTable, by_shard, components, mix, offsets_
 
 SHINGLE = 3
 PERCENT = 90
-CHUNK_BYTES = 8 << 20           # of text in one chunk
+CHUNK_BYTES = 4 << 20           # of text in one chunk
 SHARD_BYTES = 32 << 20          # of text behind one shard of shingles
 TASK_BYTES, TASK_SETS = 8 << 20, 1000  # of text and sets searched in one task
 MANY = 400                      # from this size on, a set is represented by part of its shingles
