@@ -217,7 +217,10 @@ job_stats AS (SELECT j.job_id, count(*) AS total_rows, CAST(sum("rows") AS BIGIN
 
 
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return progress_of(table(spark, sf_dir, "events"))
+
+
+def progress_of(e: DataFrame) -> DataFrame:
     return e.select(*[F.expr(x) for x in (
         "concat('job-', user_id) AS job_id", "cast(event_id % 2 as int) AS source_rank", "event_id AS seq",
         "value AS pct", "IF(event_id % 3 = 0, NULL, cast(get_json_object(props, '$.k') as bigint) - 10) AS processed",

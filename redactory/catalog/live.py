@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reviews
+from ..operators import job, reviews
 from ..plans.shared import work_dir
 from ..policy import Policy
 from ..streaming import live, run
 from . import duck
-from .base import query
-from .derived import APPTS_SQL, AS_OF_ORDERS, CARDS_SQL, appointments, cards
+from .base import STATEMENTS, query
+from .derived import APPTS_SQL, AS_OF_ORDERS, CARDS_SQL, appointments, cards, progress_of
 from .jobs import FAST
 
 DUE = f"due AS (SELECT * FROM appts WHERE status = 'scheduled' AND scheduled_for <= TIMESTAMP '{AS_OF_ORDERS}')"
@@ -114,10 +114,8 @@ def _(spark, d):
     return _ntz(run.run_appending(counts, "sliding"))
 
 
-@query("live_progress", """SELECT 'job-' || user_id AS job_id, arg_max(value, event_id) AS pct, arg_max(event_type, event_id) AS status,
- CAST(max(event_id) AS DOUBLE) AS updated_at FROM events GROUP BY 1""")
+@query("live_progress", lambda: STATEMENTS["latest_progress"])
 def _(spark, d):
-    e = run.stream_of(spark, d, "events").selectExpr(
-        "concat('job-', user_id) AS job_id", "event_id AS seq", "value AS pct", "event_type AS status",
-        "double(event_id) AS updated_at")
-    return run.run_updating(live.live_progress(e), "progress", "job_id")
+    """The stream's newest records, merged, are the batch form's answer."""
+    newest = run.run_updating(live.live_progress(progress_of(run.stream_of(spark, d, "events"))), "progress", "job_id", "source_rank")
+    return job.merge_progress(newest)

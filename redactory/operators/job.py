@@ -146,16 +146,23 @@ def compare_runs(stats: DataFrame) -> DataFrame:
 PROGRESS_FIELDS = ["pct", "processed", "total", "message", "status", "ts"]
 
 
+def newest_by_source(events: DataFrame) -> DataFrame:
+    """The newest record ``p`` of each job and progress source; on a stream, run it in update mode."""
+    packed = F.struct("updated_at", *PROGRESS_FIELDS)
+    return events.groupBy("job_id", "source_rank").agg(F.max_by(packed, F.struct("updated_at", "seq")).alias("p"))
+
+
 def latest_progress(events: DataFrame) -> DataFrame:
-    """Latest state per job from several progress sources.
+    """Latest state per job from several progress sources; an aggregate with partial combine on another."""
+    return merge_progress(newest_by_source(events))
 
-    The newest record of each source is taken; the fresher source wins field by
-    field and missing fields come from the other.  ``source_rank`` breaks ties
-    (lower wins).  Both steps are aggregates with partial combine.
+
+def merge_progress(newest: DataFrame) -> DataFrame:
+    """One state per job from the newest record of each source.
+
+    The fresher source wins field by field and missing fields come from the other.
+    ``source_rank`` breaks ties (lower wins).
     """
-    packed = F.struct("updated_at", *PROGRESS_FIELDS)
-    newest = (events.groupBy("job_id", "source_rank")
-              .agg(F.max_by(packed, F.struct("updated_at", "seq")).alias("p")))
     order = F.struct(F.col("p.updated_at"), -F.col("source_rank"))
     merged = newest.groupBy("job_id").agg(
         *[F.max_by(F.col(f"p.{f}"), F.when(F.col(f"p.{f}").isNotNull(), order)).alias(f) for f in PROGRESS_FIELDS],

@@ -214,8 +214,20 @@ def latest_audit(audit: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def retain_newest(audit: DataFrame, rows: int = fv.AUDIT_RETENTION_ROWS) -> DataFrame:
-    """Retention cap on the audit table: the newest ``rows`` entries."""
-    return latest_audit(audit, rows)
+    """Retention cap on the audit table: the newest ``rows`` entries, in no order.
+
+    Counts per day, of which the driver gets one row each, tell on which day the cap falls; only that day is
+    sorted.  Rows without a time are the oldest.
+    """
+    left, day = positive(rows), F.to_date("timestamp")
+    counts = audit.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
+    for day_value, n in sorted(((r["day"], r["n"]) for r in counts), key=lambda c: (c[0] is not None, c[0]), reverse=True):
+        if n > left:
+            on_day = audit.where(day.eqNullSafe(F.lit(day_value)))
+            newer = audit.where(day.isNotNull() if day_value is None else day > F.lit(day_value))
+            return newer.unionByName(latest_audit(on_day, left)) if left else newer
+        left -= n
+    return audit
 
 
 def session_link_violations(cards: DataFrame) -> DataFrame:

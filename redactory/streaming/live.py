@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.detect import detect, detections
-from ..operators.job import PROGRESS_FIELDS, deidentify
+from ..operators.job import deidentify, newest_by_source
 from ..operators.reviews import fire
 from ..policy import Policy
 
@@ -40,10 +40,8 @@ def _windowed(stream: DataFrame, ts: str, width: str, slide: str | None, keys: l
 
 
 def live_progress(stream: DataFrame) -> DataFrame:
-    """Newest progress record per job; run in update mode."""
-    packed = F.struct(*[f for f in PROGRESS_FIELDS if f in stream.columns], "updated_at")
-    return (stream.groupBy("job_id").agg(F.max_by(packed, F.struct("updated_at", "seq")).alias("p"))
-            .select("job_id", "p.*"))
+    """Newest progress record per job and source; run in update mode, and read with ``job.merge_progress``."""
+    return newest_by_source(stream)
 
 
 _REVIEW = "id string, title string, pipeline_card_id string"

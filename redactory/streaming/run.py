@@ -27,7 +27,7 @@ def run_appending(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_updating(stream: DataFrame, name: str, key: str) -> DataFrame:
+def run_updating(stream: DataFrame, name: str, *keys: str) -> DataFrame:
     """Run an update-mode aggregate; each batch is one folder, and the newest row per key counts.
 
     A batch that is run again replaces its own folder.
@@ -43,5 +43,5 @@ def run_updating(stream: DataFrame, name: str, key: str) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
     fields = stream.columns
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
     return newest.select("r.*")

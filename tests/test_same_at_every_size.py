@@ -72,3 +72,11 @@ def test_written_tables_are_deleted_on_request(spark):
     folder = shared._made[-1]
     assert df.count() == 3 and os.path.isdir(folder)
     assert shared.forget_written(spark) == 1 and not os.path.exists(folder)
+
+
+def test_retention_sorts_one_day(spark):
+    rows = [(i, f"2024-01-{1 + i % 3:02d} 0{i % 7}:00:00") for i in range(60)] + [(100, None), (101, None)]
+    audit = spark.createDataFrame(rows, "id int, t string").selectExpr("id", "cast(t as timestamp_ntz) AS timestamp")
+    newest = [i for i, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]), reverse=True)]
+    for n in (1, 19, 20, 21, 45, 60, 61, 62, 99):
+        assert sorted(r.id for r in records.retain_newest(audit, n).collect()) == sorted(newest[:n]), n
