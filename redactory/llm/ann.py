@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.shared import written
-from .common import mix, shuffle_partitions
+from .common import mix
 
 K = 20
 TREES = 4
@@ -27,7 +27,7 @@ DEEPEST = 12           # levels of a tree; leaves grow beyond that and are cut i
 SAMPLE = 16_384        # vectors the trees are fitted to
 SHARE = 1.3            # entries opened per query, as a multiple of the number of vectors
 PART = 4096            # entries of a leaf in one part
-SHARD_ENTRIES = 32_768
+SHARD_ENTRIES = 16_384
 QUERY_BLOCK = 4096
 
 
@@ -153,7 +153,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     for r in indexed.groupBy("leaf").count().collect():  # one row a leaf
         sizes[r["leaf"]] = r["count"]
     parts = np.maximum(1, np.ceil(sizes / PART)).astype(np.int64)
-    n_shards = int(max(min(shuffle_partitions(spark), parts.sum()), -(-(n * trees) // SHARD_ENTRIES)))
+    n_shards = int(max(1, -(-(n * trees) // SHARD_ENTRIES)))  # each gives up to k + 1 rows a query
     n_blocks = max(1, -(-asking.select("class_id").distinct().count() // QUERY_BLOCK))
 
     def shard_of(leaf: np.ndarray, part: np.ndarray) -> np.ndarray:
