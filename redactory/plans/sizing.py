@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 # A build side is broadcast only when a count proves that it is within both bounds.
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def measured_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
