@@ -204,7 +204,7 @@ class Words:
     Emptied when it holds ``most`` words: memory stays bounded and results do not depend on it.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
         self.merger, self.most = Merger(vocabulary), most
         self.forget()
 

@@ -6,6 +6,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text that a Python step works on at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 # Odd multipliers of rolling hashes.
 ODD_1, ODD_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -39,21 +40,24 @@ def unused(name: str, columns: list[str]) -> str:
 def text_slices(batches, column: str = "text"):
     """Arrow batches cut into slices of about SLICE_BYTES of text, with null text made empty.
 
-    A single longer text is a slice of its own.
+    A single longer text is a slice of its own.  Memory that Arrow holds back is given up after each slice, as a
+    worker lives on through many tasks.
     """
+    pool = pa.default_memory_pool()
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        texts = batch.column(at)
-        texts = texts.cast(pa.large_string()).fill_null("")
-        batch = pa.RecordBatch.from_arrays(
-            [texts if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
-        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = offsets_of(sizes.astype(np.int64))
         start = 0
-        while start < len(texts):
+        while start < batch.num_rows:
             stop = int(np.searchsorted(ends, ends[start] + SLICE_BYTES, side="right")) - 1
-            stop = min(max(stop, start + 1), len(texts))
-            yield batch.slice(start, stop - start)
+            stop = min(max(stop, start + 1), batch.num_rows)
+            part = batch.slice(start, stop - start)
+            texts = part.column(at).cast(pa.large_string()).fill_null("")
+            yield pa.RecordBatch.from_arrays(
+                [texts if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
             start = stop
+            pool.release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,6 +92,7 @@ class WordTable:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False, signs: bool = True):
+        pa.default_memory_pool().release_unused()
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n \

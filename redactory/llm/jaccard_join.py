@@ -30,7 +30,7 @@ SHINGLE = 3
 PERCENT = 90
 CHUNK_BYTES = 4 << 20           # of text in one chunk
 SHARD_BYTES = 32 << 20          # of text behind one shard of shingles
-TASK_BYTES, TASK_SETS = 8 << 20, 1000  # of text and sets searched in one task
+TASK_BYTES, TASK_SETS = 4 << 20, 1000  # of text and sets searched in one task
 MANY = 400                      # from this size on, a set is represented by part of its shingles
 MERGE_COST = 0.01               # DivideSkip's weight of a merge against a probe
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ODD_1, ODD_2, WordTable, by_shard, mix, offsets_of, shuffle_partitions, unused
 
 WINDOW, PHRASE = 13, 5
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
 # A word of a chunk is a few characters of the automaton's strings, each digit of its number from an alphabet of its
 # own: nodes have few children, and a match can only begin where a word does.
 DIGITS = 64
