@@ -82,16 +82,77 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+# Borders of code point ranges [first, after the last), one after another.
+# Scripts written without spaces between words (Thai to Tibetan, Myanmar, Khmer, Tai, kana, bopomofo, Han), and emoji.
+UNSPACED = np.array([
+    0x0E00, 0x1000, 0x1000, 0x10A0, 0x1780, 0x1800, 0x1950, 0x1AB0, 0x3005, 0x3008, 0x3040, 0x3130, 0x31A0, 0x31C0,
+    0x31F0, 0x3200, 0x3400, 0xA000, 0xA9E0, 0xAA00, 0xAA60, 0xAAE0, 0xF900, 0xFB00, 0xFF66, 0xFFA0,
+    0x1B000, 0x1B170, 0x1F000, 0x1FB00, 0x20000, 0x40000])
+# Signs and spaces beyond ASCII, without joiners inside words.
+SIGNS = np.array([
+    0xA0, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0x60C, 0x60D, 0x61B, 0x61C, 0x61F, 0x620, 0x6D4, 0x6D5,
+    0x964, 0x966, 0x2000, 0x200C, 0x200E, 0x2070, 0x2E00, 0x2E80, 0x3000, 0x3005, 0x3008, 0x3021, 0x30FB, 0x30FC,
+    0xFE30, 0xFE70, 0xFF01, 0xFF10, 0xFF1A, 0xFF21, 0xFF3B, 0xFF41, 0xFF5B, 0xFF66])
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sizes in bytes and code points of the characters beyond ASCII."""
+    at = np.nonzero(data >= 0xC0)[0]
+    size = 2 + (data[at] >= 0xE0).astype(np.int64) + (data[at] >= 0xF0)
+    code = data[at].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = np.nonzero(size > k)[0]
+        code[more] = (code[more] << 6) | (data[np.minimum(at[more] + k, len(data) - 1)] & 63)
+    return at, np.minimum(size, len(data) - at), code
+
+
+def within(code: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    return np.searchsorted(borders, code, side="right") % 2 == 1
+
+
+def cut_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, unspaced: np.ndarray,
+              longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of words no longer than ``longest`` bytes: every two neighbouring characters where
+    ``unspaced`` marks the bytes, and parts of longer words that overlap by about half."""
+    bare = unspaced[starts]
+    long_ = ~bare & (lengths > longest)
+    if not bare.any() and not long_.any():
+        return starts, lengths
+    ends = starts + lengths
+    inner = lambda at: (data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80
+
+    at = np.nonzero(unspaced & ((data & 0xC0) != 0x80))[0]
+    run = np.searchsorted(starts, at, side="right") - 1
+    beyond = np.append(at, [len(data), len(data)])
+    second, third = np.minimum(beyond[1:-1], ends[run]), np.minimum(beyond[2:], ends[run])
+    pair = (second < ends[run]) | (at == starts[run])  # a single character is a word
+
+    half = longest // 2
+    count = -(-(lengths[long_] - longest) // half) + 1
+    end = np.repeat(ends[long_], count)
+    a = np.repeat(starts[long_], count) + ranges(np.zeros(len(count), dtype=np.int64), count) * half
+    b = np.minimum(a + longest, end)
+    for _ in range(3):  # to the borders of characters
+        a = a + inner(a)
+        b = b - ((b < end) & inner(b))
+
+    keep = ~bare & ~long_
+    first = np.concatenate([starts[keep], at[pair], a])
+    size = np.concatenate([lengths[keep], (third - at)[pair], b - a])
+    order = np.argsort(first, kind="stable")
+    return first[order], size[order]
+
+
 class WordTable:
     """The words of some texts, side by side: runs free of ASCII white space, or without ``signs`` runs of
-    ASCII letters, digits and bytes beyond ASCII.
+    ASCII letters, digits and characters beyond ASCII that are no signs.  With ``longest``, see ``cut_words``.
 
     ``data`` is all texts' bytes and ``inside`` marks those of words; word i starts at ``starts[i]``, has
     ``lengths[i]`` bytes, the small number ``ids[i]`` and the 64-bit hash ``hashes[i]``, and belongs to text
     ``doc_of[i]``.  Text d has the words ``word_ends[d]`` up to ``word_ends[d + 1]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, signs: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, signs: bool = True, longest: int | None = None):
         pa.default_memory_pool().release_unused()
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
@@ -106,15 +167,30 @@ class WordTable:
             self.inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         else:
             self.inside = (data >= 128) | ((data >= 48) & (data <= 57)) | (((data | 32) >= 97) & ((data | 32) <= 122))
+            at, size, code = characters(data)
+            sign = within(code, SIGNS)
+            self.inside[ranges(at[sign], size[sign])] = False
         begins = self.inside.copy()
         begins[1:] &= ~self.inside[:-1]
+        if longest:
+            at, size, code = characters(data)
+            bare = within(code, UNSPACED)
+            unspaced = np.zeros(len(data), dtype=bool)
+            unspaced[ranges(at[bare], size[bare])] = True
+            unspaced &= self.inside
+            begins[1:] |= self.inside[1:] & (unspaced[1:] != unspaced[:-1])
         first = self.doc_ends[:-1][self.doc_ends[:-1] < len(data)]
         begins[first] = self.inside[first]
         self.starts = np.nonzero(begins)[0]
         before = offsets_of(self.inside)
         self.lengths = np.diff(np.append(before[self.starts], before[-1]))
+        if longest:
+            self.starts, self.lengths = cut_words(data, self.starts, self.lengths, unspaced, longest)
+            letters = data[ranges(self.starts, self.lengths)]
+        else:
+            letters = data[self.inside]
         words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [
-            None, pa.py_buffer(offsets_of(self.lengths)), pa.py_buffer(data[self.inside])]).dictionary_encode()
+            None, pa.py_buffer(offsets_of(self.lengths)), pa.py_buffer(letters)]).dictionary_encode()
         self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.distinct = words.dictionary
         self.n_distinct = len(words.dictionary)

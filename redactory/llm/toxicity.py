@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is all its overlapping windows of ``WINDOW`` words.  A word's input is its embedding and the mean of
-the embeddings of its character trigrams, so words never seen before still have a shape.  Each window is
+the embeddings of its character trigrams, so words never seen before still have a shape.  Runs of scripts without
+spaces are read as pairs of neighbouring characters, and words beyond ``LETTERS`` bytes as overlapping parts, so that
+no letter of a text is left out.  Each window is
 read in both directions, attention weighs the states, and a logistic unit scores the pooled state; a text
 scores as its worst window.  Labels are of whole texts: in training, each text's highest window takes its label.
 
@@ -19,12 +21,12 @@ from .common import WordTable, offsets_of, ranges, text_slices
 WINDOW, STEP = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 VOCABULARY = 20_000        # words with an embedding of their own
-TRIGRAMS, LETTERS = 2048, 12
+TRIGRAMS, LETTERS = 2048, 24   # no word is longer, see word_table
 UNKNOWN, PAD = 0, 1
 SAMPLE = 1500              # labelled texts of each class that the network is fitted to, at most about
 SAMPLE_CHARS = 12_000      # of them, only texts up to this length
 STEPS, BATCH = 120, 24
-ROWS = 8192                # windows scored at once
+ROWS = 8192                # windows, or distinct words, worked on at once
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -32,11 +34,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def word_table(texts: pa.Array) -> WordTable:
-    return WordTable(texts, lower=True, signs=False)
+    return WordTable(texts, lower=True, signs=False, longest=LETTERS)
 
 
 def trigrams(words: pa.Array) -> np.ndarray:
-    """Bucket numbers of the trigrams around each of the first ``LETTERS`` bytes, -1 beyond a word's end."""
+    """Bucket numbers of the trigrams around each byte, -1 beyond a word's end."""
+    return np.concatenate([np.zeros((0, LETTERS), np.int16), *(
+        _trigrams(words.slice(a, ROWS)) for a in range(0, len(words), ROWS))])
+
+
+def _trigrams(words: pa.Array) -> np.ndarray:
     n = len(words)
     ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(words.buffers()[2] or b"\0", dtype=np.uint8)
@@ -46,7 +53,7 @@ def trigrams(words: pa.Array) -> np.ndarray:
     before = np.concatenate([np.full((n, 1), 1, dtype=np.uint64), grid[:, :-2]], axis=1)
     code = (before * np.uint64(65_599) + grid[:, :-1]) * np.uint64(65_599) + grid[:, 1:]
     code = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return np.where(np.arange(LETTERS)[None, :] < size[:, None], (code % np.uint64(TRIGRAMS)).astype(np.int64), -1)
+    return np.where(np.arange(LETTERS)[None, :] < size[:, None], (code % np.uint64(TRIGRAMS)).astype(np.int16), np.int16(-1))
 
 
 def windows_of(n_words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +89,7 @@ class Network:
         """Embedding numbers and trigram buckets of distinct words; the last row is padding."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, UNKNOWN) for w in words.to_pylist()), dtype=np.int64, count=len(words))
-        return np.append(ids, PAD), np.concatenate([trigrams(words), np.full((1, LETTERS), -1)])
+        return np.append(ids, PAD), np.concatenate([trigrams(words), np.full((1, LETTERS), -1, np.int16)])
 
     def features(self, ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
         has = (grams >= 0)[..., None]
@@ -166,7 +173,8 @@ class Network:
         ids, grams = self.word_rows(words.distinct)
         doc, at = windows_of(words.n_words, words.word_ends[:-1])
         places = np.where(at >= 0, words.ids[np.maximum(at, 0)] if len(words.ids) else 0, len(ids) - 1)
-        logit = self.logits(self.features(ids, grams), places)
+        rows = np.concatenate([self.features(ids[a:a + ROWS], grams[a:a + ROWS]) for a in range(0, len(ids), ROWS)])
+        logit = self.logits(rows, places)
         first = np.searchsorted(doc, np.arange(len(words.n_words)))
         return sigmoid(np.maximum.reduceat(logit, first).astype(np.float64)) if len(first) else np.zeros(0)
 

@@ -129,6 +129,37 @@ def test_held_out_accuracy_and_last_windows(spark):
     assert net.scores(pa.array([long, long + " vile rotten nasty"], pa.large_string())).round().tolist() == [0, 1]
 
 
+def test_no_letter_is_left_out():
+    texts = ["傻瓜。你好abc 笨蛋", "กขค😀idiot", "a" * 100 + "z", "é" * 40, "日", "", "l’été «non»"]
+    words = toxicity.word_table(pa.array(texts, pa.large_string()))
+    names = [words.distinct[i].as_py().decode() for i in words.ids]
+    of = [names[a:b] for a, b in zip(words.word_ends[:-1], words.word_ends[1:])]
+    assert of[0] == ["傻瓜", "你好", "abc", "笨蛋"] and of[1] == ["กข", "ขค", "ค😀", "idiot"]
+    assert of[2][-1][-1] == "z" and sum(map(len, of[2])) >= 101 and set("".join(of[3])) == {"é"} and len(of[3]) == 6
+    assert of[4:] == [["日"], [], ["l", "été", "non"]]
+    assert max(len(n.encode()) for n in names) <= toxicity.LETTERS
+    grams = toxicity.trigrams(words.distinct)
+    assert ((grams >= 0).sum(axis=1) == [len(w.as_py()) for w in words.distinct]).all()
+
+
+@pytest.mark.parametrize("letters", ["天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "klmnopqrst"])
+def test_insults_after_the_start_of_a_run(letters):
+    """Texts without spaces that all begin alike: what follows decides."""
+    rng = random.Random(7)
+    bad = ("傻瓜", "笨蛋") if letters[0] > "z" else ("vile", "nasty")
+    texts, y = [], []
+    for i in range(400):
+        w = [rng.choice(letters) for _ in range(rng.choice((10, 40, 90)))]
+        if i % 2:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(bad)
+        texts.append(letters[:8] + "".join(w))
+        y.append(i % 2)
+    net = toxicity.train(texts[:300], np.array(y[:300]))
+    got = net.scores(pa.array(texts[300:], pa.large_string())) >= 0.5
+    assert np.mean(got == np.array(y[300:], dtype=bool)) > 0.9
+
+
 def test_without_both_classes(spark):
     docs, none = frame(spark, [(1, "a"), (2, None)]), spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_documents(docs, none).collect()} == {0.5}
