@@ -44,7 +44,8 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, queries.tokenizer_path(), content="ids_crc32")
+    """Sequences with their ids, and a checksum of each piece."""
+    return packing.pack_documents(docs, queries.tokenizer_path()).withColumn("ids_crc32", queries.ids_crc32("ids"))
 
 
 def _resized(docs: DataFrame) -> DataFrame:

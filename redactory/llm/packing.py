@@ -156,14 +156,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, content: str = "ids", w
     """``docs(doc_id, text)`` to pieces with ``sequence_id`` (from 0) and ``offset`` in it.
 
     Null and empty texts are the end id alone.  A null doc_id and repeated rows are packed like any
-    other row.  An empty table gives no rows.  Other columns are ignored.
+    other row.  An empty table gives no rows.  Other columns are ignored.  Ids are shuffled once, to the
+    places that were worked out without them.
     """
     if window % grain:
         raise ValueError("the grain must divide the window")
     levels = window // grain
-    cut = written(pieces(docs, tokenizer_path, content, window, end_id), "pieces")
+    cut = pieces(docs, tokenizer_path, content, window, end_id)
+    fields = cut.columns
+    if content == "ids":
+        # Fixed once written, so it stands for the row; the hash keeps ties in one order however rows are dealt.
+        cut = written(cut.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+        slim, tie = cut.withColumn("_tie", F.xxhash64("ids")).drop("ids"), "_tie"
+    else:
+        cut = written(cut, "pieces")
+        slim, tie = cut, content
     level = F.ceil(F.col("length") / F.lit(grain)).cast("int")
-    placed = cut.withColumn("_level", level).withColumn(
+    placed = slim.withColumn("_level", level).withColumn(
         "_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int"))
     sizes = placed.groupBy("_level", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     counts = np.zeros(levels + 1, dtype=np.int64)
@@ -173,12 +182,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, content: str = "ids", w
 
     earlier = W.partitionBy("_level").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("_level", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_level", "_bucket").orderBy("doc_id", "start", "length", "doc_tokens", content)
+    inside = W.partitionBy("_level", "_bucket").orderBy("doc_id", "start", "length", "doc_tokens", tie)
     ranked = placed.withColumn("_in", F.row_number().over(inside) - 1).join(
         F.broadcast(before), ["_level", "_bucket"])  # at most levels * BUCKETS rows
-    ranked = ranked.select(*cut.columns, "_level", (F.col("_in") + F.col("_before")).alias("_rank"))
+    ranked = ranked.select(*slim.columns, "_level", (F.col("_in") + F.col("_before")).alias("_rank"))
 
-    names = cut.columns
+    names = slim.columns
 
     def seat(batches):
         span = np.int64(1) << 48
@@ -190,8 +199,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, content: str = "ids", w
                 [*(b.column(c) for c in names), pa.array(table[at, 2] + rank - table[at, 1]),
                  pa.array(table[at, 3])], names=[*names, "sequence_id", "_slot"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    seated = ranked.mapInArrow(seat, f"{fields}, sequence_id long, _slot long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
+    seated = ranked.mapInArrow(seat, f"{kinds}, sequence_id long, _slot long")
     so_far = W.partitionBy("sequence_id").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    return seated.select(*cut.columns, "sequence_id",
-                         F.coalesce(F.sum("length").over(so_far), F.lit(0)).cast("long").alias("offset"))
+    seated = seated.select(*names, "sequence_id",
+                           F.coalesce(F.sum("length").over(so_far), F.lit(0)).cast("long").alias("offset"))
+    if content == "ids":
+        seated = seated.join(cut.select("_piece", "ids"), "_piece")
+    return seated.select(*fields, "sequence_id", "offset")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, fingerprints, jaccard_join, license_scan, line_dedup, packing, phrase_dedup, sql, toxicity, url_filter
 from .common import documents
@@ -13,6 +17,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _digests(ids: pa.Array, digest) -> list:
+    """Of each list's numbers as little-endian 32-bit bytes."""
+    ends = [4 * e for e in ids.offsets.to_pylist()]
+    raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes())
+    return [digest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def ids_crc32(ids: str) -> Column:
+    return F.arrow_udf(lambda a: pa.array(_digests(a, zlib.crc32), pa.int64()), "long")(F.col(ids))
+
+
+def ids_sha256(ids: str) -> Column:
+    return F.arrow_udf(lambda a: pa.array(_digests(a, lambda raw: hashlib.sha256(raw).hexdigest()), pa.string()),
+                       "string")(F.col(ids))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_and_compare(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -52,11 +72,15 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), content="ids_crc32")
+    packed = packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+    return packed.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
+    encoded = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

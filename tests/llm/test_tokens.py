@@ -1,5 +1,6 @@
 """BPE and packing against the tokenizers library."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -7,7 +8,8 @@ import pyarrow as pa
 import pytest
 from conftest import frame
 
-from redactory.llm import bpe, packing
+import corpus_pipeline
+from redactory.llm import bpe, packing, queries
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +93,28 @@ def test_every_id_lies_in_one_piece(spark, library, corpus):
     assert packing.pack_documents(frame(spark, []), PATH).count() == 0
 
 
+def test_queries_and_pipeline_keep_the_ids(spark, library, tmp_path, monkeypatch):
+    """Digests come from the operators' own ids and texts; equal ids, null ids and repeated rows included."""
+    rows = [(1, "a b"), (1, "a b"), (1, "a c"), (None, None), (2, "word " * 5000), (3, "")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    raw = lambda some: np.array(some, dtype="<u4").tobytes()
+    packed = corpus_pipeline.pack(spark, frame(spark, rows), "").collect()
+    wanted = [(d, k, (ids(t) + [1])[k:k + 2048]) for d, t in rows for k in range(0, len(ids(t)) + 1, 2048)]
+    order = lambda some: sorted(some, key=lambda r: (r[0] or 0, *r[1:]))
+    assert order((r.doc_id, r.start, r.ids) for r in packed) == order(wanted)
+    assert all(r.ids_crc32 == zlib.crc32(raw(r.ids)) and r.length == len(r.ids) for r in packed)
+    monkeypatch.setattr(bpe, "encode_digests", None)
+    kept = []
+    monkeypatch.setattr(packing, "pieces", lambda *a, f=packing.pieces: kept.append(f(*a)) or kept[-1])
+    got = queries.op7_packing(spark, str(tmp_path)).collect()
+    assert "ids" in kept[0].columns
+    assert order((r.doc_id, r.start, r.ids_crc32) for r in got) == order((d, k, zlib.crc32(raw(i))) for d, k, i in wanted)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert order(tuple(r) for r in queries.op8_bpe(spark, str(tmp_path)).collect()) == order(
+        (d, len(ids(t)), sha(raw(ids(t))), sha((t or "").encode())) for d, t in rows)
+
+
 def test_plan_uses_every_piece_once_with_little_padding():
     rng = np.random.default_rng(0)
     for counts in (np.bincount(np.clip(rng.gamma(3, 30, 20_000).astype(int), 1, 256), minlength=257),
