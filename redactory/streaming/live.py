@@ -48,16 +48,18 @@ _REVIEW = "id string, title string, pipeline_card_id string"
 _REVIEW_STATE = "seq long, title string, card string, due long, status string"
 
 
-def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remember_days: int = 7) -> DataFrame:
+def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remember_days: int | None = None) -> DataFrame:
     """Appointments at the moment they come due: ``(id, title, pipeline_card_id)``.
 
     ``appointments`` is a stream of versions ``(id, title, pipeline_card_id, scheduled_for, status, seq, ts)``.  The
-    newest version by ``seq`` counts; ``ts`` drives the clock, which trails it by ``lateness``.  Each id keeps one
-    version and a timer, so an appointment that arrives early fires later, one that arrives late fires at once, and
-    one that was cancelled or moved does not fire at its old time.  After firing or cancelling, an id is remembered
-    for ``remember_days`` beyond its time against repeated rows, and then forgotten.  Without a time it never fires.
+    newest version by ``seq`` counts, however far its ``ts`` is behind; ``ts`` only drives the clock, which trails the
+    newest one by ``lateness``.  Each id keeps one version and a timer, so an appointment that arrives early fires
+    later, one that arrives late fires at once, and one that was cancelled or moved does not fire at its old time.
+    After firing or cancelling, an id is remembered for good: a repeated row may arrive at any time.  With
+    ``remember_days`` it is forgotten so long after its time, and a row that arrives later counts as a new id.
+    Without a time it never fires.
     """
-    remember = remember_days * 86_400_000
+    remember = None if remember_days is None else remember_days * 86_400_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
@@ -78,12 +80,17 @@ def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remembe
         if fires:
             status = "fired"
         state.update((seq, title, card, due, status))
-        state.setTimeoutTimestamp(due if status == "scheduled" and due > now else max(due, now) + remember)
+        if status == "scheduled" and due > now:
+            state.setTimeoutTimestamp(due)
+        elif remember is not None:
+            state.setTimeoutTimestamp(max(due, now) + remember)
         if fires:
             yield pd.DataFrame({"id": [key[0]], "title": [title], "pipeline_card_id": [card]})
 
     timed = appointments.where("id IS NOT NULL").withWatermark("ts", lateness).selectExpr(
         "id", "title", "pipeline_card_id", "unix_millis(cast(scheduled_for as timestamp)) AS due", "status", "seq", "ts")
+    # Spark drops rows whose event time is behind the clock.  The clock has read it by now, so none is left to judge by.
+    timed = timed.withColumn("ts", F.lit(None).cast("timestamp").alias("ts", metadata=timed.schema["ts"].metadata))
     return timed.groupBy("id").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append", "EventTimeTimeout")
 
 

@@ -118,3 +118,30 @@ def test_reviews_fire_once_at_their_time(spark, tmp_path):
         seen = sorted(r.id for r in spark.read.schema("id string, title string, pipeline_card_id string").parquet(str(tmp_path / "out")).collect())
         assert seen == [[], [], ["early", "late"], ["early", "late", "moved"]][k], k
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_reviews_count_rows_far_behind_the_clock(spark, tmp_path):
+    """Appointments, moves and cancellations whose ts is hours or weeks behind, and repeats of fired ones."""
+    schema = "id string, title string, pipeline_card_id string, scheduled_for timestamp, status string, seq long, ts timestamp"
+    batches = [
+        [("gone", "2024-01-30 12:00", "scheduled", 1, "2024-01-01 10:00"), ("moved", "2024-01-30 12:00", "scheduled", 1, "2024-01-01 10:00"),
+         ("once", "2024-01-01 09:00", "scheduled", 1, "2024-01-01 10:00"), ("tick", None, "completed", 1, "2024-01-02 10:00")],
+        [("gone", "2024-01-30 12:00", "cancelled", 2, "2024-01-02 04:00"), ("moved", "2024-02-20 12:00", "scheduled", 2, "2024-01-01 04:00"),
+         ("late", "2024-01-01 09:00", "scheduled", 1, "2024-01-01 05:00"), ("tick", None, "completed", 2, "2024-02-02 10:00")],
+        [("once", "2024-01-01 09:00", "scheduled", 1, "2024-01-01 10:00"), ("gone", "2024-01-30 12:00", "scheduled", 1, "2024-01-01 10:00"),
+         ("later", "2024-02-02 11:00", "scheduled", 1, "2023-12-01 10:00"), ("tick", None, "completed", 3, "2024-02-02 10:30")],
+        [("tick", None, "completed", 4, "2024-03-01 10:00")],
+    ]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "id string, due string, status string, seq long, at string")
+        df = df.selectExpr("id", "concat('t-', id) AS title", "'c' AS pipeline_card_id", "cast(due as timestamp) AS scheduled_for", "status", "seq",
+                           "cast(at as timestamp) AS ts")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        fired = live.fire_when_due(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = (fired.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        seen = sorted(r.id for r in spark.read.schema("id string").parquet(str(tmp_path / "out")).collect())
+        assert seen == [["once"], ["late", "once"], ["late", "once"], ["late", "later", "moved", "once"]][k], k
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
