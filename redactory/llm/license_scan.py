@@ -8,7 +8,10 @@ retrieved with probability 1 - (1 - J)^BANDS, over 0.99999 at 0.4.
 Two windows share a band's minimum exactly if the template's smallest shingle under that hash is in the document's
 window and smallest there too.  So documents' shingles are first joined with the templates' band minima, a
 small table, and window minima are worked out only where one of those occurs.  That gives the same pairs
-as hashing every window.  All of it is DataFrame and SQL expressions.
+as hashing every window.
+
+Containment alone would not tell versions apart: where two neighbouring words of a template both name the licence or
+its version, a shingle with the two has to be found as well.  All of it is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
@@ -54,6 +57,46 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 )
 
+# Other versions and members of the same families.  The DuckDB statement holds TEMPLATES and the bound alone.
+VERSIONS: tuple[tuple[str, str], ...] = (
+    *((name, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+             f"{word} General Public License as published by the Free Software Foundation")
+      for name, word in (("LGPL", "Lesser"), ("AGPL", "Affero"))),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-1.0", "licensed under the GNU Affero General Public License, version 1."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-1.0", "Licensed under the Apache License, Version 1.0."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission"),
+    *((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for kind in
+      ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("2.0", "2.5", "3.0", "4.0")
+      if version != "4.0" or kind not in ("BY", "BY-SA", "BY-NC")),
+    *((f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for kind, name in (
+        ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+)
+
+# Words that name a licence or its version, besides numbers.
+NAMING = frozenset("gnu general public license lesser library affero apache mozilla mit bsd isc creative commons attribution "
+                   "sharealike noncommercial noderivatives cc by sa nc nd version v".split())
+
+
+def naming_pairs(text: str) -> list[int]:
+    """Positions of a template's words that name the licence or its version together with the next word."""
+    names = [w in NAMING or w.isdigit() for w in words_of(text)]
+    return [i for i, both in enumerate(zip(names, names[1:])) if all(both)]
+
 
 def words_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
@@ -72,7 +115,8 @@ def _shingled(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]], bands: int) -> DataFrame:
-    """Rows ``(shingle, band, size, template, license, whole)``: the smallest shingle of each template window and band.
+    """Rows ``(shingle, band, size, template, license, whole, named)``: the smallest shingle of each template window and
+    band.  ``named`` has the shingles around each of ``naming_pairs``.
 
     As many rows as template windows times bands, whatever the documents.  Templates of fewer than five words
     raise: they have no shingle.
@@ -80,26 +124,28 @@ def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]], ba
     for _, text in templates:
         if len(words_of(text)) < SHINGLE:
             raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
-    table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)],
-                                  "template int, license string, text string")
-    whole = _shingled(table, ["template", "license"], "text").select("*", F.size("_s").alias("n"))
+    table = spark.createDataFrame([(i, name, text, naming_pairs(text)) for i, (name, text) in enumerate(templates)],
+                                  "template int, license string, text string, pairs array<int>")
+    whole = _shingled(table, ["template", "license", "pairs"], "text").select("*", F.size("_s").alias("n"), F.expr(
+        f"transform(pairs, p -> slice(_s, greatest(p - {SHINGLE - 2}, 0) + 1, "
+        f"least(p + 1, size(_s)) - greatest(p - {SHINGLE - 2}, 0)))").alias("named"))
     half = LONGEST // 2
     windows = whole.select("*", F.explode(F.expr(
         f"IF(n <= {LONGEST}, array(0), sequence(0, n - {half} - 1, {half}))")).alias("at")).select(
-        "template", "license", F.array_distinct("_s").alias("whole"), F.expr(f"slice(_s, at + 1, {LONGEST})").alias("w"))
+        "template", "license", F.array_distinct("_s").alias("whole"), "named", F.expr(f"slice(_s, at + 1, {LONGEST})").alias("w"))
     scale = "CASE " + " ".join(f"WHEN size(w) <= {1 << k} THEN {1 << k}" for k in range(int(math.log2(LONGEST)) + 1)) + " END"
     return windows.select("*", F.expr(scale).alias("size"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select(
         F.expr("array_min(transform(w, x -> named_struct('h', xxhash64(x, band), 'x', x))).x").alias("shingle"),
-        "band", "size", "template", "license", "whole")
+        "band", "size", "template", "license", "whole", "named")
 
 
-def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, bands: int = BANDS,
+def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPLATES, *VERSIONS), bands: int = BANDS,
                     containment: float = CONTAINMENT) -> DataFrame:
     """``docs(doc_id, text)`` to one row per match: ``(doc_id, template, license, shingle_at, containment)``.
 
     ``shingle_at`` is where the matching window starts, in shingles; a passage found through several windows of one
     template gives the rows of the best windows that differ.  ``containment`` is the share of the template's distinct
-    shingles found around the window, at least the bound.  Words are ASCII letters and digits in lower
+    shingles found around the window, at least the bound; all its ``naming_pairs`` are there, too.  Words are ASCII letters and digits in lower
     case; null, empty and shorter texts match nothing.  Other columns are ignored.
     """
     table = template_bands(docs.sparkSession, templates, bands)
@@ -114,11 +160,12 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     retrieved = hits.where(same).dropDuplicates(["doc_id", "template", "start", "size"])
     around = "slice(_s, greatest(0, start - size(whole)) + 1, start - greatest(0, start - size(whole)) + size + size(whole))"
     share = F.expr(f"size(array_intersect(whole, {around})) / size(whole)")
-    return retrieved.select("doc_id", "template", "license", F.col("start").alias("shingle_at"),
+    named = F.expr(f"forall(named, pair -> arrays_overlap(pair, {around}))")
+    return retrieved.where(named).select("doc_id", "template", "license", F.col("start").alias("shingle_at"),
                             share.alias("containment")).where(F.col("containment") >= containment)
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, bands: int = BANDS,
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPLATES, *VERSIONS), bands: int = BANDS,
                   containment: float = CONTAINMENT) -> DataFrame:
     """One row per document id: ``(doc_id, licenses array<string>, n_templates, containment)``.
 

@@ -179,6 +179,21 @@ def test_licences_are_found_where_they_are(spark, corpus):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_versions_and_names_of_licences(spark):
+    every = (*license_scan.TEMPLATES, *license_scan.VERSIONS)
+    gpl = next(t for name, t in every if name == "GPL")
+    texts = {t: {name} for name, t in every} | {
+        "This work is licensed under the GNU General Public License, version 4.": set(),
+        "licensed under the GNU Affero General Public License, version 2.": set(),
+        gpl.replace("GNU General", "GNU Lesser General"): {"LGPL"}, gpl.replace("redistribute it", "redistribute them"): {"GPL"},
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0.": set()}
+    # The family's own template is part of these.
+    texts |= {t: texts[t] | {"LGPL"} for t in texts if t.startswith("licensed under the GNU Lesser")}
+    rows = [(i, f"some words before\n{t}\nand others after") for i, t in enumerate(texts)]
+    got = {r.doc_id: set(r.licenses) for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v int")
 
