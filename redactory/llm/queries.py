@@ -8,13 +8,14 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, fingerprints, jaccard_join, license_scan, line_dedup, packing, phrase_dedup, sql, toxicity, url_filter
+from . import (alignment, ann, bpe, fingerprints, jaccard_join, license_scan, line_dedup, packing, phrase_dedup, spelling, sql,
+               token_files, toxicity, url_filter)
 from .common import documents
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _digests(ids: pa.Array, digest) -> list:
@@ -93,12 +94,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, folder).select(
+        "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+
+
+def _groups_sha256(aligned: alignment.Aligned) -> list[str]:
+    return [hashlib.sha256(s).hexdigest() if s else "" for s in alignment.group_strings(aligned)]
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_links(documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"),
+                                 {"groups_sha256": ("string", _groups_sha256)})
+
+
 def queries() -> dict:
     return {"op1_fingerprints": op1_fingerprints, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity,
             "op4_license_scan": op4_license_scan,
             "op5_line_dedup": op5_line_dedup, "op6_ann": op6_ann,
             "op7_packing": op7_packing, "op8_bpe": op8_bpe,
-            "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+            "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join,
+            "op11_spelling": op11_spelling, "op12_token_files": op12_token_files, "op13_alignment": op13_alignment}
 
 
 def statements() -> dict:
