@@ -12,17 +12,18 @@ sent back, and never a document's links.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import written
-from .bpe import Vocabulary, load_vocabulary
+from .bpe import Encoder, Vocabulary, load_vocabulary
 from .common import offsets_of, ranges, text_slices
+from .word_cache import WordCache, flat
 
 # Bits of an id in a pair; ends that one lane of the search goes through; pairs worked on at once.
 ID_BITS = 20
@@ -61,31 +62,51 @@ def piece_tokens(model: bytes) -> Tokens:
                       else pieces.id_to_piece(i).replace("▁", " ").encode() for i in range(pieces.get_piece_size())])
 
 
-_CODERS: dict[tuple, tuple] = {}
+class PieceEncoder:
+    """Ids of texts by the piece model, which sets a space before each text.
 
+    No piece has a space after anything else, so no piece goes beyond a word and the one space before it: words between
+    single spaces are encoded about once in a worker.  Texts with other spaces, or all if there is
+    such a piece, are encoded whole.
+    """
 
-def coders(spec: str, model: bytes):
-    """This worker's two libraries' encoders, kept between tasks."""
-    key = (hash(spec), hash(model))
-    if key not in _CODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
-        a = Tokenizer.from_str(spec)
-        a.encode_special_tokens = True
-        a.no_truncation()
-        a.no_padding()
-        _CODERS.clear()
-        _CODERS[key] = a, sentencepiece.SentencePieceProcessor(model_proto=model)
-    return _CODERS[key]
-
-
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    out = np.empty(int(counts.sum()), dtype=np.int64)
-    for ids, start in zip(lists, offsets_of(counts).tolist()):
-        out[start:start + len(ids)] = ids
-    return out, counts
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.words = WordCache(lambda some: flat(self.pieces.encode(some, num_threads=1)))
+        every = (self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size()))
+        self.apart = not any("▁" in p.lstrip("▁") for p in every)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        whole = pc.or_(pc.match_substring_regex(texts, "  |^ | $"), pc.equal(pc.binary_length(texts), 0))
+        whole = whole.to_numpy(zero_copy_only=False).astype(bool) | (not self.apart)
+        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        coded = lists.flatten().dictionary_encode()
+        starts, counts = self.words.look_up(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids = self.words.ids[ranges(starts[at], counts[at])]
+        per_text = np.diff(offsets_of(counts[at])[offsets_of(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        if not whole.any():
+            return ids, per_text
+        more, n = flat(self.pieces.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1))
+        size = np.zeros(len(texts), dtype=np.int64)
+        size[~whole], size[whole] = per_text, n
+        ends = offsets_of(size)
+        out = np.empty(int(ends[-1]), dtype=np.int32)
+        out[ranges(ends[:-1][~whole], per_text)], out[ranges(ends[:-1][whole], n)] = ids, more
+        return out, size
+
+
+_PIECES: dict[bytes, PieceEncoder] = {}
+
+
+def pieces_of(model: bytes) -> PieceEncoder:
+    """This worker's encoder, kept between tasks, for one model at a time."""
+    if model not in _PIECES:
+        _PIECES.clear()
+        _PIECES[model] = PieceEncoder(model)
+    return _PIECES[model]
 
 
 # --- galloping -------------------------------------------------------------------------------
@@ -159,25 +180,27 @@ class Aligned:
         return np.diff(offsets_of(self.sizes_a * self.sizes_b)[self.groups])
 
 
-def align(texts: pa.Array, encode_a, encode_b, tokens_a: Tokens, tokens_b: Tokens) -> Aligned:
+def align(texts: pa.Array, encoder_a: Encoder, encoder_b: PieceEncoder, tokens_a: Tokens, tokens_b: Tokens) -> Aligned:
     """Null and empty texts, and those that a tokenizer does not give back byte by byte, have no tokens."""
-    spaced = [" " + t for t in texts.to_pylist()]
-    ids_a, n_a = flat(encode_a(spaced))
-    ids_b, n_b = flat(encode_b([t[1:] for t in spaced]))
-    raw = [t.encode() if len(t) > 1 else b"" for t in spaced]
-    size = np.array([len(r) for r in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    whole = size > 0
+    texts = texts.cast(pa.large_string()).fill_null("")
+    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    spaced = pc.binary_join_element_wise(none, texts, space)  # the last one goes between
+    ids_a, ends = encoder_a.encode(spaced)
+    n_a = np.diff(ends)
+    ids_b, n_b = encoder_b.encode(texts)
+    size = pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.frombuffer(spaced.buffers()[1], dtype=np.int64)[spaced.offset:spaced.offset + len(spaced) + 1]
+    data = np.frombuffer(spaced.buffers()[2] or b"", dtype=np.uint8)
+    whole = size > 1
     for tokens, ids, n in ((tokens_a, ids_a, n_a), (tokens_b, ids_b, n_b)):
         got = offsets_of(tokens.sizes(ids))[offsets_of(n)]
         whole &= np.diff(got) == size
         bytes_ = tokens.joined(ids)
         same = np.nonzero(whole)[0]
-        starts, places = offsets_of(size)[same], got[same]
-        differ = bytes_[ranges(places, size[same])] != data[ranges(starts, size[same])]
+        differ = bytes_[ranges(got[same], size[same])] != data[ranges(at[same], size[same])]
         whole[same[np.diff(offsets_of(differ)[offsets_of(size[same])]) > 0]] = False
-    ids_a, n_a = ids_a[np.repeat(whole, n_a)], np.where(whole, n_a, 0)
-    ids_b, n_b = ids_b[np.repeat(whole, n_b)], np.where(whole, n_b, 0)
+    ids_a, n_a = ids_a[np.repeat(whole, n_a)].astype(np.int64), np.where(whole, n_a, 0)
+    ids_b, n_b = ids_b[np.repeat(whole, n_b)].astype(np.int64), np.where(whole, n_b, 0)
     # Texts follow each other in one run of bytes, so a text's end is common and no group goes beyond it.
     at_a, at_b = common_ends(np.cumsum(tokens_a.sizes(ids_a)), np.cumsum(tokens_b.sizes(ids_b)))
     ends_a = offsets_of(n_a)
@@ -282,21 +305,19 @@ GROUPED = "doc_id long, ids_a array<int>, ids_b array<int>, sizes_a array<int>,
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _encoders(spark: SparkSession, byte_path: str, piece_path: str):
+def _aligned_slices(spark: SparkSession, byte_path: str, piece_path: str):
     """Both files are read on the driver."""
-    with open(byte_path, encoding="utf-8") as f:
-        spec = f.read()
     with open(piece_path, "rb") as f:
         model = f.read()
-    shared = spark.sparkContext.broadcast((spec, model, byte_tokens(load_vocabulary(byte_path)), piece_tokens(model)))
+    vocabulary = load_vocabulary(byte_path)
+    vocabulary.special = {}  # their strings are plain text here
+    shared = spark.sparkContext.broadcast((vocabulary, model, piece_tokens(model)))
 
     def slices(batches):
-        spec, model, tokens_a, tokens_b = shared.value
-        a, b = coders(spec, model)
-        encode_a = lambda some: [e.ids for e in a.encode_batch_fast(some, add_special_tokens=False)]
-        encode_b = lambda some: b.encode(some, num_threads=1)
+        vocabulary, model, tokens_b = shared.value
+        a, b = Encoder(vocabulary), pieces_of(model)
         for part in text_slices(batches):
-            yield part.column("doc_id"), align(part.column("text"), encode_a, encode_b, tokens_a, tokens_b)
+            yield part.column("doc_id"), align(part.column("text"), a, b, byte_tokens(vocabulary), tokens_b)
 
     return slices
 
@@ -310,7 +331,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str) -> DataFra
     the space and the text, have empty lists.  Repeated rows are given each, null ids kept; other
     columns are ignored.
     """
-    slices = _encoders(docs.sparkSession, byte_path, piece_path)
+    slices = _aligned_slices(docs.sparkSession, byte_path, piece_path)
 
     def work(batches):
         for doc_ids, x in slices(batches):
@@ -339,7 +360,7 @@ def _values(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _stored(docs: DataFrame, byte_path: str, piece_path: str, extra: dict) -> DataFrame:
     """One row a document, and for each slice of documents one row with its distinct pairs (``doc_id`` null) and how many
     of its documents hold each.  ``slice`` names the slice, ``marks`` and ``large`` are ``packed`` places of pairs."""
-    slices = _encoders(docs.sparkSession, byte_path, piece_path)
+    slices = _aligned_slices(docs.sparkSession, byte_path, piece_path)
     kinds = {"slice": "long", "doc_id": "long", **dict.fromkeys(NUMBERS, "long"), "marks": "binary", "large": "binary",
              "pairs": "binary", "pair_docs": "binary", **{name: kind for name, (kind, _) in extra.items()}}
     schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())

@@ -100,8 +100,8 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
-    return token_files.read_documents(spark, folder).select(
-        "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    return token_files.read_documents(spark, folder, raw=True).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def _groups_sha256(aligned: alignment.Aligned) -> list[str]:

@@ -12,23 +12,25 @@ behind is never read.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..plans.shared import work_dir
-from . import bpe
 from .common import WordTable, mix, offsets_of, ranges, text_slices
+from .word_cache import WordCache, flat
 
 END_ID = 1
 SHARD_BYTES = 256 << 20
-READ_BYTES = 4 << 20
+READ_BYTES = 1 << 20
 MAGIC = 0x31_4850_4D53_4449  # the format and its version
 # Bits of a level for each key that is still without one.
 ROOM = 2
@@ -171,45 +173,59 @@ class Shard:
         return [self.name, *border, len(counts), int(counts.sum())]
 
 
-class LibraryMerger:
-    """Stands for ``bpe.Merger``: ids of words by the tokenizers library."""
+# How the word tokenizer cuts letters from signs: a fixed value of its file.  It lower-cases letters before.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS_SIGNS = r"^(?P<a>[A-Za-z]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((i for some in ids for i in some), dtype=np.int32, count=int(counts.sum())), counts
-
-
-class WordEncoder(bpe.Words):
+class WordEncoder:
     """Ids of texts for tokenizers that drop white space: each distinct word is encoded about once in a worker.
 
     Words are runs free of ASCII white space; such a tokenizer never joins what stands on both sides of it, so ids
-    equal those of the whole text.
+    equal those of the whole text.  With ``cut``, ASCII letters, in lower case, and the signs after them are words of
+    their own.
     """
 
-    LONGEST = 256
+    # A word that stands between others in one call, if it has one id; 64 words a call.
+    MARK, JOINED = "\x01", 64
+
+    def __init__(self, tokenizer, cut: bool = False, **bounds):
+        self.tokenizer, self.words, self.cut = tokenizer, WordCache(self._new, **bounds), cut
+        self.mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def _batch(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat([c.ids for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
 
-    def __init__(self, tokenizer, most: int = 200_000):
-        self.merger, self.most = LibraryMerger(tokenizer), most
-        self.forget()
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has.  Many short words go in one call."""
+        if len(self.mark) != 1 or any(self.MARK in w for w in words):
+            return self._batch(words)
+        between = f" {self.MARK} "
+        ids, _ = self._batch([between.join(words[i:i + self.JOINED]) + between for i in range(0, len(words), self.JOINED)])
+        marks = ids == self.mark[0]
+        return ids[~marks], np.diff(np.nonzero(marks)[0], prepend=-1) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         table = WordTable(texts)
-        words = table.distinct.cast(pa.large_string()).to_pylist()
-        short = np.fromiter((len(w) <= self.LONGEST for w in words), dtype=bool, count=len(words))
-        places = self.look_up([w for w, s in zip(words, short) if s])
-        long_ids, long_counts = self.merger.many([w.encode() for w, s in zip(words, short) if not s])
-        starts, counts = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        starts[short], counts[short] = self.ends[places], self.ends[places + 1] - self.ends[places]
-        starts[~short], counts[~short] = self.n_ids + offsets_of(long_counts)[:-1], long_counts
-        known = np.concatenate([self.ids[:self.n_ids], long_ids]) if len(long_ids) else self.ids
+        words = table.distinct.cast(pa.large_string())
+        starts, counts = np.zeros((len(words), 2), dtype=np.int64), np.zeros((len(words), 2), dtype=np.int64)
+        two = np.zeros(len(words), dtype=bool)
+        parts = [words]
+        if self.cut:
+            pairs = pc.extract_regex(words, _LETTERS_SIGNS)
+            two = pairs.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+            pairs = pairs.filter(pa.array(two))
+            letters, signs = (pairs.field(c).cast(pa.large_string()) for c in "ab")
+            parts = [words.filter(pa.array(~two)), pc.ascii_lower(letters), signs]
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        at, n = (x[coded.indices.to_numpy(zero_copy_only=False)] for x in self.words.look_up(coded.dictionary.to_pylist()))
+        one, more = int((~two).sum()), int(two.sum())
+        for column, where, low in ((0, ~two, 0), (0, two, one), (1, two, one + more)):
+            starts[where, column], counts[where, column] = (x[low:low + int(where.sum())] for x in (at, n))
         n = counts[table.ids]
-        return known[ranges(starts[table.ids], n)], np.diff(offsets_of(n)[table.word_ends])
+        return (self.words.ids[ranges(starts[table.ids].ravel(), n.ravel())],
+                np.diff(offsets_of(n.sum(axis=1))[table.word_ends]))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -224,7 +240,10 @@ def encoder_of(spec: str) -> WordEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _ENCODERS.clear()
-        _ENCODERS[spec] = WordEncoder(tokenizer)
+        steps = json.loads(spec)
+        first = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        lower = {"type": "Lowercase"} in (steps.get("normalizer") or {}).get("normalizers", [])
+        _ENCODERS[spec] = WordEncoder(tokenizer, lower and first.get("pattern") == {"Regex": CUT} and first.get("invert") is True)
     return _ENCODERS[spec]
 
 
@@ -305,17 +324,22 @@ def _payload(folder: str, name: str, index: Index, first: np.ndarray, last: np.n
 
 
 DOCUMENT = "doc_id long, start long, ids array<int>"
+RAW_DOCUMENT = "doc_id long, start long, ids binary"
 
 
-def _rows(keys: pa.Array, start: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([keys, pa.array(start), lists], names=["doc_id", "start", "ids"])
+def _rows(keys: pa.Array, start: np.ndarray, ids: np.ndarray, ends: np.ndarray, raw: bool = False) -> pa.RecordBatch:
+    if raw:
+        cells = pa.Array.from_buffers(pa.binary(), len(keys), [
+            None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())])
+    else:
+        cells = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([keys, pa.array(start), cells], names=["doc_id", "start", "ids"])
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, raw: bool = False) -> DataFrame:
     """All documents of a folder: ``(doc_id, start, ids)``, ``start`` being the ids before the document.
 
-    Every key of a shard is looked up in its index, and the ids are read from where the index says.
+    With ``raw`` the ids are binary, as little-endian 32-bit numbers.  Every key of a shard is looked up in its index, and the ids are read from where the index says.
     """
     manifest = manifest_of(spark, folder).select("name", "start")
     n = max(1, min(manifest.count(), spark.sparkContext.defaultParallelism * 8))
@@ -334,9 +358,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 for _, at, ids, ends in _payload(folder, name, index, np.append([0], a), np.append([bare], z)):
                     named = at >= bare
                     keys = pa.array(index.keys[np.maximum(at - bare, 0)] if len(index.keys) else at, pa.int64(), mask=~named)
-                    yield _rows(keys, before + index.ends[at], ids, ends)
+                    yield _rows(keys, before + index.ends[at], ids, ends, raw)
 
-    return manifest.repartition(n, "name").mapInArrow(read, DOCUMENT)
+    return manifest.repartition(n, "name").mapInArrow(read, RAW_DOCUMENT if raw else DOCUMENT)
 
 
 def fetch(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:

@@ -161,14 +161,15 @@ def test_hash_is_minimal_and_perfect_and_rejects_others():
 
 
 def test_memory_of_words_is_bounded(word_library):
-    encoder = token_files.WordEncoder(word_library, most=3)
-    texts = ["a b c d e", "f g " + "x" * 1000, "a " + "x" * 1000 + " b", ""]
-    for _ in range(2):
-        ids, counts = encoder.encode(pa.array(texts, pa.large_string()))
-        ends = np.cumsum([0, *counts])
-        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [
-            word_library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert max(map(len, encoder.place)) <= encoder.LONGEST
+    for cut, marked in ((False, ""), (True, ""), (True, "a\x01b \x01 c")):
+        encoder = token_files.WordEncoder(word_library, cut, most=3, most_ids=700, longest=200)
+        texts = ["a b c, d. e", "f g " + "x" * 1000, "a " + "x" * 1000 + " b", "", "a, b... c's <|endoftext|> d!" + "y" * 300, *([marked] if marked else [])]
+        for _ in range(3):
+            ids, counts = encoder.encode(pa.array(texts, pa.large_string()))
+            ends = np.cumsum([0, *counts])
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [
+                word_library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(encoder.words.place) <= 20 and max(map(len, encoder.words.place)) <= 200
 
 
 # --- alignment -------------------------------------------------------------------------------
