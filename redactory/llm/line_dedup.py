@@ -13,7 +13,9 @@ from .common import LOWER, UPPER
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-WHITE = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
+# Parts of a document's lost lines, so that a line is compared with few of them.
+PARTS = 1024
 
 
 def lines_of(text: str) -> Column:
@@ -22,8 +24,7 @@ def lines_of(text: str) -> Column:
 
 def line_key(line: Column) -> Column:
     """White space stripped at both ends, A-Z lower-cased."""
-    bare = F.regexp_replace(F.regexp_replace(line, rf"^{WHITE}", ""), rf"{WHITE}\z", "")
-    return F.translate(bare, UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
 def line_hash(key: Column) -> Column:
@@ -44,22 +45,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # Distinct keys of a document are found in the row, so the shuffle gets each once and
     # partial aggregates take a frequent line down to one row a task.
-    hashes = F.array_distinct(F.transform(
-        F.filter(F.transform(lines_of("text"), line_key), lambda k: F.char_length(k) >= min_chars), line_hash))
+    # Strings are made distinct, as Spark compares an array's structs all with each other.
+    hashes = F.transform(F.array_distinct(
+        F.filter(F.transform(lines_of("text"), line_key), lambda k: F.char_length(k) >= min_chars)), line_hash)
     # Both tables are written: the join below then shuffles both sides itself, and Spark may split a frequent key.
     rows = explode_rows(docs.where("doc_id IS NOT NULL"), [F.col("doc_id").cast("long").alias("doc_id")], hashes, "h")
     held = written(rows.select("doc_id", "h.a", "h.b"), "lines")
     repeated = written(held.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
                        .where(F.col("n") >= min_documents).select("a", "b", "last"), "repeated-lines")
     lost = (held.join(repeated, ["a", "b"]).where("doc_id <> last")
-            .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_lost"))
+            .groupBy("doc_id", F.pmod("a", F.lit(PARTS)).alias("_part")).agg(F.collect_set(F.struct("a", "b")).alias("_keys"))
+            .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_part", "_keys"))).alias("_lost"))
             .withColumnRenamed("doc_id", "_id"))
     joined = docs.select(F.struct(*own).alias("_own"), "text", F.col("doc_id").cast("long").alias("_doc")).join(
         lost, F.col("_doc") == F.col("_id"), "left")
     lines = lines_of("text")
+    is_lost = lambda h: F.coalesce(F.array_contains(
+        F.try_element_at(F.col("_lost"), F.pmod(h["a"], F.lit(PARTS))), h), F.lit(False))
     stays = F.filter(lines, lambda x: ~(
-        (F.char_length(x) >= min_chars) & (F.char_length(line_key(x)) >= min_chars)
-        & F.array_contains(F.col("_lost"), line_hash(line_key(x)))))
+        (F.char_length(x) >= min_chars) & (F.char_length(line_key(x)) >= min_chars) & is_lost(line_hash(line_key(x)))))
     kept = F.when(F.col("_lost").isNull(), lines).otherwise(stays)
     return (joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("_kept", kept)
             .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
