@@ -22,6 +22,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.sizing import small_side
+
 SHINGLE = 5
 LONGEST = 32
 BANDS = 24
@@ -145,24 +147,28 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TE
 
     ``shingle_at`` is where the matching window starts, in shingles; a passage found through several windows of one
     template gives the rows of the best windows that differ.  ``containment`` is the share of the template's distinct
-    shingles found around the window, at least the bound; all its ``naming_pairs`` are there, too.  Words are ASCII letters and digits in lower
-    case; null, empty and shorter texts match nothing.  Other columns are ignored.
+    shingles found around the window, at least the bound; all its ``naming_pairs`` are there, too.  Words are ASCII
+    letters and digits in lower case; null, empty and shorter texts match nothing.  Other columns are ignored.
     """
     table = template_bands(docs.sparkSession, templates, bands)
     found = _shingled(docs.select("doc_id", "text"), ["doc_id"], "text").select(
         "doc_id", "_s", F.posexplode_outer("_s").alias("at", "shingle"))
-    hits = found.join(F.broadcast(table), "shingle")  # bounded by the templates
-    # The windows of the template's scale that hold the shingle: those that start at the last half step and before.
-    hits = hits.select("*", F.expr("greatest(1, size div 2)").alias("step")).select(
-        "*", F.explode(F.expr("IF(size = 1, array(at), filter(array((at div step) * step, (at div step - 1) * step), "
-                              "x -> x >= 0))")).alias("start"))
-    same = F.expr("array_min(transform(slice(_s, start + 1, size), x -> xxhash64(x, band))) = xxhash64(shingle, band)")
+    hits = found.join(small_side(table), "shingle")
+    # The windows of the template's scale that hold the shingle: those that start at the last half step and before.  Each
+    # goes on with the shingles around it alone, whose number the template bounds, and never with the whole text.
+    step = "greatest(1, size div 2)"
+    last, before = f"IF(size = 1, at, (at div {step}) * {step})", f"IF(size = 1, -1, (at div {step} - 1) * {step})"
+    window = ("named_struct('start', {0}, 'lead', least({0}, size(whole)), 'around', slice(_s, greatest(0, {0} - size(whole)) + 1, "
+              "least(greatest({0}, 0), size(whole)) + size + size(whole)))")
+    hits = hits.select("doc_id", "shingle", "band", "size", "template", "license", "whole", "named", F.explode(F.expr(
+        f"array({window.format(last)}, {window.format(before)})")).alias("w")).where("w.start >= 0").select(
+        "*", "w.start", "w.lead", "w.around").drop("w")
+    same = F.expr("array_min(transform(slice(around, lead + 1, size), x -> xxhash64(x, band))) = xxhash64(shingle, band)")
     retrieved = hits.where(same).dropDuplicates(["doc_id", "template", "start", "size"])
-    around = "slice(_s, greatest(0, start - size(whole)) + 1, start - greatest(0, start - size(whole)) + size + size(whole))"
-    share = F.expr(f"size(array_intersect(whole, {around})) / size(whole)")
-    named = F.expr(f"forall(named, pair -> arrays_overlap(pair, {around}))")
+    share = F.expr("size(array_intersect(whole, around)) / size(whole)")
+    named = F.expr("forall(named, pair -> arrays_overlap(pair, around))")
     return retrieved.where(named).select("doc_id", "template", "license", F.col("start").alias("shingle_at"),
-                            share.alias("containment")).where(F.col("containment") >= containment)
+                                         share.alias("containment")).where(F.col("containment") >= containment)
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPLATES, *VERSIONS), bands: int = BANDS,
