@@ -151,7 +151,7 @@ def _lengths(requests: pa.Table) -> pa.Table:
 
 
 SURVEYED = ("kind int, doc_id long, n_shingles long, n_bytes long, set_a long, set_b long, a long, b long, "
-            "shard long, keys binary, low binary")
+            "shard long, chunk long, keys binary, low binary")
 
 
 def _table(**columns) -> pa.RecordBatch:
@@ -217,7 +217,7 @@ def survey(docs: DataFrame, n_chunks: int, n_shards: int, size: int, percent: in
         order, shards, at = by_shard(keys, n_shards)
         keys, low = keys[order], low[order]
         cuts = list(zip(at[:-1], at[1:]))
-        out.append(_table(kind=2, shard=shards, keys=[keys[x:y].tobytes() for x, y in cuts],
+        out.append(_table(kind=2, shard=shards, chunk=np.full(len(shards), table.column("_chunk")[0].as_py()), keys=[keys[x:y].tobytes() for x, y in cuts],
                           low=[low[x:y].tobytes() for x, y in cuts]))
         return pa.Table.from_batches(out)
 
@@ -248,15 +248,30 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([ids[joined], ids[root[joined]]], axis=1) if len(ids) else np.zeros((0, 2), dtype=np.int64)
 
 
-def _meetings(requests: pa.Table) -> pa.Table:
-    """One shard: the smallest documents of chunks that share a token."""
-    keys = np.frombuffer(b"".join(requests.column("keys").to_pylist()), dtype=np.uint64)
+LEAST = "chunk long, shard long, least binary"
+
+
+def _least(requests: pa.Table) -> pa.Table:
+    """One shard: for each chunk's tokens the smallest document of all chunks that has the token."""
+    blobs = requests.column("keys").to_pylist()
+    at = offsets_of(np.array([len(b) // 8 for b in blobs], dtype=np.int64))
+    _, group = np.unique(np.frombuffer(b"".join(blobs), dtype=np.uint64), return_inverse=True)
     low = np.frombuffer(b"".join(requests.column("low").to_pylist()), dtype=np.int64)
-    order = np.lexsort((low, keys))
-    keys, low = keys[order], low[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    least = low[new][np.cumsum(new) - 1] if len(keys) else low
+    least = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, low)
+    least = least[group]
+    return pa.table({"chunk": requests.column("chunk"), "shard": requests.column("shard"),
+                     "least": pa.array([least[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
+
+
+def _meetings(sent: pa.Table, answers: pa.Table) -> pa.Table:
+    """One chunk: its documents' meetings with smaller ones of other chunks.
+
+    A spanning forest over all shards' answers, so that the number of shards does not multiply it.
+    """
+    got = dict(zip(answers.column("shard").to_pylist(), answers.column("least").to_pylist()))
+    least = np.frombuffer(b"".join(got[s] for s in sent.column("shard").to_pylist()), dtype=np.int64)
+    low = np.frombuffer(b"".join(sent.column("low").to_pylist()), dtype=np.int64)
     other = low != least
     pairs = spanning(low[other], least[other])
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -360,7 +375,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     copies = written(copies, "copies")
 
     within = found.where("kind = 1").select("a", "b")
-    across = found.where("kind = 2").select("shard", "keys", "low").groupBy("shard").applyInArrow(
+    sent = found.where("kind = 2")
+    answers = sent.select("chunk", "shard", "keys", "low").groupBy("shard").applyInArrow(_least, LEAST)
+    across = sent.select("chunk", "shard", "low").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _meetings, "a long, b long")
     blocks = components(within.unionByName(across).unionByName(copies), "blocks")
 
