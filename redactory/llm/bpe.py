@@ -201,24 +201,29 @@ def pre_tokens(unit: str) -> list[str]:
 class Words:
     """Ids of pre-tokens met so far in this worker, so that each is merged about once.
 
-    Emptied when it holds ``most`` words: memory stays bounded and results do not depend on it.
+    Emptied when it holds ``most`` words or ``most_chars`` letters: memory stays bounded and results do not depend on it.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
-        self.merger, self.most = Merger(vocabulary), most
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000, most_chars: int = 8_000_000):
+        self.merger, self.most, self.most_chars = Merger(vocabulary), most, most_chars
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.n_chars = 0
         self.ids, self.ends, self.n_ids = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int64), 0
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Places of distinct words; ``spans`` gives their ids until the next call."""
-        if len(self.place) + len(words) > max(self.most, len(words)):
+        if len(self.place) > self.most or self.n_chars > self.most_chars:
             self.forget()
+        new = [w for w in words if w not in self.place]
+        if self.place and len(self.place) + len(new) > self.most:  # only words not met before count
+            self.forget()
+            new = words
         place = self.place
-        new = [w for w in words if w not in place]
         if new:
+            self.n_chars += sum(map(len, new))
             ids, counts = self.merger.many([w.encode() for w in new])
             first = len(place)
             while first + len(new) + 1 > len(self.ends):
