@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from .expr import blocked_fold, empty, fold, let, quoted, raw, record
+from .expr import blocked_fold, empty, fold, let, quoted, raw, record, transform
 
 WORD = r"[\p{L}\p{N}]+"
 HIT_DDL = "struct<start:int,`end`:int,text:string>"
 HITS_DDL = f"array<{HIT_DDL}>"
-# A match, with the text between it and the match before.
-TOKEN_DDL = "struct<start:int,`end`:int,text:string,gap:string>"
 
 # Up to this many matches are found again by their text; more are placed by one
 # more pass of the pattern.
 FEW = 16
 
 
-def offsets(text: str, hits: str, pattern: str, with_gap: bool = False) -> str:
+def offsets(text: str, hits: str, pattern: str) -> str:
     """Matches with 0-based start and exclusive end, in code points.
 
     The gaps between matches come from splitting on the same pattern, so the
@@ -26,10 +24,9 @@ def offsets(text: str, hits: str, pattern: str, with_gap: bool = False) -> str:
         def step(pos: str, pair: str) -> tuple[str, str]:
             start = f"{pos} + length({pair}.gap)"
             end = f"{start} + length({pair}.hit)"
-            extra = {"gap": f"{pair}.gap"} if with_gap else {}
-            return end, "array(" + record(start=start, end=end, text=f"{pair}.hit", **extra) + ")"
+            return end, "array(" + record(start=start, end=end, text=f"{pair}.hit") + ")"
 
-        return blocked_fold(pairs, "0", step, TOKEN_DDL if with_gap else HIT_DDL)
+        return blocked_fold(pairs, "0", step, HIT_DDL)
 
     gaps = f"split({text}, {raw(pattern)}, -1)"
     pairs = let(gaps, lambda g: (
@@ -68,11 +65,23 @@ def located(text: str, pattern: str, guard: str | None = None, lookaround: bool
     return let(matches, place)
 
 
-def tokens(text: str) -> str:
-    """Words with offsets and the gap before each."""
-    matches = f"regexp_extract_all({text}, {raw(WORD)}, 0)"
-    return let(matches, lambda h: (
-        f"IF(size({h}) > 0, {offsets(text, h, WORD, with_gap=True)}, {empty(f'array<{TOKEN_DDL}>')})"))
+# Where a word begins or ends.
+BORDER = rf"(?<={WORD[:-1]})(?=[^{WORD[1:-2]}])|(?<=[^{WORD[1:-2]}])(?={WORD[:-1]})"
+SEGMENT_DDL = "struct<_base:int,_pieces:array<string>>"
+
+
+def segments(text: str, size: int, ahead: int) -> str:
+    """A text as words and the gaps between them in turn, ``size`` at a time with ``ahead`` more, and the code points
+    before each such part."""
+    def parts(pieces: str) -> str:
+        return transform(f"sequence(0, (size({pieces}) - 1) div {size})", lambda k: record(
+            length=f"length(array_join(slice({pieces}, {k} * {size} + 1, {size}), ''))",
+            pieces=f"slice({pieces}, {k} * {size} + 1, {size + ahead})"))
+
+    def step(pos: str, part: str) -> tuple[str, str]:
+        return f"{pos} + {part}.length", "array(" + record(_base=pos, _pieces=f"{part}.pieces") + ")"
+
+    return let(f"split({text}, {raw(BORDER)}, -1)", lambda p: let(parts(p), lambda c: blocked_fold(c, "0", step, SEGMENT_DDL)))
 
 
 def edges_clear(text: str, hit: str) -> str:

@@ -1,8 +1,9 @@
 """Dictionary detection: token n-grams of a text looked up in a term table.
 
 A dictionary that is measured small travels to the tasks once, as a broadcast
-variable, and texts are matched where they are: no shuffle, no join back.  A
-larger one is joined to the n-grams by a salted shuffle.
+variable, and texts are matched where they are: no shuffle, no join back.  For a
+larger one, words are joined to the first words of its terms, and only n-grams that can still match are made and
+joined to the terms.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from .. import registry as reg
-from ..functions.expr import quoted, record, transform
+from ..functions import text as tx
+from ..functions.expr import quoted, raw, record, transform
 from ..plans.salting import salted_join
-from ..plans.sizing import measured_small
+from ..plans.sizing import measured_small, small_side
 from ..plans.spread import spread
 from ..plans.unnest import inline_rows
 from ..schema import SPAN_DDL
 
-# N-gram rows handed to Spark at a time, so that long texts do not pile up in Python.
-CHUNK_ROWS = 50_000
+# Words and gaps of a text that are worked on together.
+SEGMENT = 64
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -33,10 +35,6 @@ def tokens_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in TOKEN.finditer(text)]
 
 
-def normal_gram(term: str) -> str:
-    return " ".join(t for t, _, _ in tokens_of(term))
-
-
 def fold_label(column: str = "entity_type") -> Column:
     """PER -> PERSON, ORG -> ORGANIZATION, LOC and GPE -> LOCATION."""
     table = F.create_map(*[F.lit(v) for pair in fv.LABEL_FOLD.items() for v in pair])
@@ -45,15 +43,17 @@ def fold_label(column: str = "entity_type") -> Column:
 
 def term_grams(dictionary: DataFrame) -> DataFrame:
     """Dictionary rows (term, entity_type) as (gram, n, types), one row per gram."""
+    words = f"regexp_extract_all(term, {raw(tx.WORD)}, 0)"
+    typed = dictionary.where(F.col("term").isNotNull()).select(
+        F.expr(f"array_join(transform({words}, w -> lower(w)), ' ')").alias("gram"), F.expr(f"size({words})").alias("n"),
+        fold_label().alias("entity_type"))
+    return typed.where("gram <> ''").groupBy("gram").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_set("entity_type")).alias("types"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            grams = b["term"].map(normal_gram)
-            yield pd.DataFrame({"gram": grams, "n": grams.str.count(" ") + 1, "entity_type": b["entity_type"]})
 
-    typed = dictionary.where(F.col("term").isNotNull()).select("term", fold_label().alias("entity_type"))
-    return (typed.mapInPandas(run, "gram string, n int, entity_type string").where("gram <> ''")
-            .groupBy("gram").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("entity_type")).alias("types")))
+def first_words(terms: DataFrame) -> DataFrame:
+    """The root of a trie over the terms: each first word with the lengths of the terms that it begins."""
+    return terms.groupBy(F.substring_index("gram", " ", 1).alias("_word")).agg(F.collect_set("n").alias("_lengths"))
 
 
 def _matcher(terms: DataFrame):
@@ -103,35 +103,32 @@ def _in_row_spans(df: DataFrame, text_col: str, terms: DataFrame, score: float,
     return df.withColumn("_m", match(F.col(text_col))).withColumn(out_col, F.expr(spans)).drop("_m")
 
 
-def _joined_rows(df: DataFrame, keys: list[str], text_col: str, terms: DataFrame, score: float, name: str) -> DataFrame:
-    """Hit rows by a salted shuffle of every n-gram against the dictionary."""
-    most = terms.agg(F.max("n")).first()[0] or 1
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    names = [*keys, "gram", "start", "end", "text"]
-    out = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", gram string, start int, `end` int, text string"
+def _joined_rows(df: DataFrame, keys: list[str], text_col: str, terms: DataFrame, score: float, name: str,
+                 **bounds) -> DataFrame:
+    """Hit rows by joins: words with the first words of terms, and then only those n-grams that a first word's lengths
+    allow with the terms.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for row in b.itertuples(index=False, name=None):
-                head, text = row[:-1], row[-1]
-                words = tokens_of(text)
-                for i in range(len(words)):
-                    gram = words[i][0]
-                    for j in range(i, min(i + most, len(words))):
-                        if j > i:
-                            gram = gram + " " + words[j][0]
-                        rows.append((*head, gram, words[i][1], words[j][2], text[words[i][1]:words[j][2]]))
-                    if len(rows) >= CHUNK_ROWS:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    grams = df.select(*keys, text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, out)
-    hits = salted_join(grams, terms.select("gram", "types"), "gram", [*keys, "start"])
+    A word's row carries as many following words as the longest term has.  Sides measured small are broadcast; others are
+    shuffled as they are, once, and Spark splits a word that most texts have.
+    """
+    most = terms.agg(F.max("n")).first()[0] or 1
+    found = df.select(*keys, text_col).where(F.col(text_col).isNotNull())
+    parts = inline_rows(found, keys, F.expr(tx.segments(f"`{text_col}`", SEGMENT, 2 * most)), "_base")
+    words = parts.select(*keys, "_base", "_pieces", F.posexplode("_pieces").alias("_at", "_piece")).where(
+        (F.col("_at") < SEGMENT) & F.expr(f"rlike(_piece, {raw('^' + tx.WORD)})")).select(
+        *keys, F.expr("_base + length(array_join(slice(_pieces, 1, _at), ''))").alias("_start"), F.lower("_piece").alias("_word"),
+        F.expr(f"slice(_pieces, _at + 1, {2 * most - 1})").alias("_pieces"))
+    begun = words.join(small_side(first_words(terms), **bounds), "_word").withColumn("_n", F.explode("_lengths")).where(
+        "size(_pieces) >= 2 * _n - 1")
+    # Words and what lies between them take turns.
+    grams = begun.withColumn("_pieces", F.expr("slice(_pieces, 1, 2 * _n - 1)")).select(
+        *keys, "_start", F.expr("array_join(_pieces, '')").alias("_text"),
+        F.expr("IF(_n = 1, _word, array_join(transform(filter(_pieces, (x, i) -> i % 2 = 0), w -> lower(w)), ' '))").alias("gram"))
+    hits = grams.join(small_side(terms.select("gram", "types"), **bounds), "gram")
     return hits.withColumn("entity_type", F.explode("types")).select(
-        *keys, "entity_type", "start", "end", F.lit(float(score)).alias("score"), "text",
-        F.lit(name).alias("recognizer"), F.lit(name).alias("rationale"))
+        *keys, "entity_type", F.col("_start").alias("start"), F.expr("_start + length(_text)").alias("end"),
+        F.lit(float(score)).alias("score"), F.col("_text").alias("text"), F.lit(name).alias("recognizer"),
+        F.lit(name).alias("rationale"))
 
 
 def gazetteer(df: DataFrame, key: str | list[str], text_col: str, dictionary: DataFrame,
@@ -143,7 +140,7 @@ def gazetteer(df: DataFrame, key: str | list[str], text_col: str, dictionary: Da
     if measured_small(terms, **bounds):
         found = _in_row_spans(texts, text_col, terms, score, name, "_spans")
         return inline_rows(found, keys, F.col("_spans"), "start")
-    return _joined_rows(texts, keys, text_col, terms, score, name)
+    return _joined_rows(texts, keys, text_col, terms, score, name, **bounds)
 
 
 def with_dictionary_spans(df: DataFrame, key: str | list[str], text_col: str, dictionary: DataFrame,
@@ -162,7 +159,7 @@ def with_dictionary_spans(df: DataFrame, key: str | list[str], text_col: str, di
     keys = [key] if isinstance(key, str) else list(key)
     digested = df.withColumn("_digest", F.sha2(text_col, 256))
     texts = digested.where(F.col(text_col).isNotNull()).select("_digest", text_col).dropDuplicates(["_digest"])
-    spans = spans_by_key(_joined_rows(texts, ["_digest"], text_col, terms, score, name), "_digest", out_col)
+    spans = spans_by_key(_joined_rows(texts, ["_digest"], text_col, terms, score, name, **bounds), "_digest", out_col)
     none = F.expr(f"cast(array() as array<{SPAN_DDL}>)")
     return salted_join(digested, spans, "_digest", keys, "left").select(
         *[c for c in df.columns if c != out_col], F.coalesce(out_col, none).alias(out_col))
