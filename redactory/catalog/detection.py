@@ -44,7 +44,7 @@ def _per_recogniser(r: reg.Recogniser) -> None:
     @query(f"recognise_{r.entity.lower()}", lambda: duck.spans_ctes("planted", "order_id", "note", any_score).replace(
         "WITH src", f"WITH {PLANTED_SQL}, src") + f" SELECT k AS order_id, {SPAN_SQL} FROM spans")
     def _(spark, d):
-        spans = planted(spark, d).select("order_id", F.expr(recogniser_spans("note", r, any_score)).alias("spans"))
+        spans = planted(spark, d).select("order_id", F.expr(let(tx.chunks("note"), lambda cut: recogniser_spans("note", cut, r, any_score))).alias("spans"))
         return long_form(spans, "order_id")
 
 

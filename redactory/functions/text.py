@@ -84,19 +84,35 @@ def segments(text: str, size: int, ahead: int) -> str:
     return let(f"split({text}, {raw(BORDER)}, -1)", lambda p: let(parts(p), lambda c: blocked_fold(c, "0", step, SEGMENT_DDL)))
 
 
-def edges_clear(text: str, hit: str) -> str:
+CHUNK = 1024
+
+
+def chunks(text: str) -> str:
+    """A long text cut every ``CHUNK`` code points, in one pass; a short one as it is."""
+    return f"IF(length({text}) <= {CHUNK}, array({text}), regexp_extract_all({text}, {raw(f'(?s).{{1,{CHUNK}}}')}, 0))"
+
+
+def part(text: str, cut: str, start: str, n: str) -> str:
+    """``n`` code points from a 0-based place, read from the chunks around it: a substring of the text itself would
+    count code points from the text's beginning each time."""
+    near = f"array_join(slice({cut}, ({start}) div {CHUNK} + 1, ({n}) div {CHUNK} + 2), '')"
+    return (f"IF(size({cut}) < 2, substring({text}, ({start}) + 1, {n}), "
+            f"substring({near}, ({start}) % {CHUNK} + 1, {n}))")
+
+
+def edges_clear(text: str, cut: str, hit: str) -> str:
     """No letter, digit or underscore touches the outer edge of an alphanumeric match."""
-    joined_left = f"({hit}.start > 0 AND rlike(substring({text}, {hit}.start, 2), '^[A-Za-z0-9_][A-Za-z0-9]'))"
-    joined_right = f"rlike(substring({text}, {hit}.`end`, 2), '^[A-Za-z0-9][A-Za-z0-9_]')"
-    return f"NOT {joined_left} AND NOT {joined_right}"
+    left, right = part(text, cut, f"{hit}.start - 1", "2"), part(text, cut, f"{hit}.`end` - 1", "2")
+    return (f"NOT ({hit}.start > 0 AND rlike({left}, '^[A-Za-z0-9_][A-Za-z0-9]')) "
+            f"AND NOT rlike({right}, '^[A-Za-z0-9][A-Za-z0-9_]')")
 
 
-def word_nearby(text: str, start: str, words, n_words: int, n_chars: int) -> str:
+def word_nearby(text: str, cut: str, start: str, words, n_words: int, n_chars: int) -> str:
     """One of the words is among the last few before a position."""
     inside, outside = WORD[:-1], "[^" + WORD[1:-2] + "]"
     pattern = (f"(?:^|{outside})(?:{'|'.join(words)})"
                f"(?:{outside}+{inside}+){{0,{n_words - 1}}}{outside}*$")
-    window = f"substring({text}, greatest(1, {start} - {n_chars - 1}), least({start}, {n_chars}))"
+    window = part(text, cut, f"greatest(0, {start} - {n_chars})", f"least({start}, {n_chars})")
     return f"rlike(lower({window}), {raw(pattern)})"
 
 

@@ -38,8 +38,8 @@ def make_span(entity: str, hit: str, score: str, recogniser: str, why: str) -> s
                   score=f"round({score}, 3)", text=f"{hit}.text", recognizer=recogniser, rationale=why)
 
 
-def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
-    """Spans of one recogniser, validated and scored."""
+def recogniser_spans(text: str, cut: str, r: reg.Recogniser, policy: Policy) -> str:
+    """Spans of one recogniser, validated and scored; ``cut`` is the text's ``chunks``."""
 
     guard = f"contains({text}, {quoted(r.guard)})" if r.guard else None
     if r.score < policy.threshold and r.validator not in reg.SCORE_LIFTING_VALIDATORS:
@@ -51,7 +51,7 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
         if r.validator in reg.SCORE_LIFTING_VALIDATORS:
             score = "1.0D"
         elif r.context:
-            near = tx.word_nearby(text, f"{hit}.start", r.context, reg.CONTEXT_WORDS, reg.CONTEXT_CHARS)
+            near = tx.word_nearby(text, cut, f"{hit}.start", r.context, reg.CONTEXT_WORDS, reg.CONTEXT_CHARS)
             score = f"IF({near}, {min(1.0, round(r.score + reg.CONTEXT_BOOST, 3))}D, {base})"
         else:
             score = base
@@ -66,7 +66,7 @@ def recogniser_spans(text: str, r: reg.Recogniser, policy: Policy) -> str:
         return let(score, finish) if policy.explain and score.startswith("IF") else finish(score)
 
     def usable(hit: str) -> str:
-        ok = tx.edges_clear(text, hit)
+        ok = tx.edges_clear(text, cut, hit)
         return f"{ok} AND {VALIDATORS[r.validator](hit + '.text')}" if r.validator else ok
 
     def build(hits: str) -> str:
@@ -128,11 +128,15 @@ def spans_sql(text: str, policy: Policy, extra: str | None = None) -> str:
     """All spans of a text: recognisers, then ``extra`` spans (for example from a
     dictionary), allow-list, and last the deny-list, which no other rule limits."""
     chosen = reg.select(policy.entities, policy.threshold)
-    parts = [recogniser_spans(text, r, policy) for r in chosen if not r.needs_digits]
-    numeric = [recogniser_spans(text, r, policy) for r in chosen if r.needs_digits]
-    if numeric:
-        parts.append(f"IF(rlike({text}, {raw(reg.DIGIT_PAIR)}), concat({', '.join(numeric)}), {NONE})")
-    found = f"concat({', '.join(parts)})" if parts else NONE
+
+    def recognised(cut: str) -> str:
+        parts = [recogniser_spans(text, cut, r, policy) for r in chosen if not r.needs_digits]
+        numeric = [recogniser_spans(text, cut, r, policy) for r in chosen if r.needs_digits]
+        if numeric:
+            parts.append(f"IF(rlike({text}, {raw(reg.DIGIT_PAIR)}), concat({', '.join(numeric)}), {NONE})")
+        return f"concat({', '.join(parts)})" if parts else NONE
+
+    found = let(tx.chunks(text), recognised)
     if extra is not None:
         ok = lambda s: f"{s}.score >= {float(policy.threshold)}D" + (
             " AND " + in_list(f"{s}.entity_type", policy.entities) if policy.entities else "")

@@ -18,15 +18,19 @@ def rebuild(text: str, spans: str, replacement: Callable[[str], str],
             plain: Callable[[str], str] = lambda c: c) -> str:
     """Text with each span replaced; spans must be disjoint, sorted and not empty.
 
-    Pieces are built by index (gap, replacement, gap, ...) and joined once.
+    Pieces are built by index (gap, replacement, gap, ...) and joined once; gaps are read from the text's chunks,
+    so the time is linear in the text and its spans.
     """
-    def piece(s: str, i: str) -> str:
-        past = f"IF({i} = 0, 0, get({spans}, {i} - 1).`end`)"
-        gap = let(past, lambda p: f"substring({text}, {p} + 1, {s}.start - {p})")
-        return f"concat({plain(gap)}, {replacement(s)})"
+    def pieces(cut: str) -> str:
+        def piece(s: str, i: str) -> str:
+            past = f"IF({i} = 0, 0, get({spans}, {i} - 1).`end`)"
+            gap = let(past, lambda p: tx.part(text, cut, p, f"{s}.start - {p}"))
+            return f"concat({plain(gap)}, {replacement(s)})"
+
+        return f"array_join({transform(spans, piece, 's', 'i')}, '')"
 
     tail = f"substring({text}, element_at({spans}, -1).`end` + 1)"
-    return f"concat(array_join({transform(spans, piece, 's', 'i')}, ''), {plain(tail)})"
+    return f"concat({let(tx.chunks(text), pieces)}, {plain(tail)})"
 
 
 def replacement_for(operator: str, policy: Policy, span: str) -> str:
