@@ -252,7 +252,11 @@ LEAST = "chunk long, shard long, least binary"
 
 
 def _least(requests: pa.Table) -> pa.Table:
-    """One shard: for each chunk's tokens the smallest document of all chunks that has the token."""
+    """One shard: for each chunk's tokens the smallest document that they lead to within the shard.
+
+    That is the root of all documents which the shard's tokens join, and not only of those with the same token, so the
+    chunks of a large group hear of one document and not of one a token.
+    """
     blobs = requests.column("keys").to_pylist()
     at = offsets_of(np.array([len(b) // 8 for b in blobs], dtype=np.int64))
     _, group = np.unique(np.frombuffer(b"".join(blobs), dtype=np.uint64), return_inverse=True)
@@ -260,6 +264,11 @@ def _least(requests: pa.Table) -> pa.Table:
     least = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, low)
     least = least[group]
+    other = low != least
+    joined = spanning(low[other], least[other])
+    if len(joined):
+        at = np.minimum(np.searchsorted(joined[:, 0], least), len(joined) - 1)
+        least = np.where(joined[at, 0] == least, joined[at, 1], least)
     return pa.table({"chunk": requests.column("chunk"), "shard": requests.column("shard"),
                      "least": pa.array([least[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
