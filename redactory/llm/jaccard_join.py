@@ -267,8 +267,8 @@ def _least(requests: pa.Table) -> pa.Table:
     other = low != least
     joined = spanning(low[other], least[other])
     if len(joined):
-        at = np.minimum(np.searchsorted(joined[:, 0], least), len(joined) - 1)
-        least = np.where(joined[at, 0] == least, joined[at, 1], least)
+        place = np.minimum(np.searchsorted(joined[:, 0], least), len(joined) - 1)
+        least = np.where(joined[place, 0] == least, joined[place, 1], least)
     return pa.table({"chunk": requests.column("chunk"), "shard": requests.column("shard"),
                      "least": pa.array([least[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
