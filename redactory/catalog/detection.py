@@ -224,6 +224,21 @@ def _(spark, d):
     return hits.select("order_id", "start", "end", "text")
 
 
+def _fragile_model(texts):
+    """Finds the order's number; fails on notes of nation 7."""
+    if any("NATION_7," in t for t in texts):
+        raise ValueError("no model for this nation")
+    return [[("order_number", 6, t.index(" for "), 0.9)] for t in texts]
+
+
+@query("guarded_model", f"WITH {PLANTED_SQL} SELECT order_id, CASE WHEN contains(note, 'NATION_7,') THEN 'ValueError: no model for this nation' END AS error,"
+       " CASE WHEN NOT contains(note, 'NATION_7,') THEN CAST(order_id AS VARCHAR) END AS \"text\" FROM planted")
+def _(spark, d):
+    """A model that raises on some texts: the others keep their spans, and those come out with the error."""
+    return dic.guarded_model_spans(planted(spark, d).select("order_id", "note"), "order_id", "note", _fragile_model).select(
+        "order_id", "error", "text")
+
+
 LITERALS = [("order", "LOCATION"), ("York", "LOCATION"), ("ORDER", "NRP"), ("seattle", "LOCATION"), ("mail", "URL")]
 
 

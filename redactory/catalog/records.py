@@ -170,6 +170,14 @@ def _(spark, d):
     return rec.retain_newest(audit(spark, d)).select("id", "timestamp")
 
 
+@query("retained_audit_bytes", AUDIT + """, s AS (SELECT id, "timestamp", octet_length(encode(id || actor || details)) AS b FROM audit)
+, r AS (SELECT *, sum(b) OVER (ORDER BY "timestamp" DESC, id DESC ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (ORDER BY "timestamp" DESC, id DESC) AS k FROM s)
+SELECT id, "timestamp" FROM r WHERE total <= 80000 AND k <= 2500""")
+def _(spark, d):
+    size = F.octet_length(F.concat("id", "actor", "details"))
+    return rec.retain_newest(audit(spark, d), rows=2_500, max_bytes=80_000, size=size).select("id", "timestamp")
+
+
 @query("session_link_violations", CARDS + " SELECT session_id, count(*) AS n_cards, min(id) AS first_card FROM cards WHERE session_id <> '' GROUP BY 1 HAVING count(*) > 1")
 def _(spark, d):
     return rec.session_link_violations(cards(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .. import registry as reg
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import attestation as att
@@ -179,7 +180,7 @@ def _(spark, d):
     return evidence(spark, d)
 
 
-_TYPES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS", "URL", "DATE_TIME", "IBAN_CODE"]
+_TYPES = list(dict.fromkeys(r.entity for r in reg.REGISTRY))
 
 
 @query("recogniser_crosstab", lambda: _evidence_sql("SELECT recognizer, " + ", ".join(
@@ -202,6 +203,14 @@ def _(spark, d):
     return an.confidence_histogram(evidence(spark, d))
 
 
+@query("confidence_density", lambda: _evidence_sql("""
+, c AS (SELECT entity_type, confidence, count(*) AS n FROM ev GROUP BY 1, 2), g AS (SELECT CAST(unnest(range(0, 101, 5)) AS INTEGER) AS "at")
+SELECT entity_type, "at", round(sum(n * exp(-((("at" - confidence) / 5.0::DOUBLE) ** 2) / 2)) / (sum(n) * 5.0::DOUBLE * sqrt(2 * pi())), 6) AS density
+ FROM c CROSS JOIN g GROUP BY 1, 2"""))
+def _(spark, d):
+    return an.confidence_density(evidence(spark, d))
+
+
 @query("confidence_kpis", lambda: _evidence_sql("""
 , p AS (SELECT order_id, count(*) AS total, CAST(round_even(CAST(sum(confidence) AS DOUBLE) / count(*), 0) AS INTEGER) AS mean_confidence, count(*) FILTER (WHERE band = 'Very High') AS very_high,
  count(*) FILTER (WHERE band = 'High') AS high, count(*) FILTER (WHERE band = 'Medium') AS medium, count(*) FILTER (WHERE band = 'Low') AS low FROM ev GROUP BY 1)

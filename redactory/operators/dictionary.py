@@ -205,3 +205,46 @@ def model_spans(df: DataFrame, key: str, text_col: str,
 
     texts = df.select(key, text_col).where(F.col(text_col).isNotNull())
     return texts.mapInPandas(run, out).withColumn("entity_type", fold_label())
+
+
+def guarded_model_spans(df: DataFrame, key: str, text_col: str,
+                        model: Callable[[pd.Series], list[list[tuple[str, int, int, float]]]],
+                        name: str = "ModelRecogniser") -> DataFrame:
+    """As ``model_spans``, for models that may raise: a row of spans, or a row with ``error``, a text.
+
+    A batch that raises is tried text by text, so one bad text costs its own spans only.  Spans that do not lie in
+    their text are errors of that text as well.  ``error`` is null in rows of spans; in others only the key is set.
+    """
+    key_type = df.schema[key].dataType.simpleString()
+    fields = ["entity_type", "start", "end", "score", "text", "recognizer", "rationale", "error"]
+    out = (f"`{key}` {key_type}, entity_type string, start int, `end` int, score double, "
+           "text string, recognizer string, rationale string, error string")
+
+    def of_text(k, text, spans):
+        rows = []
+        for label, start, end, score in spans:
+            if not 0 <= start < end <= len(text):
+                raise ValueError(f"span {start}-{end} is not in the text")
+            rows.append((k, str(label), int(start), int(end), float(score), text[start:end], name, name, None))
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                every = model(batch[text_col])
+                if len(every) != len(batch):
+                    raise ValueError("the model gave another number of texts")
+                rows = [r for k, t, spans in zip(batch[key], batch[text_col], every) for r in of_text(k, t, spans)]
+            except Exception:  # whichever text it was: each by itself
+                rows = []
+                for i in range(len(batch)):
+                    one = batch.iloc[i:i + 1]
+                    k, t = one[key].iloc[0], one[text_col].iloc[0]
+                    try:
+                        rows += of_text(k, t, model(one[text_col])[0])
+                    except Exception as error:
+                        rows.append((k, *[None] * 7, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=[key, *fields])
+
+    texts = df.select(key, text_col).where(F.col(text_col).isNotNull())
+    return texts.mapInPandas(run, out).withColumn("entity_type", fold_label())

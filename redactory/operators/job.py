@@ -121,6 +121,15 @@ def split_quarantine(flagged: DataFrame, error_col: str = "_error") -> tuple[Dat
     return flagged.where(F.col(error_col).isNull()).drop(error_col), flagged.where(F.col(error_col).isNotNull())
 
 
+def quarantine_failures(df: DataFrame, key: str, spotted: DataFrame, error_col: str = "_error") -> DataFrame:
+    """The raw rows whose text a recogniser failed on, with the error; ``spotted`` is that of ``guarded_model_spans``.
+
+    The job goes on without them: ``attach_spans`` gives these rows no spans, so take them out or publish no text.
+    """
+    errors = spotted.where("error IS NOT NULL").groupBy(key).agg(F.min("error").alias(error_col))
+    return df.join(errors, key)
+
+
 def density(stats: DataFrame) -> DataFrame:
     """Entities per processed row and per output row."""
     return stats.withColumns({

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.columns import ordinal, positive
@@ -213,21 +213,70 @@ def latest_audit(audit: DataFrame, limit: int = 200) -> DataFrame:
     return audit.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(positive(limit))
 
 
-def retain_newest(audit: DataFrame, rows: int = fv.AUDIT_RETENTION_ROWS) -> DataFrame:
-    """Retention cap on the audit table: the newest ``rows`` entries, in no order.
+RETAINED_SLICES = 4096
 
-    Counts per day, of which the driver gets one row each, tell on which day the cap falls; only that day is
-    sorted.  Rows without a time are the oldest.
+
+def retain_newest(audit: DataFrame, rows: int | None = fv.AUDIT_RETENTION_ROWS, max_bytes: int | None = None,
+                  size: Column | None = None) -> DataFrame:
+    """Retention caps on the audit table: the newest entries within ``rows`` and ``max_bytes``, in no order.
+
+    ``size`` gives a row's bytes (default: those of its JSON form).  Entries go by time and then id; the first that
+    does not fit ends what is kept.  Counts and bytes per day, then per slice of the day on which a cap falls, and
+    so on with ever shorter slices, tell where the cut is; the driver gets one row a day or slice.  Only entries of one
+    microsecond are ordered by id, their ids taking part as they are.  Rows without a time are the oldest.
     """
-    left, day = positive(rows), F.to_date("timestamp")
-    counts = audit.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
-    for day_value, n in sorted(((r["day"], r["n"]) for r in counts), key=lambda c: (c[0] is not None, c[0]), reverse=True):
-        if n > left:
-            on_day = audit.where(day.eqNullSafe(F.lit(day_value)))
-            newer = audit.where(day.isNotNull() if day_value is None else day > F.lit(day_value))
-            return newer.unionByName(latest_audit(on_day, left)) if left else newer
-        left -= n
-    return audit
+    limits = {name: positive(cap) for name, cap in (("n", rows), ("b", max_bytes)) if cap is not None}
+    if not limits:
+        return audit
+    if size is None:
+        size = F.octet_length(F.to_json(F.struct(*audit.columns)))
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    sized = audit.select(F.struct(*audit.columns).alias("_row"), micros.alias("_at"),
+                         F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    day = 86_400_000_000
+
+    def cut_in(part: DataFrame, key: Column, spent: dict):
+        """The newest first: the key at which a cap falls and what is spent before it, or None."""
+        groups = part.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("b")).collect()
+        for g in sorted(groups, key=lambda g: (g["k"] is not None, g["k"]), reverse=True):
+            after = {c: spent[c] + g[c] for c in limits}
+            if any(after[c] > limits[c] for c in limits):
+                return g["k"], spent
+            spent = after
+        return None
+
+    found = cut_in(sized, F.floor(F.col("_at") / day), dict.fromkeys(limits, 0))
+    if found is None:
+        return audit
+    at, spent = found
+    if at is None:
+        newer, tied = sized.where("_at IS NOT NULL"), sized.where("_at IS NULL")
+    else:
+        low, high = at * day, (at + 1) * day
+        while high - low > 1:
+            width = -(-(high - low) // RETAINED_SLICES)
+            inside = sized.where((F.col("_at") >= low) & (F.col("_at") < high))
+            at, spent = cut_in(inside, F.floor((F.col("_at") - low) / width), spent)
+            low, high = low + at * width, min(low + (at + 1) * width, high)
+        newer, tied = sized.where(F.col("_at") >= high), sized.where(F.col("_at") == low)
+    # Entries of one moment: ranges of ids, each cut by its own sums and those of the ranges after it.
+    kept = _newest_ids(tied, {c: limits[c] - spent[c] for c in limits})
+    return newer.select("_row").unionByName(kept.select("_row")).select("_row.*")
+
+
+def _newest_ids(tied: DataFrame, left: dict) -> DataFrame:
+    """Rows of one moment by descending id while they fit; sums over slices of a hash order would not be by id, so
+    slices are ranges of ids that Spark's range partitioning makes."""
+    ranged = tied.repartitionByRange(F.col("_row.id").desc(), "_size").withColumn("_part", F.spark_partition_id())
+    totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_b"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    before = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
+                           F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("_b0"))
+    within = W.partitionBy("_part").orderBy(F.col("_row.id").desc(), "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = ranged.withColumns({"_n1": F.count(F.lit(1)).over(within), "_b1": F.sum("_size").over(within)}).join(
+        F.broadcast(before), "_part")
+    fits = [F.col(f"_{c}0") + F.col(f"_{c}1") <= left[c] for c in left]
+    return summed.where(fits[0] if len(fits) == 1 else fits[0] & fits[1])
 
 
 def session_link_violations(cards: DataFrame) -> DataFrame:

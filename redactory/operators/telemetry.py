@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..plans.windows import previous_values, running_total
@@ -71,16 +71,49 @@ def rates(events: DataFrame, width: str = "5 minutes", seconds: int = 300) -> Da
                     F.round(F.col("n") / F.lit(seconds), 6).alias("per_second")))
 
 
-def duration_quantiles(durations: DataFrame) -> DataFrame:
-    """Exact p50, p95 and p99 of job durations.
+QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+BIN_BITS = 6  # of a number's leading bits that name its bin
+
 
-    Durations are first counted per millisecond, which keeps the state of the
-    exact percentile small.
+def value_bin(ms: Column) -> Column:
+    """A coarse bin that keeps the order: the position of the first bit and the ``BIN_BITS`` after it.
+
+    Some 64 * 2^6 bins at most, whatever the values; small values have a bin each.
     """
-    ms = F.round(F.col("duration_s") * 1000, 0).cast("bigint")
-    counts = durations.groupBy(ms.alias("ms")).agg(F.count(F.lit(1)).alias("n"))
-    one = counts.agg(F.sum("n").alias("jobs"), F.expr("percentile(ms, array(0.5, 0.95, 0.99), n)").alias("q"))
-    return one.select("jobs", *[F.round(F.col("q")[i] / 1000, 6).alias(name)
-                                for i, name in enumerate(["p50", "p95", "p99"])])
+    bits = F.length(F.bin(F.greatest(ms, F.lit(1))))
+    drop = F.greatest(bits - 1 - BIN_BITS, F.lit(0))
+    return F.when(ms <= 0, F.lit(-1)).otherwise(drop * (1 << (BIN_BITS + 1)) + F.call_function("shiftright", ms, drop))
 
 
+def duration_quantiles(durations: DataFrame) -> DataFrame:
+    """Exact p50, p95 and p99 of job durations in whole milliseconds, interpolated between the two nearest ranks.
+
+    Durations are counted by coarse bin first; the bins that hold the wanted ranks are known from those few counts, and
+    only their values are counted one by one.  Where bins hold very many different values, no task gets more than those
+    of a bin's value range.  No durations give one row without quantiles.
+    """
+    ms = F.round(F.col("duration_s") * 1000, 0).cast("bigint")
+    counts = (durations.select(ms.alias("ms")).where("ms IS NOT NULL").groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("bin", value_bin(F.col("ms"))))
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("n"))
+    earlier = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row a bin
+    placed = bins.select("bin", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+                         F.sum("n").over(W.partitionBy()).alias("jobs"))
+    place = F.col("q.at") * (F.col("jobs") - 1)
+    asked = placed.withColumn("q", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(at).alias("at")) for name, at in QUANTILES]))).withColumn("side", F.explode(
+            F.array(F.lit(0), F.lit(1)))).select(
+        "bin", "before", "jobs", F.col("q.name").alias("name"), "side", place.alias("place"),
+        F.when(F.col("side") == 0, F.floor(place)).otherwise(F.ceil(place)).alias("rank"), "n").where(
+        "rank >= before AND rank < before + n").drop("n")
+    # At most two bins a quantile; their values, with the ranks that each stands for.
+    within = W.partitionBy("name", "side").orderBy("ms").rowsBetween(W.unboundedPreceding, W.currentRow)
+    values = counts.join(F.broadcast(asked), "bin").withColumn("last", F.col("before") + F.sum("n").over(within)).where(
+        "rank < last AND rank >= last - n")
+    ends = values.groupBy("name").agg(
+        F.max("jobs").alias("jobs"), F.max("place").alias("place"), F.max(F.when(F.col("side") == 0, F.col("ms"))).alias("low"),
+        F.max(F.when(F.col("side") == 1, F.col("ms"))).alias("high"))
+    exact = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
+    return ends.withColumn("value", F.round(exact / 1000, 6)).agg(
+        F.coalesce(F.max("jobs"), F.lit(0)).alias("jobs"),
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name, _ in QUANTILES])
