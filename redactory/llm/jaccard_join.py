@@ -31,6 +31,7 @@ PERCENT = 90
 CHUNK_BYTES = 4 << 20           # of text in one chunk
 SHARD_BYTES = 32 << 20          # of text behind one shard of shingles
 TASK_BYTES, TASK_SETS = 4 << 20, 1000  # of text and sets searched in one task
+MEETS = 8                       # tasks at least that shards' tokens meet in, whatever the partitions
 MANY = 400                      # from this size on, a set is represented by part of its shingles
 MERGE_COST = 0.01               # DivideSkip's weight of a merge against a probe
 
@@ -385,7 +386,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
 
     within = found.where("kind = 1").select("a", "b")
     sent = found.where("kind = 2")
-    answers = sent.select("chunk", "shard", "keys", "low").groupBy("shard").applyInArrow(_least, LEAST)
+    # Tokens are far fewer than shingles: several shards go together, and so join more of what belongs together.
+    n_meets = max(MEETS, -(-total // (8 * SHARD_BYTES)))
+    answers = sent.select("chunk", "shard", "keys", "low", F.pmod("shard", F.lit(n_meets)).alias("_meet")).groupBy(
+        "_meet").applyInArrow(lambda table: _least(table), LEAST)
     across = sent.select("chunk", "shard", "low").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _meetings, "a long, b long")
     blocks = components(within.unionByName(across).unionByName(copies), "blocks")
