@@ -62,11 +62,11 @@ def _(spark, d):
     return detections(detect(planted(spark, d), "note", ALL), "order_id")
 
 
-@query("detect_pages", lambda: duck.spans_ctes("pages", "page_id", "html", Policy(entities=("URL", "EMAIL_ADDRESS", "DATE_TIME")))
+@query("detect_pages", lambda: duck.spans_ctes("pages", "page_id", "html", ALL)
        + f" SELECT k AS page_id, {SPAN_SQL} FROM spans")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", "html")
-    return long_form(detect(pages, "html", Policy(entities=("URL", "EMAIL_ADDRESS", "DATE_TIME"))), "page_id")
+    return long_form(detect(pages, "html", ALL), "page_id")
 
 
 SUBSET = Policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"), threshold=0.6)
