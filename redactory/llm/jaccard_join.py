@@ -32,7 +32,7 @@ CHUNK_BYTES = 4 << 20           # of text in one chunk
 SHARD_BYTES = 32 << 20          # of text behind one shard of shingles
 TASK_BYTES, TASK_SETS = 4 << 20, 1000  # of text and sets searched in one task
 MEETS = 8                       # tasks at least that shards' tokens meet in, whatever the partitions
-MANY = 400                      # from this size on, a set is represented by part of its shingles
+MANY = 400                      # from this size on, a set meets others by part of its shingles, if that is enough
 MERGE_COST = 0.01               # DivideSkip's weight of a merge against a probe
 
 
@@ -78,31 +78,19 @@ class ShingleSets:
 
 
 def part_of_all(percent: int) -> float:
-    """Share of all shingles that stands for large sets.
-
-    A linked set misses at most (100 - percent) % of its shingles, here all of them inside the part at worst.  From
-    ``MANY`` shingles on, the part holds more than that by over six standard deviations: 1 in 10^10 sets does
-    not, and keeps no guarantee then.
-    """
+    """Share of all shingles that stands for large sets: well above what a linked set may miss."""
     return min(1.0, 2.5 * (100 - percent) / 100)
 
 
 class Universe:
-    """Those sets and shingles of a chunk that meet under one rule: all of small sets, or a part of large ones.
-
-    The two rules overlap, so that any two linked sets share one.
-    """
+    """Those sets (``takes``) and shingles (``within``) of a chunk that meet under one rule."""
 
-    def __init__(self, sets: ShingleSets, percent: int, large: bool, has_id: np.ndarray):
-        n = sets.sizes
-        takes = (n >= MANY if large else n * percent < 100 * MANY) & (n > 0) & has_id
-        mask = takes[sets.doc_of]
-        if large:
-            mask &= sets.hashes < np.uint64(min(part_of_all(percent) * 2.0**64, 2.0**64 - 2.0**12))
+    def __init__(self, sets: ShingleSets, name: int, percent: int, takes: np.ndarray, within: np.ndarray):
+        mask = takes[sets.doc_of] & within
         self.hashes, self.doc_of = sets.hashes[mask], sets.doc_of[mask]
         held = np.bincount(self.doc_of, minlength=len(sets))
-        self.need = held - n * (100 - percent) // 100  # shared shingles of a linked set
-        self.name = np.uint64(2 if large else 1)
+        self.need = held - sets.sizes * (100 - percent) // 100  # shared shingles of a linked set
+        self.name = np.uint64(name)
 
     def prefixes(self, length: np.ndarray, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and their sets: the rarest shared shingles of each set that can have a link.
@@ -119,8 +107,26 @@ class Universe:
         return mix(h[keep] + self.name), doc[keep]
 
 
-def universes(sets: ShingleSets, percent: int, has_id: np.ndarray) -> list[Universe]:
-    return [Universe(sets, percent, False, has_id), Universe(sets, percent, True, has_id)]
+def universes(sets: ShingleSets, percent: int, has_id: np.ndarray, many: int | None = None,
+              part: float | None = None) -> list[Universe]:
+    """The rules that sets meet under; any two linked sets share a token of one of them.
+
+    Small sets meet by all shingles, large ones by a part of all shingles; sizes between belong to both.  A linked
+    set misses at most (100 - percent) % of its shingles.  If the part of one of two linked large sets holds more
+    than that, they share one of its shingles.  Sets whose part holds no more meet by all shingles as well, so two
+    of them find each other there.
+    """
+    n = sets.sizes
+    takes = (n > 0) & has_id
+    everything = np.ones(len(sets.hashes), dtype=bool)
+    many = MANY if many is None else many
+    part = part_of_all(percent) if part is None else part
+    in_part = sets.hashes < np.uint64(min(part * 2.0**64, 2.0**64 - 2.0**12))
+    held = np.bincount(sets.doc_of[in_part], minlength=len(sets))
+    large = takes & (n >= many)
+    return [Universe(sets, 1, percent, takes & (n * percent < 100 * many), everything),
+            Universe(sets, 2, percent, large, in_part),
+            Universe(sets, 3, percent, large & (held <= n * (100 - percent) // 100), everything)]
 
 
 LISTS = "shard long, chunk long, keys binary, counts binary"

@@ -63,8 +63,29 @@ def test_components_of_sets_represented_by_part(spark, corpus, monkeypatch):
     import pyarrow as pa
     import numpy as np
     sets = jaccard_join.ShingleSets(pa.array([t for _, t in corpus]))
-    small, large = jaccard_join.universes(sets, 90, np.ones(len(sets), dtype=bool))
+    small, large, short = jaccard_join.universes(sets, 90, np.ones(len(sets), dtype=bool))
     assert len(small.hashes) and len(large.hashes) and (large.need[np.unique(large.doc_of)] > 0).mean() > 0.9
+    assert set(short.doc_of) == set(large.doc_of[large.need[large.doc_of] <= 0]) | (
+        set(np.nonzero(sets.sizes >= 60)[0]) - set(large.doc_of))
+
+
+@pytest.mark.parametrize("part", [0.25, 0.11, 0.02, 0.0])
+def test_linked_sets_meet_however_little_the_part_holds(corpus, part):
+    import numpy as np
+    import pyarrow as pa
+    texts = [t for _, t in corpus]
+    sets = jaccard_join.ShingleSets(pa.array(texts))
+    parts = jaccard_join.universes(sets, 90, np.ones(len(sets), dtype=bool), many=20, part=part)
+    keys, counts = jaccard_join.chunk_entries(parts)
+    tokens = {}
+    for p in parts:
+        length = np.where(counts > 1, counts, 0)[np.searchsorted(keys, p.hashes)]
+        for token, doc in zip(*(x.tolist() for x in p.prefixes(length, len(sets)))):
+            tokens.setdefault(doc, set()).add(token)
+    own = [plain.shingles(t, 3) for t in texts]
+    links = [(i, j) for i, a in enumerate(own) for j, b in enumerate(own[:i])
+             if a and b and 100 * len(a & b) >= 90 * len(a | b)]
+    assert links and all(tokens[i] & tokens[j] for i, j in links)
 
 
 def test_divide_skip_finds_every_link(corpus):
