@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.salting import salted_join
 from ..plans.shared import written
 
 # Words as most operators here understand them: runs free of ASCII white space.
@@ -231,29 +232,38 @@ def by_shard(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, n
     return order, shards, np.append(first, len(order))
 
 
+def _follow(rows: DataFrame, column: str, step: DataFrame, spread_by: str) -> DataFrame:
+    """``column`` replaced by its root in ``step(id, root)``, if it has one; any value may be hot."""
+    moved = step.where("id <> root").select(F.col("id").alias("_at"), F.col("root").alias("_to"))
+    return salted_join(rows.withColumn("_at", F.col(column)), moved, "_at", spread_by, "left").withColumn(
+        column, F.coalesce("_to", column)).drop("_at", "_to")
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table ``(a long, b long)``: rows ``(id, root)``.
 
-    ``root`` is the smallest id of the component.  Every round each node takes the
-    smallest root among itself and its neighbours and then the root of that root,
-    so a chain of n nodes needs about log n rounds.  Roots and edges stay
-    distributed; each round's table is written to the shared folder, and only the
-    number of changes reaches the driver.  Edges with a null end, loops and
-    repeated edges change nothing.
+    ``root`` is the smallest id of the component.  Every round each node points to the smallest among itself and
+    its neighbours, pointers are followed to their ends by doubling, and the edges are contracted to edges between
+    those ends.  Ends have only larger neighbours, so at least half of the nodes go each round.  Roots and edges stay
+    distributed; each table is written to the shared folder, and only whether rows are left reaches the driver.
+    Edges with a null end, loops and repeated edges change nothing.
     """
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                   .distinct(), f"{name}-edges")
-    roots = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-                    .select("id", F.least("id", "m").alias("root")), f"{name}-roots")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    left, roots = written(ordered(edges), f"{name}-edges"), None
     for _ in range(max_rounds):
-        heard = (both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("heard")))
-        near = roots.join(heard, roots.id == heard.a).select("id", F.col("root").alias("old"),
-                                                            F.least("root", "heard").alias("root"))
-        up = roots.select(F.col("id").alias("up_id"), F.col("root").alias("up_root"))
-        new = written(near.join(up, near.root == up.up_id).select("id", "old", F.least("root", "up_root").alias("root")),
-                      f"{name}-roots")
-        roots = new.select("id", "root")
-        if new.where("old <> root").isEmpty():
+        lowest = left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+        ends = left.select(F.col("b").alias("id"), F.col("b").alias("root"))
+        step = written(lowest.unionByName(ends).groupBy("id").agg(F.min("root").alias("root")), f"{name}-roots")
+        for _ in range(max_rounds):
+            far = written(_follow(step.withColumn("near", F.col("root")), "root", step, "id"), f"{name}-roots")
+            step = far.select("id", "root")
+            if far.where("near <> root").isEmpty():
+                break
+        roots = step if roots is None else written(_follow(roots, "root", step, "id"), f"{name}-roots")
+        left = written(ordered(_follow(_follow(left, "a", step, "b"), "b", step, "a")), f"{name}-edges")
+        if left.isEmpty():
             return roots
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,7 +6,7 @@ import plain
 import pytest
 from conftest import frame
 
-from redactory.llm import jaccard_join, line_dedup, phrase_dedup
+from redactory.llm import common, jaccard_join, line_dedup, phrase_dedup
 
 
 def test_lines(spark, corpus):
@@ -69,6 +69,20 @@ def test_components_of_sets_represented_by_part(spark, corpus, monkeypatch):
         set(np.nonzero(sets.sizes >= 60)[0]) - set(large.doc_of))
 
 
+@pytest.mark.parametrize("pairs", [
+    [], [(1, 1), (None, 2), (3, None)], [(k, k + 1) for k in range(300)], [(0, k) for k in range(1, 400)],
+    [(900, k) for k in range(400)] + [(900, 2000), (2000, 5000), (-7, 5000)],
+    [(k * 7919 % 1009, (k + 1) * 7919 % 1009) for k in range(1, 1000) if k % 90] + [(5, 5), (1, 1)]])
+def test_components_of_chains_and_stars(spark, pairs):
+    got = common.components(spark.createDataFrame(pairs, "a long, b long"), "test")
+    known = [(a, b) for a, b in pairs if a is not None and b is not None and a != b]
+    root = {x: x for pair in known for x in pair}
+    while any(root[a] != root[b] for a, b in known):
+        for a, b in known:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted((r.id, r.root) for r in got.collect()) == sorted(root.items())
+
+
 @pytest.mark.parametrize("part", [0.25, 0.11, 0.02, 0.0])
 def test_linked_sets_meet_however_little_the_part_holds(corpus, part):
     import numpy as np
