@@ -172,8 +172,11 @@ MOVES_SQL = """moves AS (
 # --- jobs ------------------------------------------------------------------
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(*[F.expr(x) for x in (
+    return job_events_of(table(spark, sf_dir, "events"))
+
+
+def job_events_of(events: DataFrame) -> DataFrame:
+    return events.select(*[F.expr(x) for x in (
         "concat('job-', user_id) AS job_id", "ts", "event_id AS seq",
         "CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' "
         "WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import job, reviews
+from ..operators import job, reviews, telemetry
 from ..plans.shared import work_dir
 from ..policy import Policy
 from ..streaming import live, run
 from . import duck
 from .base import STATEMENTS, query
-from .derived import APPTS_SQL, AS_OF_ORDERS, CARDS_SQL, appointments, cards, progress_of
+from .derived import APPTS_SQL, AS_OF_ORDERS, CARDS_SQL, appointments, cards, job_events_of, progress_of
 from .jobs import FAST
 
 DUE = f"due AS (SELECT * FROM appts WHERE status = 'scheduled' AND scheduled_for <= TIMESTAMP '{AS_OF_ORDERS}')"
@@ -119,3 +119,11 @@ def _(spark, d):
     """The stream's newest records, merged, are the batch form's answer."""
     newest = run.run_updating(live.live_progress(progress_of(run.stream_of(spark, d, "events"))), "progress", "job_id", "source_rank")
     return job.merge_progress(newest)
+
+
+@query("live_queue_depth", lambda: STATEMENTS["queue_depth_over_time"])
+def _(spark, d):
+    """Every event arrives twice; the moves of the stream, summed, are the batch form's answer."""
+    twice = job_events_of(run.stream_of(spark, d, "events")).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    moves = live.live_queue_moves(twice.withColumn("ts", F.col("ts").cast("timestamp")))
+    return telemetry.depth_of_moves(run.run_summing(moves, "moves", ["status", "ts"], "delta"))

@@ -8,7 +8,8 @@ from .. import fixed_values as fv
 from ..functions import when
 from ..operators import filters as flt
 from ..operators import records as rec
-from .base import query
+from ..plans.shared import work_dir
+from .base import STATEMENTS, query
 from .derived import (APPTS_SQL, AS_OF_EVENTS, AS_OF_ORDERS, AUDIT_SQL, CARDS_SQL, FEED_FIELDS, FEED_SQL, appointments, audit,
                       cards, change_feed, sessions, sessions_sql, table)
 
@@ -31,6 +32,17 @@ def _(spark, d):
     return rec.current_state(change_feed(spark, d), FEED_FIELDS)
 
 
+@query("snapshot_and_deltas", lambda: STATEMENTS["current_state"])
+def _(spark, d):
+    """The feed in three parts that overlap in time, the first of them twice: the answer of the full replay."""
+    feed = change_feed(spark, d)
+    third = F.pmod(F.floor(F.col("seq") / 1000), F.lit(3))
+    path = work_dir(spark, "snapshot")
+    for part in (0, 2, 0, 1):
+        rec.apply_changes(path, feed.where(third == part), FEED_FIELDS)
+    return rec.read_snapshot(spark, path, FEED_FIELDS)
+
+
 @query("upsert_last_write", "SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events").selectExpr("user_id AS id", "event_id AS seq", "event_type", "value")

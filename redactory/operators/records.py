@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.columns import ordinal, positive
 from ..functions.when import as_moment, ntz
+from ..plans.shared import written
 from ..plans.unnest import explode_map, inline_rows
 from ..plans.windows import previous_values
 from .filters import cards_with_status, domain_counts
 from .job import priority_severity
 
+STATE_BUCKETS = 256  # folders of a snapshot
+
 
 def _with_fields(feed: DataFrame) -> DataFrame:
     return feed.withColumn("fields", F.from_json("payload", "map<string,string>"))
@@ -45,6 +48,14 @@ def current_state(feed: DataFrame, fields: list[str]) -> DataFrame:
     patches of ids that were never put, and deleted ids, drop out.  One aggregate
     with partial combine: a hot id sends one row per task, not its history.
     """
+    return live_records(feed_state(feed, fields), fields)
+
+
+def feed_state(feed: DataFrame, fields: list[str]) -> DataFrame:
+    """What a feed says of each id: the newest put, delete and row, and the newest row that sets each field.
+
+    States of parts of a feed, in any order, overlapping or not, give that of the whole by ``merged_states``.
+    """
     rows = read_feed(feed)
     is_put, is_delete = F.col("op") == "put", F.col("op") == "delete"
     aggs = [F.max(F.when(is_put, F.col("seq"))).alias("_put"),
@@ -53,11 +64,49 @@ def current_state(feed: DataFrame, fields: list[str]) -> DataFrame:
     for f in fields:
         sets = is_put | ((F.col("op") == "patch") & F.map_contains_key("fields", F.lit(f)))
         aggs.append(F.max(F.when(sets, F.struct("seq", F.element_at("fields", F.lit(f)).alias("v")))).alias(f"_f_{f}"))
-    state = rows.groupBy("id").agg(*aggs)
+    return rows.groupBy("id").agg(*aggs)
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("id").agg(*[F.max(c).alias(c) for c in states.columns if c != "id"])
+
+
+def live_records(state: DataFrame, fields: list[str]) -> DataFrame:
     return (state.where(F.col("_put") > F.coalesce("_del", F.lit(-1)))
             .select("id", *[F.col(f"_f_{f}.v").alias(f) for f in fields], F.col("_last.ts").alias("updated_at")))
 
 
+def apply_changes(path: str, delta: DataFrame, fields: list[str], buckets: int = STATE_BUCKETS) -> None:
+    """Merge a part of a feed into the snapshot kept at ``path``, which is made if absent.
+
+    The snapshot is a Parquet table of states in ``buckets`` folders by a hash of the id, a number that stays as it
+    was first.  Only folders in which an id has changes are read and written again.  Parts may come late, overlap or
+    come again: after a failure, apply the same part once more.  Null ids are one id.  One writer at a time; a reader
+    may see some folders before and some after a part.  ``read_snapshot`` gives the state.
+    """
+    spark = delta.sparkSession
+    in_bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    new = written(feed_state(delta, fields).withColumn("_bucket", in_bucket), "delta")
+    changed = [r[0] for r in new.select("_bucket").distinct().collect()]  # ``buckets`` numbers at most
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if not changed:
+        if not exists:  # an empty snapshot, which can be read
+            new.drop("_bucket").write.parquet(f"{path}/_bucket=0")
+        return
+    if exists:
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("_bucket").isin(changed))
+        new = old.unionByName(new)
+    states = written(merged_states(new.drop("_bucket")).withColumn("_bucket", in_bucket), "states")
+    (states.repartition("_bucket").write.partitionBy("_bucket").mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
+def read_snapshot(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """Current records of a snapshot that ``apply_changes`` keeps; the answer of ``current_state`` over all its parts."""
+    return live_records(spark.read.parquet(path), fields)
+
+
 def upsert(feed: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Last whole row per key."""
     rest = [c for c in feed.columns if c != key]

@@ -59,7 +59,12 @@ def queue_depth_over_time(events: DataFrame) -> DataFrame:
     steps = F.filter(F.array(
         F.struct(F.col("status").alias("status"), F.lit(1).alias("delta")),
         F.struct(F.col("prev_status").alias("status"), F.lit(-1).alias("delta"))), lambda s: s["status"].isNotNull())
-    netted = moves.select("ts", F.inline(steps)).groupBy("status", "ts").agg(F.sum("delta").alias("delta"))
+    return depth_of_moves(moves.select("ts", F.inline(steps)))
+
+
+def depth_of_moves(moves: DataFrame) -> DataFrame:
+    """Running depth of each status from moves (status, ts, delta) in any order, one row per second with a move."""
+    netted = moves.groupBy("status", "ts").agg(F.sum("delta").alias("delta"))
     return running_total(netted, ["status"], F.to_date("ts"), "ts", "delta", "depth").select("status", "ts", "depth")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from .. import fixed_values as fv
 from ..operators.detect import detect, detections
 from ..operators.job import deidentify, newest_by_source
 from ..operators.reviews import fire
@@ -44,6 +47,75 @@ def live_progress(stream: DataFrame) -> DataFrame:
     return newest_by_source(stream)
 
 
+_MOVES = "status string, at long, delta int"
+_JOB_STATE = "seqs string, pruned boolean"
+
+
+def _moves(history: list[list]) -> Counter:
+    """Moves of a job's events ``[seq, second, status]`` in order: into each status, out of the one before."""
+    steps = [(status, at, 1) for _, at, status in history]
+    steps += [(before[2], after[1], -1) for before, after in zip(history, history[1:])]
+    return Counter(steps)
+
+
+def live_queue_moves(events: DataFrame, lateness: str = "1 hour", remember_days: int | None = None) -> DataFrame:
+    """Moves ``(status, ts, delta)`` of jobs between statuses, for ``telemetry.depth_of_moves`` and sums per status.
+
+    ``events`` is a stream ``(job_id, seq, ts, status)``; statuses are upper-cased and moves are dated to the second.
+    An event adds one to its status and takes one from the status before it by ``seq``.  One that arrives out of
+    order takes back what its neighbours have sent and sends what they should have, so the sums are those of the
+    ordered events.  A repeated (job_id, seq) changes nothing, nor does a row without one of its four values.
+
+    Each job keeps its events of the last ``lateness`` before the newest event seen, and one before them; an event
+    older than that one by ``seq`` changes nothing.  With ``remember_days`` a job is forgotten so long after its last
+    event while its status is final; by default one event a job is kept for good.
+    """
+    remember = None if remember_days is None else remember_days * 86_400_000
+
+    def recent(history: list[list], now: int) -> tuple[list[list], bool]:
+        past = 0
+        while past < len(history) and history[past][1] * 1000 < now:
+            past += 1
+        return history[max(past - 1, 0):], past > 1
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentWatermarkMs()
+        text, pruned = state.get if state.exists else ("[]", False)
+        held, cut = recent(json.loads(text), now)
+        pruned = pruned or cut
+        known = {event[0]: event for event in held}
+        oldest = held[0][0] if pruned else None
+        for batch in batches:
+            for seq, at, status in zip(batch["seq"].tolist(), batch["at"].tolist(), batch["status"].tolist()):
+                if oldest is None or seq > oldest:
+                    known.setdefault(seq, [seq, at, status])
+        history = [known[seq] for seq in sorted(known)]
+        old, new = _moves(held), _moves(history)
+        rows = [(status, at, delta) for (status, at, delta) in (new - old).elements()]
+        rows += [(status, at, -delta) for (status, at, delta) in (old - new).elements()]
+        history, cut = recent(history, now)
+        state.update((json.dumps(history), pruned or cut))
+        if remember is not None and history[-1][2] in fv.TERMINAL_JOB_STATUSES:
+            state.setTimeoutTimestamp(max(history[-1][1] * 1000, now) + remember)
+        if rows:
+            yield pd.DataFrame(rows, columns=["status", "at", "delta"])
+
+    second = "unix_seconds(date_trunc('second', cast(ts as timestamp)))"
+    timed = events.where("job_id IS NOT NULL AND seq IS NOT NULL AND ts IS NOT NULL AND status IS NOT NULL").withWatermark(
+        "ts", lateness).selectExpr("job_id", "cast(seq as long) AS seq", f"{second} AS at", "upper(status) AS status", "ts")
+    moves = _behind_the_clock(timed).groupBy("job_id").applyInPandasWithState(step, _MOVES, _JOB_STATE, "append",
+                                                                              "EventTimeTimeout")
+    return moves.select("status", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "delta")
+
+
+def _behind_the_clock(timed: DataFrame) -> DataFrame:
+    """Spark drops rows whose event time is behind the clock.  The clock has read it by now, so none is left to judge by."""
+    return timed.withColumn("ts", F.lit(None).cast("timestamp").alias("ts", metadata=timed.schema["ts"].metadata))
+
+
 _REVIEW = "id string, title string, pipeline_card_id string"
 _REVIEW_STATE = "seq long, title string, card string, due long, status string"
 
@@ -89,9 +161,7 @@ def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remembe
 
     timed = appointments.where("id IS NOT NULL").withWatermark("ts", lateness).selectExpr(
         "id", "title", "pipeline_card_id", "unix_millis(cast(scheduled_for as timestamp)) AS due", "status", "seq", "ts")
-    # Spark drops rows whose event time is behind the clock.  The clock has read it by now, so none is left to judge by.
-    timed = timed.withColumn("ts", F.lit(None).cast("timestamp").alias("ts", metadata=timed.schema["ts"].metadata))
-    return timed.groupBy("id").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append", "EventTimeTimeout")
+    return _behind_the_clock(timed).groupBy("id").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append", "EventTimeTimeout")
 
 
 def watch_due_appointments(appointments: DataFrame, cards: Callable[[], DataFrame],

@@ -45,3 +45,20 @@ def run_updating(stream: DataFrame, name: str, *keys: str) -> DataFrame:
     fields = stream.columns
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
     return newest.select("r.*")
+
+
+def run_summing(stream: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:
+    """Run an append-mode stream to the end of the available data, its values summed per key and batch.
+
+    A batch that is run again replaces its own folder.
+    """
+    spark = stream.sparkSession
+    base = work_dir(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*keys).agg(F.sum(value).alias(value)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    query = (stream.writeStream.outputMode("append").foreachBatch(write)
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")

@@ -50,6 +50,32 @@ def test_current_state_and_audit(spark):
         ("a", "compliance.attest", "Attested by 'eve'", "info")]
 
 
+def test_snapshot_and_deltas_equal_the_replay(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for seq in range(600):
+        op = rng.choice(["put", "patch", "patch", "patch", "delete"])
+        fields = {f: rng.choice(["a", "b", None]) for f in ("title", "status") if op == "put" or rng.random() < 0.5}
+        some = rng.choice([None, "hot", "hot", *map(str, range(40))])
+        rows.append((some, seq, "2024-01-01 00:00:00", op, json.dumps(fields) if rng.random() < 0.95 else "{bad"))
+    make = lambda some: spark.createDataFrame(some, "id string, seq long, at string, op string, payload string").selectExpr(
+        "id", "seq", "cast(at as timestamp_ntz) AS ts", "op", "payload")
+    path, fields = str(tmp_path / "snapshot"), ["title", "status"]
+    records = lambda df: sorted(map(tuple, df.collect()), key=str)
+    rec.apply_changes(path, make([]), fields, 16)
+    assert records(rec.read_snapshot(spark, path, fields)) == []
+    for part in (rows[:200], rows[400:], rows[150:420], rows[400:]):  # late, overlapping and repeated parts
+        rec.apply_changes(path, make(part), fields, 16)
+    assert records(rec.read_snapshot(spark, path, fields)) == records(rec.current_state(make(rows), fields))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("snapshot/_bucket=*/*.parquet")}
+    before = files()
+    rec.apply_changes(path, make([("7", 1000, "2024-01-02 00:00:00", "put", '{"title": "new"}')]), fields, 16)
+    rec.apply_changes(path, make([]), fields, 16)
+    after = files()
+    assert {p.split("/")[-2] for p in before.items() ^ after.items() for p in [p[0]]} == {
+        f"_bucket={r[0]}" for r in spark.sql("SELECT pmod(xxhash64('7'), 16)").collect()}
+    assert ("7", "new", None) in {r[:3] for r in records(rec.read_snapshot(spark, path, fields))}
+
+
 def test_previous_values_with_a_hot_key(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else rng.choice("xyz"), i, rng.choice([None, i])) for i in range(500)]

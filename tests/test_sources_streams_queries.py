@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import compare, duck
 from redactory import Policy, catalog
+from redactory.operators import telemetry as tel
 from redactory.operators.job import deidentify
 from redactory.sources import manifest, tables
 from redactory.streaming import live, run
@@ -122,6 +123,40 @@ def test_reviews_fire_once_at_their_time(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_live_queue_depth_with_late_and_repeated_events(spark, tmp_path):
+    schema = "job_id string, seq long, ts timestamp, status string"
+    at = lambda minute: f"2024-01-01 10:{minute:02}:00"
+    batches = [
+        [("a", 1, at(0), "pending"), ("a", 3, at(4), "Running"), ("b", 2, at(1), "pending"), ("a", 1, at(0), "pending")],
+        [("a", 2, at(2), "queued"), ("b", 2, at(1), "pending"), ("b", 9, at(8), "failed"), (None, 4, at(4), "pending"),
+         ("c", None, at(4), "pending"), ("c", 5, None, "pending"), ("c", 6, at(6), None)],
+        [("a", 7, at(50), "completed"), ("b", 8, at(7), "running"), ("a", 7, at(50), "completed"), ("b", 9, at(8), "failed")],
+        [("a", 8, at(55), "running"), ("a", 7, at(50), "completed")],
+        [("a", 1, at(0), "lost"), ("b", 1, at(0), "queued")],  # a knows no event before seq 7 any more, b none before 9
+    ]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "job_id string, seq long, at string, status string").selectExpr(
+            "job_id", "seq", "cast(at as timestamp) AS ts", "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        moves = live.live_queue_moves(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "10 minutes")
+        (moves.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination())
+        kept = {(r[0], r[1]): r for part in batches[:min(k, 3) + 1] for r in part if None not in r}
+        whole = tel.queue_depth_over_time(spark.createDataFrame(list(kept.values()), "job_id string, seq long, at string, status string")
+                                          .selectExpr("job_id", "seq", "cast(at as timestamp_ntz) AS ts", "status"))
+        live_depth = tel.depth_of_moves(spark.read.schema(moves.schema).parquet(str(tmp_path / "out")))
+
+        def changes(df):
+            depth, out = {}, []
+            for r in sorted(df.collect(), key=lambda r: (r.status, r.ts)):
+                if depth.get(r.status, 0) != r.depth:
+                    out.append((r.status, r.ts, r.depth))
+                depth[r.status] = r.depth
+            return out
+        assert changes(live_depth) == changes(whole), k
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_reviews_count_rows_far_behind_the_clock(spark, tmp_path):
     """Appointments, moves and cancellations whose ts is hours or weeks behind, and repeats of fired ones."""
     schema = "id string, title string, pipeline_card_id string, scheduled_for timestamp, status string, seq long, ts timestamp"
