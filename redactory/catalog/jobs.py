@@ -73,6 +73,16 @@ def _(spark, d):
     return src.list_payloads(e, "props", "k bigint", "ts", descending=True, limit=25)
 
 
+@query("payload_by_id", """SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+WHERE event_id = (SELECT max(event_id) FROM events)""")
+def _(spark, d):
+    """The newest event's payload, looked up by its id in a table of all payloads kept in order of the id."""
+    e = table(spark, d, "events").selectExpr("event_id AS id", "props")
+    path = work_dir(spark, "payloads") + "/by_id"
+    src.write_payloads(e, path, "id")
+    return src.get_payload(spark.read.parquet(path), "props", "k bigint", "id", e.agg(F.max("id")).first()[0])
+
+
 @query("filter_json_path", "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '42'")
 def _(spark, d):
     return src.where_json(table(spark, d, "events"), "props", "$.k", "42").select("event_id", "user_id")

@@ -85,8 +85,21 @@ def list_payloads(df: DataFrame, payload_col: str, schema: StructType | str, ord
     return out.select(tie, order_col, "_p.*")
 
 
+def write_payloads(df: DataFrame, path: str, key: str, group_bytes: int = 16 << 20) -> None:
+    """Keep records so that one key is found by reading few of them: files are ranges of the key, sorted inside.
+
+    Row groups carry their smallest and largest key, which ``get_payload`` skips by.  Rows without a key come first.
+    """
+    (df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+     .option("parquet.block.size", group_bytes).parquet(path))
+
+
 def get_payload(df: DataFrame, payload_col: str, schema: StructType | str, key: str, value) -> DataFrame:
-    return df.where(F.col(key) == value).select(key, F.from_json(payload_col, schema).alias("_p")).select(key, "_p.*")
+    """The parsed payload of one key; none for an unknown or null key, and one row per row that has it.
+
+    The comparison is pushed to the scan: on a table from ``write_payloads`` only row groups that can hold the key are read.
+    """
+    return df.where(F.col(key) == F.lit(value)).select(key, F.from_json(payload_col, schema).alias("_p")).select(key, "_p.*")
 
 
 def where_json(df: DataFrame, payload_col: str, path: str, value: str) -> DataFrame:

@@ -59,6 +59,23 @@ def test_documents_from_json(spark):
     assert rows == [("Seattle office", None, None), (None, "7", None), (None, None, "{bad")]
 
 
+def test_one_payload_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+    rows = spark.range(100_000).selectExpr("(id * 7919) % 100000 AS id", "concat('{\"k\":', id, ',\"pad\":\"', repeat(uuid(), 4), '\"}') AS doc")
+    rows = rows.unionByName(spark.sql("SELECT * FROM VALUES (NULL, '{\"k\":0}'), (5L, '{bad'), (100001L, NULL) AS t(id, doc)"))
+    path = str(tmp_path / "payloads")
+    tables.write_payloads(rows, path, "id", 1 << 20)
+    kept = spark.read.parquet(path)
+    found = tables.get_payload(kept, "doc", "k long", "id", 7919)
+    assert [tuple(r) for r in found.collect()] == [(7919, 1)]
+    assert "EqualTo(id,7919)" in found._jdf.queryExecution().toString()
+    groups = [pq.ParquetFile(f).metadata.row_group(g).column(0).statistics
+              for f in (tmp_path / "payloads").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) >= 8 and sum(g.has_min_max and g.min <= 7919 <= g.max for g in groups) == 1
+    look = lambda value: sorted(map(tuple, tables.get_payload(kept, "doc", "k long", "id", value).collect()), key=str)
+    assert look(None) == [] and look(-1) == [] and len(look(5)) == 2 and look(100_001) == [(100_001, None)]
+
+
 def test_stream_equals_batch(spark):
     policy = Policy(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
     stream = run.stream_of(spark, SF, "documents").select("doc_id", "text")
