@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..plans.shared import written
 from . import bpe
 from .common import offsets_of, ranges, text_slices
+from .text_encoder import TextEncoder
 
 WINDOW = 2048
 GRAIN = 8
@@ -125,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, content: str = "ids", window: i
     shared = docs.sparkSession.sparkContext.broadcast(bpe.load_vocabulary(tokenizer_path))
 
     def work(batches):
-        encoder = bpe.Encoder(shared.value)
+        encoder = TextEncoder(shared.value)
         for part in text_slices(batches):
             bare, ends = encoder.encode(part.column("text"))
             n = np.diff(ends) + 1
