@@ -1,8 +1,8 @@
 """Packing token sequences: repeat counts of window-filling combinations by non-negative least squares.
 
 Every document's ids (with an end id) are cut into full windows and one remainder.  Piece
-lengths become levels of ``GRAIN`` ids, so the histogram of all pieces is a few hundred
-numbers whatever the corpus.  Combinations of at most ``DEPTH`` levels that fill a window
+lengths up to ``EXACT`` are levels of their own, longer ones are rounded up to ``GRAIN`` ids, so the histogram of
+all pieces is a few hundred numbers whatever the corpus.  Combinations of at most ``DEPTH`` levels that fill a window
 are enumerated, their repeat counts solved by non-negative least squares against the
 histogram and rounded down; what remains is packed greedily, pattern by pattern.  Only the
 histogram reaches the driver.  Pieces find their place by their rank within their level.
@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.shared import written
 from . import bpe
@@ -23,9 +23,10 @@ from .text_encoder import TextEncoder
 
 WINDOW = 2048
 GRAIN = 8
+EXACT = 64  # pieces up to here lose no id to the grain, so very short texts fill their windows
 DEPTH = 3
 END_ID = 1
-BUCKETS = 256  # parts that a level is ranked in; bounds the broadcast table of bucket sizes
+BUCKETS, FULL_BUCKETS = 256, 4096  # parts that a level, and that of full windows, is ranked in; bound the broadcast table of their sizes
 
 
 def combinations(levels: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -70,20 +71,39 @@ def nonnegative_least_squares(parts: list[tuple[int, ...]], counts: np.ndarray,
     return x
 
 
-def plan(counts: np.ndarray, levels: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used; together they use every piece of ``counts`` (by level) exactly once."""
+def level_sizes(window: int, grain: int, exact: int = EXACT) -> np.ndarray:
+    """Ids that a piece of each level takes, ascending; level 0 is none."""
+    every = np.arange(window + 1)
+    return every[(every < min(exact, window)) | (every % grain == 0)]
+
+
+def level_of(length: Column, sizes: np.ndarray, grain: int) -> Column:
+    """The smallest level that holds a piece."""
+    exact = int(np.argmax(np.diff(sizes, append=sizes[-1] + grain) > 1))  # the last level before the steps of the grain
+    return F.when(length <= exact, length).otherwise(exact - exact // grain + F.ceil(length / F.lit(grain))).cast("int")
+
+
+def plan(counts: np.ndarray, levels: int, sizes: np.ndarray | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used; together they use every piece of ``counts`` (by level) exactly once.
+
+    A pattern's pieces take at most the size of the last level, and ``levels`` parts of that size are combined;
+    by default a level's size is its number.
+    """
+    sizes = np.arange(levels + 1) if sizes is None else sizes
+    window, last = int(sizes[-1]), len(sizes) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(pattern: tuple[int, ...], most: int | None = None) -> None:
-        need = np.bincount(pattern, minlength=levels + 1)
+        need = np.bincount(pattern, minlength=last + 1)
         n = int((left[need > 0] // need[need > 0]).min())
         n = n if most is None else min(n, most)
         if n > 0:
             left[:] -= need * n
             out.append((pattern, n))
 
-    parts = combinations(levels)
+    of_part = np.searchsorted(sizes, np.arange(levels + 1) * (window // levels))
+    parts = [tuple(of_part[list(p)].tolist()) for p in combinations(levels)]
     x = np.floor(nonnegative_least_squares(parts, counts.astype(float)) + 1e-6).astype(np.int64)
     for j in np.argsort(-x, kind="stable"):
         if x[j] <= 0:
@@ -91,16 +111,16 @@ def plan(counts: np.ndarray, levels: int) -> list[tuple[tuple[int, ...], int]]:
         use(parts[j], int(x[j]))
     while left.any():  # every round uses up at least one level
         pattern: list[int] = []
-        room, taken = levels, np.zeros(levels + 1, dtype=np.int64)
+        room, taken = window, np.zeros(last + 1, dtype=np.int64)
         while True:
-            fits = np.nonzero((left - taken)[:room + 1] > 0)[0]
+            fits = np.nonzero((left - taken)[:np.searchsorted(sizes, room, side="right")] > 0)[0]
             if not len(fits):
                 break
             level = int(fits[-1])
-            k = min(room // level, int(left[level] - taken[level]))
+            k = min(room // int(sizes[level]), int(left[level] - taken[level]))
             pattern += [level] * k
             taken[level] += k
-            room -= level * k
+            room -= int(sizes[level]) * k
         use(tuple(pattern))
     return out
 
@@ -162,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, content: str = "ids", w
     """
     if window % grain:
         raise ValueError("the grain must divide the window")
-    levels = window // grain
+    sizes = level_sizes(window, grain)
     cut = pieces(docs, tokenizer_path, content, window, end_id)
     fields = cut.columns
     if content == "ids":
@@ -172,20 +192,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, content: str = "ids", w
     else:
         cut = written(cut, "pieces")
         slim, tie = cut, content
-    level = F.ceil(F.col("length") / F.lit(grain)).cast("int")
+    level = level_of(F.col("length"), sizes, grain)
+    # Rows of one id, or of none, are told apart by their content too.
+    parts = F.when(F.col("length") == window, FULL_BUCKETS).otherwise(BUCKETS)
     placed = slim.withColumn("_level", level).withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int"))
-    sizes = placed.groupBy("_level", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    counts = np.zeros(levels + 1, dtype=np.int64)
-    for row in sizes.groupBy("_level").agg(F.sum("_n").alias("n")).collect():  # one row a level
+        "_bucket", F.pmod(F.xxhash64("doc_id", "start", tie), parts).cast("int"))
+    in_bucket = placed.groupBy("_level", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = np.zeros(len(sizes), dtype=np.int64)
+    for row in in_bucket.groupBy("_level").agg(F.sum("_n").alias("n")).collect():  # one row a level
         counts[row["_level"]] = row["n"]
-    table = slots(plan(counts, levels))
+    table = slots(plan(counts, window // grain, sizes))
 
     earlier = W.partitionBy("_level").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select("_level", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = in_bucket.select("_level", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_level", "_bucket").orderBy("doc_id", "start", "length", "doc_tokens", tie)
     ranked = placed.withColumn("_in", F.row_number().over(inside) - 1).join(
-        F.broadcast(before), ["_level", "_bucket"])  # at most levels * BUCKETS rows
+        F.broadcast(before), ["_level", "_bucket"])  # at most len(sizes) * BUCKETS + FULL_BUCKETS rows
     ranked = ranked.select(*slim.columns, "_level", (F.col("_in") + F.col("_before")).alias("_rank"))
 
     names = slim.columns

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import frame
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from redactory.llm import bpe, packing, queries
@@ -128,3 +129,35 @@ def test_plan_uses_every_piece_once_with_little_padding():
         assert (used == counts).all()
         filled = (counts * np.arange(257)).sum()
         assert n == 0 or filled / (256 * n) > 0.93
+
+
+@pytest.mark.parametrize("window, grain", [(2048, 8), (2048, 128), (32, 8), (64, 1), (256, 64)])
+def test_every_length_has_the_smallest_level_that_holds_it(spark, window, grain):
+    sizes = packing.level_sizes(window, grain)
+    got = [r.level for r in spark.range(1, window + 1).select(
+        packing.level_of(F.col("id"), sizes, grain).alias("level"), "id").sort("id").collect()]
+    assert got == np.searchsorted(sizes, np.arange(1, window + 1)).tolist()
+
+
+@pytest.mark.parametrize("text, n, most", [("", 2048, 1), (None, 4096, 2), ("a b", 4096, 7)])
+def test_short_texts_fill_their_windows(spark, text, n, most):
+    """Also where all rows have one id, or none."""
+    rows = [(None if i % 3 else 7, text) for i in range(n)]
+    packed = packing.pack_documents(frame(spark, rows, clashing=False), PATH).groupBy("sequence_id").agg(
+        F.sum("length").alias("ids"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("n")).collect()
+    assert len(packed) == most and sum(r.n for r in packed) == n
+    assert all(r.ids == r.end <= 2048 for r in packed)
+
+
+def test_plan_with_exact_levels_uses_every_piece_once():
+    sizes = packing.level_sizes(2048, 8)
+    rng = np.random.default_rng(1)
+    for scale in (3, 60, 900):
+        counts = np.bincount(np.searchsorted(sizes, np.clip(rng.gamma(1, scale, 50_000).astype(int), 1, 2048)), minlength=len(sizes))
+        used, n = np.zeros(len(sizes), dtype=np.int64), 0
+        for pattern, repeat in packing.plan(counts, 256, sizes):
+            assert sizes[list(pattern)].sum() <= 2048
+            used += np.bincount(pattern, minlength=len(sizes)) * repeat
+            n += repeat
+        assert (used == counts).all()
+        assert (counts * sizes).sum() / (2048 * n) > 0.97
