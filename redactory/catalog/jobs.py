@@ -10,7 +10,7 @@ from ..operators import job, profile
 from ..plans.shared import work_dir
 from ..plans.spread import spread
 from ..policy import Policy
-from ..sources import tables as src
+from ..sources import manifest, tables as src
 from . import duck
 from .base import query
 from .derived import (AUDIT_SQL, JOB_EVENTS_SQL, JOB_STATS_SQL, PROGRESS_SQL, CARDS_SQL, audit, cards, job_events,
@@ -33,6 +33,20 @@ def _(spark, d):
     return src.rows_from_json(docs, "doc", "_id string, k bigint", keep=["event_id"])
 
 
+@query("manifest_of_orders", """WITH files AS (SELECT strftime(o_orderdate, '%Y-%m') AS "month",
+ string_agg(o_orderkey || ',' || o_custkey || chr(10), '' ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)
+SELECT "month", CAST(strlen(content) AS BIGINT) AS length, 'csv' AS extension, CASE WHEN strlen(content) <= 2000 THEN sha256(content) END AS sha256,
+ strlen(content) <= 2000 AS accepted, CASE WHEN strlen(content) <= 2000 THEN 'ok' ELSE 'too large' END AS reason FROM files""")
+def _(spark, d):
+    """A folder a month with one CSV file each, written first; files of over 2,000 bytes are too large here."""
+    path = work_dir(spark, "orders-by-month")
+    orders = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_custkey")
+    orders.repartition("month").sortWithinPartitions("month", "o_orderkey").write.partitionBy("month").csv(path)
+    listed = manifest.file_manifest(spark, path, path, max_bytes=2000)
+    return listed.withColumn("month", F.regexp_extract("path", "month=([0-9-]+)", 1)).select(
+        "month", "length", "extension", "sha256", "accepted", "reason")
+
+
 @query("csv_scan_split", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, d):
     """Written as CSV and read with a schema, in splits."""

@@ -53,6 +53,47 @@ def test_manifest(spark, tmp_path):
             manifest.file_manifest(spark, outside, "/data")
 
 
+def test_manifest_of_nested_folders(spark, tmp_path, monkeypatch):
+    """Listed and read in tasks: the driver gets no path; names with signs, hidden files, empty folders, many pieces."""
+    import hashlib
+    root = tmp_path / "in"
+    wanted = {}
+    for i in range(40):
+        folder = root / f"k={i % 5}" / "a b+%20" / f"_x=é{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f {i}.csv").write_text("v\n" * i)
+        wanted[str(folder / f"f {i}.csv")] = (2 * i, hashlib.sha256(b"v\n" * i).hexdigest(), "ok" if i else "empty")
+    (root / "empty").mkdir()
+    (root / "_hidden").mkdir()
+    (root / "_hidden" / "x.csv").write_text("1")
+    (root / ".x.csv").write_text("1")
+    big = bytes(range(256)) * 10_000
+    (root / "big.csv").write_bytes(big)
+    wanted[str(root / "big.csv")] = (len(big), hashlib.sha256(big).hexdigest(), "ok")
+    seen = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: seen.append(df) or collect(df))
+    frame = manifest.file_manifest(spark, str(root), str(tmp_path))
+    assert seen == []
+    monkeypatch.undo()
+    assert {r.path: (r.length, r.sha256, r.reason) for r in frame.collect()} == wanted
+    as_uri = manifest.file_manifest(spark, (root / "k=1").as_uri(), str(tmp_path)).collect()
+    assert len(as_uri) == 8 and all(r.path.startswith("file:///") for r in as_uri)
+    assert all(r.reason in ("ok", "empty") for r in as_uri)
+    store, inner, _ = manifest.opened(str(root / "k=2"))
+    listed = manifest.list_files(spark, store, inner)
+    first = listed.orderBy("path").first().path
+    os.remove(first)
+    lost = manifest._verdict(manifest.digest_files(listed, store), 1000).where("reason = 'unreadable'")
+    assert [r.path for r in lost.collect()] == [first]
+    one = manifest.file_manifest(spark, str(root / "big.csv"), str(root)).collect()
+    assert [(r.length, r.sha256, r.reason) for r in one] == [wanted[str(root / "big.csv")]]
+    with pytest.raises(FileNotFoundError):
+        manifest.file_manifest(spark, str(root / "absent"), str(root))
+    (root / "nothing").mkdir()
+    assert manifest.file_manifest(spark, str(root / "nothing"), str(tmp_path)).count() == 0
+
+
 def test_documents_from_json(spark):
     df = spark.createDataFrame([('{"_id":"abc","text":"Seattle office"}',), ('7',), ('{bad',)], "doc string")
     rows = [tuple(r) for r in tables.rows_from_json(df, "doc", "_id string, text string").collect()]
