@@ -75,6 +75,8 @@ def list_files(spark: SparkSession, store: fs.FileSystem, path: str) -> DataFram
     executor repeats one folder's listing at most.
     """
     info = store.get_file_info(path)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError("no such file or folder")
     if info.is_file:
         return spark.createDataFrame([(path, info.size)], "path string, length long")
     files, folders = None, spark.createDataFrame([(path,)], "path string")
