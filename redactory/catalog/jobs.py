@@ -205,16 +205,23 @@ def _(spark, d):
     return job.column_totals(table(spark, d, "pages"), ["url", "html"], FAST)
 
 
-@query("job_report", lambda: duck.spans_ctes("documents", "doc_id", "text", FAST)
-       + """, totals AS (SELECT entity_type, count(*) AS n FROM spans GROUP BY 1)
+@query("job_report", lambda: duck.spans_ctes("documents", "doc_id", "text", FAST) + duck.kept_ctes()
+       + duck.rewritten_ctes(duck.replacement("replace"))
+       + """, totals AS (SELECT entity_type, count(*) AS n FROM spans GROUP BY 1),
+samples AS (SELECT string_agg(doc_id || ':' || coalesce(text, ''), '|' ORDER BY doc_id) AS before,
+ string_agg(doc_id || ':' || coalesce(new_text, text, ''), '|' ORDER BY doc_id) AS after
+ FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 3) d LEFT JOIN rewritten r ON r.k = d.doc_id)
 SELECT 'job-1' AS job_id, (SELECT count(*) FROM documents) AS total_rows, (SELECT count(*) FROM documents) AS processed_rows,
  CAST(coalesce(sum(n), 0) AS BIGINT) AS total_entities, coalesce(string_agg(entity_type || '=' || n, ',' ORDER BY entity_type), '') AS entity_counts,
- 'text' AS cols_processed, 'replace' AS "operator", 3 AS samples FROM totals""")
+ 'text' AS cols_processed, 'replace' AS "operator", (SELECT sha256(before) FROM samples) AS sample_before,
+ (SELECT sha256(after) FROM samples) AS sample_after FROM totals""")
 def _(spark, d):
     s = job.job_stats(table(spark, d, "documents"), "doc_id", ["text"], FAST, "job-1")
+    digest = lambda sample: F.sha2(F.expr(
+        f"array_join(transform({sample}, r -> concat(r.doc_id, ':', r.text)), '|')"), 256).alias(sample)
     return s.select("job_id", "total_rows", "processed_rows", "total_entities", F.expr(
         "array_join(transform(map_entries(entity_counts), e -> concat(e.key, '=', string(e.value))), ',')").alias("entity_counts"),
-        F.array_join("cols_processed", ",").alias("cols_processed"), "operator", F.size("sample_before").alias("samples"))
+        F.array_join("cols_processed", ",").alias("cols_processed"), "operator", digest("sample_before"), digest("sample_after"))
 
 
 @query("quarantine_documents", """SELECT doc_id, concat_ws(', ', CASE WHEN NOT coalesce(length(text) = n_chars, false) THEN 'length' END,
