@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .. import fixed_values as fv
 from ..functions.columns import ordinal, positive
 from ..functions.when import as_moment, ntz
+from ..plans.salting import lookup_join
 from ..plans.shared import written
 from ..plans.unnest import explode_map, inline_rows
 from ..plans.windows import previous_values
@@ -223,9 +224,9 @@ def sessions_of_card(sessions: DataFrame, card_id: str) -> DataFrame:
 
 
 def sessions_per_card(sessions: DataFrame, cards: DataFrame) -> DataFrame:
-    """The same for every card at once: an equi-join on the card id."""
+    """The same for every card at once; a card that holds many of the sessions is split over several tasks."""
     linked = sessions.select(F.col("pipeline_card_id").alias("card_id"), F.col("id").alias("session_id"), "created_at")
-    return cards.select(F.col("id").alias("card_id")).join(linked, "card_id")
+    return lookup_join(linked, cards.select(F.col("id").alias("card_id")), "card_id", "session_id")
 
 
 def entity_breakdown(sessions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from redactory.operators import dictionary as dic, records as rec, telemetry as tel
 from redactory.operators.job import quarantine_failures
+from redactory.plans import salting
 
 
 def kept(rows, n, b):
@@ -66,3 +67,18 @@ def test_failing_texts_leave_the_others(spark):
     assert {r.text for r in got if not r.error} == {"Ann"}
     failed = quarantine_failures(df, "id", spotted)
     assert {(r.id, r.t) for r in failed.collect()} == {(5, "bad"), (7, "Ann far")}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_sessions_of_a_hot_card(spark, monkeypatch, small):
+    """Half of the sessions hold one card; broadcast and salted forms give the same rows."""
+    monkeypatch.setattr(salting, "measured_small", lambda df: small)
+    sessions = spark.range(400).selectExpr(
+        "concat('s', id) AS id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('c', id % 9) END AS pipeline_card_id",
+        "timestamp '2024-01-01' AS created_at")
+    cards = spark.sql("SELECT * FROM VALUES ('hot'), ('c1'), ('c3'), ('unused'), (NULL) AS t(id)")
+    got = rec.sessions_per_card(sessions, cards)
+    assert got.columns == ["card_id", "session_id", "created_at"]
+    wanted = [(f"c{i % 9}" if i % 2 else "hot", f"s{i}") for i in range(400) if i % 2 == 0 or (i % 7 and i % 9 in (1, 3))]
+    assert sorted((r.card_id, r.session_id) for r in got.collect()) == sorted(wanted)
+    assert ("_salt" in got._jdf.queryExecution().toString()) == (not small)
