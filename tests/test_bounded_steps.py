@@ -82,3 +82,13 @@ def test_sessions_of_a_hot_card(spark, monkeypatch, small):
     wanted = [(f"c{i % 9}" if i % 2 else "hot", f"s{i}") for i in range(400) if i % 2 == 0 or (i % 7 and i % 9 in (1, 3))]
     assert sorted((r.card_id, r.session_id) for r in got.collect()) == sorted(wanted)
     assert ("_salt" in got._jdf.queryExecution().toString()) == (not small)
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_a_lookup_that_is_not_small_never_goes_to_the_driver(spark, tmp_path, how):
+    """Compressed to little, it looks small enough for a broadcast of all its repetitions."""
+    spark.range(200_000).selectExpr("cast(id as string) AS card_id").write.parquet(str(tmp_path / "cards"))
+    facts = spark.range(1000).selectExpr("id AS n", "cast(id as string) AS card_id")
+    got = salting.lookup_join(facts, spark.read.parquet(str(tmp_path / "cards")), "card_id", "n", how)
+    assert got.count() == 1000
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
