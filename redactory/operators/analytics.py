@@ -167,9 +167,9 @@ def card_sessions(sessions: DataFrame, cards: DataFrame) -> DataFrame:
         F.col("pipeline_card_id").alias("card_id"), F.col("id").alias("session_id"))
     from_session = lookup_join(from_session, cards.select(F.col("id").alias("card_id")), "card_id", "session_id",
                                "left_semi").select("card_id", "session_id")
-    from_card = cards.where(F.coalesce("session_id", F.lit("")) != "").select(
-        F.col("id").alias("card_id"), "session_id").join(
-        sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi").select("card_id", "session_id")
+    from_card = cards.where(F.coalesce("session_id", F.lit("")) != "").select(F.col("id").alias("card_id"), "session_id")
+    from_card = lookup_join(from_card, sessions.select(F.col("id").alias("session_id")), "session_id", "card_id",
+                            "left_semi").select("card_id", "session_id")
     return from_session.unionByName(from_card).distinct()
 
 
