@@ -8,10 +8,15 @@ from ..plans.shared import work_dir
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table of Parquet files as a stream."""
+    """A table of Parquet files as a stream: one file, or a folder of parts under the table's name."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        folder = path
+    else:
+        reader = reader.option("pathGlobFilter", f"{name}.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)

@@ -125,6 +125,16 @@ def test_stream_equals_batch(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_a_folder_of_parts_is_a_stream_too(spark, tmp_path):
+    for table in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+        for folder in (SF, str(tmp_path)):
+            got = run.run_appending(run.stream_of(spark, folder, table), "parts")
+            assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count() > 0
+    whole, parts = (sorted(entry.queries()["live_entity_counts"](spark, f).collect()) for f in (SF, str(tmp_path)))
+    assert whole == parts and whole
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "entity_counts", "redacted_text"] and df.count() > 0
