@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed_values as fv
-from ..plans.spread import spread
+from ..plans.spread import spread_rows
 
 
 def _n(expr: str, width: int) -> str:
@@ -43,5 +43,5 @@ PLANTED_SQL = f"planted AS (SELECT {K} AS order_id, {C} AS customer_id, {TEXT} A
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C))
+    orders = spread_rows(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K, C), K, C)
     return orders.selectExpr(f"{K} AS order_id", f"{C} AS customer_id", f"{TEXT} AS note", f"{CITY} AS place")

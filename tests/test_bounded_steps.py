@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from redactory.catalog import planted
 from redactory.operators import dictionary as dic, records as rec, telemetry as tel
 from redactory.operators.job import quarantine_failures
-from redactory.plans import salting
+from redactory.plans import salting, spread
 
 
 def kept(rows, n, b):
@@ -92,3 +94,19 @@ def test_a_lookup_that_is_not_small_never_goes_to_the_driver(spark, tmp_path, ho
     assert got.count() == 1000
     plan = got._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_costly_rows_do_not_stay_in_their_row_group(spark, tmp_path, monkeypatch):
+    """One row group in a file of as many splits as cores: the rows are dealt by number, not by split."""
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "orders.parquet")
+    rows = spark.range(6000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey")
+    pq.write_table(rows.toArrow(), path)
+    monkeypatch.setattr(spread, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        notes = planted.planted(spark, str(tmp_path)).select("order_id", F.spark_partition_id().alias("p"))
+        held = [r["count"] for r in notes.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(held) == 6000 and max(held) <= 2 * 500
