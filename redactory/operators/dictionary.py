@@ -18,8 +18,7 @@ from .. import fixed_values as fv
 from .. import registry as reg
 from ..functions import text as tx
 from ..functions.expr import quoted, raw, record, transform
-from ..plans.salting import salted_join
-from ..plans.sizing import measured_small, small_side
+from ..plans.sizing import measured_small
 from ..plans.spread import spread
 from ..plans.unnest import inline_rows
 from ..schema import SPAN_DDL
@@ -56,6 +55,23 @@ def first_words(terms: DataFrame) -> DataFrame:
     return terms.groupBy(F.substring_index("gram", " ", 1).alias("_word")).agg(F.collect_set("n").alias("_lengths"))
 
 
+# Bits for the first words of a large dictionary, 64 to a row of a table that is broadcast.
+WORD_BITS = 1 << 22
+
+
+def _possible(words: DataFrame, first: DataFrame) -> DataFrame:
+    """Words that may be among the first words, told where the text is by one bit of their hash.
+
+    The table has at most ``WORD_BITS`` / 64 rows however many words there are; the join that follows is exact.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(WORD_BITS))
+    held = first.select(bit("_word").alias("_bit")).groupBy(F.expr("_bit div 64").alias("_slot")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_held"))
+    marked = words.withColumn("_bit", bit("_word")).withColumn("_slot", F.expr("_bit div 64"))
+    return marked.join(F.broadcast(held), "_slot").where("getbit(_held, cast(_bit % 64 as int)) = 1").drop(
+        "_slot", "_bit", "_held")
+
+
 def _matcher(terms: DataFrame):
     """A function text column -> flat array of (start, end, type number), and the type names."""
     rows = terms.collect()  # measured small before
@@ -109,22 +125,34 @@ def _joined_rows(df: DataFrame, keys: list[str], text_col: str, terms: DataFrame
     allow with the terms.
 
     A word's row carries as many following words as the longest term has.  Sides measured small are broadcast; others are
-    shuffled as they are, once, and Spark splits a word that most texts have.
+    shuffled as they are, once, and Spark splits a word that most texts have.  Words that no term begins with stay behind
+    before that.
     """
     most = terms.agg(F.max("n")).first()[0] or 1
     found = df.select(*keys, text_col).where(F.col(text_col).isNotNull())
     parts = inline_rows(found, keys, F.expr(tx.segments(f"`{text_col}`", SEGMENT, 2 * most)), "_base")
     words = parts.select(*keys, "_base", "_pieces", F.posexplode("_pieces").alias("_at", "_piece")).where(
         (F.col("_at") < SEGMENT) & F.expr(f"rlike(_piece, {raw('^' + tx.WORD)})")).select(
-        *keys, F.expr("_base + length(array_join(slice(_pieces, 1, _at), ''))").alias("_start"), F.lower("_piece").alias("_word"),
-        F.expr(f"slice(_pieces, _at + 1, {2 * most - 1})").alias("_pieces"))
-    begun = words.join(small_side(first_words(terms), **bounds), "_word").withColumn("_n", F.explode("_lengths")).where(
-        "size(_pieces) >= 2 * _n - 1")
+        *keys, "_base", "_pieces", "_at", F.lower("_piece").alias("_word"))
+
+    def placed(found: DataFrame, *more: str) -> DataFrame:
+        # Only for words that may begin a term.
+        return found.select(
+            *keys, *more, F.expr("_base + length(array_join(slice(_pieces, 1, _at), ''))").alias("_start"), "_word",
+            F.expr(f"slice(_pieces, _at + 1, {2 * most - 1})").alias("_pieces"))
+
+    first = first_words(terms)
+    if measured_small(first, **bounds):
+        begun = placed(words.join(F.broadcast(first), "_word"), "_lengths")
+    else:
+        begun = placed(_possible(words, first)).join(first.hint("merge"), "_word")
+    begun = begun.withColumn("_n", F.explode("_lengths")).where("size(_pieces) >= 2 * _n - 1")
     # Words and what lies between them take turns.
     grams = begun.withColumn("_pieces", F.expr("slice(_pieces, 1, 2 * _n - 1)")).select(
         *keys, "_start", F.expr("array_join(_pieces, '')").alias("_text"),
         F.expr("IF(_n = 1, _word, array_join(transform(filter(_pieces, (x, i) -> i % 2 = 0), w -> lower(w)), ' '))").alias("gram"))
-    hits = grams.join(small_side(terms.select("gram", "types"), **bounds), "gram")
+    known = terms.select("gram", "types")
+    hits = grams.join(F.broadcast(known) if measured_small(known, **bounds) else known.hint("merge"), "gram")
     return hits.withColumn("entity_type", F.explode("types")).select(
         *keys, "entity_type", F.col("_start").alias("start"), F.expr("_start + length(_text)").alias("end"),
         F.lit(float(score)).alias("score"), F.col("_text").alias("text"), F.lit(name).alias("recognizer"),
@@ -148,21 +176,27 @@ def with_dictionary_spans(df: DataFrame, key: str | list[str], text_col: str, di
                           out_col: str = "dictionary_spans", **bounds) -> DataFrame:
     """The same hits as an array next to their text.
 
-    In place for a small dictionary; for a large one each distinct text is searched
-    once and its hits are joined back on the text's digest, so keys may repeat or be
-    null.  ``key`` only spreads the rows of a frequent text over tasks.  A null text
-    has no spans.
+    In place for a small dictionary; for a large one hits are gathered by the text's
+    digest and joined back on it, so keys may repeat or be null.  The text itself is
+    shuffled once, and Spark splits one that many rows have.  A null text has no
+    spans; ``key`` spreads the rows of such.
     """
     terms = term_grams(dictionary)
     if measured_small(terms, **bounds):
         return _in_row_spans(df, text_col, terms, score, name, out_col)
     keys = [key] if isinstance(key, str) else list(key)
-    digested = df.withColumn("_digest", F.sha2(text_col, 256))
-    texts = digested.where(F.col(text_col).isNotNull()).select("_digest", text_col).dropDuplicates(["_digest"])
-    spans = spans_by_key(_joined_rows(texts, ["_digest"], text_col, terms, score, name, **bounds), "_digest", out_col)
-    none = F.expr(f"cast(array() as array<{SPAN_DDL}>)")
-    return salted_join(digested, spans, "_digest", keys, "left").select(
-        *[c for c in df.columns if c != out_col], F.coalesce(out_col, none).alias(out_col))
+    digested = df.withColumn("_digest", F.unhex(F.sha2(text_col, 256)))
+    hits = _joined_rows(digested, ["_digest"], text_col, terms, score, name, **bounds)
+    # Rows of equal texts give equal hits.  What the text or a constant tells is added behind the join.
+    slim = F.struct("entity_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    found = hits.groupBy("_digest").agg(F.array_sort(F.collect_set(slim)).alias("_found"))
+    apart = F.coalesce("_digest", F.unhex(F.hex(F.xxhash64(*keys))))
+    span = lambda s: record(
+        entity_type=f"{s}.entity_type", start=f"{s}.start", end=f"{s}.`end`", score=f"{float(score)}D",
+        text=f"substring(`{text_col}`, {s}.start + 1, {s}.`end` - {s}.start)", recognizer=quoted(name), rationale=quoted(name))
+    spans = f"cast({transform('coalesce(_found, array())', span)} as array<{SPAN_DDL}>)"
+    return digested.withColumn("_digest", apart).join(found.hint("merge"), "_digest", "left").select(
+        *[c for c in df.columns if c != out_col], F.expr(spans).alias(out_col))
 
 
 def deny_terms(df: DataFrame, key: str | list[str], text_col: str, terms: DataFrame, **bounds) -> DataFrame:

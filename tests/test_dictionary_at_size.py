@@ -44,3 +44,18 @@ def test_first_words_hold_all_lengths(spark):
     for gram, n in dic.term_grams(terms).select("gram", "n").collect():
         assert n in got[gram.split(" ")[0]] and n == len(gram.split(" "))
     assert dic.term_grams(terms).where(F.col("gram") == "new york city").count() == 1
+
+
+def test_words_that_begin_no_term_are_left_where_they_are(spark):
+    texts, terms = made(spark)
+    first = dic.first_words(dic.term_grams(terms))
+    words = spark.range(20_000).selectExpr("concat('w', id) AS _word").union(first.select("_word"))
+    kept = {r["_word"] for r in dic._possible(words, first).collect()}
+    wanted = {r["_word"] for r in first.collect()}
+    assert wanted <= kept and len(kept) < len(wanted) + 50
+
+
+def test_a_text_is_shuffled_once_and_never_repeated(spark):
+    texts, terms = made(spark)
+    plan = dic.with_dictionary_spans(texts, "id", "note", terms, max_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Aggregate [_digest" in plan and "first(note" not in plan
