@@ -163,8 +163,9 @@ def _(spark, d):
 
 # --- evidence --------------------------------------------------------------
 
-def evidence(spark, d):
-    spans = detect(planted(spark, d).select("order_id", "note"), "note", ALL)
+def evidence(spark, d, explain=True):
+    """Without ``explain`` neither recogniser nor rationale is written, for reports that show none."""
+    spans = detect(planted(spark, d).select("order_id", "note"), "note", ALL.but(explain=explain))
     return an.evidence_rows(detections(spans, "order_id"), "order_id")
 
 
@@ -195,12 +196,12 @@ def _(spark, d):
 SELECT q.entity_type, n, low, high, q1, median, q3, min(confidence) AS whisker_low, max(confidence) AS whisker_high FROM q JOIN ev ON ev.entity_type = q.entity_type
  AND confidence BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL"""))
 def _(spark, d):
-    return an.confidence_distribution(evidence(spark, d))
+    return an.confidence_distribution(evidence(spark, d, explain=False))
 
 
 @query("confidence_histogram", lambda: _evidence_sql("SELECT entity_type, CAST(least(confidence // 10, 9) AS INTEGER) AS bin, count(*) AS n FROM ev GROUP BY 1, 2"))
 def _(spark, d):
-    return an.confidence_histogram(evidence(spark, d))
+    return an.confidence_histogram(evidence(spark, d, explain=False))
 
 
 @query("confidence_density", lambda: _evidence_sql("""
@@ -208,7 +209,7 @@ def _(spark, d):
 SELECT entity_type, "at", round(sum(n * exp(-((("at" - confidence) / 5.0::DOUBLE) ** 2) / 2)) / (sum(n) * 5.0::DOUBLE * sqrt(2 * pi())), 6) AS density
  FROM c CROSS JOIN g GROUP BY 1, 2"""))
 def _(spark, d):
-    return an.confidence_density(evidence(spark, d))
+    return an.confidence_density(evidence(spark, d, explain=False))
 
 
 @query("confidence_kpis", lambda: _evidence_sql("""
@@ -216,14 +217,14 @@ def _(spark, d):
  count(*) FILTER (WHERE band = 'High') AS high, count(*) FILTER (WHERE band = 'Medium') AS medium, count(*) FILTER (WHERE band = 'Low') AS low FROM ev GROUP BY 1)
 SELECT *, CASE greatest(very_high, high, medium, low) WHEN very_high THEN 'Very High' WHEN high THEN 'High' WHEN medium THEN 'Medium' ELSE 'Low' END AS dominant_band FROM p"""))
 def _(spark, d):
-    return an.confidence_kpis(evidence(spark, d), "order_id")
+    return an.confidence_kpis(evidence(spark, d, explain=False), "order_id")
 
 
 @query("type_summary", lambda: _evidence_sql("""
 , c AS (SELECT order_id, entity_type, count(*) AS n FROM ev GROUP BY 1, 2)
 SELECT order_id, CAST(sum(n) AS BIGINT) AS total, string_agg(n || 'x ' || entity_type, ', ' ORDER BY n DESC, entity_type) AS breakdown FROM c GROUP BY 1"""))
 def _(spark, d):
-    return an.type_summary(evidence(spark, d), "order_id")
+    return an.type_summary(evidence(spark, d, explain=False), "order_id")
 
 
 @query("kpi_changes", """WITH s AS (SELECT event_type, CAST(ts AS DATE) AS "day", count(*) AS n FROM events GROUP BY 1, 2),

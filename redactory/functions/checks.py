@@ -11,18 +11,7 @@ def digits_of(text: str) -> str:
 
 def luhn(text: str) -> str:
     """Mod-10 check over 13 to 19 digits; separators are ignored."""
-
-    def body(d: str) -> str:
-        def add(acc: str, i: str) -> str:
-            def weigh(v: str) -> str:
-                return cases((f"(length({d}) - {i}) % 2 = 0", v), (f"{v} > 4", f"{v} * 2 - 9"), other=f"{v} * 2")
-
-            return f"{acc} + " + let(f"cast(substring({d}, {i}, 1) as int)", weigh)
-
-        total = fold(f"sequence(1, length({d}))", "0", add)
-        return cases((f"length({d}) BETWEEN 13 AND 19", f"{total} % 10 = 0"), other="false")
-
-    return let(digits_of(text), body)
+    return let(digits_of(text), lambda d: f"(length({d}) BETWEEN 13 AND 19 AND luhn_check({d}))")
 
 
 def iban(text: str) -> str:

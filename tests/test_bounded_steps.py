@@ -110,3 +110,18 @@ def test_costly_rows_do_not_stay_in_their_row_group(spark, tmp_path, monkeypatch
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(held) == 6000 and max(held) <= 2 * 500
+
+
+def test_reports_without_explanations_write_none(spark):
+    from redactory import catalog
+    folder = "/root/testdata/sf0.001"
+    for name, shown in (("confidence_histogram", False), ("type_summary", False), ("evidence_rows", True)):
+        plan = catalog.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("pattern=" in plan) == shown, name
+
+
+def test_card_numbers_pass_luhn_with_13_to_19_digits_only(spark):
+    from redactory.functions.checks import luhn
+    texts = ["4111 1111-1111 1111", "4111111111111112", "0000000000000", "000000000000", "0" * 19, "0" * 20, "4222222222222"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.expr(luhn("t"))).collect()
+    assert [r[0] for r in got] == [True, False, True, False, True, False, True]
