@@ -117,51 +117,70 @@ def _behind_the_clock(timed: DataFrame) -> DataFrame:
 
 
 _REVIEW = "id string, title string, pipeline_card_id string"
-_REVIEW_STATE = "seq long, title string, card string, due long, status string"
+_REVIEW_STATE = "held string"
+BUCKETS = 1024
 
 
-def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remember_days: int | None = None) -> DataFrame:
+def fire_when_due(appointments: DataFrame, lateness: str = "10 minutes", remember_days: int | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Appointments at the moment they come due: ``(id, title, pipeline_card_id)``.
 
     ``appointments`` is a stream of versions ``(id, title, pipeline_card_id, scheduled_for, status, seq, ts)``.  The
     newest version by ``seq`` counts, however far its ``ts`` is behind; ``ts`` only drives the clock, which trails the
-    newest one by ``lateness``.  Each id keeps one version and a timer, so an appointment that arrives early fires
+    newest one by ``lateness``.  Each id keeps one version and a time, so an appointment that arrives early fires
     later, one that arrives late fires at once, and one that was cancelled or moved does not fire at its old time.
     After firing or cancelling, an id is remembered for good: a repeated row may arrive at any time.  With
     ``remember_days`` it is forgotten so long after its time, and a row that arrives later counts as a new id.
-    Without a time it never fires.
+    Without a time it never fires; a row without ``seq`` changes nothing.
+
+    The ids are kept together by hash, in ``buckets`` states with one timer each, because a Python call costs
+    milliseconds and an id microseconds.  The number is fixed for the life of a checkpoint; a batch reads and writes the
+    states of its ids' buckets whole, so take more for more than some ten million ids.
     """
     remember = None if remember_days is None else remember_days * 86_400_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
-        held = state.get if state.exists else None
-        if state.hasTimedOut:
-            if held[4] != "scheduled":
-                state.remove()
-                return
-        else:
-            text = lambda v: None if pd.isna(v) else str(v)
+        held = {i: rest for i, *rest in json.loads(state.get[0])} if state.exists else {}
+        text = lambda v: v if isinstance(v, str) else None
+        seen = set()
+        if not state.hasTimedOut:
             for batch in batches:
-                row = batch.loc[batch["seq"].idxmax()]
-                if held is None or row["seq"] > held[0]:
-                    due = -1 if pd.isna(row["due"]) else int(row["due"])
-                    held = (int(row["seq"]), text(row["title"]), text(row["pipeline_card_id"]), due, text(row["status"]))
-        seq, title, card, due, status = held
-        fires = status == "scheduled" and 0 <= due <= now
-        if fires:
-            status = "fired"
-        state.update((seq, title, card, due, status))
-        if status == "scheduled" and due > now:
-            state.setTimeoutTimestamp(due)
-        elif remember is not None:
-            state.setTimeoutTimestamp(max(due, now) + remember)
-        if fires:
-            yield pd.DataFrame({"id": [key[0]], "title": [title], "pipeline_card_id": [card]})
-
-    timed = appointments.where("id IS NOT NULL").withWatermark("ts", lateness).selectExpr(
-        "id", "title", "pipeline_card_id", "unix_millis(cast(scheduled_for as timestamp)) AS due", "status", "seq", "ts")
-    return _behind_the_clock(timed).groupBy("id").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append", "EventTimeTimeout")
+                for i, title, card, due, status, seq in zip(*(batch[c].tolist() for c in (
+                        "id", "title", "pipeline_card_id", "due", "status", "seq"))):
+                    seen.add(i)
+                    if i not in held or seq > held[i][0]:
+                        held[i] = [seq, text(title), text(card), due, text(status), None]
+        fired, timers = [], []
+        for i, row in list(held.items()):
+            _, title, card, due, status, forget = row
+            if status == "scheduled" and 0 <= due <= now:
+                fired.append((i, title, card))
+                status = row[4] = "fired"
+                seen.add(i)
+            if status == "scheduled" and due > now:
+                timers.append(due)
+            elif remember is not None:
+                if i in seen or forget is None:
+                    forget = row[5] = max(due, now) + remember
+                if forget <= now:
+                    del held[i]
+                else:
+                    timers.append(forget)
+        if not held:
+            state.remove()
+        else:
+            state.update((json.dumps([[i, *row] for i, row in held.items()]),))
+            if timers:
+                state.setTimeoutTimestamp(min(timers))
+        if fired:
+            yield pd.DataFrame(fired, columns=["id", "title", "pipeline_card_id"])
+
+    timed = appointments.where("id IS NOT NULL AND seq IS NOT NULL").withWatermark("ts", lateness).selectExpr(
+        f"pmod(xxhash64(id), {buckets}) AS bucket", "id", "title", "pipeline_card_id",
+        "coalesce(unix_millis(cast(scheduled_for as timestamp)), -1) AS due", "status", "cast(seq as long) AS seq", "ts")
+    return _behind_the_clock(timed).groupBy("bucket").applyInPandasWithState(step, _REVIEW, _REVIEW_STATE, "append",
+                                                                             "EventTimeTimeout")
 
 
 def watch_due_appointments(appointments: DataFrame, cards: Callable[[], DataFrame],

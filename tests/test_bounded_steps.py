@@ -9,6 +9,7 @@ from redactory.catalog import planted
 from redactory.operators import dictionary as dic, records as rec, telemetry as tel
 from redactory.operators.job import quarantine_failures
 from redactory.plans import salting, spread
+from redactory.streaming import live
 
 
 def kept(rows, n, b):
@@ -125,3 +126,22 @@ def test_card_numbers_pass_luhn_with_13_to_19_digits_only(spark):
     texts = ["4111 1111-1111 1111", "4111111111111112", "0000000000000", "000000000000", "0" * 19, "0" * 20, "4222222222222"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.expr(luhn("t"))).collect()
     assert [r[0] for r in got] == [True, False, True, False, True, False, True]
+
+
+def test_due_reviews_keep_many_ids_in_one_state(spark, tmp_path):
+    """One Python call a bucket and batch, not one an id; every id fires once, by its newest version."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    rows = spark.range(3000).selectExpr(
+        "concat('a', id) AS id", "concat('t', id) AS title", "cast(null as string) AS pipeline_card_id",
+        "timestamp'2024-01-01 09:00:00' AS scheduled_for", "IF(id % 3 = 0, 'cancelled', 'scheduled') AS status",
+        "IF(id % 5 = 0, NULL, 1L) AS seq", "timestamp'2024-01-01 10:00:00' AS ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    fired = live.fire_when_due(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), buckets=8)
+    query = (fired.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert states == 8
+    ids = [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(ids) == sorted(f"a{i}" for i in range(3000) if i % 3 and i % 5)
