@@ -59,7 +59,7 @@ def _planted_sql(policy: Policy, tail: str) -> str:
 
 @query("detect_planted", lambda: _planted_sql(ALL, f" SELECT k AS order_id, {SPAN_SQL}, recognizer, rationale FROM spans"))
 def _(spark, d):
-    return detections(detect(planted(spark, d), "note", ALL), "order_id")
+    return detections(detect(planted(spark, d), "note", ALL, dense=True), "order_id")
 
 
 @query("detect_pages", lambda: duck.spans_ctes("pages", "page_id", "html", ALL)
@@ -83,7 +83,7 @@ STRICT = Policy(threshold=0.8)
 
 @query("detect_high_threshold", lambda: _planted_sql(STRICT, f" SELECT k AS order_id, {SPAN_SQL} FROM spans"))
 def _(spark, d):
-    return long_form(detect(planted(spark, d), "note", STRICT.but(explain=False)), "order_id")
+    return long_form(detect(planted(spark, d), "note", STRICT.but(explain=False), dense=True), "order_id")
 
 
 LISTED = Policy(entities=("EMAIL_ADDRESS", "DATE_TIME"), allow=(" 1950-01-01 ", "c7@mail7.example.org", "C8@MAIL8.example.org"),
@@ -92,7 +92,7 @@ LISTED = Policy(entities=("EMAIL_ADDRESS", "DATE_TIME"), allow=(" 1950-01-01 ",
 
 @query("detect_allow_and_deny", lambda: _planted_sql(LISTED, f" SELECT k AS order_id, {SPAN_SQL} FROM spans"))
 def _(spark, d):
-    return long_form(detect(planted(spark, d), "note", LISTED.but(explain=False)), "order_id")
+    return long_form(detect(planted(spark, d), "note", LISTED.but(explain=False), dense=True), "order_id")
 
 
 @query("allow_list_rows", lambda: duck.spans_ctes("documents", "doc_id", "text", ALL)
@@ -140,7 +140,7 @@ def _(spark, d):
 @query("resolve_for_rewrite", lambda: _planted_sql(ALL, duck.kept_ctes()
        + ' SELECT k AS order_id, entity_type, s AS "start", e AS "end", score FROM kept'))
 def _(spark, d):
-    spans = detect(planted(spark, d), "note", ALL.but(explain=False)).select("order_id", F.expr(keep_best("spans")).alias("spans"))
+    spans = detect(planted(spark, d), "note", ALL.but(explain=False), dense=True).select("order_id", F.expr(keep_best("spans")).alias("spans"))
     return long_form(spans, "order_id").drop("text")
 
 
@@ -151,7 +151,7 @@ f AS (SELECT k, unnest(list_reduce(l, lambda acc, n: CASE WHEN len(acc) = 0 THEN
   CAST([] AS STRUCT(s INTEGER, e INTEGER, ty VARCHAR, sc DOUBLE)[]))) AS w FROM o)
 SELECT k AS order_id, w.ty AS entity_type, w.s AS "start", w.e AS "end", w.sc AS score FROM f"""))
 def _(spark, d):
-    spans = detect(planted(spark, d), "note", ALL.but(explain=False)).select("order_id", F.expr(keep_for_display("spans")).alias("spans"))
+    spans = detect(planted(spark, d), "note", ALL.but(explain=False), dense=True).select("order_id", F.expr(keep_for_display("spans")).alias("spans"))
     return long_form(spans, "order_id").drop("text")
 
 
@@ -264,7 +264,7 @@ def _rewrite_query(operator: str) -> None:
         duck.replacement(operator, "pepper")) + " SELECT src.k AS order_id, coalesce(new_text, t) AS anonymized_text "
         "FROM src LEFT JOIN rewritten r ON r.k = src.k"))
     def _(spark, d):
-        return rewrite(detect(planted(spark, d), "note", policy), "note", "spans", policy).select(
+        return rewrite(detect(planted(spark, d), "note", policy, dense=True), "note", "spans", policy).select(
             "order_id", "anonymized_text")
 
 
@@ -282,7 +282,7 @@ MIXED = Policy(operator="replace", operators={"EMAIL_ADDRESS": "hash", "IP_ADDRE
     "ELSE '<' || entity_type || '>' END")
     + " SELECT src.k AS order_id, coalesce(new_text, t) AS anonymized_text FROM src LEFT JOIN rewritten r ON r.k = src.k"))
 def _(spark, d):
-    return rewrite(detect(planted(spark, d), "note", MIXED), "note", "spans", MIXED).select("order_id", "anonymized_text")
+    return rewrite(detect(planted(spark, d), "note", MIXED, dense=True), "note", "spans", MIXED).select("order_id", "anonymized_text")
 
 
 SYNTH = Policy(operator="synthesize", seed="s1", entities=("EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER"), explain=False)
@@ -334,7 +334,7 @@ def _(spark, d):
        + """ SELECT k AS order_id, array_to_string(regexp_extract_all(new_text, '<([A-Z_]+)>', 1), ',') AS tokens,
  regexp_replace(new_text, '<([A-Z_]+)>', '`\\1`', 'g') AS tagged FROM rewritten"""))
 def _(spark, d):
-    out = rewrite(detect(planted(spark, d), "note", ALL.but(explain=False)), "note", "spans", ALL)
+    out = rewrite(detect(planted(spark, d), "note", ALL.but(explain=False), dense=True), "note", "spans", ALL)
     return out.select("order_id", F.expr(f"array_join({tx.placeholders('anonymized_text')}, ',')").alias("tokens"),
                       F.expr(tx.tag_placeholders("anonymized_text")).alias("tagged"))
 

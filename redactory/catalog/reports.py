@@ -165,7 +165,7 @@ def _(spark, d):
 
 def evidence(spark, d, explain=True):
     """Without ``explain`` neither recogniser nor rationale is written, for reports that show none."""
-    spans = detect(planted(spark, d).select("order_id", "note"), "note", ALL.but(explain=explain))
+    spans = detect(planted(spark, d).select("order_id", "note"), "note", ALL.but(explain=explain), dense=True)
     return an.evidence_rows(detections(spans, "order_id"), "order_id")
 
 

@@ -16,6 +16,16 @@ def by_position(spans: str) -> str:
                      c=lambda s, i: f"{s}.entity_type")
 
 
+def in_position(spans: str) -> str:
+    """The spans ordered by start, end, type; sorted only if they are not yet."""
+    def late(i: str) -> str:
+        a, b = f"{spans}[{i} - 1]", f"{spans}[{i}]"
+        return (f"{a}.start > {b}.start OR ({a}.start = {b}.start AND ({a}.`end` > {b}.`end` "
+                f"OR ({a}.`end` = {b}.`end` AND {a}.entity_type > {b}.entity_type)))")
+
+    return f"IF({any_of(f'sequence(1, size({spans}) - 1)', late)}, {by_position(spans)}, {spans})"
+
+
 def merge_spans(first: str, second: str) -> str:
     """Union on (type, start, end); the first list wins."""
 
@@ -45,7 +55,7 @@ def keep_best(spans: str) -> str:
             clash = any_of(kept, lambda k: f"{k}.start < {s}.`end` AND {s}.start < {k}.`end`")
             return f"IF({clash}, {kept}, concat({kept}, array({s})))"
 
-        return f"IF(size({run}) < 2, {run}, {fold(ranked, NONE, take)})"
+        return f"IF(size({run}) < 2, {run}, {by_position(fold(ranked, NONE, take))})"
 
     def step(state: str, s: str) -> tuple[str, str]:
         joins = f"{s}.start < {state}.reach"
@@ -54,9 +64,9 @@ def keep_best(spans: str) -> str:
                 f"IF({joins}, {NONE}, {winners(state + '.run')})")
 
     zero = record(run=NONE, reach="0")
-    folded = let(by_position(spans), lambda o: blocked_fold(
+    folded = let(in_position(spans), lambda o: blocked_fold(
         o, zero, step, SPAN_DDL, finish=lambda state: winners(f"{state}.run")))
-    return f"IF(size({spans}) < 2, {spans}, {by_position(folded)})"
+    return f"IF(size({spans}) < 2, {spans}, {folded})"
 
 
 def keep_for_display(spans: str) -> str:
