@@ -140,7 +140,7 @@ def _(spark, d):
 @query("resolve_for_rewrite", lambda: _planted_sql(ALL, duck.kept_ctes()
        + ' SELECT k AS order_id, entity_type, s AS "start", e AS "end", score FROM kept'))
 def _(spark, d):
-    spans = detect(planted(spark, d), "note", ALL.but(explain=False), dense=True).select("order_id", F.expr(keep_best("spans")).alias("spans"))
+    spans = detect(planted(spark, d), "note", ALL.but(explain=False), dense=True, best=True).select("order_id", "spans")
     return long_form(spans, "order_id").drop("text")
 
 
@@ -264,7 +264,7 @@ def _rewrite_query(operator: str) -> None:
         duck.replacement(operator, "pepper")) + " SELECT src.k AS order_id, coalesce(new_text, t) AS anonymized_text "
         "FROM src LEFT JOIN rewritten r ON r.k = src.k"))
     def _(spark, d):
-        return rewrite(detect(planted(spark, d), "note", policy, dense=True), "note", "spans", policy).select(
+        return rewrite(detect(planted(spark, d), "note", policy, dense=True, best=True), "note", "spans", policy).select(
             "order_id", "anonymized_text")
 
 
@@ -334,7 +334,7 @@ def _(spark, d):
        + """ SELECT k AS order_id, array_to_string(regexp_extract_all(new_text, '<([A-Z_]+)>', 1), ',') AS tokens,
  regexp_replace(new_text, '<([A-Z_]+)>', '`\\1`', 'g') AS tagged FROM rewritten"""))
 def _(spark, d):
-    out = rewrite(detect(planted(spark, d), "note", ALL.but(explain=False), dense=True), "note", "spans", ALL)
+    out = rewrite(detect(planted(spark, d), "note", ALL.but(explain=False), dense=True, best=True), "note", "spans", ALL)
     return out.select("order_id", F.expr(f"array_join({tx.placeholders('anonymized_text')}, ',')").alias("tokens"),
                       F.expr(tx.tag_placeholders("anonymized_text")).alias("tagged"))
 

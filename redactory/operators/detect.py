@@ -15,7 +15,7 @@ from ..plans.sizing import small_side
 from ..plans.unnest import inline_rows
 from ..policy import Policy
 from ..schema import SPANS_DDL
-from .resolve import by_position, merge_spans
+from .resolve import by_position, keep_best, merge_spans
 from .scan import scanned
 
 NONE = empty(SPANS_DDL)
@@ -158,16 +158,22 @@ def spans_of(text: str, policy: Policy | None = None, extra: str | None = None)
 
 
 def detect(df: DataFrame, text_col: str, policy: Policy | None = None, spans_col: str = "spans",
-           extra: str | None = None, dense: bool = False) -> DataFrame:
-    """Add the span array of a text column.
+           extra: str | None = None, dense: bool = False, best: bool = False) -> DataFrame:
+    """Add the span array of a text column; with ``best`` only the spans to rewrite (``resolve.keep_best``).
 
     With ``dense`` the recognisers run over Arrow batches: the same spans, faster where most texts hold several, slower
     where most hold none."""
-    if not dense:
-        return df.withColumn(spans_col, spans_of(f"`{text_col}`", policy, extra))
     policy = policy or Policy()
-    known = df.withColumn("_recognised", scanned(F.col(f"`{text_col}`"), policy))
-    return known.withColumn(spans_col, F.expr(spans_sql(f"`{text_col}`", policy, extra, "_recognised"))).drop("_recognised")
+    text, known = f"`{text_col}`", None
+    if dense:
+        # Lists are applied before spans are resolved.
+        early = best and extra is None and not (policy.allow or policy.deny)
+        df, known = df.withColumn("_recognised", scanned(F.col(text), policy, early)), "_recognised"
+        best = best and not early
+    out = df.withColumn(spans_col, F.expr(spans_sql(text, policy, extra, known)))
+    if best:
+        out = out.withColumn(spans_col, F.expr(keep_best(f"`{spans_col}`")))
+    return out.drop("_recognised") if dense else out
 
 
 def detections(df: DataFrame, key: str | list[str], spans_col: str = "spans") -> DataFrame:

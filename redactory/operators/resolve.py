@@ -64,9 +64,13 @@ def keep_best(spans: str) -> str:
                 f"IF({joins}, {NONE}, {winners(state + '.run')})")
 
     zero = record(run=NONE, reach="0")
-    folded = let(in_position(spans), lambda o: blocked_fold(
-        o, zero, step, SPAN_DDL, finish=lambda state: winners(f"{state}.run")))
-    return f"IF(size({spans}) < 2, {spans}, {folded})"
+    def resolved(o: str) -> str:
+        folded = blocked_fold(o, zero, step, SPAN_DDL, finish=lambda state: winners(f"{state}.run"))
+        # In order, spans overlap if and only if two neighbours do.
+        overlap = any_of(f"sequence(1, size({o}) - 1)", lambda i: f"{o}[{i}].start < {o}[{i} - 1].`end`")
+        return f"IF({overlap}, {folded}, {o})"
+
+    return f"IF(size({spans}) < 2, {spans}, {let(in_position(spans), resolved)})"
 
 
 def keep_for_display(spans: str) -> str:

@@ -30,6 +30,7 @@ _WORD[ord("_")] = True
 _PLAIN = bytes(ord(chr(b).lower()) if _ALNUM[b] else ord(" ") for b in range(256))
 _TOKEN = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[^0-9]")
+_VALUES = str.maketrans({c: str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _DOUBLED = {str(v): sum(divmod(2 * v, 10)) for v in range(10)}
 
 
@@ -39,7 +40,7 @@ def _luhn(x: str) -> bool:
 
 
 def _iban(x: str) -> bool:
-    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    return int((x[4:] + x[:4]).translate(_VALUES)) % 97 == 1
 
 
 def _octets(x: str) -> bool:
@@ -67,15 +68,20 @@ def _date(x: str) -> bool:
 VALID = {"luhn": _luhn, "iban": _iban, "octets": _octets, "ssn": _ssn, "dea": _dea, "date": _date}
 
 
-def _word_nearby(data: bytes, plain: bytes, first: int, start: int, words: frozenset) -> bool:
-    """One of the words is among the last few of the ``CONTEXT_CHARS`` code points before a place."""
-    past = max(first, start - reg.CONTEXT_CHARS)
-    if data[past:start].isascii():
-        near = plain[past:start].rsplit(None, reg.CONTEXT_WORDS)
-    else:  # a code point has at most four bytes
-        window = data[max(first, start - 4 * reg.CONTEXT_CHARS):start].decode("utf-8", "ignore")[-reg.CONTEXT_CHARS:]
-        near = [t.encode() for t in _TOKEN.findall(window.lower())]
-    return not words.isdisjoint(near[-reg.CONTEXT_WORDS:])
+def _words_nearby(data: bytes, plain: bytes, first: np.ndarray, start: np.ndarray, words: frozenset) -> np.ndarray:
+    """For each place: one of the words is among the last few of the ``CONTEXT_CHARS`` code points before it."""
+    n = reg.CONTEXT_WORDS
+    pasts = np.maximum(first, start - reg.CONTEXT_CHARS).tolist()
+    if plain is not None:
+        return np.array([not words.isdisjoint(plain[p:s].rsplit(None, n)[-n:]) for p, s in zip(pasts, start.tolist())], bool)
+
+    def near(p: int, f: int, s: int) -> list[str]:
+        if not data[p:s].isascii():  # a code point has at most four bytes
+            p = max(f, s - 4 * reg.CONTEXT_CHARS)
+        return _TOKEN.findall(data[p:s].decode("utf-8", "ignore")[-reg.CONTEXT_CHARS:].lower())[-n:]
+
+    words = {w.decode() for w in words}
+    return np.array([not words.isdisjoint(near(*at)) for at in zip(pasts, first.tolist(), start.tolist())], bool)
 
 
 def matches(texts: pa.LargeBinaryArray, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +113,34 @@ def _rationale(r: reg.Recogniser, score: float) -> str:
     return "; ".join(parts)
 
 
-def _slice_spans(texts: pa.LargeBinaryArray, policy: Policy) -> pa.ListArray:
+def _best(row: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which spans, in order, ``resolve.keep_best`` keeps: greedy by score, length, start, type inside runs that overlap."""
+    keep = np.ones(len(row), bool)
+    if not len(row):
+        return keep
+    room = row * (int(end.max()) + 1)
+    begins = np.flatnonzero(np.concatenate([[True], (room + start)[1:] >= np.maximum.accumulate(room + end)[:-1]]))
+    sizes = np.diff(np.concatenate([begins, [len(row)]]))
+    for at, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        run = zip(*(c[at:at + n].tolist() for c in (score, start, end, rank)), range(at, at + n))
+        kept = []
+        for _, _, s, _, e, i in sorted((-sc, s - e, s, k, e, i) for sc, s, e, k, i in run):
+            if any(a < e and s < b for a, b in kept):
+                keep[i] = False
+            else:
+                kept.append((s, e))
+    return keep
+
+
+def _slice_spans(texts: pa.LargeBinaryArray, policy: Policy, best: bool) -> pa.ListArray:
     places, array = _buffers(texts)
     if (array >= OPEN).any():  # not UTF-8
-        return _slice_spans(pa.array([t.decode("utf-8", "replace").encode() for t in texts.to_pylist()], pa.large_binary()), policy)
+        return _slice_spans(pa.array([t.decode("utf-8", "replace").encode() for t in texts.to_pylist()], pa.large_binary()),
+                            policy, best)
     data = array.tobytes()
-    plain = data.translate(_PLAIN)
-    points = None if data.isascii() else np.concatenate([[0], np.cumsum((array & 0xC0) != 0x80)])
+    # Of texts in ASCII alone bytes are code points, and words are lower-cased once.
+    plain, points = (data.translate(_PLAIN), None) if data.isascii() else (
+        None, np.concatenate([[0], np.cumsum((array & 0xC0) != 0x80)]))
     padded = np.concatenate([array, np.zeros(1, np.uint8)])
     chosen = sorted(reg.select(policy.entities, policy.threshold), key=lambda r: r.entity)
     whys, found = [], []
@@ -124,19 +151,19 @@ def _slice_spans(texts: pa.LargeBinaryArray, policy: Policy) -> pa.ListArray:
         clear = ~((start > 0) & _WORD[padded[a - 1]] & _ALNUM[padded[a]]) & ~(
             (b < places[row + 1]) & _ALNUM[padded[b - 1]] & _WORD[padded[b]])
         row, first, a, b = row[clear], first[clear], a[clear], b[clear]
-        valid = VALID.get(r.validator)
-        lifted = r.validator in reg.SCORE_LIFTING_VALIDATORS
-        low, high = (1.0, 1.0) if lifted else (round(r.score, 3), round(min(1.0, round(r.score + reg.CONTEXT_BOOST, 3)), 3))
-        words = frozenset(w.encode() for w in r.context)
-        keep, score = np.ones(len(row), bool), np.full(len(row), low)
-        for i, (f, s, e) in enumerate(zip(first.tolist(), a.tolist(), b.tolist())):
-            if valid and not valid(data[s:e].decode()):
-                keep[i] = False
-            elif words and not lifted and _word_nearby(data, plain, f, s, words):
-                score[i] = high
-        if not lifted:
-            keep &= score >= policy.threshold
-        row, first, a, b, score = row[keep], first[keep], a[keep], b[keep], score[keep]
+        if r.validator:
+            valid = VALID[r.validator]
+            ok = np.array([valid(data[s:e].decode()) for s, e in zip(a.tolist(), b.tolist())], bool)
+            row, first, a, b = row[ok], first[ok], a[ok], b[ok]
+        low, high = round(r.score, 3), round(min(1.0, round(r.score + reg.CONTEXT_BOOST, 3)), 3)
+        if r.validator in reg.SCORE_LIFTING_VALIDATORS:
+            low = high = 1.0
+        score = np.full(len(row), low)
+        if r.context and low < high:
+            score[_words_nearby(data, plain, first, a, frozenset(w.encode() for w in r.context))] = high
+        if low < policy.threshold:
+            strong = score >= policy.threshold
+            row, first, a, b, score = row[strong], first[strong], a[strong], b[strong], score[strong]
         why = len(whys) + (score != low)
         whys += [_rationale(r, low), _rationale(r, high)] if policy.explain else ["", ""]
         found.append((row, a, b, np.full(len(row), rank), score, why, a - first if points is None else points[a] - points[first],
@@ -146,6 +173,9 @@ def _slice_spans(texts: pa.LargeBinaryArray, policy: Policy) -> pa.ListArray:
     row, a, b, rank, score, why, start, end = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((rank, end, start, row))
     row, a, b, rank, score, why, start, end = (c[order] for c in (row, a, b, rank, score, why, start, end))
+    if best:
+        keep = _best(row, start, end, rank, score)
+        row, a, b, rank, score, why, start, end = (c[keep] for c in (row, a, b, rank, score, why, start, end))
     entity, name = pa.array([r.entity for r in chosen], pa.string()), pa.array(
         [r.name if policy.explain else "" for r in chosen], pa.string())
     spans = pa.StructArray.from_arrays(
@@ -157,21 +187,21 @@ def _slice_spans(texts: pa.LargeBinaryArray, policy: Policy) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), spans)
 
 
-def spans_of_batch(texts: pa.Array, policy: Policy) -> pa.Array:
-    """Spans of each text, ordered by start, end, type; none for null."""
+def spans_of_batch(texts: pa.Array, policy: Policy, best: bool = False) -> pa.Array:
+    """Spans of each text, or only those to rewrite, ordered by start, end, type; none for null."""
     whole = texts.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
     places, _ = _buffers(whole)
     out, at = [], 0
     while at < len(whole):
         past = max(at + 1, int(np.searchsorted(places, places[at] + SLICE_BYTES, "right")) - 1)
-        out.append(_slice_spans(whole.slice(at, past - at), policy))
+        out.append(_slice_spans(whole.slice(at, past - at), policy, best))
         at = past
-    return pa.concat_arrays(out) if out else _slice_spans(whole, policy)
+    return pa.concat_arrays(out) if out else _slice_spans(whole, policy, best)
 
 
-def scanned(text: Column, policy: Policy) -> Column:
-    """The recognisers' spans of a text column."""
+def scanned(text: Column, policy: Policy, best: bool = False) -> Column:
+    """The recognisers' spans of a text column, or only those to rewrite."""
     def scan(texts: pa.Array) -> pa.Array:
-        return spans_of_batch(texts, policy)
+        return spans_of_batch(texts, policy, best)
 
     return F.arrow_udf(scan, SPANS_DDL)(text)
