@@ -1,16 +1,19 @@
 """The recognisers over Arrow batches find what the expression form finds."""
 
+import cProfile
 import random
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from redactory import registry as reg
+from redactory.catalog.planted import planted
 from redactory.operators import scan
 from redactory.operators.detect import detect
 from redactory.operators.resolve import keep_best
 from redactory.policy import Policy
 
+SMOKE = "/root/testdata/sf0.001"
 PARTS = [
     "a@b.cc-x@d.ee", "x..y@mail.example.org,z@q.io", "@@@", "é@é.fr", "bob@example.com", "phone", "call", "tel", "telephone", "CALL",
     "(555) 205-6082", "+1 555-867-5309", "555.867.5309", "5558675309", "435-82-0665", "000-12-3456", "123 45 6789", "982-75-8615",
@@ -72,3 +75,26 @@ def test_spans_in_any_order_are_resolved_alike(spark):
     assert same.where("a <=> b AND a <=> c").count() == 300
     assert same.where("size(a) > 3").count() > 100
     df.unpersist()
+
+
+def test_no_python_calls_a_span(spark):
+    """A text of eleven spans costs few calls, those of overlapping runs (before, each context word and validator took some)."""
+    notes = [r.note for r in planted(spark, SMOKE).select("note").limit(1500).collect()]
+
+    def calls(n):
+        profile = cProfile.Profile()
+        profile.runcall(scan.spans_of_batch, pa.array(notes[:n]), Policy(explain=False), True)
+        return sum(entry.callcount for entry in profile.getstats())
+
+    assert calls(1500) - calls(300) < 5 * 1200
+
+
+def test_context_in_cut_and_foreign_windows(spark):
+    tail = " 555-867-5309"
+    texts = ["xx" + "call" + "y" * 96 + tail, "recall" + "." * 96 + tail, "recall" + "." * 95 + tail, "Call é" + tail, "écall" + tail,
+             "call" + " a" * 4 + tail, "call" + " a" * 5 + tail, "call", "555-867-5309", "call(555)867-5309", "call(555) 867-5309"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, note string").coalesce(1)
+    policy = Policy(entities=("PHONE_NUMBER",), threshold=0.0)
+    both = detect(detect(df, "note", policy, "a"), "note", policy, "b", dense=True).orderBy("id").collect()
+    assert [r.a for r in both] == [r.b for r in both]
+    assert len({s["score"] for r in both for s in r.b}) == 2
