@@ -264,8 +264,8 @@ def _rewrite_query(operator: str) -> None:
         duck.replacement(operator, "pepper")) + " SELECT src.k AS order_id, coalesce(new_text, t) AS anonymized_text "
         "FROM src LEFT JOIN rewritten r ON r.k = src.k"))
     def _(spark, d):
-        return rewrite(detect(planted(spark, d), "note", policy, dense=True, best=True), "note", "spans", policy).select(
-            "order_id", "anonymized_text")
+        spans = detect(planted(spark, d), "note", policy, dense=True, best=True)
+        return rewrite(spans, "note", "spans", policy, resolved=True).select("order_id", "anonymized_text")
 
 
 for _o in ("replace", "redact", "mask", "hash"):
@@ -334,7 +334,8 @@ def _(spark, d):
        + """ SELECT k AS order_id, array_to_string(regexp_extract_all(new_text, '<([A-Z_]+)>', 1), ',') AS tokens,
  regexp_replace(new_text, '<([A-Z_]+)>', '`\\1`', 'g') AS tagged FROM rewritten"""))
 def _(spark, d):
-    out = rewrite(detect(planted(spark, d), "note", ALL.but(explain=False), dense=True, best=True), "note", "spans", ALL)
+    spans = detect(planted(spark, d), "note", ALL.but(explain=False), dense=True, best=True)
+    out = rewrite(spans, "note", "spans", ALL, resolved=True)
     return out.select("order_id", F.expr(f"array_join({tx.placeholders('anonymized_text')}, ',')").alias("tokens"),
                       F.expr(tx.tag_placeholders("anonymized_text")).alias("tagged"))
 

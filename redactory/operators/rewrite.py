@@ -68,9 +68,10 @@ def rewrite_sql(text: str, kept: str, policy: Policy) -> str:
 
 
 def rewrite(df: DataFrame, text_col: str, spans_col: str, policy: Policy,
-            out_col: str = "anonymized_text") -> DataFrame:
-    kept = let(keep_best(f"`{spans_col}`"), lambda k: rewrite_sql(f"`{text_col}`", k, policy))
-    return df.withColumn(out_col, F.expr(kept))
+            out_col: str = "anonymized_text", resolved: bool = False) -> DataFrame:
+    """Add the rewritten text; ``resolved`` spans are those to rewrite, in order (``detect`` with ``best``)."""
+    kept = f"`{spans_col}`" if resolved else keep_best(f"`{spans_col}`")
+    return df.withColumn(out_col, F.expr(let(kept, lambda k: rewrite_sql(f"`{text_col}`", k, policy))))
 
 
 def rewrite_given_spans(text: str, spans: str, operator: str) -> str:

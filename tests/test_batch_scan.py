@@ -11,6 +11,7 @@ from redactory.catalog.planted import planted
 from redactory.operators import scan
 from redactory.operators.detect import detect
 from redactory.operators.resolve import keep_best
+from redactory.operators.rewrite import rewrite
 from redactory.policy import Policy
 
 SMOKE = "/root/testdata/sf0.001"
@@ -98,3 +99,11 @@ def test_context_in_cut_and_foreign_windows(spark):
     both = detect(detect(df, "note", policy, "a"), "note", policy, "b", dense=True).orderBy("id").collect()
     assert [r.a for r in both] == [r.b for r in both]
     assert len({s["score"] for r in both for s in r.b}) == 2
+
+
+def test_resolved_spans_are_rewritten_alike(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_of(100, 4) + [None, ""])], "id int, note string")
+    policy = Policy(operator="hash", salt="s", explain=False)
+    known = detect(df, "note", policy, dense=True, best=True)
+    out = rewrite(rewrite(known, "note", "spans", policy, "a"), "note", "spans", policy, "b", resolved=True)
+    assert out.where("a <=> b").count() == 102
