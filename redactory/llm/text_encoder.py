@@ -13,6 +13,11 @@ from .common import offsets_of
 
 # Longest run without ASCII white space, or of it alone, that the compiled encoder gets, in bytes: its split backtracks.
 LONGEST_RUN = 4096
+# Splits as ``bpe.PATTERN`` does, without going back inside a run.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# The compiled encoder looks for special tokens first; with none it would look for the empty string, at every place.
+# This one is never allowed, so a text that holds it is encoded like any other.
+NO_SPECIAL = "<|\0none\0|>"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(9, 14), 32]] = True
 
@@ -34,7 +39,8 @@ def _compiled(vocabulary: bpe.Vocabulary):
             known = np.concatenate([v.byte_ids, v.merged_ids]).tolist()
             ranks = {raw[v.token_ends[i]:v.token_ends[i + 1]]: i for i in known}
             if len(ranks) == len(known):
-                _COMPILED[key] = tiktoken.Encoding("bytes", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+                _COMPILED[key] = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks,
+                                                   special_tokens={NO_SPECIAL: max(known, default=0) + 1})
     return _COMPILED[key]
 
 
@@ -66,7 +72,8 @@ class TextEncoder:
 
     def _others(self, texts: pa.LargeStringArray) -> np.ndarray:
         """Texts with a special token or a very long run."""
-        other = longest_runs(texts) > self.longest_run
+        other = pc.greater(pc.binary_length(texts), self.longest_run).to_numpy(zero_copy_only=False)
+        other[other] = longest_runs(texts.filter(pa.array(other))) > self.longest_run
         for token in self.v.special:
             other |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
         return other
@@ -85,5 +92,7 @@ class TextEncoder:
         for i, text in zip(plain.tolist(), texts.take(pa.array(plain)).to_pylist()):
             parts[i] = self.compiled.encode_to_numpy(text, disallowed_special=())
         ends = offsets_of(np.fromiter(map(len, parts), dtype=np.int64, count=n))
-        flat = np.concatenate([np.zeros(0, dtype=np.int32), *parts]).astype(np.int32)
+        flat = np.empty(int(ends[-1]), dtype=np.int32)
+        if n:
+            np.concatenate(parts, out=flat, casting="unsafe")
         return flat, ends

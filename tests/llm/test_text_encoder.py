@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from redactory.llm import bpe, queries
+from redactory.llm import bpe, queries, text_encoder
 from redactory.llm.text_encoder import TextEncoder, longest_runs
 
 PATH = queries.tokenizer_path()
@@ -53,3 +54,17 @@ def test_no_texts_and_slices(vocabulary):
     assert longest_runs(every).tolist() == [3, 0, 2, 5, 2]
     assert longest_runs(every.slice(1, 3)).tolist() == [0, 2, 5]
     assert TextEncoder(vocabulary).encode(every.slice(2, 1))[0].tolist() == TextEncoder(vocabulary).encode(every.take([2]))[0].tolist()
+
+
+def test_the_split_is_that_of_the_vocabulary(vocabulary):
+    """The compiled encoder's pattern, and its one special token, which keeps it from looking for the empty string."""
+    parts = [" ", "  ", "\n", "\t", " ", "　", " ", "\x1c", "\x85", "\0", "a", "é", "中", "1", "٣", "²",
+             "́", "'s", "'S", "'", "re", "!", "﻿", "​", "\U0001f600", "\r\n", text_encoder.NO_SPECIAL]
+    r = random.Random(11)
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)]
+    split = regex.compile(text_encoder.SPLIT)
+    assert all(split.findall(t) == bpe._SPLIT.findall(t) for t in texts)
+    assert text_encoder._compiled(vocabulary).special_tokens_set == {text_encoder.NO_SPECIAL}
+    array = pa.array(texts, pa.large_string())
+    fast, exact = TextEncoder(vocabulary).encode(array), bpe.Encoder(vocabulary).encode(array)
+    assert (fast[0] == exact[0]).all() and (fast[1] == exact[1]).all()
