@@ -2,7 +2,8 @@
 
 The rules are those of ``detect.recogniser_spans``: match, clear edges, validator, context, threshold.  There each span
 costs some hundred interpreted expressions; here matching is Arrow's regular expressions over a batch, and edges,
-validators, context words and offsets are numpy, no Python a span.  Patterns use ASCII classes alone, so they match the same bytes in any UTF-8 text.
+validators, context words and offsets are numpy.  Only windows that cut a word or hold other than ASCII, and runs of three
+and more spans that overlap, are read one by one.  Patterns use ASCII classes alone, so they match the same bytes in any UTF-8 text.
 """
 
 from __future__ import annotations
